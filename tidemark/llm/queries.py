@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_jaccard import ngram_jaccard
+from .substring_dedup import substring_dedup
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard(read(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_ngram_jaccard, op4_substring_dedup)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
