@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_jaccard import ngram_jaccard
+from .packing import pack
 from .substring_dedup import substring_dedup
+from .token_output import token_output
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_ngram_jaccard, op4_substring_dedup)
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = (op1_ngram_jaccard, op4_substring_dedup, op8_packing, op10_token_output)
 
 
 def queries() -> dict:
