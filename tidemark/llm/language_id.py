@@ -21,14 +21,16 @@ BITS = 18
 TABLE = 20
 
 
-def letter_words(column: pa.Array):
-    """Lower-cased bytes, word spans and each row's first word."""
+def letter_words(column: pa.Array, digits: bool = False):
+    """Lower-cased bytes, word spans and each row's first word; digits make words too on demand."""
     data, at = text_buffer(column)
     data = LOWER[data]
     upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) if len(data) else np.empty(0, int)
     data[upper + 1] += 0x20
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ((data >= 97) & (data <= 122)) | (data >= 0x80)
+    if digits:
+        inside[1:-1] |= (data >= 48) & (data <= 57)
     bounds = np.flatnonzero(inside[1:] != inside[:-1])
     cuts = np.unique(at[1:-1])
     cuts = cuts[(cuts > 0) & (cuts < len(data))]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id
+from .decontaminate import contamination
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -24,6 +25,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def held_out(doc_id="doc_id"):
     """Rows that no model learns from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
@@ -50,7 +55,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_ngram_jaccard, op4_substring_dedup, op7_language_id, op8_packing, op10_token_output)
+QUERIES = (op1_ngram_jaccard, op4_substring_dedup, op5_decontamination, op7_language_id, op8_packing, op10_token_output)
 
 
 def queries() -> dict:
