@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id
+from . import quality as quality_model
 from .decontaminate import contamination
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
@@ -34,6 +35,13 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, read(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality_model.quality(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out()))
@@ -55,7 +63,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_ngram_jaccard, op4_substring_dedup, op5_decontamination, op7_language_id, op8_packing, op10_token_output)
+QUERIES = (op1_ngram_jaccard, op2_quality, op4_substring_dedup, op5_decontamination, op7_language_id, op8_packing, op10_token_output)
 
 
 def queries() -> dict:
