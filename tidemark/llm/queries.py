@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from . import language_id
 from . import quality as quality_model
+from .chat_format import chat_examples, read_examples
 from .decontaminate import contamination
+from .html_extract import html_extract
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
+from .scratch import Scratch
 from .substring_dedup import substring_dedup
 from .token_output import token_output
 
@@ -42,6 +45,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(read(spark, sf_dir, "pages"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    examples = chat_examples(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+    return read_examples(Scratch(spark, "chat").save(examples, "examples"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out()))
@@ -63,7 +77,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_ngram_jaccard, op2_quality, op4_substring_dedup, op5_decontamination, op7_language_id, op8_packing, op10_token_output)
+QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op10_token_output)
 
 
 def queries() -> dict:
