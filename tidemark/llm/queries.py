@@ -9,6 +9,7 @@ from . import language_id
 from . import quality as quality_model
 from .chat_format import chat_examples, read_examples
 from .decontaminate import contamination
+from .embedding_dedup import embedding_dedup
 from .html_extract import html_extract
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
@@ -73,11 +74,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op10_token_output)
+QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output)
 
 
 def queries() -> dict:
