@@ -13,7 +13,8 @@ link when ``threshold_pct * |union| <= 100 * |intersection|``. The join is exact
    shingle and size band in each star round, so a group of g near copies costs some g comparisons.
 4. Pairs of classes that share a prefix shingle, have fitting sizes and are still in different
    components are compared in tiles of at most ``TILE`` members: bit counts of size-banded bitmaps
-   bound the overlap from above, and what passes is intersected exactly.
+   bound the overlap from above, and what passes is intersected exactly. The likeliest pairs of two
+   components come first; what is still apart then is asked again, without a limit in the end.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .scratch import Scratch, input_bytes
 LOW = U((1 << 48) - 1)
 TILE = 1024
 STAR_ROUNDS = 2
+#: Pairs of two components that a tile gives in each round; the last round gives all that are left.
+HELD = (4, 256, None)
 #: Input bytes for each hash-range bucket; the number of buckets follows the input.
 BUCKET_BYTES = 4 << 20
 #: Postings that a mapper packs at a time.
@@ -204,32 +207,65 @@ def links_at(overlap, a, b, num):
     return 100 * overlap >= num * (a + b - overlap)
 
 
-def _tile_pairs(num: int):
-    """Rows sorted by tile, then size: the pairs whose bound allows a link, in other components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+TILED = "a long, b long, h long, tile string"
 
-    def tile(g: pd.DataFrame) -> set:
-        out = set()
+
+def _tile_pairs(num: int, most: int | None):
+    """Rows sorted by tile: the pairs of different components whose bound allows a link.
+
+    Of each two components the ``most`` likeliest pairs come first, as one link is enough to join
+    them; a tile that holds pairs back says so in a row without a pair, and is asked again.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("tile", pa.string())])
+
+    def tile(g: pd.DataFrame):
         n, m, comp, side, ids = (g[c].to_numpy() for c in ("n", "m", "comp", "side", "id"))
+        none = np.empty(0, np.int64)
         if (comp == comp[0]).all():
-            return out
+            return none, none, False
         bits = [np.frombuffer(x, np.uint64) for x in g["bits"]]
         width = np.array([len(x) for x in bits])
         at = {w: np.flatnonzero(width == w) for w in np.unique(width)}
         wide = {w: np.stack([bits[i] for i in k]) for w, k in at.items()}
+        crossed = (side != 0).any()
+        first, second, score = [], [], []
         for i in range(len(n)):
             for w, k in at.items():
-                near = (n[k] * 100 >= num * n[i]) & ((n[k] > n[i]) | ((n[k] == n[i]) & (k > i))) & (n[i] * 100 >= num * n[k]) & (comp[k] != comp[i])
-                if side[i] != 0:
+                near = (k > i) & (n[k] * 100 >= num * n[i]) & (n[i] * 100 >= num * n[k]) & (comp[k] != comp[i])
+                if crossed:
                     near &= side[k] != side[i]
-                else:
-                    near &= (side[k] == 0) | (side[k] == 2) if (side == 2).any() else True
                 if near.any():
-                    k2 = k[near]
-                    top = bound(m[i], bits[i], m[k2], wide[w][near])
-                    for j in k2[links_at(top, n[i], n[k2], num)].tolist():
-                        out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return out
+                    j = k[near]
+                    top = bound(m[i], bits[i], m[j], wide[w][near])
+                    ok = links_at(top, n[i], n[j], num)
+                    j, top = j[ok], top[ok]
+                    first.append(np.full(len(j), i))
+                    second.append(j)
+                    score.append(top / (n[i] + n[j] - top))
+        if not first:
+            return none, none, False
+        i, j, score = np.concatenate(first), np.concatenate(second), np.concatenate(score)
+        kept = False
+        if most is not None and len(i) > most:
+            x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            order = np.lexsort((-score, y, x))
+            new = np.ones(len(i), bool)
+            new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+            lead = np.flatnonzero(new)
+            rank = np.arange(len(i)) - lead[np.cumsum(new) - 1]
+            pick = order[rank < most]
+            kept = len(pick) < len(i)
+            i, j = i[pick], j[pick]
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), kept
+
+    def emit(pdf):
+        out = ([], [], [], [])
+        for (h, t), g in pdf.groupby(["h", "tile"], sort=False):
+            a, b, kept = tile(g)
+            pairs = [*zip(a.tolist(), b.tolist(), strict=True), *([(None, None)] if kept else [])]
+            for o, v in zip(out, ([p[0] for p in pairs], [p[1] for p in pairs], [h] * len(pairs), [t] * len(pairs)), strict=True):
+                o.extend(v)
+        return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, schema.types, strict=True)], schema=schema)
 
     def run(batches):
         rest = None
@@ -239,17 +275,11 @@ def _tile_pairs(num: int):
             last = pdf[["h", "tile"]].iloc[-1]
             tail = (pdf["h"] == last["h"]) & (pdf["tile"] == last["tile"])
             rest = pdf[tail]
-            yield emit(pdf[~tail])
+            if not tail.all():
+                yield emit(pdf[~tail])
         if rest is not None:
             yield emit(rest)
 
-    def emit(pdf):
-        pairs = set()
-        for _, g in pdf.groupby(["h", "tile"], sort=False):
-            pairs |= tile(g.reset_index(drop=True))
-        a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-
     return run
 
 
@@ -331,21 +361,29 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         new = scratch.save(check(pairs), f"star{turn}")
         links = new if links is None else links.union(new)
         comp = components(links.select("a", "b"))
-    # what the stars have not joined: tiles of classes that share a prefix shingle, by size
-    signed = reps.select("id", "n", "ids", "prefix").mapInArrow(_bits, "id long, n long, m long, bits binary, prefix array<long>").select("id", "n", "m", "bits")
-    here = posts.select("h", "id").join(comp, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = here.groupBy("h").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
-    tiled = (
-        here.join(mixed, "h")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("h", "id", "comp", F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("t"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-        .select("h", "id", "comp", "side", F.concat_ws("-", "t.i", "t.j").alias("tile"))
-    )
-    tiled = tiled.join(signed, "id").repartition("h", "tile").sortWithinPartitions("h", "tile", "n", "id")
-    pairs = tiled.select("h", "tile", "id", "comp", "side", "n", "m", "bits").mapInArrow(_tile_pairs(threshold_pct), "a long, b long").distinct()
-    rest = scratch.save(check(pairs), "tiles")
-    links = links.union(rest)
-    comp = scratch.save(components(links.select("a", "b")), "components")
+    # what the stars have not joined: tiles of classes that share a prefix shingle
+    signed = scratch.save(reps.select("id", "n", "ids", "prefix").mapInArrow(_bits, "id long, n long, m long, bits binary, prefix array<long>").drop("prefix"), "signed")
+    marked = None
+    for most in HELD:
+        here = posts.select("h", "id").join(comp, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("component", "id").alias("comp"))
+        mixed = here.groupBy("h").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", F.ceil(F.col("k") / TILE).cast("int").alias("tiles"))
+        tiled = (
+            here.join(mixed, "h")
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
+            .select("h", "id", "comp", "side", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
+        )
+        if marked is not None:
+            tiled = tiled.join(marked, ["h", "tile"], "left_semi")
+        tiled = tiled.join(signed, "id").repartition("h", "tile").sortWithinPartitions("h", "tile", "n", "id")
+        found_pairs = scratch.save(tiled.select("h", "tile", "id", "comp", "side", "n", "m", "bits").mapInArrow(_tile_pairs(threshold_pct, most), TILED), "tiles")
+        new = scratch.save(check(found_pairs.where("a is not null").select("a", "b").distinct()), "tile-links")
+        links = links.union(new)
+        comp = components(links.select("a", "b"))
+        marked = found_pairs.where("a is null").select("h", "tile")
+        if marked.isEmpty():
+            break
+    comp = scratch.save(comp, "components")
     classed = members.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("member"), F.coalesce("component", "rep").alias("component"))
     return found.join(classed, F.col("doc_id") == F.col("member"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
