@@ -29,6 +29,8 @@ from .scratch import Scratch, input_bytes
 
 #: A table goes to every executor only up to this size in files; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
+#: Ids (8 bytes each) that may go to every executor.
+FEW_IDS = 1_000_000
 BUCKET_BYTES = 4 << 20
 BLOCK = 1_000_000
 LOW = U((1 << 48) - 1)
@@ -39,6 +41,20 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
 
 
+def holding(source: DataFrame, table: DataFrame) -> DataFrame:
+    """``source`` joined with a written table that has some of its ids. Texts without a row in it do
+    not enter the shuffle while the table's ids are few enough for every executor."""
+    if table.count() <= FEW_IDS:
+        source = source.join(F.broadcast(table.select("doc_id")), "doc_id", "left_semi")
+    return source.join(table.hint("merge"), "doc_id")
+
+
+def without(source: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``source`` without the rows that a written table of ids names; rows with a null id stay."""
+    ids = ids.select(F.col("doc_id").alias(id_col))
+    return source.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, id_col, "left_anti")
+
+
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive entries (two running minima per block)."""
     count = len(g) - width + 1
@@ -287,7 +303,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             inside &= F.col("doc_id") < hi
         found = index.merge(prints.where(inside))
         shared = scratch.save(found.groupBy("doc_id").agg(F.collect_set("h").alias("marks")), "shared")
-        here = source.join(sized(shared), "doc_id").select("doc_id", "text", "marks")
+        here = holding(source, shared).select("doc_id", "text", "marks")
         buckets = int(min(65536, max(16, input_bytes(docs) // BUCKET_BYTES)))
         windows = here.mapInArrow(_windows(n, gram, buckets, seed), WINDOWS_SQL)
         marked = windows.groupBy("bucket").applyInPandas(_marked((lo, hi)), MARKED)
@@ -299,6 +315,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans
 
 
+def cut_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` (with ``doc_id`` and ``text``) where the texts that lose words are the words that stay,
+    joined by one space. Other texts and all other columns are untouched."""
+
+    def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for text, mark in zip(texts, marks, strict=True):
+            words, at, kept = (text or "").encode().split(), 0, []
+            for a, b in np.frombuffer(mark, np.int64).reshape(-1, 2).tolist():
+                kept += words[at:a]
+                at = b
+            out.append(b" ".join(kept + words[at:]).decode())
+        return pd.Series(out)
+
+    cut_udf = F.pandas_udf(cut, "string")
+    changed = holding(docs, spans)
+    changed = changed.withColumn("text", cut_udf("text", "spans")).select(*docs.columns)
+    return without(docs, spans).select(*docs.columns).unionByName(changed)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **options) -> DataFrame:
     """Remove repeated windows: ``doc_id, n_words, n_removed, kept_sha256``, and ``kept`` (the words
     that stay, joined by one space) if ``with_text``; a row per document.
@@ -309,6 +345,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spans = repeated_spans(docs, id_col, text_col, **options)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    joined = source.join(sized(spans), "doc_id", "left").select("doc_id", "text", "spans")
+    if spans.count() <= FEW_IDS:
+        plain = source.join(F.broadcast(spans.select("doc_id")), "doc_id", "left_anti")
+        joined = holding(source, spans).select("doc_id", "text", "spans").union(plain.select("doc_id", "text", F.lit(None).cast("binary")))
+    else:
+        joined = source.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     kept = "kept string, " if with_text else ""
     return joined.mapInArrow(_kept(5 if with_text else 4), f"doc_id long, n_words long, n_removed long, {kept}kept_sha256 string")
