@@ -12,6 +12,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -82,11 +83,11 @@ def decision_interval(arl0: float, n_vars: int, k: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series(normal_two_sided(z)).where(z.notna())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_test_p(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_two_sided(x.fillna(1.0), d1.fillna(1.0), d2.fillna(1.0))).where(x.notna() & d1.notna() & d2.notna())
