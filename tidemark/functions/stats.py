@@ -14,8 +14,19 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _each(f, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.fromiter(map(f, x.ravel().tolist()), float, x.size).reshape(x.shape)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
 
 
 def z_critical(alpha: float, tests: int = 1) -> float:
