@@ -97,7 +97,7 @@ def sigmoid(z):
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1200, batch: int = 256, rate: float = 3e-3, decay: float = 1e-3, seed: int = 3) -> Model:
-    """Minimise the non-negative risk (logistic loss, Adam)."""
+    """Minimise the non-negative risk (sigmoid loss, Adam)."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean = both.mean(0)
     scale = both.std(0) + 0.02
@@ -113,10 +113,11 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
         a = np.tanh(x @ params[0] + params[1])
         g = a @ params[2] + params[3][0]
         gp, gu = g[:batch], g[batch:]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # derivatives of the two terms by the margins
-        dp_pos = -prior * sigmoid(-gp) / batch
-        dp_neg, du_neg = -prior * sigmoid(gp) / batch, sigmoid(gu) / len(gu)
+        sp, su = sigmoid(gp), sigmoid(gu)
+        negative = su.mean() - prior * sp.mean()
+        # derivatives of the two terms by the margins; the loss of a margin z is sigmoid(-z)
+        slope_p, slope_u = sp * (1 - sp) / batch, su * (1 - su) / len(gu)
+        dp_pos, dp_neg, du_neg = -prior * slope_p, -prior * slope_p, slope_u
         if negative >= 0:
             d = np.concatenate([dp_pos + dp_neg, du_neg])
         else:
