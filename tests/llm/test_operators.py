@@ -289,7 +289,7 @@ def test_packing_plan():
         slots, n = packing.plan(h, 2048)
         assert (np.bincount(slots[:, 0], slots[:, 2], 2049) == h).all()
         fill = np.zeros(n, np.int64)
-        for length, _, times, seq, offset in slots.tolist():
+        for length, _, times, seq, offset in sorted(slots.tolist(), key=lambda x: x[4]):
             assert (fill[seq : seq + times] == offset).all()
             fill[seq : seq + times] += length
         assert fill.max(initial=0) <= 2048

@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not good:
         return None
     trusted = _picked(marks.where("mark = 1").select("doc_id").distinct(), positives, good, "positive")
-    sure = source.join(trusted, "doc_id").withColumn("kind", F.lit(1))
+    sure = source.join(F.broadcast(trusted), "doc_id").withColumn("kind", F.lit(1))
     loose = _picked(source, unlabelled, source.count(), "unlabelled").withColumn("kind", F.lit(0))
     rows = sure.union(loose).mapInArrow(_vectors, "doc_id long, kind int, x binary").collect()
     rows.sort(key=lambda r: (r["kind"], r["doc_id"]))
