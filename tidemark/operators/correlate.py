@@ -74,12 +74,18 @@ def pearson(obs: DataFrame, by_run: bool = False) -> DataFrame:
     return gram_pearson(arrays_of(obs, names), names, by_run)
 
 
-def average_ranks(obs: DataFrame) -> DataFrame:
-    """Values replaced by their average rank within their variable. Ranks are cumulative counts of
-    distinct values, so equal values cost one row."""
+def average_ranks(obs: DataFrame, parts: int = 64) -> DataFrame:
+    """Values replaced by their average rank within their variable. Equal values cost one row, and each
+    variable's values are dealt by approximate quantiles, so a variable is ranked by many tasks: a rank is
+    a running count inside its part after the counts of the parts before it."""
     counts = obs.where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("k"))
-    upto = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.select("variable", "value", (F.sum("k").over(upto) - (F.col("k") - 1) / 2.0).alias("rank"))
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    bounds = obs.where("value is not null").groupBy("variable").agg(F.percentile_approx("value", shares, 1000).alias("bounds"))
+    dealt = counts.join(bounds, "variable").withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
+    sizes = dealt.groupBy("variable", "part").agg(F.sum("k").alias("n"))
+    before = sizes.select("variable", "part", (F.sum("n").over(Window.partitionBy("variable").orderBy("part")) - F.col("n")).alias("before"))
+    upto = Window.partitionBy("variable", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = dealt.withColumn("upto", F.sum("k").over(upto)).join(before, ["variable", "part"]).select("variable", "value", (F.col("before") + F.col("upto") - (F.col("k") - 1) / 2.0).alias("rank"))
     return obs.join(ranks, ["variable", "value"], "left").withColumn("value", F.col("rank")).drop("rank")
 
 
