@@ -374,7 +374,7 @@ def test_pipeline(spark, tmp_path):
     item = " ".join(words(rng, 30))
     passage = " ".join(words(rng, 60))
     make = lambda i, t: {"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t) if t else None}
-    planted = [make(9001, clean[0]["text"]), make(9002, clean[1]["text"] + " " + item + " end"), make(9003, None), make(9004, "123 ###"), make(9005, clean[2]["text"][: len(clean[2]["text"]) // 3] + " " + passage), make(9006, passage + " " + " ".join(words(rng, 90)))]
+    planted = [make(9001, clean[0]["text"]), make(9002, " ".join(words(rng, 80)) + " " + item + " end"), make(9003, None), make(9004, "123 ###"), make(9005, clean[2]["text"][: len(clean[2]["text"]) // 3] + " " + passage), make(9006, passage + " " + " ".join(words(rng, 90)))]
     spark.createDataFrame(rows + planted, spark.read.parquet(docs).schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     table, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}

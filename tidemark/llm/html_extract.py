@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 #: Fixed values of the HTML standard: elements without content, with raw text, and inline elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript template iframe svg math select object audio video canvas noembed noframes xmp".split())
@@ -359,8 +361,8 @@ def extract_texts(sources: list[str | None], model) -> list[str]:
 def _extract(model, step: int = 200):
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
+            for i, j in slices(batch.column(2), most=step):
+                part = batch.slice(i, j - i)
                 texts = extract_texts(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
