@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Roller, U, spread, text_buffer
+from .tokens import slices
 
 BITS = 18
 TABLE = 20
@@ -108,10 +109,6 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, length: int = 60,
     data, start, end, first = letter_words(pa.array(texts, pa.string()))
     gold = np.repeat(np.array([labels.index(x) for x in langs]), np.diff(first))
     words = Roller(83).words(data, start, end)
-    feats, who = features(data, start, end, words)
-    order = np.argsort(who, kind="stable")
-    feats, who = feats[order], who[order]
-    cut = np.searchsorted(who, np.arange(len(words) + 1))
     rng = np.random.default_rng(seed)
     # plain sequences, and as many spliced from short runs of any documents
     plain = [np.arange(s, min(s + length, l)) for f, l in zip(first, first[1:], strict=False) for s in range(f, l, length)]
@@ -126,9 +123,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, length: int = 60,
             sizes = np.array([len(x) for x in own])
             flat = np.concatenate(own)
             row, place = spread(sizes)
-            counts = cut[flat + 1] - cut[flat]
-            wrow, wplace = spread(counts)
-            f = feats[cut[flat][wrow] + wplace]
+            f, wrow = features(data, start[flat], end[flat], words[flat])
             emit = np.zeros((sizes.max(), len(own), k))
             emit[place, row] = emissions(weights, f, wrow, len(flat))
             g, expected = forward_backward(emit, sizes, trans, pairs=True)
@@ -215,8 +210,8 @@ def _apply(model, spans: bool):
     def run(batches):
         tagger = Tagger(*model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                ids, texts = batch.column(0).slice(i, 2048), batch.column(1).slice(i, 2048)
+            for i, j in slices(batch.column(1), 3 << 20):
+                ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
                 best, score, post, counts, first = tagger.languages(texts)
                 # bytes above 0x7F need not be letters
                 unsure = np.flatnonzero(pa.compute.invert(pa.compute.match_substring_regex(texts.fill_null(""), "[A-Za-z]")).to_numpy(zero_copy_only=False))

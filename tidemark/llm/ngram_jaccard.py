@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernels import Roller, U, spread, words_of
 from .scratch import Scratch, input_bytes
+from .tokens import slices
 
 LOW = U((1 << 48) - 1)
 TILE = 1024
@@ -40,7 +41,7 @@ HELD = (4, 256, None)
 #: Input bytes for each hash-range bucket; the number of buckets follows the input.
 BUCKET_BYTES = 4 << 20
 #: Postings that a mapper packs at a time.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -99,9 +100,9 @@ def _postings(n: int, buckets: int, seed: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(ids), 512):
-                h, sizes = shingle_sets(words_of(batch.column(1).slice(i, 512), lower=True), roller, n)
-                held.append((ids[i : i + 512], h, sizes))
+            for i, j in slices(batch.column(1), most=512):
+                h, sizes = shingle_sets(words_of(batch.column(1).slice(i, j - i), lower=True), roller, n)
+                held.append((ids[i:j], h, sizes))
                 have, docs = have + len(h), docs + len(sizes)
                 if have >= BLOCK or docs > 65_000 - 512:
                     yield flush()

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Roller, U, spread, words_of
 from .scratch import Scratch, input_bytes
+from .tokens import slices
 
 #: A table goes to every executor only up to this size in files; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
@@ -79,8 +80,8 @@ def _fingerprints(n: int, gram: int, seed: int):
         roller = Roller(seed)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(ids), 512):
-                words = words_of(batch.column(1).slice(i, 512))
+            for i, j in slices(batch.column(1), most=512):
+                words = words_of(batch.column(1).slice(i, j - i))
                 mark = window_marks(roller.words(words.data, words.start, words.end), roller, n, gram)
                 row, place = spread(np.maximum(words.counts - n + 1, 0))
                 if not len(row):
@@ -93,7 +94,7 @@ def _fingerprints(n: int, gram: int, seed: int):
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[i : i + 512][row[new]])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[i:j][row[new]])], schema=schema)
 
     return run
 
@@ -135,12 +136,12 @@ def _windows(n: int, gram: int, buckets: int, seed: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             marks = batch.column(2)
-            for i in range(0, len(ids), 256):
-                words = words_of(batch.column(1).slice(i, 256))
+            for i, j in slices(batch.column(1), most=256):
+                words = words_of(batch.column(1).slice(i, j - i))
                 w = roller.words(words.data, words.start, words.end)
                 mark = window_marks(w, roller, n, gram)
                 full, other = roller.ngrams(w, n), second.ngrams(second.words(words.data, words.start, words.end), n)
-                own = marks.slice(i, 256)
+                own = marks.slice(i, j - i)
                 shared = own.flatten().to_numpy().view(np.uint64)
                 cut = np.cumsum([0, *(len(x) for x in own)])
                 rows, starts, h, more = [], [], [], []
@@ -152,7 +153,7 @@ def _windows(n: int, gram: int, buckets: int, seed: int):
                         h.append(full[f + hit])
                         more.append(other[f + hit])
                 if rows:
-                    held.append((ids[i : i + 256], np.concatenate(rows), np.concatenate(starts), np.concatenate(h), np.concatenate(more)))
+                    held.append((ids[i:j], np.concatenate(rows), np.concatenate(starts), np.concatenate(h), np.concatenate(more)))
                     have, docs = have + len(held[-1][1]), docs + len(held[-1][0])
                 if have >= BLOCK or docs > 65_000 - 256:
                     yield flush()

@@ -20,11 +20,11 @@ import pyarrow.compute
 from .kernels import LOWER, SPACE, Roller, U, text_buffer
 
 #: Distinct units that a worker keeps; beyond it the cache starts anew.
-CACHE = 500_000
+CACHE = 250_000
 #: Bits of the table that is looked up before the cache.
 TABLE = 20
 #: Bytes of text that are encoded at a time.
-STEP = 4 << 20
+STEP = 1 << 20
 
 LETTER, PUNCT, OTHER = 1, 2, 3
 KIND = np.full(256, OTHER, np.uint8)
@@ -191,9 +191,9 @@ def encoder(path: str) -> UnitEncoder:
     return kept[path]
 
 
-def slices(column: pa.Array, step: int = STEP):
-    """Row ranges of about ``step`` bytes of text."""
+def slices(column: pa.Array, step: int = STEP, most: int = 4096):
+    """Row ranges of about ``step`` bytes of text, and ``most`` rows at most."""
     sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
-    part = np.cumsum(sizes) // step
+    part = np.cumsum(sizes + -(-step // most)) // step
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.array([0, 0])
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
