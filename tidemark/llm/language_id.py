@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Roller, U, spread, text_buffer
-from .tokens import slices
+from .scratch import small_batches
+from .tokens import release, slices
 
 BITS = 18
 TABLE = 20
@@ -208,9 +209,10 @@ def _apply(model, spans: bool):
         schema = schema.append(pa.field("spans", span_type))
 
     def run(batches):
+        release()
         tagger = Tagger(*model)
         for batch in batches:
-            for i, j in slices(batch.column(1), 3 << 20):
+            for i, j in slices(batch.column(1), 2 << 20):
                 ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
                 best, score, post, counts, first = tagger.languages(texts)
                 # bytes above 0x7F need not be letters
@@ -259,6 +261,7 @@ def language_id(docs: DataFrame, model, id_col: str = "doc_id", text_col: str =
     language) on demand. Null texts and texts without a letter give ``und`` and 0; equal rows give
     equal results; a model without labels gives ``und`` throughout. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not model[2]:
         out = source.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernels import Roller, U, spread, words_of
 from .scratch import Scratch, input_bytes
-from .tokens import slices
+from .tokens import release, slices
 
 LOW = U((1 << 48) - 1)
 TILE = 1024
@@ -39,7 +39,7 @@ STAR_ROUNDS = 2
 #: Pairs of two components that a tile gives in each round; the last round gives all that are left.
 HELD = (4, 256, None)
 #: Input bytes for each hash-range bucket; the number of buckets follows the input.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Postings that a mapper packs at a time.
 BLOCK = 1_000_000
 
@@ -74,6 +74,7 @@ POSTING_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("size
 
 def _postings(n: int, buckets: int, seed: int):
     def run(batches):
+        release()
         roller = Roller(seed)
         block = TaskContext.get().partitionId() << 24
         held, have, docs = [], 0, 0

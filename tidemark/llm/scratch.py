@@ -24,11 +24,20 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: hand them to Python workers in batches of fewer rows than Spark's default, unless
+    the session already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Parquet tables of one query, under one folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 

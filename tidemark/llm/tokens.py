@@ -8,6 +8,8 @@ pre-tokeniser is not one of the two known forms, whole texts go to the library.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
 import sys
@@ -191,6 +193,19 @@ def encoder(path: str) -> UnitEncoder:
     return kept[path]
 
 
+def release() -> None:
+    """Give back what a worker keeps from earlier tasks; operators that do not encode begin with it."""
+    kept = sys.modules.get("_tidemark_worker")
+    if kept is not None:
+        kept.__dict__.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(column: pa.Array, step: int = STEP, most: int = 4096):
     """Row ranges of about ``step`` bytes of text, and ``most`` rows at most."""
     sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
