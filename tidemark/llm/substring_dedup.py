@@ -8,8 +8,9 @@ starts in an earlier document: one of the history, or one with a smaller id in t
 * **Index.** A run is an immutable table of (fingerprint, document), sorted by fingerprint. A batch
   is merge-joined with every run, becomes a run itself, and runs are merged into one when there are
   more than ``fanout``.
-* **Verification.** Documents that share a fingerprint give 128-bit digests of the full windows that
-  carry it, packed by hash range; an equal digest in an earlier document marks the window. A common
+* **Verification.** Documents that share a fingerprint give digests of the full windows that carry it
+  (80 bits of two hashes beside the hash range they are packed by); an equal digest in an earlier
+  document marks the window. A common
   passage costs each of its documents its own windows, never a pair.
 """
 
