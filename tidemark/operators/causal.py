@@ -160,3 +160,10 @@ def strongest_self(freq: DataFrame) -> DataFrame:
 def implicated(freq: DataFrame, variables: DataFrame) -> DataFrame:
     """Links whose ends are both among the given variables (two semi joins)."""
     return freq.join(variables.select(F.col("variable").alias("src")), "src", "left_semi").join(variables.select(F.col("variable").alias("tgt")), "tgt", "left_semi")
+
+
+def implicated_by_run(freq: DataFrame, found: DataFrame) -> DataFrame:
+    """Per run of the onsets ``found``: links between two of the variables that raise an alarm in it."""
+    hit = found.where("onset is not null")
+    src, tgt = hit.select("run_id", F.col("variable").alias("src")), hit.select("run_id", F.col("variable").alias("tgt"))
+    return freq.where("src <> tgt").join(src, "src").join(tgt, ["run_id", "tgt"]).select("run_id", *freq.columns)

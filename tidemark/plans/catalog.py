@@ -452,3 +452,57 @@ def strongest_self_links(spark, d):
 def root_cause_evidence(spark, d):
     chosen = spark.createDataFrame([("a",), ("b",)], "variable string")
     return rounded(causal.implicated(frequency(spark), chosen))
+
+
+# The queries above aggregate the literal rows of ``derive.LINK_ROWS``, which their SQL repeats; those
+# below run the same operators over the links found in R2, for which SQL has no twin.
+def r2_frequency(spark, d):
+    found, n_runs = derive.r2_links(spark, d)
+    return causal.link_frequency(found), n_runs
+
+
+@query(None)
+def link_frequency_r2(spark, d):
+    return rounded(r2_frequency(spark, d)[0])
+
+
+@query(None)
+def lag_profile_r2(spark, d):
+    return rounded(causal.lag_profile(derive.r2_links(spark, d)[0]))
+
+
+@query(None)
+def consensus_links_r2(spark, d):
+    return causal.consensus(*r2_frequency(spark, d), T.consensus).select("src", "tgt", "tau", "n_runs", "consensus")
+
+
+@query(None)
+def causal_summary_r2(spark, d):
+    return causal.consensus(*r2_frequency(spark, d), T.consensus).agg(F.count("*").alias("n_links"), F.count_if("consensus").alias("n_consensus"), F.count_if(~F.col("consensus")).alias("n_other"))
+
+
+@query(None)
+def causal_degree_r2(spark, d):
+    return causal.degrees(r2_frequency(spark, d)[0]).withColumn("targets", F.array_join("targets", ",")).withColumn("sources", F.array_join("sources", ","))
+
+
+@query(None)
+def consensus_graph_r2(spark, d):
+    return rounded(causal.consensus_graph(*r2_frequency(spark, d)))
+
+
+@query(None)
+def majority_links_r2(spark, d):
+    return causal.majority(*r2_frequency(spark, d)).select("src", "tgt", "tau", "n_runs")
+
+
+@query(None)
+def strongest_self_links_r2(spark, d):
+    return rounded(causal.strongest_self(r2_frequency(spark, d)[0]))
+
+
+@query(None)
+def root_cause_evidence_r2(spark, d):
+    obs = derive.r2(spark, d)
+    found = drift.onsets(drift.cusum(obs, drift.baseline(obs), T), decision_interval(T.arl0, drift.variable_count(obs), T.shift / 2))
+    return rounded(causal.implicated_by_run(r2_frequency(spark, d)[0], found))

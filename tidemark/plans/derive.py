@@ -6,9 +6,14 @@ R3: embeddings by label (wide). Every order is total, so positions do not depend
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Thresholds
+from ..operators import causal
 from ..operators.obs import to_long, with_seq
 
 R1_VARIABLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -53,6 +58,16 @@ def r3_names(width: int = 64) -> list[str]:
     return [f"d{i:02d}" for i in range(width)]
 
 
+def r2_links(spark: SparkSession, sf_dir: str, t: Thresholds = Thresholds()) -> tuple[DataFrame, int]:
+    """The links found in R2, written once, and the number of runs that were analysed."""
+    obs = r2(spark, sf_dir)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    path = f"{root.rstrip('/')}/links-{uuid.uuid4().hex}"
+    causal.links(obs, t).write.parquet(path)
+    found = spark.read.schema(causal.LINKS).parquet(path)
+    return found, causal.run_status(obs, found, t).where("status = 'ok'").count()
+
+
 #: About twenty runs' links, written out, so that aggregations over links have exact expectations.
 LINK_ROWS = [
     ("0", "a", "b", 1, 0.60, 0.0010), ("1", "a", "b", 1, 0.50, 0.0020), ("2", "a", "b", 1, 0.70, 0.0005), ("3", "a", "b", 1, 0.55, 0.0030),
