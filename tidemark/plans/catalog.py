@@ -306,6 +306,13 @@ def drift_breakdown(spark, d):
     return s.select("run_id", F.expr("stack(2, 'frac_mean_drifted', frac_mean_drifted, 'frac_onset_detected', frac_onset_detected) as (part, share)"))
 
 
+@query(None)
+def drift_breakdown_all(spark, d):
+    """All four perspectives; ``drift_breakdown`` has the two that SQL can state."""
+    parts = ["frac_mean_drifted", "frac_var_drifted", "frac_corr_drifted", "frac_onset_detected"]
+    return drift.run_summary(r1(spark, d)).select("run_id", F.expr(f"stack(4, {', '.join(f"'{p}', {p}" for p in parts)}) as (part, share)"))
+
+
 @query(WITH + R2 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(3.0) + ", first as (select *, row_number() over (partition by run_id order by onset, var_pos) as k from found where onset is not null) select o.run_id, o.variable, o.seq, round(o.value, 6) as value, f.onset, round(pooled_mean - 2 * pooled_std, 6) as low, round(pooled_mean + 2 * pooled_std, 6) as high from obs o join first f on f.run_id = o.run_id and f.variable = o.variable and k <= 6 join base b on b.variable = o.variable")
 def onset_traces(spark, d):
     obs = derive.r2(spark, d)
@@ -366,6 +373,11 @@ def top_drifted_pairs(spark, d):
     return correlate.top_drifted(r1_pairs(spark, d), 3).select("run_id", "var_a", "var_b", "rank")
 
 
+@query(ORACLES["top_drifted_pairs"].replace("rank <= 3", "rank <= 20"))
+def top_drifted_pairs_all(spark, d):
+    return correlate.top_drifted(r1_pairs(spark, d)).select("run_id", "var_a", "var_b", "rank")
+
+
 _TWO = "two as (select var_a, var_b, r from pooled union all select var_b, var_a, r from pooled)"
 
 
