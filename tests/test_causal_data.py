@@ -55,3 +55,18 @@ def test_graph_degrees_and_evidence(spark, planted):
     evidence = rows(spark, planted, "root_cause_evidence_r2")
     assert {r["run_id"] for r in evidence} >= {"2024-01-04"}
     assert {(r["src"], r["tgt"], r["tau"]) for r in evidence if r["run_id"] == "2024-01-04"} == {k for k in freq if k[0] != k[1]}
+
+
+def test_links_at_the_default_lag(spark, tmp_path):
+    """y follows x by three hours, which a range of two lags cannot hold."""
+    rng = np.random.default_rng(6)
+    events = []
+    for day in range(3):
+        x = rng.normal(size=27)
+        y = x[:-3] + 0.05 * rng.normal(size=24)
+        for hour in range(24):
+            at = dt.datetime(2024, 1, 1 + day, hour)
+            events += [(at, "x", float(x[hour + 3])), (at, "y", float(y[hour]))]
+    spark.createDataFrame(events, "ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = rows(spark, str(tmp_path), "pcmci_links")
+    assert sum((r["src"], r["tgt"], r["tau"]) == ("x", "y", 3) for r in found) == 3

@@ -409,7 +409,7 @@ def clusters_upgma(spark, d):
 # --- causal links -----------------------------------------------------------------------------------
 @query(None)
 def pcmci_links(spark, d):
-    return causal.links(derive.r2(spark, d), Thresholds(tau_max=2))
+    return causal.links(derive.r2(spark, d), T)
 
 
 LINKS = derive.links_sql()
