@@ -7,6 +7,9 @@ algorithm: of the sorted distances to both codebooks, cell (i, j) can be among t
 limit tell how far the traversal has to go until one of the two visits the other's cell. Vectors that
 meet in a visited cell and have equal labels are compared by their exact cosine in double precision.
 
+Only vectors of one length can link. The commonest length and every length of many vectors have an
+index of their own; of rarer lengths, all vectors of a label meet.
+
 Equal vectors of a label are one class with a weight. A grid row of a label is dealt out in tiles of
 bounded sides, so a crowded one is many tasks. Tiles return counts and a spanning forest of the links
 they find, never the links themselves.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from .components import components
 from .scratch import Scratch
 
 MEMBERS, PROBES = 2048, 8192
+#: Classes from which on a length has an index of its own.
+INDEXED = 20_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -81,6 +87,18 @@ class MultiIndex:
         return np.take_along_axis(oa[:, i] * self.k[1] + ob[:, j], best, 1)
 
 
+class OneCell:
+    """For lengths of few vectors: a grid of one cell, in which all of a label meet."""
+
+    k, depth = (1, 1), 1
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x), np.int64)
+
+    def visited(self, x: np.ndarray, depth: int) -> np.ndarray:
+        return np.zeros((len(x), 1), np.int64)
+
+
 def vectors(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)]) if len(column) else np.empty((0, 0))
 
@@ -88,20 +106,27 @@ def vectors(column: pa.Array) -> np.ndarray:
 DEALT = "label int, grid int, role int, id long, weight long, cell int, visits binary, x binary"
 
 
-def _deal(index: MultiIndex):
-    """Each vector once as a member of its grid row, and once as a probe of each row it visits."""
+def by_length(batch: pa.RecordBatch):
+    """Parts of a batch whose vectors have one length, with that length."""
+    lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+    present = np.unique(lengths).tolist()
+    for d in present:
+        yield d, batch if len(present) == 1 else batch.filter(pa.array(lengths == d))
+
+
+def _deal(indexes: dict[int, tuple[MultiIndex, int]]):
+    """Each vector once as a member of its grid row, and once as a probe of each row it visits. An index
+    comes with the number of its first grid row; rows below 0 are the lengths without one."""
     names = [c.split()[0] for c in DEALT.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for d, part in ((d, part) for i in range(0, batch.num_rows, 1024) for d, part in by_length(batch.slice(i, 1024))):
+                index, base = indexes.get(d) or (OneCell(), -d)
                 x = vectors(part.column(2))
-                if not len(x):
-                    continue
                 n = unit(x)
                 cell, visits = index.cells(n), index.visited(n, index.depth).astype(np.int32)
-                grid = np.concatenate([cell[:, None] // index.k[1], visits // index.k[1]], axis=1)
+                grid = base + np.concatenate([cell[:, None] // index.k[1], visits // index.k[1]], axis=1)
                 label, ids, weight = (part.column(k).to_numpy() for k in (1, 0, 3))
                 rows, role, at = [], [], []
                 for r in range(len(x)):
@@ -191,26 +216,30 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """``vec_id, n_links, component_id, kept`` per vector.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without a
-    label, link with nothing. So do vectors whose length is not the most common one. Equal vectors of
-    a label are linked. Rows with a null id are left out, ids must be distinct; an empty table gives
-    an empty result; other columns are ignored.
+    label, link with nothing. Vectors link only with others of their length; ``recall`` holds for the
+    lengths that have an index, of the others every link is found. Equal vectors of a label are linked.
+    Rows with a null id are left out, ids must be distinct; an empty table gives an empty result; other
+    columns are ignored.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "embeddings")
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).cast("int").alias("label")).where("id is not null")
     sound = F.expr("x is not null and label is not null and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('inf')) and exists(x, v -> v <> 0)")
-    sizes = rows.where(sound).groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     every = rows.select("id")
-    if not sizes:
-        return every.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    valid = rows.where(sound & (F.size("x") == sizes[0]["d"]))
     # rows at the largest float magnitudes overflow a norm unless they are scaled; a cosine does not change
-    valid = valid.withColumn("x", F.expr("transform(x, v -> v / array_max(transform(x, u -> abs(u))))"))
+    valid = rows.where(sound).withColumn("x", F.expr("transform(x, v -> v / array_max(transform(x, u -> abs(u))))"))
     classes = scratch.save(valid.groupBy("label", "x").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
+    sizes = classes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.sum("weight").alias("rows")).orderBy(F.desc("rows"), "d").collect()
+    if not sizes:
+        return every.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     members = scratch.save(valid.join(classes.select("label", "x", F.col("id").alias("rep"), "weight"), ["label", "x"]).select("id", "rep", "weight"), "members")
-    index = fit(classes, classes.count(), limit, recall)
-    dealt = scratch.save(classes.select("id", "label", "x", "weight").mapInArrow(_deal(index), DEALT), "dealt")
-    cells = index.k[0] * index.k[1]
+    indexes, base = {}, 0
+    for r in [sizes[0], *(r for r in sizes[1:] if r["n"] >= INDEXED)]:
+        index = fit(classes.where(F.size("x") == r["d"]), r["n"], limit, recall)
+        indexes[r["d"]] = (index, base)
+        base += index.k[0]
+    dealt = scratch.save(classes.select("id", "label", "x", "weight").mapInArrow(_deal(indexes), DEALT), "dealt")
+    cells = max(index.k[0] * index.k[1] for index, _ in indexes.values())
     sides = dealt.groupBy("label", "grid").agg(F.ceil(F.sum(F.expr("int(role = 0)")) / MEMBERS).cast("int").alias("s"), F.ceil(F.sum("role") / PROBES).cast("int").alias("p")).where("s > 0 and p > 0")
     own, other = F.expr("pmod(xxhash64(id), if(role = 0, s, p))"), F.expr("sequence(0, if(role = 0, p, s) - 1)")
     tiles = dealt.join(sides, ["label", "grid"]).withColumn("own", own.cast("int")).withColumn("other", F.explode(other))
