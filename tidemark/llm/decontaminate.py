@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, edit distance.
 
 Texts and items become lower-cased words (letters, digits and bytes above 0x7F). A document leaks an
-item of L words if some run of its words is within ``edit_share * L`` word edits of the item.
+item of L words if some run of its words is within ``edit_share * L`` word edits of the item, or equal
+to it where the item is short.
 
 * **Windows.** An item within k edits of a passage shares one of its k + 1 equal chunks with it, so
   only windows around a word sequence of that length that the item also has can match; they start
@@ -125,10 +126,10 @@ class Detector:
         w = self.roller.words(data, start, end)
         self.ids, self.items, self.edits = [], [], []
         for i, f, l in zip(ids, first, first[1:], strict=False):
-            if l - f >= min_words:
+            if l > f:
                 self.ids.append(i)
                 self.items.append(w[f:l])
-                self.edits.append(int(edit_share * (l - f)))
+                self.edits.append(int(edit_share * (l - f)) if l - f >= min_words else 0)
         self.seeds: dict[int, tuple] = {}
         chunk = [len(x) // (k + 1) for x, k in zip(self.items, self.edits, strict=True)]
         for q in sorted(set(chunk)):
@@ -237,8 +238,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``doc_id, item_id, first_word, last_word, edits``: a row per document and leaked item, with the
     region that holds the best match and its word edits.
 
-    Null, empty and short texts match nothing; items under ``min_words`` words, or with a null id or
-    text, never match; repeated items each match. Rows with a null id are left out, other columns are
+    Null and empty texts match nothing, nor do items without a word or with a null id or text; items
+    under ``min_words`` words match only word for word; repeated items each match. Rows with a null id are left out, other columns are
     ignored. Items are held ``ITEMS`` at a time, so a large benchmark takes several passes over ``docs``.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
