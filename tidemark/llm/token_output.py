@@ -28,29 +28,37 @@ SEGMENT = 2_000_000
 SHARD_BYTES = 8 << 20
 
 
-def repair(ids: np.ndarray, doc: np.ndarray, rounds: int = 4, pairs: int = 4096, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, doc: np.ndarray, rounds: int | None = None, pairs: int = 4096, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one segment: symbols, their documents, and rules as rows (left, right).
 
     Each round counts all neighbours in hashed bins, takes the most frequent pairs exactly, and
     replaces up to ``pairs`` of them at once: no symbol is on the left of one and on the right of
-    another, so occurrences do not overlap. Rounds end when no pair occurs ``least`` times.
+    another, so occurrences do not overlap; in a run of one symbol, pairs are taken from the left. Rounds
+    end when no pair occurs ``least`` times, or after ``rounds`` where that is given.
     """
     seq, rules = ids.astype(np.int32), []
-    count = 0
+    count = done = 0
     bits = 20
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and (rounds is None or done < rounds):
+        done += 1
         inside = doc[1:] == doc[:-1]
         spot = ((seq[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (seq[1:].astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
-        inside &= seq[1:] != seq[:-1]
+        same = np.flatnonzero(inside & (seq[1:] == seq[:-1]))
+        nth = np.arange(len(same))
+        first = np.ones(len(same), bool)
+        first[1:] = same[1:] != same[:-1] + 1
+        inside[same[(nth - np.maximum.accumulate(np.where(first, nth, 0))) % 2 == 1]] = False
         bins = np.bincount(spot[inside], minlength=1 << bits)
         top = max(least, int(np.partition(bins, -2 * pairs)[-2 * pairs]))
-        often = np.flatnonzero(inside & (bins >= top)[spot])
-        key = (seq[often].astype(np.int64) << 32) | seq[often + 1]
-        distinct, times = np.unique(key, return_counts=True)
-        order = np.argsort(-times, kind="stable")
-        order = order[times[order] >= least][:pairs]
+        while True:
+            often = np.flatnonzero(inside & (bins >= top)[spot])
+            key = (seq[often].astype(np.int64) << 32) | seq[often + 1]
+            distinct, times = np.unique(key, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            order = order[times[order] >= least][:pairs]
+            if len(order) or top == least:
+                break
+            top = least  # the fullest bins held only rare pairs
         left, right, chosen = set(), set(), []
         for k in distinct[order].tolist():
             a, b = k >> 32, k & 0xFFFFFFFF
