@@ -130,6 +130,11 @@ def consensus(freq: DataFrame, n_runs: int, share: float = 1.0) -> DataFrame:
     return freq.withColumn("consensus", F.col("n_runs") >= math.ceil(share * n_runs))
 
 
+def summary(links: DataFrame) -> DataFrame:
+    """Counts of a ``consensus`` table."""
+    return links.agg(F.count("*").alias("n_links"), F.count_if("consensus").alias("n_consensus"), F.count_if(~F.col("consensus")).alias("n_other"))
+
+
 def majority(freq: DataFrame, total: int) -> DataFrame:
     return freq.where((F.col("n_runs") / total >= 0.5) & (F.col("src") != F.col("tgt")))
 

@@ -50,6 +50,12 @@ def mean_shift(sizes: DataFrame, base: DataFrame, n_vars: int, t: Thresholds = T
     return out.withColumn("p_value", normal_p("z_score")) if p_values else out
 
 
+def top_mean_drifted(shifts: DataFrame, most: int = 10) -> DataFrame:
+    """Each run's drifted variables, the largest deviations first."""
+    ranked = shifts.where("mean_drifted").withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(F.abs("z_score")), "var_pos")))
+    return ranked.where(F.col("rank") <= most).select(*SERIES, F.round("z_score", 4).alias("z_score"), "rank")
+
+
 def variance_ratio(sizes: DataFrame, base: DataFrame) -> DataFrame:
     """``ratio, df, df_pooled``; null where a side has no spread or too few effective samples."""
     usable = (F.col("pooled_std") > 1e-6) & (F.col("ess") > 2) & (F.col("pooled_ess") > 2)

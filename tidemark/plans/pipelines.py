@@ -73,15 +73,23 @@ def check_run(base: Baseline, obs: DataFrame, rules: DataFrame | None = None) ->
     sizes = drift.effective_sizes(obs)
     found = drift.onsets(drift.cusum(obs, base.tables["baseline"], t), drift.decision_interval(t.arl0, len(known), t.shift / 2))
     pairs = correlate.pair_drift(correlate.pearson(obs, by_run=True), base.tables["corr"], sizes, base.tables["baseline"], t, p_values=True)
-    return {
+    shifts = drift.mean_shift(sizes, base.tables["baseline"], len(known), t)
+    out = {
         "summary": summary,
         "quality": quality.verdict(obs, rules, t),
-        "mean_shift": drift.mean_shift(sizes, base.tables["baseline"], len(known), t),
+        "mean_shift": shifts,
+        "top_mean_drifted": drift.top_mean_drifted(shifts),
         "variance_shift": drift.variance_shift(sizes, base.tables["baseline"], len(known), t),
         "top_pairs": correlate.top_drifted(pairs),
         "onsets": found,
         "traces": drift.traces(obs, base.tables["baseline"], found),
     }
+    if "links" in base.tables:  # the causal perspective is the baseline's: a check runs no PCMCI
+        links = base.tables["links"]
+        status = causal.run_status(reference, links, t)
+        agreed = causal.consensus(causal.link_frequency(links), status.where("status = 'ok'").count(), t.consensus)
+        out |= {"causal_status": status, "causal_links": agreed, "causal_summary": causal.summary(agreed)}
+    return out
 
 
 def dashboard(base: Baseline) -> DataFrame:
