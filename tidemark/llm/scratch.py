@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of scratch tables: what a writer holds in memory before it writes.
+ROW_GROUP = 8 << 20
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The session's checkpoint folder. Where it names none, a temporary folder serves a local master;
+    on a cluster, where executors do not share the driver's folders, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -26,7 +34,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts are long: hand them to Python workers in batches of fewer rows than Spark's default, unless
-    the session already asks for fewer."""
+    the session already asks for fewer. It stays so for the session, as plans are run after they are made."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, rows)
@@ -48,7 +56,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -1,17 +1,21 @@
 """Token ids of whole texts by the tokenizers library, through a cache of pre-token units.
 
 A text is cut where the tokenizer's own pre-tokeniser always cuts: at white space, and between a
-letter and ASCII punctuation other than the apostrophe. Each distinct unit is encoded once by the
-library and then looked up. Strings of special tokens count as ordinary text. For a tokenizer whose
-pre-tokeniser is not one of the two known forms, whole texts go to the library.
+letter and ASCII punctuation other than the apostrophe. The units of a batch that the cache lacks are
+joined by a separator that is always a token of its own, encoded by the library in one call, and
+split there again. For a tokenizer whose pre-tokeniser is not one of the two known forms, whole texts
+go to the library.
+
+Strings of special tokens inside a text are ordinary text, as the vocabularies' own description sets
+it (``encode_special_tokens``): a text cannot forge the id that ends a document.
 """
 
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import json
-import re
 import sys
 import types
 
@@ -19,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-from .kernels import LOWER, SPACE, Roller, U, text_buffer
+from .kernels import LOWER, SPACE, Roller, U, spread, text_buffer
 
-#: Distinct units that a worker keeps; beyond it the cache starts anew.
-CACHE = 250_000
-#: Bits of the table that is looked up before the cache.
-TABLE = 20
+#: Ids of cached units that a worker keeps; beyond it the cache starts anew.
+CACHE = 6_000_000
+#: Bits of the table that finds a cached unit.
+TABLE = 21
 #: Bytes of text that are encoded at a time.
 STEP = 1 << 20
 
@@ -35,19 +39,6 @@ KIND[[x for x in range(33, 127) if not chr(x).isalnum() and x != 39]] = PUNCT
 KIND[SPACE] = 0
 
 
-def _byte_chars() -> list[str]:
-    """The printable character that byte-level BPE writes for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = [""] * 256, 0
-    for b in range(256):
-        if b in plain:
-            out[b] = chr(b)
-        else:
-            out[b] = chr(256 + extra)
-            extra += 1
-    return out
-
-
 class UnitEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,41 +50,79 @@ class UnitEncoder:
         pre = json.dumps(spec.get("pre_tokenizer"))
         normal = json.dumps(spec.get("normalizer"))
         if spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space") and spec.get("normalizer") is None:
-            self.form = "bytes"
-        elif "[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and "Lowercase" in normal and '"invert": true' in pre:
-            self.form = "words"
+            self.form, self.separator = "bytes", b"\n"
+        elif "[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and "[\\\\p{N}]|" in pre and "Lowercase" in normal and '"invert": true' in pre:
+            self.form, self.separator = "words", b" 1 "
         else:
             self.form = "whole"
+        if self.form != "whole":
+            # the separator must be one id of its own
+            ids = self.whole(self.separator.decode())
+            self.mark = ids[0] if len(ids) == 1 else None
+            if self.mark is None:
+                self.form = "whole"
         self.roller = Roller(71)
         self.clear()
 
     def clear(self):
-        self.slot: dict[int, int] = {}
         self.flat = np.empty(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.count = 0
         self.seen = np.zeros(1 << TABLE, np.uint64)
-        self.seen_slot = np.zeros(1 << TABLE, np.int64)
-
-    def unit(self, raw: bytes) -> list[int]:
-        if SIMPLE.fullmatch(raw):  # one pre-token: straight to the library's BPE model
-            if self.form == "words" and not raw.isascii():
-                raw = raw.decode().lower().encode()
-            return [t.id for t in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(CHARS))]
-        return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
-
-    def add(self, key: int, raw: bytes) -> int:
-        ids = self.unit(raw)
-        n = len(self.slot)
+        self.seen_slot = np.zeros(1 << TABLE, np.int32)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def plain(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Units of Latin letters or of ASCII punctuation alone, after at most one leading space."""
+        kind = KIND[data]
+        lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        kind[lead] = kind[lead + 1] = LETTER
+        first = start + (data[start] == 0x20)
+        odd = np.concatenate([[0], np.cumsum((kind == OTHER) | (kind == 0), dtype=np.int32)])
+        return (first < end) & (odd[end] == odd[np.minimum(first, end)])
+
+    def encoded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given units, flat, and their number for each."""
+        plain = self.plain(data, start, end)
+        own, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        gap = np.frombuffer(self.separator, np.uint8)
+        sizes = end[own] - start[own]
+        row, place = spread(sizes + len(gap))
+        joined = np.empty(len(row), np.uint8)
+        body = place < sizes[row]
+        joined[body] = data[start[own][row[body]] + place[body]]
+        joined[~body] = gap[place[~body] - sizes[row[~body]]]
+        ids = np.array(self.whole(joined.tobytes().decode()), np.int32)
+        cuts = np.flatnonzero(ids == self.mark)
+        ids = ids[ids != self.mark]
+        counts = np.zeros(len(start), np.int64)
+        counts[own] = np.diff(cuts, prepend=-1) - 1
+        if not len(odd):
+            return ids, counts
+        texts = [data[s:e].tobytes().decode() for s, e in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts[odd] = [len(x) for x in rest]
+        out, first = np.empty(counts.sum(), np.int32), np.cumsum(counts) - counts
+        for which, values in ((own, ids), (odd, [x for r in rest for x in r])):
+            row, place = spread(counts[which])
+            out[first[which][row] + place] = values
+        return out, counts
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Slots of new units with these ids."""
+        n = self.count + len(counts)
         if n + 2 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.int32)])
+            self.at = np.concatenate([self.at, np.zeros(max(n + 2, len(self.at)), np.int64)])
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
+        self.at[self.count + 1 : n + 1] = self.used + np.cumsum(counts)
         self.used += len(ids)
-        self.at[n + 1] = self.used
-        self.slot[key] = n
-        return n
+        slots = np.arange(self.count, n)
+        self.count = n
+        return slots
 
     def units(self, data: np.ndarray, at: np.ndarray):
         """Start and end of each unit, and the first unit of each row."""
@@ -138,19 +167,15 @@ class UnitEncoder:
             data = LOWER[data]
         start, end, first = self.units(data, at)
         keys = self.roller.words(data, start, end)
-        if len(self.slot) > CACHE:
+        if self.used > CACHE:
             self.clear()
         spot = (keys & U((1 << TABLE) - 1)).astype(np.int64)
-        slot = self.seen_slot[spot]
+        slot = self.seen_slot[spot].astype(np.int64)
         missed = np.flatnonzero(self.seen[spot] != keys)
         if len(missed):
             distinct, where, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
-            slots = np.empty(len(distinct), np.int64)
             where = missed[where]
-            get, s, e = self.slot.get, start[where].tolist(), end[where].tolist()
-            for i, key in enumerate(distinct.tolist()):
-                k = get(key)
-                slots[i] = self.add(key, data[s[i] : e[i]].tobytes()) if k is None else k
+            slots = self.add(*self.encoded(data, start[where], end[where]))
             slot[missed] = slots[inverse]
             self.seen[spot[where]] = distinct
             self.seen_slot[spot[where]] = slots
@@ -180,11 +205,6 @@ class UnitEncoder:
         return np.unique(np.searchsorted(at, found, "right") - 1)
 
 
-CHARS = dict(enumerate(_byte_chars()))
-#: A run of Latin letters, or of ASCII punctuation without the apostrophe, after a space or not.
-SIMPLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:-@\[-`{-~]+)")
-
-
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a vocabulary file; kept from task to task."""
     kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
@@ -194,7 +214,7 @@ def encoder(path: str) -> UnitEncoder:
 
 
 def release() -> None:
-    """Give back what a worker keeps from earlier tasks; operators that do not encode begin with it."""
+    """Give back what a worker keeps: caches of earlier tasks and the allocators' free pages."""
     kept = sys.modules.get("_tidemark_worker")
     if kept is not None:
         kept.__dict__.clear()
@@ -206,6 +226,21 @@ def release() -> None:
         pass
 
 
+def lean(run):
+    """A mapper over batches that leaves nothing behind: workers are reused, and one that waits for its
+    next task should not hold what the last one needed."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def slices(column: pa.Array, step: int = STEP, most: int = 4096):
     """Row ranges of about ``step`` bytes of text, and ``most`` rows at most."""
     sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
