@@ -96,8 +96,8 @@ def test_ngram_jaccard(spark, corpus):
     assert ngram_jaccard(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(3, 1)])
-def test_substring_dedup(spark, corpus, batches, fanout):
+def window_dedup(corpus):
+    """Brute force: word count, removed words, digest and text of what stays, by document."""
     w = {i: WORD.findall(t or "") for i, t in corpus}
     first: dict = {}
     for i in sorted(w):
@@ -111,19 +111,40 @@ def test_substring_dedup(spark, corpus, batches, fanout):
                 gone.update(range(k, k + 50))
         kept = [x for k, x in enumerate(ws) if k not in gone]
         want[i] = (len(ws), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest(), " ".join(kept))
-    rows = substring_dedup(frame(spark, corpus), with_text=True, batches=batches, fanout=fanout).collect()
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in rows} == want
+    return want
 
 
-def test_fingerprint_log(spark):
-    from tidemark.llm.scratch import Scratch
+def test_substring_dedup(spark, corpus):
+    rows = substring_dedup(frame(spark, corpus), with_text=True).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in rows} == window_dedup(corpus)
+    assert substring_dedup(frame(spark, [])).count() == 0
 
-    index = FingerprintIndex(Scratch(spark, "t"), fanout=1)
+
+def test_log_outlasts_a_call(spark, corpus, tmp_path):
+    """Two calls on one log give what one call on all documents gives."""
+    log, ids = str(tmp_path / "log"), sorted(i for i, _ in corpus)
+    old, new = ([(i, t) for i, t in corpus if (i < ids[len(ids) // 2]) == early] for early in (True, False))
+    got = {r["doc_id"]: r["kept"] for r in substring_dedup(frame(spark, old), with_text=True, log=log, batches=1).collect()}
+    with pytest.raises(ValueError, match="history"):
+        substring_dedup(frame(spark, new), log=log)
+    got |= {r["doc_id"]: r["kept"] for r in substring_dedup(frame(spark, new), with_text=True, log=log, history=frame(spark, old), batches=2, fanout=1).collect()}
+    assert got == {i: r[3] for i, r in window_dedup(corpus).items()}
+    assert len(FingerprintIndex(spark, log).runs) == 1
+
+
+def test_fingerprint_log(spark, tmp_path):
+    log = str(tmp_path / "log")
     make = lambda rows: spark.createDataFrame(rows, "h long, doc_id long")
-    assert index.merge(make([(1, 10), (2, 10), (2, 11)])).count() == 2
-    assert sorted(map(tuple, index.merge(make([(1, 20), (3, 20)])).select("doc_id", "h").collect())) == [(10, 1), (20, 1)]
-    assert len(index.runs) == 1 and index.runs[0].count() == 5
-    assert index.merge(make([(9, 30)])).count() == 0
+    seen = lambda rows: sorted(map(tuple, FingerprintIndex(spark, log, 1).matches(make(rows)).collect()))
+    add = lambda rows: FingerprintIndex(spark, log, 1).append(make(rows))
+    assert seen([(1, 10), (2, 10), (2, 11)]) == [(10, 2, False), (11, 2, False)]
+    add([(1, 10), (2, 10), (2, 11)])
+    assert seen([(1, 20), (3, 20)]) == [(10, 1, True), (20, 1, False)]
+    add([(1, 20), (3, 20)])
+    index = FingerprintIndex(spark, log, 1)
+    assert len(index.runs) == 1 and index.everything().count() == 5
+    assert [f for f in (tmp_path / "log" / "runs").iterdir() if f.is_dir()] == [tmp_path / "log" / "runs" / index.runs[0]]
+    assert seen([(9, 30)]) == []
 
 
 def test_edit_distance():

@@ -51,7 +51,7 @@ def first_block() -> int:
 
 def own_key(block: int) -> int:
     """The (negative) bucket under which a block's own row travels beside the buckets."""
-    return -1 - block % (1 << 30)
+    return -1 - block
 
 
 def gathered(pdf, name: str, kind) -> np.ndarray:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import lean
+
 HEAD, END = "### ", "</turn>\n"
 TURN = re.compile(r"### ((?:[^\\:#<]|\\.)*): ((?:[^\\#<]|\\.)*)</turn>\n", re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
@@ -108,7 +110,7 @@ def read_examples(examples: DataFrame) -> DataFrame:
     """From formatted examples alone, per conversation: ``conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars``. The example with the most turns has all of them; loss texts follow
     each other in the examples' order; formatted_chars counts the characters of all examples."""
-    parts = examples.mapInArrow(_read, READ)
+    parts = examples.mapInArrow(lean(_read), READ)
     grouped = parts.groupBy("conv_id").agg(
         F.max(F.struct("n_turns", "turns_sha256")).alias("top"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))), lambda x: x.loss), "").alias("loss"),

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Roller, U, mix, spread
 from .language_id import letter_words
-from .tokens import slices
+from .tokens import lean, slices
 
 #: Items held in memory at a time; a larger benchmark takes several passes.
 ITEMS = 20_000
@@ -231,7 +231,7 @@ def _search(detector: Detector):
                 rows += [(ids[i + d], it, a, b - 1, e) for d, it, a, b, e in detector.find(batch.column(1).slice(i, j - i))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_share: float = 0.2, min_words: int = 8, recall: float = 0.99) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
+from .tokens import lean
 
 MEMBERS, PROBES = 2048, 8192
 #: Classes from which on a length has an index of its own.
@@ -141,7 +142,7 @@ def _deal(indexes: dict[int, tuple[MultiIndex, int]]):
                     names=names,
                 )
 
-    return run
+    return lean(run)
 
 
 FOUND = "id long, linked long, other long"

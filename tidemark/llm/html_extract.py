@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import lean, slices
 
 #: Fixed values of the HTML standard: elements without content, with raw text, and inline elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -366,7 +366,7 @@ def _extract(model, step: int = 200):
                 texts = extract_texts(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return run
+    return lean(run)
 
 
 def html_extract(pages: DataFrame, model=None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

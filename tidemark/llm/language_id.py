@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, Roller, U, spread, text_buffer
 from .scratch import small_batches
-from .tokens import release, slices
+from .tokens import lean, slices
 
 BITS = 18
 TABLE = 20
@@ -209,10 +209,9 @@ def _apply(model, spans: bool):
         schema = schema.append(pa.field("spans", span_type))
 
     def run(batches):
-        release()
         tagger = Tagger(*model)
         for batch in batches:
-            for i, j in slices(batch.column(1), 2 << 20):
+            for i, j in slices(batch.column(1), 1 << 19):
                 ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
                 best, score, post, counts, first = tagger.languages(texts)
                 # bytes above 0x7F need not be letters
@@ -233,7 +232,7 @@ def _apply(model, spans: bool):
                     cols.append(pa.array(out, span_type))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return run
+    return lean(run)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, **options):

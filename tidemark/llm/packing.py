@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, input_bytes
 from .substring_dedup import sized
-from .tokens import encoder, slices
+from .tokens import encoder, lean, slices
 
 
 def combinations(h: np.ndarray, window: int, partners: int = 48) -> np.ndarray:
@@ -126,25 +126,26 @@ def plan(h: np.ndarray, window: int) -> tuple[np.ndarray, int]:
     return out[np.lexsort((out[:, 1], out[:, 0]))], sequence
 
 
-def _pieces(path: str, end_id: int, window: int):
+def _pieces(path: str, end_id: int, window: int, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches, with_ids):
+    def run(batches):
         enc = encoder(path)
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
                 ids, counts = enc.encode(batch.column(1).slice(a, b - a))
                 raw, at = ids.astype("<u4"), np.concatenate([[0], np.cumsum(counts)])
-                out = []
+                out, owner = [], []
                 for i in range(b - a):
                     own = np.append(raw[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(own), window):
                         piece = own[s : s + window].tobytes()
-                        out.append((docs[a + i], s, len(piece) // 4, zlib.crc32(piece), len(own), piece if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                        owner.append(a + i)
+                        out.append((s, len(piece) // 4, zlib.crc32(piece), len(own), piece if with_ids else None))
+                # the id column is taken as it is: a null stays null, and large ids keep their digits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types[1:], strict=True))], schema=schema)
 
-    return run
+    return lean(run, keep=True)
 
 
 def _placed(slots: np.ndarray, window: int):
@@ -156,7 +157,7 @@ def _placed(slots: np.ndarray, window: int):
             names = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s[:, 3] + rank - s[:, 1]), pa.array(s[:, 4])], names=[*names, "sequence_id", "offset"])
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -169,8 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    make = _pieces(tokenizer, end_id, window)
-    cut = source.mapInArrow(lambda batches: make(batches, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    cut = source.mapInArrow(_pieces(tokenizer, end_id, window, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     pieces = scratch.save(cut if with_ids else cut.drop("ids"), "pieces")
     # ranks of a length are counted within shares of it, so that no length is one task's
     shares = 16 + input_bytes(pieces) // (16 << 20)
@@ -181,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         h[r["length"]] = r["n"]
     slots, _ = plan(h, window)
     order = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(order)).join(sized(cells.select("length", "share", "before")), ["length", "share"])
+    ranked = dealt.withColumn("rank", F.row_number().over(order)).join(sized(cells.select("length", "share", "before"), 48), ["length", "share"])
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     ranked = ranked.select(*names, (F.col("rank") - 1 + F.col("before")).cast("long").alias("rank"))
     kinds = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, Roller, U, mix, spread, text_buffer, words_of
-from .tokens import slices
+from .tokens import lean, slices
 
 N_FEATURES = 256 + 12
 
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trusted = _picked(marks.where("mark = 1").select("doc_id").distinct(), positives, good, "positive")
     sure = source.join(F.broadcast(trusted), "doc_id").withColumn("kind", F.lit(1))
     loose = _picked(source, unlabelled, source.count(), "unlabelled").withColumn("kind", F.lit(0))
-    rows = sure.union(loose).mapInArrow(_vectors, "doc_id long, kind int, x binary").collect()
+    rows = sure.union(loose).mapInArrow(lean(_vectors), "doc_id long, kind int, x binary").collect()
     rows.sort(key=lambda r: (r["kind"], r["doc_id"]))
     x = {k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["kind"] == k], np.float32).reshape(-1, N_FEATURES) for k in (0, 1)}
     if not len(x[0]) or not len(x[1]):
@@ -189,7 +189,7 @@ def _score(model: Model):
                 x = features(batch.column(1).slice(a, b - a), roller)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.score(x))], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,46 +1,48 @@
 """Substring dedup over a log-structured fingerprint index.
 
 A window is ``n`` consecutive words of one document. A word goes when a window that covers it also
-starts in an earlier document: one of the history, or one with a smaller id in the same batch.
+starts in an earlier document: one of the history, or one with a smaller id among those at hand.
 
 * **Fingerprints.** Each window is stood for by the smallest hash of the ``gram``-word sequences in
   it (winnowing), so equal windows have equal fingerprints, and a document has few distinct ones.
 * **Index.** A run is an immutable table of (fingerprint, document), sorted by fingerprint. A batch
-  is merge-joined with every run, becomes a run itself, and runs are merged into one when there are
-  more than ``fanout``.
-* **Verification.** Documents that share a fingerprint give digests of the full windows that carry it
-  (80 bits of two hashes beside the hash range they are packed by); an equal digest in an earlier
-  document marks the window. A common
-  passage costs each of its documents its own windows, never a pair.
+  is merge-joined with every run and becomes a run itself; when there are more than ``fanout`` runs,
+  they are merged into one. The log lies in a folder: with ``log`` it outlasts the call, and the next
+  call's documents are compared with all that it has seen.
+* **Verification.** Documents that share a fingerprint give 128-bit digests of the full windows that
+  carry it. A mapper keeps each digest once with the first document that has it, so a passage that a
+  third of all documents hold costs one entry per mapper block; an equal digest in an earlier document
+  marks the window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Roller, U, spread, words_of
-from .scratch import Scratch, input_bytes
-from .tokens import slices
+from .blocks import BLOCK, BLOCK_DOCS, bucket_count, bucket_cuts, counts_of, first_block, gathered, own_key
+from .kernels import Roller, spread, words_of
+from .scratch import Scratch, delete, folder_exists, list_folder
+from .tokens import lean, slices
 
-#: A table goes to every executor only up to this size in files; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
+#: A table goes to every executor only up to this many bytes of rows; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 #: Ids (8 bytes each) that may go to every executor.
 FEW_IDS = 1_000_000
 BUCKET_BYTES = 4 << 20
-BLOCK = 1_000_000
-LOW = U((1 << 48) - 1)
+#: The rank of a document of the history: before all others.
+HISTORY = np.iinfo(np.int64).min
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its files are small enough."""
-    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its rows of about ``row_bytes`` are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def holding(source: DataFrame, table: DataFrame) -> DataFrame:
@@ -97,45 +99,43 @@ def _fingerprints(n: int, gram: int, seed: int):
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[i:j][row[new]])], schema=schema)
 
-    return run
+    return lean(run)
 
 
-WINDOWS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("size", pa.int32()), ("ids", pa.binary()), ("at", pa.binary()), ("runs", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("more", pa.binary()), ("start", pa.binary())])
-WINDOWS_SQL = "bucket int, block long, size int, ids binary, at binary, runs binary, low binary, high binary, more binary, start binary"
+_PACKED = ("ids", "at", "start", "many_at", "many", "h", "more", "least")
+WINDOWS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), *((c, pa.binary()) for c in _PACKED)])
+WINDOWS_SQL = "bucket long, block long, first int, size int, " + ", ".join(f"{c} binary" for c in _PACKED)
 
 
 def _windows(n: int, gram: int, buckets: int, seed: int):
-    """Digests of the windows that carry a shared fingerprint, packed by hash range."""
+    """Of each block: a row per bucket with the distinct digests of the windows that carry a shared
+    fingerprint and the first document of each, and the block's own row with all these windows."""
+
+    def pack(block, held):
+        ids, old = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        base = np.cumsum([0, *(len(x[0]) for x in held)])
+        row = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
+        start, h, more = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
+        rank = np.where(old, HISTORY, ids)
+        order = np.lexsort((more, h))
+        row, start, h, more = row[order], start[order], h[order], more[order]
+        lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])])) if len(h) else np.empty(0, np.int64)
+        times = np.diff(np.append(lead, len(h)))
+        at = np.flatnonzero(times > 1).astype(np.uint32)
+        least = np.minimum.reduceat(rank[row], lead) if len(lead) else rank[:0]
+        rows = [(own_key(block), block, 0, len(lead), np.concatenate([ids, rank]).tobytes(), row.astype(np.uint16).tobytes(), start.astype(np.uint32).tobytes(), at.tobytes(), times[at].astype(np.uint32).tobytes(), b"", b"", least.tobytes())]
+        h, more = h[lead], more[lead]
+        names, cuts = bucket_cuts(h, buckets)
+        for k, b in enumerate(names.tolist()):
+            s = slice(cuts[k], cuts[k + 1])
+            rows.append((b, block, int(cuts[k]), s.stop - s.start, b"", b"", b"", b"", b"", h[s].tobytes(), more[s].tobytes(), least[s].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), WINDOWS.types, strict=True)], schema=WINDOWS)
 
     def run(batches):
-        roller, second = Roller(seed), Roller(seed + 1)
-        block = TaskContext.get().partitionId() << 24
+        roller, second, block = Roller(seed), Roller(seed + 1), first_block()
         held, have, docs = [], 0, 0
-
-        def flush():
-            nonlocal block, held, have, docs
-            ids = np.concatenate([x[0] for x in held])
-            base = np.cumsum([0, *(len(x[0]) for x in held)])
-            row = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-            start, h, more = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-            part = ((h >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            row, start, h, more = row[order], start[order].astype(np.uint32), h[order] & LOW, (more[order] >> U(16)).astype(np.uint32)
-            low, high = (h & U(0xFFFFFFFF)).astype(np.uint32), (h >> U(32)).astype(np.uint16)
-            cuts = np.searchsorted(part[order], np.arange(buckets + 1))
-            out = [(-1 - block % 65536, block, len(ids), ids.tobytes(), b"", b"", b"", b"", b"", b"")]
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                s = slice(cuts[b], cuts[b + 1])
-                r = row[s]
-                lead = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                runs = np.diff(np.append(lead, len(r))).astype(np.uint32)
-                who = r[lead]
-                out.append((b, block, len(r), ids[who].tobytes(), who.astype(np.uint16).tobytes(), runs.tobytes(), low[s].tobytes(), high[s].tobytes(), more[s].tobytes(), start[s].tobytes()))
-            block, held, have, docs = block + 1, [], 0, 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), WINDOWS.types, strict=True)], schema=WINDOWS)
-
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, olds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
             marks = batch.column(2)
             for i, j in slices(batch.column(1), most=256):
                 words = words_of(batch.column(1).slice(i, j - i))
@@ -154,63 +154,55 @@ def _windows(n: int, gram: int, buckets: int, seed: int):
                         h.append(full[f + hit])
                         more.append(other[f + hit])
                 if rows:
-                    held.append((ids[i:j], np.concatenate(rows), np.concatenate(starts), np.concatenate(h), np.concatenate(more)))
-                    have, docs = have + len(held[-1][1]), docs + len(held[-1][0])
-                if have >= BLOCK or docs > 65_000 - 256:
-                    yield flush()
+                    held.append((ids[i:j], olds[i:j], np.concatenate(rows), np.concatenate(starts), np.concatenate(h), np.concatenate(more)))
+                    have, docs = have + len(held[-1][2]), docs + j - i
+                if have >= BLOCK or docs > BLOCK_DOCS:
+                    yield pack(block, held)
+                    block, held, have, docs = block + 1, [], 0, 0
         if held:
-            yield flush()
+            yield pack(block, held)
 
-    return run
-
-
-MARKED = "block long, bucket int, size int, ids binary, at binary, start binary"
+    return lean(run)
 
 
-def _marked(ranks: tuple[int | None, int | None]):
-    """Of one bucket: the windows of the batch whose digest an earlier document has, by block."""
-    lo, hi = ranks
+EARLIER = "block long, bucket long, size int, ids binary, at binary, start binary, many_at binary, many binary, least binary"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["bucket"].iloc[0] < 0:
-            return pd.DataFrame({"block": pdf["block"], "bucket": np.int32(-1), "size": pdf["size"], "ids": pdf["ids"], "at": b"", "start": b""})
-        get = lambda name, kind: np.frombuffer(b"".join(pdf[name]), kind)
-        runs = get("runs", np.uint32)
-        doc, at = np.repeat(get("ids", np.int64), runs), np.repeat(get("at", np.uint16), runs)
-        start, more = get("start", np.uint32), get("more", np.uint32)
-        h = (get("high", np.uint16).astype(np.uint64) << U(32)) | get("low", np.uint32)
-        order = np.lexsort((more, h))
-        hs, ms = h[order], more[order]
-        new = np.ones(len(hs), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (ms[1:] != ms[:-1])
-        first = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(hs) else doc
-        least = np.empty(len(hs), np.int64)
-        least[order] = first[np.cumsum(new) - 1]
-        hit = least < doc
-        if lo is not None:
-            hit &= doc >= lo
-        if hi is not None:
-            hit &= doc < hi
-        sizes = pdf["size"].to_numpy()
-        ends = np.cumsum(sizes)
-        out = []
-        for block, s, e in zip(pdf["block"], ends - sizes, ends, strict=True):
-            pick = s + np.flatnonzero(hit[s:e])
-            if len(pick):
-                out.append((block, pdf["bucket"].iloc[0], len(pick), b"", at[pick].tobytes(), start[pick].tobytes()))
-        return pd.DataFrame(out, columns=["block", "bucket", "size", "ids", "at", "start"])
 
-    return run
+def _earlier(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the digests, by block and place, that an earlier document of another block has."""
+    names = ["block", "bucket", "size", "ids", "at", "start", "many_at", "many", "least"]
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[names]
+    h, more, least = gathered(pdf, "h", np.uint64), gathered(pdf, "more", np.uint64), gathered(pdf, "least", np.int64)
+    order = np.lexsort((more, h))
+    hs, ms = h[order], more[order]
+    lead = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ms[1:] != ms[:-1])])
+    first = np.minimum.reduceat(least[order], np.flatnonzero(lead))
+    overall = np.empty(len(h), np.int64)
+    overall[order] = first[np.cumsum(lead) - 1]
+    sizes = pdf["size"].to_numpy()
+    ends = np.cumsum(sizes)
+    out = []
+    for block, begin, s, e in zip(pdf["block"], pdf["first"], ends - sizes, ends, strict=True):
+        pick = s + np.flatnonzero(overall[s:e] < least[s:e])
+        if len(pick):
+            out.append((block, pdf["bucket"].iloc[0], len(pick), b"", (pick - s + begin).astype(np.uint32).tobytes(), b"", b"", b"", overall[pick].tobytes()))
+    return pd.DataFrame(out, columns=names)
 
 
 def _spans(n: int):
-    """Of one block: for each document with marked windows, its covered word spans as int64 pairs."""
+    """Of one block: for each new document with marked windows, its covered word spans as int64 pairs."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = np.frombuffer(pdf.loc[pdf["bucket"] < 0, "ids"].iloc[0], np.int64)
+        own = pdf[pdf["bucket"] < 0].iloc[0]
         pdf = pdf[pdf["bucket"] >= 0]
-        at = np.frombuffer(b"".join(pdf["at"]), np.uint16).astype(np.int64)
-        start = np.frombuffer(b"".join(pdf["start"]), np.uint32).astype(np.int64)
+        ids, rank = np.frombuffer(own["ids"], np.int64).reshape(2, -1)
+        at, start = np.frombuffer(own["at"], np.uint16).astype(np.int64), np.frombuffer(own["start"], np.uint32).astype(np.int64)
+        least = np.frombuffer(own["least"], np.int64).copy()
+        least[gathered(pdf, "at", np.uint32)] = gathered(pdf, "least", np.int64)
+        entry, _ = spread(counts_of(int(own["size"]), np.frombuffer(own["many_at"], np.uint32), np.frombuffer(own["many"], np.uint32)))
+        hit = np.flatnonzero(least[entry] < rank[at])
+        at, start = at[hit], start[hit]
         order = np.lexsort((start, at))
         at, start = at[order], start[order]
         new = np.ones(len(at), bool)
@@ -221,43 +213,65 @@ def _spans(n: int):
         who = at[lead]
         cuts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.empty(0, int)
         ends = np.append(cuts[1:], len(who))
-        return pd.DataFrame({"doc_id": doc[who[cuts]] if len(who) else np.empty(0, np.int64), "spans": [pairs[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)]})
+        return pd.DataFrame({"doc_id": ids[who[cuts]] if len(who) else np.empty(0, np.int64), "spans": [pairs[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)]})
 
     return run
 
 
 class FingerprintIndex:
-    """The log: runs of (fingerprint, document), each a table sorted by fingerprint."""
-
-    def __init__(self, scratch: Scratch, fanout: int = 4):
-        self.scratch, self.fanout, self.runs = scratch, fanout, []
-
-    def merge(self, batch: DataFrame) -> DataFrame:
-        """``(doc_id, h)``, in the batch and in the history, for the fingerprints of the batch that
-        occur in another document too. The batch then becomes a run."""
-        run = self.scratch.save(batch.sortWithinPartitions("h"), "run")
-        twice = run.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        old = [r.join(twice.select("h"), "h", "left_semi").select("h", "doc_id") for r in self.runs]
+    """The log in a folder: runs of (fingerprint, document), each a table sorted by fingerprint, and
+    numbered lists of the runs that are valid. A list appears only once its runs are whole, so a call
+    that is broken off leaves the log as it was."""
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 2):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        done = [n for n in list_folder(spark, f"{self.path}/lists") if folder_exists(spark, f"{self.path}/lists/{n}/_SUCCESS")]
+        self.version = max(map(int, done), default=0)
+        self.runs = [r["run"] for r in spark.read.schema("run string").parquet(f"{self.path}/lists/{self.version:08d}").collect()] if done else []
+
+    def run(self, name: str) -> DataFrame:
+        return self.spark.read.schema("h long, doc_id long").parquet(f"{self.path}/runs/{name}")
+
+    def everything(self) -> DataFrame | None:
+        out = None
+        for name in self.runs:
+            out = self.run(name) if out is None else out.unionAll(self.run(name))
+        return out
+
+    def _write(self, df: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/runs/{name}")
+        return name
+
+    def _list(self, runs: list[str]) -> None:
+        self.version += 1
+        self.spark.createDataFrame([(r,) for r in sorted(runs)], "run string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists/{self.version:08d}")
+        self.runs = sorted(runs)
+
+    def matches(self, batch: DataFrame) -> DataFrame:
+        """``(doc_id, h, old)``, in the batch and in the log, for the fingerprints of the batch that occur
+        in another document too. Every run is merge-joined with the batch."""
+        twice = batch.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         inside = twice.where("lo <> hi").select("h")
-        if old:
-            past = old[0]
-            for r in old[1:]:
-                past = past.union(r)
-            past = self.scratch.save(past, "past")
-            fresh = run.join(past.select("h").union(inside).distinct(), "h", "left_semi").select("h", "doc_id")
-            found = fresh.union(past)
-        else:
-            found = run.join(inside, "h", "left_semi").select("h", "doc_id")
-        self.runs.append(run)
+        fresh = batch.select("h", "doc_id", F.lit(False).alias("old"))
+        past = None
+        for name in self.runs:
+            hit = self.run(name).join(twice.select("h").hint("merge"), "h", "left_semi").select("h", "doc_id", F.lit(True).alias("old"))
+            past = hit if past is None else past.unionAll(hit)
+        if past is None:
+            return fresh.join(inside, "h", "left_semi").select("doc_id", "h", "old")
+        return fresh.join(past.select("h").unionAll(inside).distinct(), "h", "left_semi").unionAll(past).select("doc_id", "h", "old")
+
+    def append(self, batch: DataFrame) -> None:
+        """The batch becomes a run; too many runs become one, and those they came from are deleted after
+        the new list is written."""
+        new = self._write(batch.select("h", "doc_id").repartition("h").sortWithinPartitions("h"))
+        self._list([*self.runs, new])
         if len(self.runs) > self.fanout:
-            merged = self.runs[0]
-            for r in self.runs[1:]:
-                merged = merged.union(r)
-            merged = self.scratch.save(merged.repartition("h").sortWithinPartitions("h"), "compacted")
-            found = self.scratch.save(found, "found")
-            self.scratch.drop(*self.runs)
-            self.runs = [merged]
-        return found
+            before = self.runs
+            self._list([self._write(self.everything().repartition("h").sortWithinPartitions("h"))])
+            for name in before:
+                delete(self.spark, f"{self.path}/runs/{name}")
 
 
 def _kept(n_cols):
@@ -281,59 +295,83 @@ def _kept(n_cols):
                 out.append((*row[:3], joined.decode(), row[3]) if n_cols == 5 else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return run
+    return lean(run)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 50, gram: int = 16, batches: int = 2, fanout: int = 4, seed: int = 23) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 50, gram: int = 16, batches: int = 4, fanout: int = 2, seed: int = 23, log: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """``(doc_id, spans)`` for the documents that have words to remove; spans are pairs of int64 word
     positions, first and past the last. Documents are ingested in ``batches`` of ascending ids, each
     merge-joined with the runs of those before it.
+
+    ``log`` is the folder of a log that lasts; what earlier calls have put there is history, and
+    ``history`` must then hold those documents under the same column names and with ids that are not in
+    ``docs``: of it, only the texts that share a fingerprint with a new document are read on.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    shape = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    source = shape(docs)
+    index = FingerprintIndex(spark, log or scratch.path("log"), fanout)
+    if index.runs and history is None:
+        raise ValueError("the log has runs: give the documents they come from as history")
+    known = bool(index.runs)
     cuts = source.select("doc_id").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(x) for x in cuts}), None]
     prints = scratch.save(source.mapInArrow(_fingerprints(n, gram, seed), "h long, doc_id long"), "prints")
-    index = FingerprintIndex(scratch, fanout)
+    if known:  # ids that the history and the documents share would be mistaken for one another
+        past = shape(history)
+    buckets = bucket_count(docs, BUCKET_BYTES)
     spans = None
     for lo, hi in zip(edges, edges[1:], strict=False):
         inside = F.lit(True)
         if lo is not None:
             inside &= F.col("doc_id") >= lo
+        upto = F.lit(True)
         if hi is not None:
-            inside &= F.col("doc_id") < hi
-        found = index.merge(prints.where(inside))
-        shared = scratch.save(found.groupBy("doc_id").agg(F.collect_set("h").alias("marks")), "shared")
-        here = holding(source, shared).select("doc_id", "text", "marks")
-        buckets = int(min(65536, max(16, input_bytes(docs) // BUCKET_BYTES)))
-        windows = here.mapInArrow(_windows(n, gram, buckets, seed), WINDOWS_SQL)
-        marked = windows.groupBy("bucket").applyInPandas(_marked((lo, hi)), MARKED)
-        part = scratch.save(marked.groupBy("block").applyInPandas(_spans(n), "doc_id long, spans binary"), "spans")
+            upto = F.col("doc_id") < hi
+        batch = prints.where(inside & upto)
+        shared = scratch.save(index.matches(batch).groupBy("doc_id", "old").agg(F.collect_set("h").alias("marks")), "shared")
+        index.append(batch)
+        texts = source.where(upto)
+        if known:
+            texts = texts.unionAll(past)
+        windows = holding(texts, shared).select("doc_id", "text", "marks", "old").mapInArrow(_windows(n, gram, buckets, seed), WINDOWS_SQL)
+        earlier = windows.groupBy("bucket").applyInPandas(_earlier, EARLIER)
+        part = scratch.save(earlier.groupBy("block").applyInPandas(_spans(n), "doc_id long, spans binary"), "spans")
         scratch.drop(shared)
-        spans = part if spans is None else spans.union(part)
-    spans = scratch.save(spans.coalesce(8), "all-spans")
+        spans = part if spans is None else spans.unionAll(part)
+    spans = scratch.save(spans, "all-spans")
     scratch.drop(prints)
+    if log is None:
+        delete(spark, index.path)
     return spans
 
 
-def cut_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def _cut(length_col: str | None, drop_empty: bool):
+    def run(batches):
+        for batch in batches:
+            left = []
+            for text, mark in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                words, at, kept = (text or "").encode().split(), 0, []
+                for a, b in np.frombuffer(mark, np.int64).reshape(-1, 2).tolist():
+                    kept += words[at:a]
+                    at = b
+                left.append(b" ".join(kept + words[at:]).decode())
+            new = {"text": pa.array(left, pa.string())}
+            if length_col:
+                new[length_col] = pa.array(map(len, left), batch.schema.field(length_col).type)
+            names = [c for c in batch.schema.names if c != "spans"]
+            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+            yield out.filter(pa.array([t != "" for t in left], pa.bool_())) if drop_empty else out
+
+    return lean(run)
+
+
+def cut_texts(docs: DataFrame, spans: DataFrame, length_col: str | None = None, drop_empty: bool = False) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``text``) where the texts that lose words are the words that stay,
-    joined by one space. Other texts and all other columns are untouched."""
-
-    def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for text, mark in zip(texts, marks, strict=True):
-            words, at, kept = (text or "").encode().split(), 0, []
-            for a, b in np.frombuffer(mark, np.int64).reshape(-1, 2).tolist():
-                kept += words[at:a]
-                at = b
-            out.append(b" ".join(kept + words[at:]).decode())
-        return pd.Series(out)
-
-    cut_udf = F.pandas_udf(cut, "string")
-    changed = holding(docs, spans)
-    changed = changed.withColumn("text", cut_udf("text", "spans")).select(*docs.columns)
+    joined by one space; with ``drop_empty``, those that lose all of them go. Other texts and all other
+    columns are untouched, but for ``length_col``, which gets the new length of the texts that change."""
+    changed = holding(docs, spans).select(*docs.columns, "spans").mapInArrow(_cut(length_col, drop_empty), docs.schema)
     return without(docs, spans).select(*docs.columns).unionByName(changed)
 
 
@@ -343,7 +381,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have no word; texts under n words lose none. Of equal documents the smallest
     id keeps its words. Rows with a null id are left out, ids must be distinct, other columns are
-    ignored; an empty table gives an empty result. Options: see ``repeated_spans``.
+    ignored, whatever their names; an empty table gives an empty result. Options: see ``repeated_spans``.
     """
     spans = repeated_spans(docs, id_col, text_col, **options)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, input_bytes
-from .substring_dedup import sized
-from .tokens import encoder, slices
+from .tokens import encoder, lean, slices
 
 #: First nonterminal; ids are below it.
 FIRST_RULE = 1 << 20
@@ -158,7 +157,7 @@ def _segments(path: str, end_id: int):
         if held:
             yield flush()
 
-    return run
+    return lean(run, keep=True)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
@@ -189,7 +188,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     shards = heads.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
     within = heads.withColumn("in_shard", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_ids"))
     bases = within.join(shards, "shard").select("shard", "segment", (F.col("in_shard") + F.col("before")).alias("base"))
-    rows = files.mapInArrow(_decoded, "shard long, segment long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(_decoded), "shard long, segment long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

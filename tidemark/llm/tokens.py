@@ -213,10 +213,11 @@ def encoder(path: str) -> UnitEncoder:
     return kept[path]
 
 
-def release() -> None:
-    """Give back what a worker keeps: caches of earlier tasks and the allocators' free pages."""
+def release(keep: bool = False) -> None:
+    """Give back what a worker holds: the allocators' free pages, and the encoders of earlier tasks
+    unless they are to be kept."""
     kept = sys.modules.get("_tidemark_worker")
-    if kept is not None:
+    if kept is not None and not keep:
         kept.__dict__.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -226,17 +227,17 @@ def release() -> None:
         pass
 
 
-def lean(run):
-    """A mapper over batches that leaves nothing behind: workers are reused, and one that waits for its
-    next task should not hold what the last one needed."""
+def lean(run, keep: bool = False):
+    """A mapper over batches that leaves nothing behind (but encoders, with ``keep``): workers are reused,
+    and one that waits for its next task should not hold what the last one needed."""
 
     @functools.wraps(run)
     def wrapped(batches):
-        release()
+        release(keep)
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keep)
 
     return wrapped
 
