@@ -37,11 +37,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows that an earlier document has; what is left of no text goes."""
-    spans = repeated_spans(docs)
-    cut = cut_texts(docs, spans)
-    changed = F.col("n_chars").isNull() | (F.length("text") != F.col("n_chars"))
-    cut = cut.withColumn("n_chars", F.when(changed & F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.where("text is null or text <> ''")
+    return cut_texts(docs, repeated_spans(docs), "n_chars", drop_empty=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
