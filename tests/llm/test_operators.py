@@ -318,6 +318,26 @@ def test_packing_plan():
             assert fill.sum() / (n * 2048) > 0.99
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_solution_places_most_rests(sf):
+    """At the sizes of the sample tables the rounded solution, not the greedy residual, packs the rests."""
+    import pyarrow.parquet as pq
+
+    sizes = np.array([1 + len(t.split()) * 3 // 2 for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet")["text"].to_pylist() if t]) % 2048
+    h = np.bincount(sizes[sizes > 0], minlength=2049)
+    shapes, rest = packing.solve(h, 2048)
+    assert (h == np.bincount([k for lengths, n in shapes + rest for k in lengths * n], minlength=2049)).all()
+    assert all(sum(lengths) <= 2048 for lengths, _ in shapes) and sum(len(x) * n for x, n in shapes) >= 0.8 * h.sum()
+    assert sum(n for _, n in shapes + rest) <= sum(n for _, n in packing.greedy(h, 2048))
+
+
+def test_pack_keeps_ids(spark):
+    rows = [(None, "a b"), (None, None), ((1 << 60) + 1, "c"), (-3, ""), (-3, "")]
+    got = packing.pack(frame(spark, rows), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["length"]) for r in got) == [(False, -3, 1), (False, -3, 1), (False, (1 << 60) + 1, 2), (True, 0, 1), (True, 0, 3)]
+    assert packing.pack(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
 def test_pack_and_write_tokens(spark, corpus, tmp_path):
     from tokenizers import Tokenizer
 

@@ -2,14 +2,18 @@
 
 A document's ids are cut into full windows and one rest. The rests' histogram has fewer bins than a
 window has tokens, whatever the input's size: shallow combinations of lengths that fill a window are
-enumerated, ``min ||A x - h||`` over ``x >= 0`` gives their repeat counts, these are rounded down, and
-what is left of the histogram is packed greedily. The plan says which ranks of each length take which
-slot, so each piece finds its place from its length and its rank alone.
+enumerated, ``min ||A x - h||`` over ``x >= 0`` gives their repeat counts, and these are rounded: whole
+parts first, then one more each by the largest remainder, as far as the lengths last. What is left of
+the histogram is solved again, until a turn places next to nothing; the residual is packed greedily. The
+plan says which ranks of each length take which slot, so each piece finds its place from its length and
+its rank alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,77 +25,94 @@ from .substring_dedup import sized
 from .tokens import encoder, lean, slices
 
 
-def combinations(h: np.ndarray, window: int, partners: int = 48) -> np.ndarray:
-    """Columns of at most three lengths that fill the window (0: no length): exact fills where the
-    lengths exist, else the nearest length below. ``partners`` bounds the middle lengths of triples."""
+#: Lengths in a combination at most.
+DEPTH = 5
+
+
+def combinations(h: np.ndarray, window: int, most: int = 20_000, seed: int = 0) -> np.ndarray:
+    """Rows of two to ``DEPTH`` lengths that fill the window but for 1 in 128 (0: no length), some ``most``
+    of them. Every length that exists leads rows of each depth; what joins it is drawn as often as the
+    histogram has it, and the last one is the largest that still fits."""
     there = np.flatnonzero(h)
+    if not len(there):
+        return np.zeros((0, DEPTH), np.int64)
+    rng = np.random.default_rng(seed)
     below = np.zeros(window + 1, np.int64)  # the largest length that exists, up to each size
     below[there] = there
     below = np.maximum.accumulate(below)
-    pairs = np.stack([there, below[window - there], np.zeros(len(there), np.int64)], axis=1)
-    common = np.argsort(-h, kind="stable")[: min(partners, len(there))]
-    a, b = np.repeat(there, len(common)), np.tile(common, len(there))
-    fits = a + b < window
-    a, b = a[fits], b[fits]
-    triples = np.stack([a, b, below[window - a - b]], axis=1)
-    out = np.unique(-np.sort(-np.concatenate([pairs, triples]), axis=1), axis=0)
-    return out[out.sum(1) >= window - window // 64]
-
-
-def nnls(columns: np.ndarray, h: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeat counts of the columns by accelerated projected gradient on ``||A x - h||^2 / 2``."""
-    x = np.zeros(len(columns))
-    if not len(columns):
+    share = h[there] / h.sum()
+    first = np.repeat(there, max(1, most // (len(there) * (DEPTH - 1))))
+    out = []
+    for depth in range(2, DEPTH + 1):
+        rows, left = np.zeros((len(first), DEPTH), np.int64), window - first
+        rows[:, 0] = first
+        for k in range(1, depth - 1):
+            rows[:, k] = np.minimum(rng.choice(there, len(first), p=share), below[left])
+            left = left - rows[:, k]
+        rows[:, depth - 1] = below[left]
+        out.append(rows)
+    out = np.unique(-np.sort(-np.concatenate(out), axis=1), axis=0)
+    return out[out.sum(1) >= window - window // 128]
+
+
+def nnls(columns: np.ndarray, h: np.ndarray, weight: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Repeat counts of the columns by accelerated projected gradient on ``||W (A x - h)||^2 / 2``."""
+    n = len(columns)
+    x = np.zeros(n)
+    if not n:
         return x
-    valid = columns > 0
-
-    def forward(v):
-        out = np.zeros(len(h))
-        for k in range(3):
-            out += np.bincount(columns[:, k], np.where(valid[:, k], v, 0), len(h))
-        return out
-
-    def back(r):
-        return (r[columns] * valid).sum(1)
-
-    v = np.ones(len(columns))
-    for _ in range(12):  # the largest eigenvalue of A'A
+    row, lengths = np.repeat(np.arange(n), columns.shape[1]), columns.ravel()
+    row, lengths = row[lengths > 0], lengths[lengths > 0]
+    forward = lambda v: weight * np.bincount(lengths, v[row], len(h))
+    back = lambda r: np.bincount(row, (weight * r)[lengths], n)
+    v = np.ones(n)
+    for _ in range(10):  # the largest eigenvalue of A'A, from below
         v = back(forward(v))
         norm = np.linalg.norm(v)
         v /= norm
+    norm *= 1.05
     y, t = x.copy(), 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - back(forward(y) - h) / norm)
+        new = np.maximum(0, y - back(forward(y) - weight * h) / norm)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
     return x
 
 
-def plan(h: np.ndarray, window: int) -> tuple[np.ndarray, int]:
-    """Slots ``(length, first rank, ranks, first sequence, offset)``, by length and first rank, and
-    the number of sequences. ``h[k]`` counts the pieces of length k; every piece gets a slot."""
-    left = h.astype(np.int64).copy()
-    shapes: list[tuple[list[int], int]] = []
-    if left[window]:
-        shapes.append(([window], int(left[window])))
-        left[window] = 0
-    columns = combinations(left, window)
-    x = nnls(columns, left.astype(float))
-    for c in np.argsort(-x, kind="stable").tolist():
-        lengths = [k for k in columns[c].tolist() if k]
-        times = int(np.floor(x[c] + 1e-6))
-        if times < 1:
+Shapes = list[tuple[list[int], int]]
+
+
+def turns_of(h: np.ndarray, window: int, turns: int = 12) -> Iterator[tuple[Shapes, np.ndarray]]:
+    """Filled windows ``(lengths, times)`` by the rounded solution, and the histogram that is left, after
+    each turn."""
+    left, shapes = h.copy(), []
+    weight = np.arange(len(h)) / window  # a token more or less weighs the same at every length
+    for turn in range(turns):
+        columns = combinations(left, window, seed=turn)
+        x = nnls(columns, left.astype(float), weight)
+        whole = np.floor(x + 1e-9).astype(np.int64)
+        ones, placed = np.ones(len(x), np.int64), 0
+        for wanted, by in ((whole, x), (ones, x - whole)):
+            for k in np.argsort(-by, kind="stable").tolist():
+                if by[k] <= 1e-6 or not wanted[k]:
+                    break
+                lengths = columns[k][columns[k] > 0]
+                own, uses = np.unique(lengths, return_counts=True)
+                times = min(int(wanted[k]), int((left[own] // uses).min()))
+                if times:
+                    left[own] -= times * uses
+                    shapes.append((lengths.tolist(), times))
+                    placed += times * len(lengths)
+        yield list(shapes), left.copy()
+        if placed <= 0.01 * h.sum():
             break
-        for k in set(lengths):
-            times = min(times, int(left[k]) // lengths.count(k))
-        if times:
-            shapes.append((lengths, times))
-            for k in lengths:
-                left[k] -= times
-    there = np.flatnonzero(left).tolist()
-    import bisect
 
+
+def greedy(h: np.ndarray, window: int) -> Shapes:
+    """Windows filled from the largest length that still fits, again and again."""
+    left, shapes = h.copy(), []
+    there = np.flatnonzero(left).tolist()
     while there:
         gap, lengths = window, []
         take: dict[int, int] = {}
@@ -101,7 +122,7 @@ def plan(h: np.ndarray, window: int) -> tuple[np.ndarray, int]:
             if not i:
                 break
             k = there[i - 1]
-            fit = min(gap // k, int(left[k]) - take.get(k, 0))
+            fit = min(gap // k, int(left[k]))
             if fit:
                 take[k] = fit
                 lengths += [k] * fit
@@ -113,6 +134,29 @@ def plan(h: np.ndarray, window: int) -> tuple[np.ndarray, int]:
             left[k] -= n * times
             if not left[k]:
                 there.remove(k)
+    return shapes
+
+
+def solve(h: np.ndarray, window: int) -> tuple[Shapes, Shapes]:
+    """Windows of the solution and of the greedy residual, after as many turns as need the fewest
+    windows together, so never more than the greedy packing alone needs."""
+    best = ([], greedy(h, window))
+    count = lambda shapes: sum(n for _, n in shapes)
+    for shapes, left in turns_of(h, window):
+        rest = greedy(left, window)
+        if count(shapes) + count(rest) <= count(best[0]) + count(best[1]):
+            best = (shapes, rest)
+    return best
+
+
+def plan(h: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+    """Slots ``(length, first rank, ranks, first sequence, offset)``, by length and first rank, and
+    the number of sequences. ``h[k]`` counts the pieces of length k; every piece gets a slot."""
+    left = h.astype(np.int64).copy()
+    full = int(left[window])
+    left[window] = 0
+    solved, rest = solve(left, window)
+    shapes = [([window], full)] * (full > 0) + solved + rest
     rank = np.zeros(window + 1, np.int64)
     slots, sequence = [], 0
     for lengths, times in shapes:
