@@ -376,7 +376,7 @@ def test_repair_round_trip():
     rng = np.random.default_rng(3)
     ids = np.concatenate([np.tile(rng.integers(0, 50, 30), 60), rng.integers(0, 50, 3000), np.full(500, 7)]).astype(np.int32)
     doc = np.sort(rng.integers(0, 40, len(ids))).astype(np.int32)
-    seq, owner, rules = token_output.repair(ids, doc, rounds=6)
+    seq, owner, rules = token_output.repair(ids, doc)
     assert len(seq) < 0.7 * len(ids) and (token_output.expand(seq, rules) == ids).all()
     sizes = np.where(seq >= token_output.FIRST_RULE, np.append(token_output.rule_lengths(rules), 1)[np.minimum(np.maximum(seq - token_output.FIRST_RULE, 0), len(rules))], 1)
     assert (np.bincount(owner, sizes, 40) == np.bincount(doc, minlength=40)).all()

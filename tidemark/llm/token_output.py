@@ -27,57 +27,101 @@ SEGMENT = 2_000_000
 SHARD_BYTES = 8 << 20
 
 
-def repair(ids: np.ndarray, doc: np.ndarray, rounds: int | None = None, pairs: int = 4096, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, doc: np.ndarray, pairs: int = 4096, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one segment: symbols, their documents, and rules as rows (left, right).
 
-    Each round counts all neighbours in hashed bins, takes the most frequent pairs exactly, and
-    replaces up to ``pairs`` of them at once: no symbol is on the left of one and on the right of
-    another, so occurrences do not overlap; in a run of one symbol, pairs are taken from the left. Rounds
-    end when no pair occurs ``least`` times, or after ``rounds`` where that is given.
+    Rounds replace up to ``pairs`` of the most frequent pairs at once, so chosen that no symbol is on the
+    left of one and on the right of another, and occurrences do not overlap; in a run of one symbol,
+    pairs are taken from the left. Rounds end when no pair occurs ``least`` times.
+
+    Counts are kept up, not taken anew: symbols form a linked list, each place knows the number of its
+    pair, and a round looks only at places whose pair is still frequent. A pair that is not frequent can
+    only lose occurrences, and every pair that comes up holds a symbol of the latest round, so new pairs
+    are counted over the places next to replaced ones.
     """
-    seq, rules = ids.astype(np.int32), []
-    count = done = 0
-    bits = 20
-    while len(seq) > 1 and (rounds is None or done < rounds):
-        done += 1
-        inside = doc[1:] == doc[:-1]
-        spot = ((seq[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (seq[1:].astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
-        same = np.flatnonzero(inside & (seq[1:] == seq[:-1]))
-        nth = np.arange(len(same))
-        first = np.ones(len(same), bool)
-        first[1:] = same[1:] != same[:-1] + 1
-        inside[same[(nth - np.maximum.accumulate(np.where(first, nth, 0))) % 2 == 1]] = False
-        bins = np.bincount(spot[inside], minlength=1 << bits)
-        top = max(least, int(np.partition(bins, -2 * pairs)[-2 * pairs]))
-        while True:
-            often = np.flatnonzero(inside & (bins >= top)[spot])
-            key = (seq[often].astype(np.int64) << 32) | seq[often + 1]
-            distinct, times = np.unique(key, return_counts=True)
-            order = np.argsort(-times, kind="stable")
-            order = order[times[order] >= least][:pairs]
-            if len(order) or top == least:
-                break
-            top = least  # the fullest bins held only rare pairs
-        left, right, chosen = set(), set(), []
-        for k in distinct[order].tolist():
-            a, b = k >> 32, k & 0xFFFFFFFF
-            if a not in right and b not in left:
-                left.add(a)
-                right.add(b)
-                chosen.append(k)
-        if not chosen:
+    n, rules = len(ids), []
+    if n < 2:
+        return ids.astype(np.int32), doc, np.empty((0, 2), np.int32)
+    sym = np.append(ids.astype(np.int32), -1)  # the last entry stands for "no neighbour"
+    after = np.arange(1, n + 2)
+    after[np.append(np.flatnonzero(doc[1:] != doc[:-1]), [n - 1, n])] = n
+    before = np.arange(-1, n)
+    before[np.append(0, np.flatnonzero(doc[1:] != doc[:-1]) + 1)] = n
+    pair = np.full(n + 1, -1, np.int32)  # of each place with its right neighbour; -1: not frequent, or none
+    left_of, right_of, live = [], [], []
+
+    def number(places: np.ndarray) -> np.ndarray:
+        """New numbers for the pairs at these places; the places of frequent ones."""
+        a, b = sym[places].astype(np.int64), sym[after[places]].astype(np.int64)
+        wide, deep = max(int(a.max(initial=0)), int(b.max(initial=0))).bit_length(), len(places).bit_length()
+        if 2 * wide + deep < 64:  # pair and place in one number: sorted without an index
+            both = ((a << wide | b) << deep) | np.arange(len(places))
+            both.sort()
+            key, order = both >> deep, both & ((1 << deep) - 1)
+        else:
+            key, wide = a << 32 | b, 32
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        times = np.diff(np.append(lead, len(key)))
+        kept = times >= least
+        base = sum(map(len, left_of))
+        left_of.append((key[lead[kept]] >> wide).astype(np.int32))
+        right_of.append((key[lead[kept]] & ((1 << wide) - 1)).astype(np.int32))
+        out = places[order[np.repeat(kept, times)]]
+        pair[out] = np.repeat(np.arange(base, base + kept.sum(), dtype=np.int32), times[kept])
+        return np.sort(out)
+
+    # hashed bins first: only places whose bin is full enough can hold a frequent pair
+    places = np.flatnonzero(after[:n] < n)
+    spot = ((sym[places].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (sym[places + 1].astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(12)
+    live = number(places[(np.bincount(spot, minlength=1 << 20) >= least)[spot]])
+    count = 0
+    while len(live):
+        lefts, rights, own = np.concatenate(left_of), np.concatenate(right_of), pair[live]
+        # in a run of one symbol every second pair overlaps the one before it
+        blocked = np.empty(0, np.int64)
+        if (lefts == rights).any():
+            at = np.flatnonzero((lefts == rights)[own])
+            at = at[np.argsort(live[at], kind="stable")]
+            same, nth = live[at], np.arange(len(at))
+            first = np.concatenate([[True], after[same[:-1]] != same[1:]]) if len(at) else np.empty(0, bool)
+            blocked = at[(nth - np.maximum.accumulate(np.where(first, nth, 0))) % 2 == 1]
+        times = np.bincount(own, minlength=len(lefts)) - np.bincount(own[blocked], minlength=len(lefts))
+        order = np.flatnonzero(times >= least)
+        if not len(order):
             break
-        chosen = np.array(sorted(chosen), np.int64)
-        at = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = chosen[at] == key
-        where = often[hit]
-        seq[where] = FIRST_RULE + count + at[hit]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq, doc = seq[keep], doc[keep]
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1).astype(np.int32))
+        order = order[np.argsort(-times[order], kind="stable")][:pairs]
+        on_left, on_right, chosen = set(), set(), []
+        for k, a, b in zip(order.tolist(), lefts[order].tolist(), rights[order].tolist(), strict=True):
+            if a not in on_right and b not in on_left:
+                on_left.add(a)
+                on_right.add(b)
+                chosen.append(k)
+        rule = np.full(len(lefts), -1, np.int32)
+        rule[chosen] = np.arange(count, count + len(chosen), dtype=np.int32)
         count += len(chosen)
-    return seq, doc, np.concatenate(rules) if rules else np.empty((0, 2), np.int32)
+        rules.append(np.stack([lefts[chosen], rights[chosen]], axis=1))
+        hit = rule[own]
+        hit[blocked] = -1
+        taken = np.flatnonzero(hit >= 0)
+        where = live[taken]
+        gone = after[where]
+        sym[where] = FIRST_RULE + hit[taken]
+        sym[gone] = -1
+        pair[gone] = -1
+        after[where] = after[gone]
+        before[after[where]] = where
+        before[n] = n
+        near = np.zeros(n + 1, bool)
+        near[where] = near[before[where]] = True
+        touched = np.flatnonzero(near[:n])
+        pair[touched] = -1
+        touched = touched[(after[touched] < n) & (sym[touched] >= 0)]
+        live = live[(times >= least)[own] & (pair[live] >= 0)]
+        live = np.concatenate([live, number(touched)])
+    alive = np.flatnonzero(sym[:n] >= 0)
+    return sym[alive], doc[alive], np.concatenate(rules).astype(np.int32) if rules else np.empty((0, 2), np.int32)
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
