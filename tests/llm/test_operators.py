@@ -404,6 +404,26 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(table.where("vec_id >= 904")).count() == 4
 
 
+def test_embedding_recall_as_registered(spark):
+    """At the registered recall, against brute force, with text labels, several lengths and extra columns."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(150, 32))
+    x = np.repeat(centres, 8, 0) + 0.1 * rng.normal(size=(1200, 32))
+    label = np.array(["red", "blue"])[rng.integers(0, 2, len(x))]
+    rows = [(i, v.tolist(), k, "x", 1.0) for i, (v, k) in enumerate(zip(x, label.tolist(), strict=True))]
+    rows += [(5000 + i, v[:9].tolist(), k, None, None) for i, (v, k) in enumerate(zip(x[:40], label[:40].tolist(), strict=True))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep string, weight double")).collect()}
+    links = found = 0
+    for part, ids in ((x, range(1200)), (x[:40, :9], range(5000, 5040))):
+        u = part / np.linalg.norm(part, axis=1, keepdims=True)
+        near = (u @ u.T >= 0.93) & (label[: len(u), None] == label[: len(u)])
+        np.fill_diagonal(near, False)
+        links += near.sum()
+        found += sum(got[i] for i in ids)
+        assert all(got[i] <= n for i, n in zip(ids, near.sum(1), strict=True))
+    assert links > 4000 and found >= 0.95 * links
+
+
 def test_pipeline(spark, tmp_path):
     """Planted copies, passages and leaks go; clean texts arrive whole."""
     import corpus_pipeline

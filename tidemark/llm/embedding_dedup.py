@@ -61,28 +61,31 @@ class MultiIndex:
         noise = rng.normal(size=q.shape)
         noise = unit(noise - (noise * q).sum(1, keepdims=True) * q) if x.shape[1] > 1 else np.zeros_like(q)
         near = limit * q + np.sqrt(max(0.0, 1 - limit**2)) * noise
-        total = self.k[0] * self.k[1]
-        ranks = np.minimum(self._rank(q, self.cells(near), total), self._rank(near, self.cells(q), total))
-        self.depth = int(np.clip(np.quantile(ranks, recall) + 1, 1, total))
+        ranks = np.minimum(self._rank(q, self.cells(near)), self._rank(near, self.cells(q)))
+        self.depth = int(np.clip(np.quantile(ranks, recall) + 1, 1, self.k[0] * self.k[1]))
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
-        return [((h[:, None] - b[None]) ** 2).sum(2) for h, b in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True)]
+        halves = (x[:, : self.half], x[:, self.half :])
+        return [np.maximum(0, (h**2).sum(1)[:, None] - 2 * h @ b.T + (b**2).sum(1)) for h, b in zip(halves, self.books, strict=True)]
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = self.distances(x)
         return a.argmin(1) * self.k[1] + b.argmin(1)
 
-    def _rank(self, x, cell, total):
-        order = self.visited(x, total)
-        return (order == cell[:, None]).argmax(1)
+    def _rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells each vector's traversal visits before the given one."""
+        a, b = self.distances(x)
+        b.sort(1)
+        at = np.arange(len(x))
+        own = a[at, cell // self.k[1]] + self.distances(x)[1][at, cell % self.k[1]]
+        return np.array([np.searchsorted(b[r], own[r] - a[r], "left").sum() for r in at])
 
     def visited(self, x: np.ndarray, depth: int) -> np.ndarray:
         """The first ``depth`` cells of each vector's traversal, nearest first."""
         a, b = self.distances(x)
-        oa, ob = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
-        i, j = np.divmod(np.arange(self.k[0] * self.k[1]), self.k[1])
-        fits = (i + 1) * (j + 1) <= depth
-        i, j = i[fits], j[fits]
+        i = np.repeat(np.arange(min(self.k[0], depth)), [min(self.k[1], depth // (r + 1)) for r in range(min(self.k[0], depth))])
+        j = np.arange(len(i)) - np.searchsorted(i, i)
+        oa, ob = a.argsort(1, kind="stable")[:, : i.max() + 1], b.argsort(1, kind="stable")[:, : j.max() + 1]
         sums = np.take_along_axis(a, oa, 1)[:, i] + np.take_along_axis(b, ob, 1)[:, j]
         best = sums.argsort(1, kind="stable")[:, :depth]
         return np.take_along_axis(oa[:, i] * self.k[1] + ob[:, j], best, 1)
@@ -104,7 +107,7 @@ def vectors(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)]) if len(column) else np.empty((0, 0))
 
 
-DEALT = "label int, grid int, role int, id long, weight long, cell int, visits binary, x binary"
+DEALT = "label string, grid int, role int, id long, weight long, cell int, visits binary, x binary"
 
 
 def by_length(batch: pa.RecordBatch):
@@ -128,7 +131,7 @@ def _deal(indexes: dict[int, tuple[MultiIndex, int]]):
                 n = unit(x)
                 cell, visits = index.cells(n), index.visited(n, index.depth).astype(np.int32)
                 grid = base + np.concatenate([cell[:, None] // index.k[1], visits // index.k[1]], axis=1)
-                label, ids, weight = (part.column(k).to_numpy() for k in (1, 0, 3))
+                label, ids, weight = part.column(1), part.column(0).to_numpy(), part.column(3).to_numpy()
                 rows, role, at = [], [], []
                 for r in range(len(x)):
                     lines = np.unique(grid[r, 1:])
@@ -138,7 +141,7 @@ def _deal(indexes: dict[int, tuple[MultiIndex, int]]):
                 rows, role, at = np.concatenate(rows), np.concatenate(role), np.concatenate(at)
                 raw, seen = [v.tobytes() for v in x], [v.tobytes() for v in visits]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[rows], pa.int32()), pa.array(at, pa.int32()), pa.array(role, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(weight[rows], pa.int64()), pa.array(cell[rows], pa.int32()), pa.array([seen[r] for r in rows], pa.binary()), pa.array([raw[r] for r in rows], pa.binary())],
+                    [label.take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(role, pa.int32()), pa.array(ids[rows], pa.int64()), pa.array(weight[rows], pa.int64()), pa.array(cell[rows], pa.int32()), pa.array([seen[r] for r in rows], pa.binary()), pa.array([raw[r] for r in rows], pa.binary())],
                     names=names,
                 )
 
@@ -148,7 +151,16 @@ def _deal(indexes: dict[int, tuple[MultiIndex, int]]):
 FOUND = "id long, linked long, other long"
 
 
-def _meet(limit: float, cells: int):
+def _among(visits: np.ndarray, rows: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+    """Which of the ascending ``cells`` each row visits."""
+    out = np.zeros((n, len(cells)), bool)
+    at = np.minimum(np.searchsorted(cells, visits), len(cells) - 1)
+    row, col = np.nonzero(cells[at] == visits)
+    out[rows[row], at[row, col]] = True
+    return out
+
+
+def _meet(limit: float):
     """Of one tile: each vector's new links by weight, and a spanning forest of the links."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,18 +170,21 @@ def _meet(limit: float, cells: int):
             get = lambda f, c, t: np.stack([np.frombuffer(v, t) for v in f[c]])
             mx, mv, mc, mi, mw = get(m, "x", np.float64), get(m, "visits", np.int32), m["cell"].to_numpy(), m["id"].to_numpy(), m["weight"].to_numpy()
             mn = np.linalg.norm(mx, axis=1)
-            sees = np.zeros((len(m), cells), bool)
-            sees[np.arange(len(m))[:, None], mv] = True
+            by_cell = np.argsort(mv, axis=None, kind="stable")
+            cells, who = mv.ravel()[by_cell], by_cell // mv.shape[1]
             gained = np.zeros(len(m), np.int64)
             for i in range(0, len(q), 1024):
                 p = q.iloc[i : i + 1024]
                 x, v, c, ids, w = get(p, "x", np.float64), get(p, "visits", np.int32), p["cell"].to_numpy(), p["id"].to_numpy(), p["weight"].to_numpy()
                 close = (x @ mx.T) >= limit * np.linalg.norm(x, axis=1)[:, None] * mn
-                seen = np.zeros((len(p), cells), bool)
-                seen[np.arange(len(p))[:, None], v] = True
-                link = close & seen[:, mc] & (ids[:, None] != mi)
+                # of the probes' visited cells, those of members; and the members that visit a probe's cell
+                seen = _among(v, np.arange(len(p)), np.unique(mc), len(p))
+                sees = np.zeros((len(np.unique(c)), len(m)), bool)
+                for k, cell in enumerate(np.unique(c)):
+                    sees[k, who[np.searchsorted(cells, cell) : np.searchsorted(cells, cell, "right")]] = True
+                link = close & seen[:, np.searchsorted(np.unique(mc), mc)] & (ids[:, None] != mi)
                 # a member that does not itself visit the probe's cell learns of the link here
-                back = link & ~sees[:, c].T
+                back = link & ~sees[np.searchsorted(np.unique(c), c)]
                 out_id.append(ids)
                 out_n.append(link @ mw)
                 gained += w @ back
@@ -202,7 +217,7 @@ def _meet(limit: float, cells: int):
 
 def fit(valid: DataFrame, total: int, limit: float, recall: float, sample: int = 20_000, per_cell: int = 640) -> MultiIndex | None:
     """Codebooks from at most some ``sample`` vectors, picked by a hash of their ids; their size grows
-    with the square root of the number of vectors, from 8 to 128."""
+    with the square root of the number of vectors, from 8 on, as far as the sample can fill them."""
     share = min(1.0, sample / max(total, 1))
     rows = valid.where(F.pmod(F.xxhash64("id", F.lit("index")), F.lit(1_000_003)) < share * 1_000_003).select("id", "x").collect()
     if not rows:
@@ -210,21 +225,21 @@ def fit(valid: DataFrame, total: int, limit: float, recall: float, sample: int =
     if not rows:
         return None
     rows.sort(key=lambda r: r["id"])
-    return MultiIndex(np.array([r["x"] for r in rows], np.float64), int(np.clip(np.sqrt(total / per_cell), 8, 128)), limit, recall)
+    return MultiIndex(np.array([r["x"] for r in rows], np.float64), int(np.clip(np.sqrt(total / per_cell), 8, max(8, len(rows) // 10))), limit, recall)
 
 
 def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, recall: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per vector.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without a
-    label, link with nothing. Vectors link only with others of their length; ``recall`` holds for the
+    label, link with nothing; labels may be of any type that has a text form. Vectors link only with others of their length; ``recall`` holds for the
     lengths that have an index, of the others every link is found. Equal vectors of a label are linked.
     Rows with a null id are left out, ids must be distinct; an empty table gives an empty result; other
     columns are ignored.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).cast("int").alias("label")).where("id is not null")
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).cast("string").alias("label")).where("id is not null")
     sound = F.expr("x is not null and label is not null and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('inf')) and exists(x, v -> v <> 0)")
     every = rows.select("id")
     # rows at the largest float magnitudes overflow a norm unless they are scaled; a cosine does not change
@@ -240,12 +255,11 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         indexes[r["d"]] = (index, base)
         base += index.k[0]
     dealt = scratch.save(classes.select("id", "label", "x", "weight").mapInArrow(_deal(indexes), DEALT), "dealt")
-    cells = max(index.k[0] * index.k[1] for index, _ in indexes.values())
     sides = dealt.groupBy("label", "grid").agg(F.ceil(F.sum(F.expr("int(role = 0)")) / MEMBERS).cast("int").alias("s"), F.ceil(F.sum("role") / PROBES).cast("int").alias("p")).where("s > 0 and p > 0")
     own, other = F.expr("pmod(xxhash64(id), if(role = 0, s, p))"), F.expr("sequence(0, if(role = 0, p, s) - 1)")
     tiles = dealt.join(sides, ["label", "grid"]).withColumn("own", own.cast("int")).withColumn("other", F.explode(other))
     tiles = tiles.withColumn("i", F.expr("if(role = 0, own, other)")).withColumn("j", F.expr("if(role = 0, other, own)"))
-    found = scratch.save(tiles.select("label", "grid", "i", "j", "role", "id", "weight", "cell", "visits", "x").groupBy("label", "grid", "i", "j").applyInPandas(_meet(limit, cells), FOUND), "found")
+    found = scratch.save(tiles.select("label", "grid", "i", "j", "role", "id", "weight", "cell", "visits", "x").groupBy("label", "grid", "i", "j").applyInPandas(_meet(limit), FOUND), "found")
     scratch.drop(dealt)
     linked = found.where("other is null").groupBy("id").agg(F.sum("linked").alias("linked"))
     comp = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
