@@ -9,6 +9,7 @@ conditional likelihood of labelled pages; ``labelled_pages`` makes a set of them
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -37,15 +38,74 @@ WORD_AT = {w: len(TAGS) + i for i, w in enumerate(WORDS)}
 ROLE_AT = {r: len(TAGS) + len(WORDS) + i for i, r in enumerate(ROLES)}
 BASE = len(TAGS) + len(WORDS) + len(ROLES)
 LEAF, OTHER, HIDDEN, NUMBERS = BASE, BASE + 1, BASE + 2, BASE + 3
-N_FEATURES = NUMBERS + 9
-
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+N_FEATURES = NUMBERS + 10
+
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTES = re.compile("[>\"']")
+#: Quoted values of one tag at most; a tag with more, or with an open quote, ends at its first ``>``.
+QUOTED = 256
+#: Levels of the block tree; what is nested deeper belongs to its ancestor on the last one.
+DEPTH = 200
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+")
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+
+
+def tag_end(source: str, at: int) -> int:
+    """Past the ``>`` that ends a tag whose attributes begin at ``at``; quoted values may hold one."""
+    first = source.find(">", at)
+    if first < 0:
+        return -1
+    for _ in range(QUOTED):
+        found = QUOTES.search(source, at)
+        if not found:
+            break
+        if found[0] == ">":
+            return found.end()
+        at = source.find(found[0], found.end()) + 1
+        if not at:
+            break
+    return first + 1
+
+
+def tokens(source: str):
+    """``(text, tag, ending, attributes, raw)``: text up to a tag, and the tag (none at the end). Comments,
+    declarations and the bodies of raw elements are left out; time is linear in the page."""
+    at, text, last = 0, [], source.rfind(">")
+    while True:
+        start = source.find("<", at)
+        if start < 0 or start > last:
+            # no tag can end any more; an open comment hides the rest
+            comment = source.find("<!--", at)
+            text.append(source[at:] if comment < 0 else source[at:comment])
+            yield "".join(text), "", False, "", False
+            return
+        text.append(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(source)
+            continue
+        if source.startswith(("<!", "<?"), start):
+            at = source.find(">", start) + 1
+            continue
+        ending = source.startswith("</", start)
+        name = TAG_NAME.match(source, start + 1 + ending)
+        end = tag_end(source, name.end()) if name else -1
+        if end < 0:  # a bare "<", or "</>", which browsers drop
+            at = start + 1
+            if source.startswith("</>", start):
+                at = start + 3
+            else:
+                text.append("<")
+            continue
+        tag, attrs = name[0].lower(), source[name.end() : end - 1]
+        raw = not ending and tag in RAW and not (attrs.endswith("/") and tag in ("svg", "math"))
+        at = end
+        if raw:
+            close = RAW_END[tag].search(source, at)
+            at = close.end() if close else len(source)
+        yield "".join(text), tag, ending, attrs, raw
+        text = []
 
 
 class Page:
@@ -70,6 +130,8 @@ class Page:
     def _parse(self, source: str):
         root = self._node(-1, [OTHER])
         stack: list[tuple[str, int]] = [("", root)]  # open elements; inline ones keep their block's node
+        opened: dict[str, list[int]] = {}  # by tag: places in the stack
+        blocks, hard = [0], [0]  # places of open block elements; of those that are no paragraph
         pieces: list[str] = []
         linked, in_link, count = 0, 0, 0
 
@@ -82,81 +144,70 @@ class Page:
                     self.texts[node], self.links[node], self.chars[node], self.linked[node] = text, count, len(text), min(linked, len(text))
             pieces, linked, count = [], 0, 0
 
+        def push(tag: str, node: int):
+            opened.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
+                if tag != "p":
+                    hard.append(len(stack))
+            stack.append((tag, node))
+
         def close(k: int):
             nonlocal in_link
-            for tag, _ in stack[k:]:
-                if tag == "a":
-                    in_link -= 1
-            if any(t not in INLINE for t, _ in stack[k:]):
+            if blocks[-1] >= k:
                 flush()
+            for tag, _ in stack[k:]:
+                opened[tag].pop()
+                in_link -= tag == "a"
+            while blocks[-1] >= k:
+                blocks.pop()
+            while hard[-1] >= k:
+                hard.pop()
             del stack[k:]
 
-        at = 0
-        match = TOKEN.search(source)
-        while match:
-            if match.start() > at:
-                piece = source[at : match.start()]
-                pieces.append(piece)
+        latest = lambda tags: max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+        for text, tag, ending, attrs, raw in tokens(source):
+            if text:
+                pieces.append(text)
                 if in_link:
-                    linked += len(piece.strip())
-            at = match.end()
-            tag = match["tag"] or match["tag2"]
-            if tag:
-                tag = tag.lower()
-                ending = match["end"] or match["end2"]
-                attrs = match["attrs"] or match["attrs2"] or ""
-                if ending:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            close(k)
-                            break
-                        if tag in INLINE and stack[k][0] not in INLINE and stack[k][0] != "p":
-                            break
-                    else:
-                        if tag in ("p", "br"):
-                            flush()
-                elif tag in RAW:
-                    end = RAW_END[tag].search(source, at) if not attrs.endswith("/") or tag not in ("svg", "math") else None
-                    if tag not in ("svg", "math") or not attrs.endswith("/"):
-                        at = end.end() if end else len(source)
-                    pieces.append(" ")
-                elif tag == "br":
-                    pieces.append("\n")
-                elif tag == "hr":
+                    linked += len(text.strip())
+            if not tag:
+                continue
+            if ending:
+                k = latest((tag,))
+                if k and (tag not in INLINE or hard[-1] < k):
+                    close(k)
+                elif not k and tag in ("p", "br"):
                     flush()
-                elif tag in VOID:
-                    if tag == "img":
-                        pieces.append(" ")
-                elif tag in INLINE:
-                    stack.append((tag, stack[-1][1]))
-                    if tag == "a":
-                        in_link += 1
-                        count += 1
-                else:
-                    if tag in BLOCK_IN_P:
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] == "p":
-                                close(k)
-                                break
-                            if stack[k][0] not in INLINE:
-                                break
-                    ends, scope = CLOSES.get(tag), SCOPE.get(tag, ())
-                    if ends:
-                        lowest = 0
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k][0] in scope:
-                                break
-                            if stack[k][0] in ends:
-                                lowest = k
-                        if lowest:
-                            close(lowest)
-                    flush()
-                    stack.append((tag, self._node(stack[-1][1], self._features(tag, attrs))))
+            elif raw:
+                pieces.append(" ")
+            elif tag == "br":
+                pieces.append("\n")
+            elif tag == "hr":
+                flush()
+            elif tag in VOID:
+                if tag == "img":
+                    pieces.append(" ")
+            elif tag in INLINE:
+                push(tag, stack[-1][1])
+                if tag == "a":
+                    in_link += 1
+                    count += 1
+            else:
+                if tag in BLOCK_IN_P and stack[blocks[-1]][0] == "p":
+                    close(blocks[-1])
+                if tag in CLOSES:
+                    scope = latest(SCOPE[tag])
+                    inside = [own[bisect.bisect_right(own, scope)] for t in CLOSES[tag] if (own := opened.get(t)) and own[-1] > scope]
+                    if inside:
+                        close(min(inside))
+                flush()
+                over = stack[-1][1]
+                if self.depth[over] < DEPTH:
+                    over = self._node(over, self._features(tag, attrs))
                     if attrs:
                         self.marks[-1] = attrs
-            match = TOKEN.search(source, at)
-        if at < len(source):
-            pieces.append(source[at:])
+                push(tag, over)
         flush()
 
     @staticmethod
@@ -190,7 +241,7 @@ class Forest:
         n = len(self.parent)
         chars, linked, links, leaves = (np.concatenate([np.array(getattr(p, k), float) for p in pages]) for k in ("chars", "linked", "links", "chars"))
         leaves = (leaves > 0).astype(float)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
+        self.levels = np.split(np.argsort(self.depth, kind="stable"), np.cumsum(np.bincount(self.depth))[:-1])[1:] if n else []
         own = chars.copy()
         for level in self.levels[::-1]:
             for x in (chars, linked, links, leaves):
@@ -209,6 +260,8 @@ class Forest:
         f[:, NUMBERS + 6] = self.leaf * (linked > 0.6 * np.maximum(chars, 1))
         f[:, NUMBERS + 7] = self.leaf * np.minimum(1, marks / 4)
         f[:, NUMBERS + 8] = self.leaf * (own < 30)
+        root = np.flatnonzero(self.parent < 0)
+        f[:, NUMBERS + 9] = chars / np.maximum(chars[root], 1)[np.array(self.page, np.int64)]
         self.features = f
 
     def passes(self, weights: np.ndarray, edges: np.ndarray):
@@ -241,12 +294,14 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[int(rng.integers(len(x)))]
     serial = 0
+    letters, sizes = rng.choice(list("abcdefghijklmnoprstuvéä"), 20_000), rng.integers(1, 9, 4000)
+    ends = np.cumsum(sizes)
+    vocabulary = ["".join(letters[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
     def words(lo, hi):
         nonlocal serial
         serial += 1
-        out = ["".join(rng.choice(list("abcdefghijklmnoprstuvéä"), int(rng.integers(1, 9)))) for _ in range(int(rng.integers(lo, hi)))]
-        text = " ".join(out)
+        text = " ".join(vocabulary[k] for k in rng.integers(0, len(vocabulary), int(rng.integers(lo, hi))).tolist())
         if rng.random() < 0.15:
             text = text.upper()
         return f"{text}{pick('.', '', '!', ' ***')} k{serial}"
@@ -291,6 +346,11 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
                     parts.append(f"<p>{pick('', '<b>')}{t}{link}{pick('</p>', '</p>', '<br>')}")
                 elif r < 0.76:
                     parts.append(f"<h2>{text(1, 8)}</h2>")
+                elif r < 0.79:  # lists and paragraphs of links belong to an article too
+                    tag = pick("ul", "ul", "ol")
+                    parts.append(f"<{tag}>" + "".join(f"<li><a href='/{i}'>{text(1, 12)}</a></li>" for i in range(int(rng.integers(1, 6)))) + f"</{tag}>")
+                elif r < 0.80:
+                    parts.append(f"<p><a href=x>{text(2, 14)}</a></p>")
                 elif r < 0.84:
                     parts.append("<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>")
                 elif r < 0.88:
@@ -313,6 +373,15 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
         core = f"<{frame}{name}>{content}{end if inside else ''}</{frame}>{'' if inside else end}"
         if rng.random() < 0.3:
             core = f"<{pick('main', 'div class=wrapper', 'div id=page', 'div class=container')}>{core}{pick('', junk['side']())}</div>"
+        if rng.random() < 0.3:  # a page that is little more than its article, or than its text
+            if rng.random() < 0.6:
+                good.clear()
+                lone = pick("p", "p", "div", "h1", "")
+                parts = [text(1, pick(3, 8, 25)) for _ in range(1 if not lone else int(rng.integers(1, 4)))]
+                content = "".join(f"<{lone}>{x}</{lone}>" if lone else x for x in parts)
+                core = f"<{frame}{name}>{content}</{frame}>"
+            out.append((pick(core, core, content, f"<body>{content}</body>", f"<html><head><title>{words(2, 6)}</title></head><body>{core}</body></html>", f"{core}{junk['foot']()}"), good))
+            continue
         before = [junk["top"]()] + [junk[k]() for k in ("ad", "notice", "side") if rng.random() < 0.4]
         after = [junk[k]() for k in ("side", "form", "ad", "share", "notice") if rng.random() < 0.25] + [junk["foot"]()]
         end_tags = pick("</body></html>", "")
@@ -320,7 +389,7 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
     return out
 
 
-def fit(pages: list[tuple[str, set[str]]] | None = None, rounds: int = 150, rate: float = 0.1, decay: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit(pages: list[tuple[str, set[str]]] | None = None, rounds: int = 120, rate: float = 0.1, decay: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and edge potentials (text or element, parent state, own state) by Adam on the exact
     conditional likelihood. A node above a content block is content."""
     pages = labelled_pages() if pages is None else pages

@@ -2,8 +2,8 @@
 
 Trusted positives and unlabelled web texts train a one-layer network on ``prior * E_p[l(g)] +
 max(0, E_u[l(-g)] - prior * E_p[l(-g)])``; when the second term is negative, its gradient is taken
-back instead. The class prior is estimated: from the labelled rows where both labels occur, else by
-the scores of held-back positives (Elkan and Noto, 2008). Features are shares of bytes, words and
+back instead. The class prior is estimated from the positives and the unlabelled texts alone (best bin
+estimation; Garg et al., 2021): no row is ever used as a negative. Features are shares of bytes, words and
 repetitions of the whole text; the text's source, language and id are no features.
 """
 
@@ -112,16 +112,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
         x = np.concatenate([xp, xu])
         a = np.tanh(x @ params[0] + params[1])
         g = a @ params[2] + params[3][0]
-        gp, gu = g[:batch], g[batch:]
-        sp, su = sigmoid(gp), sigmoid(gu)
-        negative = su.mean() - prior * sp.mean()
-        # derivatives of the two terms by the margins; the loss of a margin z is sigmoid(-z)
-        slope_p, slope_u = sp * (1 - sp) / batch, su * (1 - su) / len(gu)
-        dp_pos, dp_neg, du_neg = -prior * slope_p, -prior * slope_p, slope_u
-        if negative >= 0:
-            d = np.concatenate([dp_pos + dp_neg, du_neg])
-        else:
-            d = np.concatenate([-dp_neg, -du_neg])
+        d = np.concatenate(risk(g[:batch], g[batch:], prior)[1:])
         da = d[:, None] * params[2] * (1 - a * a)
         grads = [x.T @ da + decay * params[0], da.sum(0), a.T @ d + decay * params[2], np.array([d.sum()])]
         for i, grad in enumerate(grads):
@@ -140,16 +131,35 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
     return model
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> float:
-    """Share of positives among the unlabelled: a classifier of labelled against unlabelled gives held
-    back positives its mean score c, and the prior is the unlabelled mean of (s / (1 - s)) (1 - c) / c."""
-    order = np.random.default_rng(seed).permutation(len(positive))
-    held, rest = positive[order[::5]], positive[np.setdiff1d(order, order[::5])]
-    if not len(held) or not len(rest):
+def risk(g_positive: np.ndarray, g_unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of margins with the sigmoid loss, and the slopes that a step follows: the
+    risk's own where its second term is not negative, else that term's with its sign turned."""
+    sp, su = sigmoid(g_positive), sigmoid(g_unlabelled)
+    second = su.mean() - prior * sp.mean()
+    slope_p, slope_u = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+    value = prior * (1 - sp).mean() + max(0.0, second)
+    if second >= 0:
+        return value, -2 * prior * slope_p, slope_u
+    return value, prior * slope_p, -slope_u
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled. A model ranks held-back texts of both kinds; above a
+    threshold that negatives do not reach, the share of unlabelled texts is the prior times the share of
+    positives. The threshold is the one with the smallest upper confidence bound of their ratio."""
+    rng = np.random.default_rng(seed)
+    p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    held_p, held_u = p[: len(p) // 3], u[: len(u) // 3]
+    if len(held_p) < 10 or len(held_u) < 10:
         return 0.5
-    model = train(rest, unlabelled, 0.5, steps=400)
-    c = model.score(held).mean()
-    return float(np.clip(np.minimum(1, model.score(unlabelled) / max(c, 1e-6)).mean(), 0.05, 0.95))
+    model = train(p[len(held_p) :], u[len(held_u) :], 0.5, steps=400)
+    sp, su = np.sort(model.margin(held_p)), np.sort(model.margin(held_u))
+    share = lambda sorted_scores, c: 1 - np.searchsorted(sorted_scores, c, "left") / len(sorted_scores)
+    cuts = np.unique(sp)
+    above_p, above_u = share(sp, cuts), share(su, cuts)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(su)) + 1 / np.sqrt(len(sp)))
+    best = np.argmin((above_u + slack) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
 def _picked(frame: DataFrame, most: int, total: int, what: str) -> DataFrame:
@@ -159,11 +169,11 @@ def _picked(frame: DataFrame, most: int, total: int, what: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 4000, unlabelled: int = 8000, prior: float | None = None) -> Model | None:
     """Train on at most some ``positives`` trusted rows and ``unlabelled`` texts, picked by a hash of
-    their ids, and on whole texts. Without a positive or a text there is no model."""
+    their ids, and on whole texts. Only labels of 1 are used. Without a positive or a text there is no
+    model."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("mark")).where("mark is not null and doc_id is not null")
-    count = {r["mark"]: r["n"] for r in marks.where("mark in (0, 1)").groupBy("mark").agg(F.count("*").alias("n")).collect()}
-    good, bad = count.get(1, 0), count.get(0, 0)
+    good = marks.where("mark = 1").count()
     if not good:
         return None
     trusted = _picked(marks.where("mark = 1").select("doc_id").distinct(), positives, good, "positive")
@@ -175,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(x[0]) or not len(x[1]):
         return None
     if prior is None:
-        prior = good / (good + bad) if bad else estimate_prior(x[1], x[0])
+        prior = estimate_prior(x[1], x[0])
     return train(x[1], x[0], prior)
 
 

@@ -26,11 +26,11 @@ import pyarrow.compute
 from .kernels import LOWER, SPACE, Roller, U, spread, text_buffer
 
 #: Ids of cached units that a worker keeps; beyond it the cache starts anew.
-CACHE = 6_000_000
+CACHE = 4_000_000
 #: Bits of the table that finds a cached unit.
-TABLE = 21
+TABLE = 20
 #: Bytes of text that are encoded at a time.
-STEP = 1 << 20
+STEP = 1 << 19
 
 LETTER, PUNCT, OTHER = 1, 2, 3
 KIND = np.full(256, OTHER, np.uint8)
@@ -66,7 +66,7 @@ class UnitEncoder:
 
     def clear(self):
         self.flat = np.empty(1 << 16, np.int32)
-        self.at = np.zeros(1 << 14, np.int64)
+        self.at = np.zeros(1 << 14, np.int32)
         self.used = self.count = 0
         self.seen = np.zeros(1 << TABLE, np.uint64)
         self.seen_slot = np.zeros(1 << TABLE, np.int32)
@@ -114,7 +114,7 @@ class UnitEncoder:
         """Slots of new units with these ids."""
         n = self.count + len(counts)
         if n + 2 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(n + 2, len(self.at)), np.int64)])
+            self.at = np.concatenate([self.at, np.zeros(max(n + 2, len(self.at)), np.int32)])
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -179,9 +179,10 @@ class UnitEncoder:
             slot[missed] = slots[inverse]
             self.seen[spot[where]] = distinct
             self.seen_slot[spot[where]] = slots
-        sizes = self.at[slot + 1] - self.at[slot]
+        begin = self.at[slot].astype(np.int64)
+        sizes = self.at[slot + 1] - begin
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.at[slot] - total[:-1], sizes) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
         counts = np.diff(total[first])
         odd = self.odd_rows(data, at) if self.form == "bytes" else ()
         if len(odd):
