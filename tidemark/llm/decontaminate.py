@@ -11,7 +11,8 @@ to it where the item is short.
   times its length, staying or stepping by a random bit of the step and the word under it. Few edits
   become few differing places.
 * **LSH.** Each walk is sampled at a few places, and equal samples make a candidate. Their number of
-  repetitions follows from ``recall``, by the differences seen between the items and edited items.
+  repetitions follows from ``recall``, by the differences seen between the items and edited items; for
+  items that no affordable number serves, every window that a word sequence places is a candidate.
 * **Verification.** The word edit distance of the item and the best run around the window is exact.
 """
 
@@ -28,8 +29,11 @@ from .kernels import Roller, U, mix, spread
 from .language_id import letter_words
 from .tokens import lean, slices
 
-#: Items held in memory at a time; a larger benchmark takes several passes.
-ITEMS = 20_000
+#: Items and bytes of their texts held in memory at a time; a larger benchmark takes several passes.
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
+#: Repetitions at most. Items that would need more to reach the recall are compared wherever a seed puts
+#: them, without the LSH.
+REPETITIONS = 256
 SAMPLED = 2
 
 
@@ -64,8 +68,8 @@ class Walk:
         return h
 
 
-def repetitions(items: np.ndarray, k: int, recall: float, seed: int) -> int:
-    """Repetitions that reach ``recall`` for items with k random edits, by trial."""
+def repetitions(items: np.ndarray, k: int, recall: float, seed: int) -> int | None:
+    """Repetitions that reach ``recall`` for items with k random edits, by trial; None if too many."""
     rng = np.random.default_rng((seed, items.shape[1], k))
     length = items.shape[1]
     trial = items[rng.integers(0, len(items), 48)]
@@ -86,8 +90,10 @@ def repetitions(items: np.ndarray, k: int, recall: float, seed: int) -> int:
     same = (walk.outputs(trial) == walk.outputs(edited)).mean(2)
     hit = (same**SAMPLED).mean(1)  # per edited item
     r = 1
-    while (1 - (1 - hit) ** r).mean() < recall and r < 256:
+    while (1 - (1 - hit) ** r).mean() < recall:
         r += 1 + r // 8
+        if r > REPETITIONS:
+            return None
     return r
 
 
@@ -148,7 +154,11 @@ class Detector:
             own = np.flatnonzero(sizes == length)
             rows = np.stack([self.items[n] for n in own])
             k = self.edits[own[0]]
-            walk = Walk(length, repetitions(rows, k + k // 2, recall, seed), seed)
+            repeats = repetitions(rows, k + k // 2, recall, seed)
+            if repeats is None:
+                self.walks[length] = (None, [])
+                continue
+            walk = Walk(length, repeats, seed)
             tables = []
             for h in walk.samples(rows).T:
                 order = np.argsort(h, kind="stable")
@@ -185,6 +195,9 @@ class Detector:
         lengths = self.sizes[item]
         for length in np.unique(lengths).tolist():
             walk, tables = self.walks[length]
+            if walk is None:
+                found.update(map(tuple, keys[lengths == length][:, ::-1].tolist()))
+                continue
             k = int(self.edits[item[lengths == length][0]])
             shift = np.arange(-k, k + 1, max(1, k // 2 + k % 2))
             s = np.unique((origin[lengths == length][:, None] + np.append(shift, 0)).ravel())
@@ -239,12 +252,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     region that holds the best match and its word edits.
 
     Null and empty texts match nothing, nor do items without a word or with a null id or text; items
-    under ``min_words`` words match only word for word; repeated items each match. Rows with a null id are left out, other columns are
-    ignored. Items are held ``ITEMS`` at a time, so a large benchmark takes several passes over ``docs``.
+    under ``min_words`` words match only word for word; repeated items each match. Rows with a null id are
+    left out, other columns are ignored, whatever their names. Items are held ``ITEMS`` or ``ITEM_BYTES``
+    at a time, so a large benchmark takes several passes over ``docs``.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
-    passes = max(1, math.ceil(items.count() / ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    passes = max(1, math.ceil(size["n"] / ITEMS), math.ceil(size["b"] / ITEM_BYTES))
     out = None
     for n in range(passes):
         block = sorted(items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == n).collect())

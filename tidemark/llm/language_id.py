@@ -20,7 +20,8 @@ from .scratch import small_batches
 from .tokens import lean, slices
 
 BITS = 18
-TABLE = 20
+#: Bits of the table of words whose evidence is known, up to eight labels.
+TABLE = 19
 
 
 def letter_words(column: pa.Array, digits: bool = False):
@@ -149,12 +150,13 @@ class Tagger:
     def __init__(self, weights, trans, labels):
         self.weights, self.trans, self.labels = weights, trans, labels
         self.roller = Roller(83)
-        self.keys = np.zeros(1 << TABLE, np.uint64)
-        self.emit = np.zeros((1 << TABLE, len(labels)), np.float32)
+        self.bits = TABLE - max(0, (len(labels) - 1).bit_length() - 3)  # more labels, fewer cached words
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.emit = np.zeros((1 << self.bits, len(labels)), np.float32)
 
     def word_emissions(self, data, start, end) -> np.ndarray:
         words = self.roller.words(data, start, end)
-        spot = (words & U((1 << TABLE) - 1)).astype(np.int64)
+        spot = (words & U((1 << self.bits) - 1)).astype(np.int64)
         out = self.emit[spot]
         missed = np.flatnonzero(self.keys[spot] != words)
         if len(missed):
@@ -176,7 +178,7 @@ class Tagger:
         i = 0
         while i < len(order):
             j = i + 1
-            while j < len(order) and j - i < 1024 and counts[order[j]] * (j + 1 - i) <= 300_000:
+            while j < len(order) and j - i < 1024 and counts[order[j]] * (j + 1 - i) <= 80_000:
                 j += 1
             rows = order[i:j]
             row, place = spread(counts[rows])
@@ -235,15 +237,19 @@ def _apply(model, spans: bool):
     return lean(run)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, **options):
-    """Train on at most ``per_lang`` texts of each language, picked by a hash of their ids; whole texts
-    of the picked rows are used. Rows with a null text or language are left out."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("i is not null and t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("l") == lang, F.lit(min(1.0, 1.5 * per_lang / n))).otherwise(share)
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_bytes: int = 1 << 16, languages: int = 200, **options):
+    """Train on at most ``per_lang`` texts of each of the commonest ``languages``, picked by a hash of
+    their ids; whole texts of the picked rows are used. Texts over ``most_bytes`` are picked only where a
+    language has no shorter one, so the sample is bounded. Rows with a null text or language are left
+    out, other columns are ignored; without a row the model knows no language."""
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("i is not null and t is not null and l is not null")
+    short = F.octet_length("t") <= most_bytes
+    known = rows.groupBy("l").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).orderBy(F.desc("n"), "l").limit(languages).collect()
     spot = F.pmod(F.xxhash64("i", F.lit("language")), F.lit(1_000_003))
+    share = F.lit(0.0)
+    for r in known:
+        usable = short if r["short"] else F.lit(True)
+        share = F.when((F.col("l") == r["l"]) & usable, F.lit(min(1.0, 1.5 * per_lang / (r["short"] or r["n"])))).otherwise(share)
     picked = rows.withColumn("k", spot).where(F.col("k") < share * 1_000_003)
     found = sorted(((r["l"], r["k"], r["i"], r["t"]) for r in picked.collect()), key=lambda x: x[:3])
     texts, langs, seen = [], [], {}

@@ -32,12 +32,15 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are long: hand them to Python workers in batches of fewer rows than Spark's default, unless
-    the session already asks for fewer. It stays so for the session, as plans are run after they are made."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Texts are long: hand them to Python workers in batches of fewer rows and bytes than Spark's defaults,
+    unless the session already asks for less. It stays so for the session, as plans run after they are
+    made."""
+    for key, most, default in (("maxRecordsPerBatch", rows, 10_000), ("maxBytesPerBatch", size, 1 << 62)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key, str(default)))  # a value with a unit is the user's
+        if now and not 0 < int(now[1]) <= most:
+            spark.conf.set(key, most)
 
 
 def _file_system(spark: SparkSession, path: str):

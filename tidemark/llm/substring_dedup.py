@@ -245,7 +245,7 @@ class FingerprintIndex:
 
     def _list(self, runs: list[str]) -> None:
         self.version += 1
-        self.spark.createDataFrame([(r,) for r in sorted(runs)], "run string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists/{self.version:08d}")
+        self.spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(runs)))).alias("run")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists/{self.version:08d}")
         self.runs = sorted(runs)
 
     def matches(self, batch: DataFrame) -> DataFrame:

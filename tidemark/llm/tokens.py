@@ -45,13 +45,12 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = json.dumps(spec.get("pre_tokenizer"))
-        normal = json.dumps(spec.get("normalizer"))
-        if spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space") and spec.get("normalizer") is None:
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        normal = self.tokenizer.normalizer.__getstate__().decode() if self.tokenizer.normalizer else ""
+        written = json.dumps(pre)
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not normal:
             self.form, self.separator = "bytes", b"\n"
-        elif "[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and "[\\\\p{N}]|" in pre and "Lowercase" in normal and '"invert": true' in pre:
+        elif "[^\\\\s\\\\p{L}\\\\p{N}]+" in written and "[\\\\p{N}]|" in written and "Lowercase" in normal and '"invert": true' in written:
             self.form, self.separator = "words", b" 1 "
         else:
             self.form = "whole"
