@@ -36,7 +36,7 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) ->
     """Texts are long: hand them to Python workers in batches of fewer rows and bytes than Spark's defaults,
     unless the session already asks for less. It stays so for the session, as plans run after they are
     made."""
-    for key, most, default in (("maxRecordsPerBatch", rows, 10_000), ("maxBytesPerBatch", size, 1 << 62)):
+    for key, most, default in (("maxRecordsPerBatch", rows, 10_000), ("maxBytesPerBatch", size, 1 << 30)):
         key = f"spark.sql.execution.arrow.{key}"
         now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key, str(default)))  # a value with a unit is the user's
         if now and not 0 < int(now[1]) <= most:
