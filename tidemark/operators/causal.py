@@ -1,7 +1,9 @@
-"""Lagged causal links per run (PCMCI with partial correlations) and their aggregation over runs.
+"""Lagged causal links (PCMCI with partial correlations) and their aggregation over runs.
 
 The algorithm follows Runge et al., Science Advances 5 (2019): a PC step finds each variable's lagged
-parents, the MCI step tests every link given both sides' parents. One run is one group of a grouped map.
+parents, the MCI step tests every link given both sides' parents. All its tests are partial correlations
+of lagged variables, so it needs no rows: parts of runs give sums of products of the lagged variables,
+which are added up by run (or over all runs), and the search works on those sums.
 """
 
 from __future__ import annotations
@@ -19,33 +21,36 @@ from ..functions.stats import t_two_sided
 LINKS = "run_id string, src string, tgt string, tau int, val double, pval double"
 
 
-class Panel:
-    """A run's standardised series; rows before ``2 * tau_max`` only serve as lags."""
+class Moments:
+    """Correlations of variables at lags from 0 to ``2 * tau_max``, from sums over places."""
 
-    def __init__(self, x: np.ndarray, tau_max: int):
-        self.x, self.start, self.t = x, 2 * tau_max, len(x)
-
-    def column(self, i: int, tau: int) -> np.ndarray:
-        return self.x[self.start - tau : self.t - tau, i]
+    def __init__(self, n: int, sums: np.ndarray, products: np.ndarray, n_vars: int):
+        self.n, self.n_vars = n, n_vars
+        cov = products - np.outer(sums, sums) / max(n, 1)
+        size = np.sqrt(np.maximum(np.diag(cov), 0))
+        self.flat = size <= 1e-10 * np.sqrt(np.maximum(np.diag(products), 1e-300))
+        size = np.where(self.flat, 1.0, size)
+        self.corr = cov / np.outer(size, size)
 
     def test(self, a: tuple[int, int], b: tuple[int, int], given: list[tuple[int, int]]) -> tuple[float, float]:
         """Partial correlation of two lagged variables and its two-sided p-value."""
-        y = np.stack([self.column(*a), self.column(*b)], axis=1)
-        n = len(y)
-        z = np.stack([np.ones(n), *(self.column(*c) for c in given)], axis=1)
-        q, _ = np.linalg.qr(z)
-        y = y - q @ (q.T @ y)
-        size = np.sqrt((y**2).sum(0))
-        df = n - 2 - len(given)
-        if df < 1 or size.min() < 1e-10:
+        at = [tau * self.n_vars + i for i, tau in (a, b, *given)]
+        df = self.n - 2 - len(given)
+        if df < 1 or self.flat[at[:2]].any():
+            return 0.0, 1.0
+        rest = self.corr[np.ix_(at[:2], at[:2])]
+        if given:
+            across = self.corr[np.ix_(at[2:], at[:2])]
+            rest = rest - across.T @ np.linalg.lstsq(self.corr[np.ix_(at[2:], at[2:])], across, rcond=1e-12)[0]
+        if min(rest[0, 0], rest[1, 1]) < 1e-12:
             return 0.0, 1.0
-        r = float(np.clip(y[:, 0] @ y[:, 1] / (size[0] * size[1]), -1, 1))
+        r = float(np.clip(rest[0, 1] / math.sqrt(rest[0, 0] * rest[1, 1]), -1, 1))
         if abs(r) >= 1 - 1e-15:
             return r, 0.0
         return r, float(t_two_sided(r * math.sqrt(df / (1 - r * r)), df))
 
 
-def parents(panel: Panel, j: int, n_vars: int, tau_max: int, alpha: float) -> list[tuple[int, int]]:
+def parents(panel: Moments, j: int, n_vars: int, tau_max: int, alpha: float) -> list[tuple[int, int]]:
     """Lagged parents of a variable, strongest first."""
     left = [(i, tau) for i in range(n_vars) for tau in range(1, tau_max + 1)]
     weakest = dict.fromkeys(left, math.inf)
@@ -65,11 +70,9 @@ def parents(panel: Panel, j: int, n_vars: int, tau_max: int, alpha: float) -> li
     return left
 
 
-def pcmci(x: np.ndarray, tau_max: int, pc_alpha: float) -> list[tuple[int, int, int, float, float]]:
+def pcmci(panel: Moments, tau_max: int, pc_alpha: float) -> list[tuple[int, int, int, float, float]]:
     """Every tested link (source, target, lag, value, p-value)."""
-    n = x.shape[1]
-    sd = x.std(0)
-    panel = Panel((x - x.mean(0)) / np.where(sd > 0, sd, 1), tau_max)
+    n = panel.n_vars
     known = [parents(panel, j, n, tau_max, pc_alpha) for j in range(n)]
     out = []
     for j in range(n):
@@ -84,24 +87,90 @@ def pcmci(x: np.ndarray, tau_max: int, pc_alpha: float) -> list[tuple[int, int,
     return out
 
 
+#: Places of a run that one task turns into sums, and sums that one task adds up.
+PART, FAN_IN = 1 << 16, 256
+SUMS = "run_id string, part long, n long, sums binary, products binary"
+
+
+def usable(obs: DataFrame) -> DataFrame:
+    """Without the variables that have five values or fewer, or no spread over all runs."""
+    kept = obs.groupBy("variable").agg(F.count("value").alias("n"), F.stddev_pop("value").alias("sd")).where("n > 5 and sd > 1e-12").select("variable")
+    return obs.join(kept, "variable")
+
+
+def lagged_sums(obs: DataFrame, names: list[str], tau_max: int, impute: bool = True) -> DataFrame:
+    """``run_id, part, n, sums, products`` of the variables at lags 0 to ``2 * tau_max``, about their means
+    in the run. A missing value takes the run's mean, or (not ``impute``) leaves out the places whose lags
+    reach it. A part brings the places before it along, so parts and runs add up."""
+    back, width = 2 * tau_max, len(names)
+    means = obs.groupBy("run_id", "variable").agg(F.avg("value").alias("__mean"))
+    centred = obs.join(means, ["run_id", "variable"]).withColumn("value", F.col("value") - F.col("__mean"))
+    if impute:
+        centred = centred.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    x = F.array(*(F.max(F.when(F.col("variable") == v, F.col("value"))) for v in names))
+    rows = centred.groupBy("run_id", "seq").agg(x.alias("x")).withColumn("part", F.floor(F.col("seq") / PART))
+    ahead = F.when(F.col("seq") % PART >= PART - back, F.array(F.col("part"), F.col("part") + 1)).otherwise(F.array(F.col("part")))
+    rows = rows.withColumn("part", F.explode(ahead))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        first = pdf["part"].iloc[0] * PART
+        v = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width)
+        begin = max(back, int((pdf["seq"].to_numpy() < first).sum()))
+        z = np.concatenate([v[begin - lag : len(v) - lag] for lag in range(back + 1)], axis=1) if len(v) > begin else np.empty((0, width * (back + 1)))
+        z = z[~np.isnan(z).any(1)]
+        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [len(z)], "sums": [z.sum(0).tobytes()], "products": [(z.T @ z).tobytes()]})
+
+    return rows.groupBy("run_id", "part").applyInPandas(sums, SUMS)
+
+
+def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums added up by key, ``FAN_IN`` or so at a time, so that no task holds many."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = lambda c: np.sum([np.frombuffer(b) for b in pdf[c]], axis=0).tobytes()
+        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "sums": [total("sums")], "products": [total("products")]})
+
+    few = parts.withColumn("part", F.pmod(F.xxhash64("run_id", F.floor(F.col("part") / FAN_IN)), F.lit(FAN_IN)) if not keys else F.floor(F.col("part") / FAN_IN))
+    some = few.groupBy(*keys, "part").applyInPandas(add, SUMS)
+    return some.groupBy(*keys).applyInPandas(add, SUMS) if keys else some.groupBy(F.lit(0)).applyInPandas(add, SUMS)
+
+
+def _search(added: DataFrame, names: list[str], t: Thresholds) -> DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.itertuples():
+            size = len(names) * (2 * t.tau_max + 1)
+            if r.n + 2 * t.tau_max >= t.tau_max + 5:
+                panel = Moments(int(r.n), np.frombuffer(r.sums), np.frombuffer(r.products).reshape(size, size), len(names))
+                rows += [(r.run_id, names[i], names[j], tau, val, p) for i, j, tau, val, p in pcmci(panel, t.tau_max, t.pc_alpha) if p < t.link_alpha]
+        return pd.DataFrame(rows, columns=["run_id", "src", "tgt", "tau", "val", "pval"])
+
+    return added.groupBy("run_id").applyInPandas(one, LINKS)
+
+
+def _names(obs: DataFrame) -> list[str]:
+    return [r["variable"] for r in obs.select("variable", "var_pos").distinct().orderBy("var_pos", "variable").collect()]  # a row per variable
+
+
 def links(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Significant links of each run: ``run_id, src, tgt, tau, val, pval``. Missing values take the
     run's mean; variables with five values or fewer, or without spread over all runs, are left out;
     runs shorter than ``tau_max + 5`` give no row."""
-    usable = obs.groupBy("variable").agg(F.count("value").alias("n"), F.stddev_pop("value").alias("sd")).where("n > 5 and sd > 1e-12").select("variable")
-    tau_max, pc_alpha, alpha = t.tau_max, t.pc_alpha, t.link_alpha
+    kept = usable(obs)
+    names = _names(kept)
+    if not names:
+        return obs.sparkSession.createDataFrame([], LINKS)
+    return _search(_added(lagged_sums(kept, names, t.tau_max), ["run_id"]), names, t)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="seq", columns="variable", values="value").sort_index()
-        order = pdf.drop_duplicates("variable").sort_values(["var_pos", "variable"])["variable"].tolist()
-        wide = wide[order].astype(float)
-        wide = wide.fillna(wide.mean()).fillna(0.0)
-        rows = []
-        if len(wide) >= tau_max + 5 and len(wide) > 2 * tau_max + 3:
-            rows = [(pdf["run_id"].iloc[0], order[i], order[j], tau, val, p) for i, j, tau, val, p in pcmci(wide.to_numpy(), tau_max, pc_alpha) if p < alpha]
-        return pd.DataFrame(rows, columns=["run_id", "src", "tgt", "tau", "val", "pval"])
 
-    return obs.join(usable, "variable").groupBy("run_id").applyInPandas(one, LINKS)
+def pooled_links(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Links of all runs as one series: ``src, tgt, tau, val, pval``. No place is tested whose lags reach
+    over the start of a run or a missing value, so runs are masked from one another."""
+    kept = usable(obs)
+    names = _names(kept)
+    if not names:
+        return obs.sparkSession.createDataFrame([], LINKS).drop("run_id")
+    return _search(_added(lagged_sums(kept, names, t.tau_max, impute=False), []), names, t).drop("run_id")
 
 
 def run_status(obs: DataFrame, found: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -121,6 +190,16 @@ def lag_profile(found: DataFrame) -> DataFrame:
     return found.groupBy("src", "tgt", "tau").agg(F.count("*").alias("freq"), F.avg(F.abs("val")).alias("mean_abs"), F.stddev_pop(F.abs("val")).alias("sd_abs"))
 
 
+def top_links(freq: DataFrame, most: int = 20) -> DataFrame:
+    """The links of most runs."""
+    return freq.orderBy(F.desc("n_runs"), "src", "tgt", "tau").limit(most)
+
+
+def top_lag_profiles(found: DataFrame, most: int = 10) -> DataFrame:
+    """The pairs whose most frequent lag most runs have."""
+    return lag_arrays(found).orderBy(F.desc("max_freq"), "src", "tgt").limit(most)
+
+
 def lag_arrays(found: DataFrame) -> DataFrame:
     return lag_profile(found).groupBy("src", "tgt").agg(F.sort_array(F.collect_list(F.struct("tau", "freq", "mean_abs", "sd_abs"))).alias("lags"), F.max("freq").alias("max_freq"))
 

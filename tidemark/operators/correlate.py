@@ -1,8 +1,8 @@
 """Correlations from partial Gram matrices, rank correlations, and drift of pairs.
 
 Partitions of a wide table give sums over each pair of columns (over rows where both are present), so
-the shuffle is one row per pair and partition, whatever the number of rows. Columns are centred near
-their means first, which keeps the sums accurate.
+the shuffle is one row per pair and partition, whatever the number of rows. A partition's sums are about
+its own first row of each run, and are moved to the run's common centre when they are added up.
 """
 
 from __future__ import annotations
@@ -17,52 +17,90 @@ from ..functions.expressions import ess
 from ..functions.stats import normal_p
 from .obs import to_wide
 
-GRAM = "run_id string, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+#: Of a pair of columns: rows with both, and their means, sums of squares and of products about the means.
+MOMENTS = "n double, mx double, my double, sxx double, syy double, sxy double"
+GRAM = f"run_id string, i int, j int, {MOMENTS}"
 
 
-def _gram(width: int, centre: list[float], by_run: bool):
+def _gram(width: int, by_run: bool):
     upper = np.triu_indices(width, 1)
 
     def run(batches):
-        sums: dict[str | None, np.ndarray] = {}
-        shift = np.array(centre)
+        sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width) - shift
+            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width)
             keys = pdf["run_id"].to_numpy() if by_run else np.full(len(pdf), None)
             for key in pd.unique(pd.Series(keys)) if by_run else [None]:
                 own = x[keys == key] if by_run else x
+                if key not in sums:
+                    with np.errstate(all="ignore"):
+                        centre = np.nan_to_num(np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else 0.0 for c in own.T]))
+                    sums[key] = (centre, np.zeros((6, len(upper[0]))))
+                centre, total = sums[key]
                 valid = ~np.isnan(own)
-                v, m = np.where(valid, own, 0.0), valid.astype(float)
-                part = np.stack([(m.T @ m)[upper], (v.T @ m)[upper], (m.T @ v)[upper], ((v * v).T @ m)[upper], (m.T @ (v * v))[upper], (v.T @ v)[upper]])
-                sums[key] = sums[key] + part if key in sums else part
-        for key, s in sums.items():
-            yield pd.DataFrame({"run_id": [key] * s.shape[1], "i": upper[0].astype(np.int32), "j": upper[1].astype(np.int32), **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), s, strict=True))})
+                v, m = np.where(valid, own - centre, 0.0), valid.astype(float)
+                total += np.stack([(m.T @ m)[upper], (v.T @ m)[upper], (m.T @ v)[upper], ((v * v).T @ m)[upper], (m.T @ (v * v))[upper], (v.T @ v)[upper]])
+        for key, (centre, (n, sx, sy, sxx, syy, sxy)) in sums.items():
+            some = np.maximum(n, 1)
+            out = (n, sx / some + centre[upper[0]], sy / some + centre[upper[1]], sxx - sx * sx / some, syy - sy * sy / some, sxy - sx * sy / some)
+            yield pd.DataFrame({"run_id": [key] * len(n), "i": upper[0].astype(np.int32), "j": upper[1].astype(np.int32), **dict(zip(("n", "mx", "my", "sxx", "syy", "sxy"), out, strict=True))})
 
     return run
 
 
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments added up by key: each part's are moved to the common means."""
+    n = F.nullif(F.sum("n"), F.lit(0.0))
+    centre = parts.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mx")) / n).alias("cx"), (F.sum(F.col("n") * F.col("my")) / n).alias("cy"))
+    dx, dy, w = F.col("mx") - F.col("cx"), F.col("my") - F.col("cy"), F.col("n")
+    return parts.join(centre, keys).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.max("cx").alias("mx"), F.max("cy").alias("my"), F.sum(F.col("sxx") + w * dx * dx).alias("sxx"), F.sum(F.col("syy") + w * dy * dy).alias("syy"), F.sum(F.col("sxy") + w * dx * dy).alias("sxy")
+    )
+
+
 def variables_of(obs: DataFrame) -> list[str]:
     """Variables in column order; there are as many as columns."""
     return [r["variable"] for r in obs.select("variable", "var_pos").distinct().orderBy("var_pos", "variable").collect()]
 
 
-def gram_pearson(arrays: DataFrame, names: list[str], by_run: bool = False) -> DataFrame:
-    """From ``run_id, x`` (an array with a value or null per name) to ``[run_id,] var_a, var_b, r, n_pair``."""
-    row = arrays.agg(*(F.avg(F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])).alias(f"c{i}") for i in range(len(names)))).first()
-    centre = [float(v or 0.0) for v in row]
-    parts = arrays.select("run_id", F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x")).mapInPandas(_gram(len(names), centre, by_run), GRAM)
-    keys = ["run_id"] * by_run + ["i", "j"]
-    s = parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
-    n = F.nullif("n", F.lit(0.0))
-    cov, vx, vy = F.col("sxy") - F.col("sx") * F.col("sy") / n, F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
-    spread = (vx > 1e-12 * F.greatest("sxx", F.lit(1e-300))) & (vy > 1e-12 * F.greatest("syy", F.lit(1e-300)))
-    r = F.when(spread & (F.col("n") > 1), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))), F.lit(0.0)))))
+def gram_table(arrays: DataFrame, names: list[str], by_run: bool = False) -> DataFrame:
+    """From ``run_id, x`` (an array with a value or null per name): ``[run_id,] var_a, var_b`` and moments."""
+    parts = arrays.select("run_id", F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x")).mapInPandas(_gram(len(names), by_run), GRAM)
+    keys = ["run_id"] * by_run
     label = F.array(*map(F.lit, names))
-    return s.select(*["run_id"] * by_run, label[F.col("i")].alias("var_a"), label[F.col("j")].alias("var_b"), r.alias("r"), F.col("n").cast("long").alias("n_pair"))
+    named = parts.select(*keys, label[F.col("i")].alias("var_a"), label[F.col("j")].alias("var_b"), "n", "mx", "my", "sxx", "syy", "sxy")
+    return merged(named, [*keys, "var_a", "var_b"])
+
+
+def pearson_of(gram: DataFrame) -> DataFrame:
+    """Moments to ``[run_id,] var_a, var_b, r, n_pair``; r is null without spread."""
+    vx, vy = F.col("sxx"), F.col("syy")
+    moves = lambda v, m: v > F.greatest(1e-28 * F.col("n") * F.col(m) * F.col(m), F.lit(1e-300))  # noqa: E731 (beyond rounding of the mean)
+    spread = (F.col("n") > 1) & moves(vx, "mx") & moves(vy, "my")
+    r = F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sxy") / F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))), F.lit(0.0)))))
+    return gram.select(*[c for c in ("run_id",) if c in gram.columns], "var_a", "var_b", r.alias("r"), F.col("n").cast("long").alias("n_pair"))
+
+
+def gram_pearson(arrays: DataFrame, names: list[str], by_run: bool = False) -> DataFrame:
+    """From ``run_id, x`` to ``[run_id,] var_a, var_b, r, n_pair``."""
+    return pearson_of(gram_table(arrays, names, by_run))
+
+
+def run_gram(obs: DataFrame) -> DataFrame:
+    """Moments of each run's pairs, in one pass over the observations."""
+    names = variables_of(obs)
+    if not names:
+        return obs.sparkSession.createDataFrame([], f"run_id string, var_a string, var_b string, {MOMENTS}")
+    return gram_table(arrays_of(obs, names), names, by_run=True)
+
+
+def gram_pearson_parts(grams: DataFrame) -> DataFrame:
+    """Pooled moments from those of the runs."""
+    return merged(grams, ["var_a", "var_b"])
 
 
 def arrays_of(obs: DataFrame, names: list[str]) -> DataFrame:
-    wide = to_wide(obs, names)
+    wide = to_wide(obs.withColumn("sample", F.col("seq")), names)
     return wide.select("run_id", F.array(*(F.col(f"`{v}`") for v in names)).alias("x"))
 
 
@@ -164,11 +202,12 @@ def undefined_variables(corr: DataFrame) -> DataFrame:
 
 def pair_drift(run_corr: DataFrame, pooled: DataFrame, sizes: DataFrame, base: DataFrame, t: Thresholds = Thresholds(), p_values: bool = False) -> DataFrame:
     """Fisher's z test of each run's pairs against the pooled ones. Effective sizes use the product of
-    both variables' lag-1 correlations; the pooled count is the first variable's."""
+    both variables' lag-1 correlations. In a run, rows count whether missing or not, and a variable with a
+    missing value has lag-1 correlation 0, as in the results to match; counts are the first variable's."""
     from ..functions.stats import z_critical
 
     pair = run_corr.join(pooled.select("var_a", "var_b", F.col("r").alias("r0")), ["var_a", "var_b"])
-    own = sizes.select("run_id", "variable", "rho1", "n")
+    own = sizes.select("run_id", "variable", F.when(F.col("n") == F.col("n_rows"), F.col("rho1")).otherwise(0.0).alias("rho1"), F.col("n_rows").alias("n"))
     pair = pair.join(own.select("run_id", F.col("variable").alias("var_a"), F.col("rho1").alias("ra"), F.col("n").alias("n_run")), ["run_id", "var_a"]).join(own.select("run_id", F.col("variable").alias("var_b"), F.col("rho1").alias("rb")), ["run_id", "var_b"])
     known = base.select("variable", "mean_rho1", "pooled_n")
     pair = pair.join(known.select(F.col("variable").alias("var_a"), F.col("mean_rho1").alias("ma"), F.col("pooled_n").alias("n0")), "var_a").join(known.select(F.col("variable").alias("var_b"), F.col("mean_rho1").alias("mb")), "var_b")

@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 from ..config import WEIGHTS, Thresholds
 from ..functions.expressions import ess, severity
 from ..functions.stats import decision_interval, f_test_p, normal_p, z_critical
+from ..sources.tables import written
 from .quality import trusted_runs, verdict
 
 SERIES = ("run_id", "variable")
 
 
 def rho1(obs: DataFrame) -> DataFrame:
-    """``run_id, variable, var_pos, n, mean, sd, rho1`` over non-null values, gaps closed. Lag-1
-    correlation is 0 under four values or without spread on either side, and clipped to 0.999."""
-    order = Window.partitionBy(*SERIES).orderBy("seq")
-    rows = obs.where("value is not null").withColumn("before", F.lag("value").over(order))
-    both = F.col("before").isNotNull()
+    """``run_id, variable, var_pos, n, n_rows, mean, sd, rho1`` over non-null values, gaps closed; n_rows
+    counts missing ones too. Lag-1 correlation is 0 under four values or without spread on either side,
+    and clipped to 0.999. Series without a value have no row."""
+    past = Window.partitionBy(*SERIES).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = obs.select(*SERIES, "var_pos", "seq", "value").withColumn("before", F.last("value", ignorenulls=True).over(past))
+    both = F.col("before").isNotNull() & F.col("value").isNotNull()
     x, y = F.when(both, F.col("before")), F.when(both, F.col("value"))
-    out = rows.groupBy(*SERIES, "var_pos").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
+    out = rows.groupBy(*SERIES, "var_pos").agg(F.count("value").alias("n"), F.count("*").alias("n_rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).where("n > 0")
     flat = (F.col("n") < 4) | (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12)
     r = F.coalesce(F.col("c") / F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)), F.lit(0.0))
-    return out.select(*SERIES, "var_pos", "n", "mean", "sd", F.when(flat, 0.0).otherwise(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), r))).alias("rho1"))
+    return out.select(*SERIES, "var_pos", "n", "n_rows", "mean", "sd", F.when(flat, 0.0).otherwise(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), r))).alias("rho1"))
 
 
 def effective_sizes(obs: DataFrame) -> DataFrame:
@@ -35,11 +37,21 @@ def effective_sizes(obs: DataFrame) -> DataFrame:
 
 
 def baseline(obs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """``variable, var_pos, pooled_mean, pooled_std, pooled_n, pooled_ess, mean_rho1``."""
+    """``variable, var_pos, pooled_mean, pooled_std, pooled_n, pooled_ess, mean_rho1``, from the sizes of
+    the runs alone: counts, means and deviations of runs add up to the pooled ones."""
     sizes = effective_sizes(obs) if sizes is None else sizes
-    pooled = obs.where("value is not null").groupBy("variable", "var_pos").agg(F.avg("value").alias("pooled_mean"), F.stddev_samp("value").alias("pooled_std"), F.count("*").alias("pooled_n"))
-    runs = sizes.groupBy("variable").agg(F.sum("ess").alias("pooled_ess"), (F.sum(F.col("rho1") * F.col("n")) / F.sum("n")).alias("mean_rho1"))
-    return pooled.join(runs, "variable")
+    n, mean, sd = F.col("n"), F.col("mean"), F.coalesce("sd", F.lit(0.0))
+    centre = sizes.groupBy("variable").agg((F.sum(n * mean) / F.sum(n)).alias("pooled_mean"))
+    apart = sizes.join(centre, "variable")
+    total = F.sum("n")
+    squares = F.sum((n - 1) * sd * sd + n * F.pow(mean - F.col("pooled_mean"), F.lit(2)))
+    return apart.groupBy("variable", "var_pos").agg(
+        F.max("pooled_mean").alias("pooled_mean"),
+        F.sqrt(squares / F.nullif(total - 1, F.lit(0))).alias("pooled_std"),
+        total.alias("pooled_n"),
+        F.sum("ess").alias("pooled_ess"),
+        (F.sum(F.col("rho1") * n) / total).alias("mean_rho1"),
+    )
 
 
 def mean_shift(sizes: DataFrame, base: DataFrame, n_vars: int, t: Thresholds = Thresholds(), p_values: bool = True) -> DataFrame:
@@ -99,10 +111,12 @@ def variable_count(obs: DataFrame) -> int:
 
 def drift_summary(obs: DataFrame, reference: DataFrame | None = None, n_vars: int | None = None, t: Thresholds = Thresholds()) -> DataFrame:
     """The built-in part of a run's score: mean drift, onset and their order, per run."""
-    reference = obs if reference is None else reference
-    n_vars = n_vars or variable_count(reference)
-    base = baseline(reference)
-    sizes = effective_sizes(obs)
+    same = reference is None
+    obs = written(obs.select(*SERIES, "var_pos", "seq", "value"), "obs")
+    sizes = written(effective_sizes(obs), "sizes")
+    known = sizes if same else effective_sizes(reference)
+    base = written(baseline(obs, known), "baseline")
+    n_vars = n_vars or base.count()
     means = mean_shift(sizes, base, n_vars, t, p_values=False).groupBy("run_id").agg(F.count_if("mean_drifted").alias("n_mean_drifted"), F.max(F.abs("z_score")).alias("max_abs_z"))
     found = onsets(cusum(obs, base, t), decision_interval(t.arl0, n_vars, t.shift / 2))
     peaks = found.groupBy("run_id").agg(F.max("peak").alias("peak"))
@@ -118,18 +132,22 @@ def score(mean: Column, var: Column, corr: Column, onset: Column) -> Column:
 
 def run_summary(obs: DataFrame, reference: DataFrame | None = None, rules: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
     """Every run with its gate, the shares of the four perspectives, the anomaly score and its band.
-    Runs that fail the gate are not analysed and score 0."""
-    from .correlate import pair_drift, pearson
-
-    reference = obs if reference is None else reference
-    n_vars = variable_count(reference)
-    report = verdict(obs, rules, t)
-    live = trusted_runs(obs, report)
-    known = effective_sizes(reference)
-    base, sizes = baseline(reference, known), effective_sizes(live)
-    means = mean_shift(sizes, base, n_vars, t).groupBy("run_id").agg(F.count_if("mean_drifted").alias("n_mean_drifted"))
+    Runs that fail the gate are not analysed and score 0. Observations, sizes and Gram sums are written
+    once; the pooled baseline and correlations are sums over the runs'."""
+    from .correlate import gram_pearson_parts, pair_drift, pearson_of, run_gram
+
+    same = reference is None
+    obs = written(obs.select(*SERIES, "var_pos", "seq", "value"), "obs")
+    report = written(verdict(obs, rules, t), "verdict")
+    sizes = written(effective_sizes(obs), "sizes")
+    grams = written(run_gram(obs), "gram")
+    known, known_grams = (sizes, grams) if same else (effective_sizes(reference), run_gram(reference))
+    base = written(baseline(obs, known), "baseline")
+    n_vars = base.count()
+    live, sizes = trusted_runs(obs, report), trusted_runs(sizes, report)
+    means = mean_shift(sizes, base, n_vars, t, p_values=False).groupBy("run_id").agg(F.count_if("mean_drifted").alias("n_mean_drifted"))
     spreads = variance_shift(sizes, base, n_vars, t).groupBy("run_id").agg(F.count_if("var_drifted").alias("n_var_drifted"))
-    pairs = pair_drift(pearson(live, by_run=True), pearson(reference), sizes, base, t)
+    pairs = pair_drift(pearson_of(trusted_runs(grams, report)), pearson_of(gram_pearson_parts(known_grams)), sizes, base, t)
     corr = pairs.groupBy("run_id").agg(F.count("*").alias("n_pairs"), F.count_if("drifted").alias("n_corr_drifted"), F.sqrt(2 * F.sum(F.pow(F.col("r") - F.col("r0"), F.lit(2)))).alias("corr_frobenius"))
     found = onsets(cusum(live, base, t), decision_interval(t.arl0, n_vars, t.shift / 2))
     out = report.select("run_id", "gate", "severity").join(means, "run_id", "left").join(spreads, "run_id", "left").join(corr, "run_id", "left").join(propagation(found), "run_id", "left")
@@ -142,6 +160,12 @@ def run_summary(obs: DataFrame, reference: DataFrame | None = None, rules: DataF
     return out.withColumn("band", severity("anomaly_score")).withColumn("needs_root_cause", F.col("band").isin("serious", "critical"))
 
 
+def z_bars(shifts: DataFrame, most: int = 10) -> DataFrame:
+    """Each run's largest deviations, with the colour of their bars."""
+    ranked = shifts.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(F.abs("z_score")), "var_pos"))).where(F.col("rank") <= most)
+    return ranked.select(*SERIES, "z_score", "rank", F.when(F.abs("z_score") >= 3, "critical").otherwise("normal").alias("colour"))
+
+
 def traces(obs: DataFrame, base: DataFrame, found: DataFrame, most: int = 6) -> DataFrame:
     """Values, band and onset of each run's earliest variables."""
     first = found.where("onset is not null").withColumn("k", F.row_number().over(Window.partitionBy("run_id").orderBy("onset", "var_pos"))).where(F.col("k") <= most)

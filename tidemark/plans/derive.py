@@ -6,15 +6,13 @@ R3: embeddings by label (wide). Every order is total, so positions do not depend
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..operators import causal
-from ..operators.obs import to_long, with_seq
+from ..operators.obs import to_long, with_seq_in_parts
+from ..sources.tables import written
 
 R1_VARIABLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 R1_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *R1_VARIABLES, "l_returnflag", "l_linestatus"]
@@ -27,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def r1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("string").alias("run_id"), *R1_ORDER)
-    return with_seq(rows, R1_ORDER).withColumn("sample", F.col("seq")).select("run_id", "sample", "seq", *R1_VARIABLES)
+    return with_seq_in_parts(rows, R1_ORDER).withColumn("sample", F.col("seq")).select("run_id", "sample", "seq", *R1_VARIABLES)
 
 
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,18 +36,15 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full grid of day, hour and type; hours without an event are null."""
     events = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("date").alias("day"), F.hour("ts").alias("hour"), "event_type", "value")
     means = events.groupBy("day", "hour", "event_type").agg(F.avg("value").alias("value"))
-    kinds = events.select("event_type").distinct()
-    grid = events.select("day").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).join(F.broadcast(with_position(kinds)), how="cross")
+    names = sorted(r["event_type"] for r in events.select("event_type").where("event_type is not null").distinct().collect())  # a row per kind of event
+    entries = F.array(*(F.struct(F.lit(n).alias("event_type"), F.lit(i).alias("var_pos")) for i, n in enumerate(names)))
+    if not names:
+        entries = F.array().cast("array<struct<event_type:string,var_pos:int>>")
+    grid = events.select("day").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).select("day", "hour", F.inline(entries))
     rows = grid.join(means, ["day", "hour", "event_type"], "left")
     return rows.select(F.date_format("day", "yyyy-MM-dd").alias("run_id"), F.col("hour").cast("long").alias("sample"), F.col("hour").cast("long").alias("seq"), F.col("event_type").alias("variable"), "var_pos", "value")
 
 
-def with_position(kinds: DataFrame) -> DataFrame:
-    """Event types numbered by name (there are as many as kinds of event)."""
-    names = sorted(r["event_type"] for r in kinds.where("event_type is not null").collect())
-    return kinds.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "event_type string, var_pos int")
-
-
 def r3_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
@@ -61,10 +56,7 @@ def r3_names(width: int = 64) -> list[str]:
 def r2_links(spark: SparkSession, sf_dir: str, t: Thresholds = Thresholds()) -> tuple[DataFrame, int]:
     """The links found in R2, written once, and the number of runs that were analysed."""
     obs = r2(spark, sf_dir)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{root.rstrip('/')}/links-{uuid.uuid4().hex}"
-    causal.links(obs, t).write.parquet(path)
-    found = spark.read.schema(causal.LINKS).parquet(path)
+    found = written(causal.links(obs, t), "links")
     return found, causal.run_status(obs, found, t).where("status = 'ok'").count()
 
 

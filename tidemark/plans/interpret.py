@@ -7,7 +7,6 @@ others implement ``Client``.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from datetime import UTC, datetime
 from typing import Protocol
@@ -58,14 +57,15 @@ def refuse_raw_data(value) -> None:
             refuse_raw_data(v)
 
 
-def parse_json(text: str) -> dict:
-    """The JSON object of a reply, inside a code fence or bare; empty if there is none."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", text or "", re.S)
-    try:
-        out = json.loads(fenced[1] if fenced else text)
-    except (TypeError, ValueError):
-        return {}
-    return out if isinstance(out, dict) else {"value": out}
+def parse_json(text: str | None) -> dict:
+    """The first JSON object that begins anywhere in a reply; empty if there is none."""
+    decoder, at = json.JSONDecoder(), (text or "").find("{")
+    while at >= 0:
+        try:
+            return decoder.raw_decode(text, at)[0]
+        except ValueError:
+            at = text.find("{", at + 1)
+    return {}
 
 
 def variable_evidence(profile: DataFrame, corr: DataFrame, clusters: DataFrame | None = None, freq: DataFrame | None = None, partners: int = 5) -> DataFrame:
@@ -120,6 +120,12 @@ class Analyst:
     def explain(self, figure: str, data) -> dict:
         return self.ask(f"Explain the figure {figure}.", data)
 
+    def explain_figure(self, name: str, figures: dict[str, DataFrame], rows: int = 50) -> dict:
+        """Explains one of ``pipelines.figure_data``'s frames by its first rows."""
+        if name not in figures:
+            raise ValueError(f"unknown figure: {name}")
+        return self.explain(name, [r.asDict(True) for r in figures[name].limit(rows).collect()])
+
     def chat(self, question: str, context: dict, columns: list[str]) -> dict:
         """One stateless turn; a proposed rule is checked and returned for a person to confirm."""
         refuse_raw_data(context)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +20,23 @@ STATE = "c_pos double, c_neg double, seq long, onset long, direction string, pea
 
 
 def step(state: tuple, rows: pd.DataFrame, k: float, h: float) -> tuple:
-    """The state after the rows, in their order of position."""
+    """The state after the rows, in their order of position: running sums minus their running extremes,
+    as in the batch charts, started from the state's own."""
     up, down, last, onset, side, peak, late = state
-    for seq, z in rows.sort_values("seq")[["seq", "z"]].itertuples(index=False):
-        if seq <= last:
-            late += 1
-            continue
-        z = 0.0 if pd.isna(z) else float(z)
-        up, down, last = max(0.0, up + z - k), min(0.0, down + z + k), int(seq)
-        peak = max(peak, up, -down)
-        if onset < 0 and (up > h or down < -h):
-            onset, side = last, "decrease" if down < -h else "increase"
-    return up, down, last, onset, side, peak, late
+    rows = rows.sort_values("seq", kind="stable")
+    seq = rows["seq"].to_numpy()
+    fresh = (seq > last) & np.append(True, seq[1:] != seq[:-1]) if len(seq) else np.empty(0, bool)
+    late += int(len(seq) - fresh.sum())
+    if not fresh.any():
+        return up, down, last, onset, side, peak, late
+    seq, z = seq[fresh], rows["z"].to_numpy(float)[fresh]
+    z = np.where(np.isnan(z), 0.0, z)
+    ups, downs = up + np.cumsum(z - k), down + np.cumsum(z + k)
+    ups, downs = ups - np.minimum(0.0, np.minimum.accumulate(ups)), downs - np.maximum(0.0, np.maximum.accumulate(downs))
+    alarm = np.flatnonzero((ups > h) | (downs < -h))
+    if onset < 0 and len(alarm):
+        onset, side = int(seq[alarm[0]]), "decrease" if downs[alarm[0]] < -h else "increase"
+    return float(ups[-1]), float(downs[-1]), int(seq[-1]), onset, side, float(max(peak, ups.max(), -downs.min())), late
 
 
 def stream_cusum(obs: DataFrame, base: DataFrame, h: float, t: Thresholds = Thresholds()) -> DataFrame:
