@@ -237,18 +237,6 @@ def variance_ratio(spark, d):
     return drift.variance_ratio(sizes, base).select("run_id", "variable", F.round("ratio", 6).alias("ratio"), F.round("df", 3).alias("df"))
 
 
-@query(None)
-def f_test_pvalues(spark, d):
-    _, sizes, base = r1_parts(spark, d)
-    return drift.variance_shift(sizes, base, 4)
-
-
-@query(None)
-def normal_pvalues(spark, d):
-    _, sizes, base = r1_parts(spark, d)
-    return drift.mean_shift(sizes, base, 4)
-
-
 @query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(H4) + " select run_id, variable, onset, case when onset is not null then side end as direction from found")
 def cusum_onset(spark, d):
     obs, _, base = r1_parts(spark, d)
@@ -281,16 +269,6 @@ def run_drift_summary(spark, d):
     return rounded(drift.drift_summary(r1(spark, d), n_vars=4))
 
 
-@query(None)
-def anomaly_ranking(spark, d):
-    return drift.run_summary(r1(spark, d)).orderBy(F.desc("anomaly_score"), "run_id")
-
-
-@query(None)
-def gated_summary(spark, d):
-    return drift.run_summary(derive.r2(spark, d))
-
-
 @query("select cast(p as double) / 100 as score, case when p < 15 then 'good' when p < 35 then 'warning' when p < 60 then 'serious' else 'critical' end as band from (select unnest(range(0, 101)) as p)")
 def severity_band(spark, d):
     scores = spark.range(101).select((F.col("id").cast("double") / 100).alias("score"))
@@ -306,13 +284,6 @@ def drift_breakdown(spark, d):
     return s.select("run_id", F.expr("stack(2, 'frac_mean_drifted', frac_mean_drifted, 'frac_onset_detected', frac_onset_detected) as (part, share)"))
 
 
-@query(None)
-def drift_breakdown_all(spark, d):
-    """All four perspectives; ``drift_breakdown`` has the two that SQL can state."""
-    parts = ["frac_mean_drifted", "frac_var_drifted", "frac_corr_drifted", "frac_onset_detected"]
-    return drift.run_summary(r1(spark, d)).select("run_id", F.expr(f"stack(4, {', '.join(f"'{p}', {p}" for p in parts)}) as (part, share)"))
-
-
 @query(WITH + R2 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(3.0) + ", first as (select *, row_number() over (partition by run_id order by onset, var_pos) as k from found where onset is not null) select o.run_id, o.variable, o.seq, round(o.value, 6) as value, f.onset, round(pooled_mean - 2 * pooled_std, 6) as low, round(pooled_mean + 2 * pooled_std, 6) as high from obs o join first f on f.run_id = o.run_id and f.variable = o.variable and k <= 6 join base b on b.variable = o.variable")
 def onset_traces(spark, d):
     obs = derive.r2(spark, d)
@@ -348,11 +319,6 @@ def spearman_gaps(spark, d):
     return rounded(correlate.spearman(derive.r2(spark, d)))
 
 
-@query(None)
-def kendall_tau(spark, d):
-    return correlate.kendall(derive.r2(spark, d))
-
-
 def r1_pairs(spark, d):
     obs, sizes, base = r1_parts(spark, d)
     return correlate.pair_drift(correlate.pearson(obs, by_run=True), correlate.pearson(obs), sizes, base)
@@ -518,3 +484,6 @@ def root_cause_evidence_r2(spark, d):
     obs = derive.r2(spark, d)
     found = drift.onsets(drift.cusum(obs, drift.baseline(obs), T), decision_interval(T.arl0, drift.variable_count(obs), T.shift / 2))
     return rounded(causal.implicated_by_run(r2_frequency(spark, d)[0], found))
+
+
+from . import scores_catalog  # noqa: E402, F401 (it registers its queries here)
