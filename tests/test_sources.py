@@ -47,7 +47,7 @@ def test_build_and_check(spark, tmp_path):
     obs = spark.createDataFrame(rows, "run_id string, sample long, seq long, variable string, var_pos int, value double")
     root = str(tmp_path / "base")
     base = pipelines.build_baseline(obs, root, n_runs=3)
-    assert artifacts.is_complete(root) and base.variables == ["a", "b", "c"]
+    assert artifacts.is_complete(spark, root) and base.variables == ["a", "b", "c"]
     out = pipelines.check_run(base, obs.where("run_id = '0'"))
     assert out["summary"].count() == 1 and out["mean_shift"].count() == 3
     assert "Data quality" in pipelines.report_text(base) and pipelines.dashboard(base).count() == 3

@@ -101,4 +101,5 @@ def normal_p(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def f_test_p(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series(f_two_sided(x.fillna(1.0), d1.fillna(1.0), d2.fillna(1.0))).where(x.notna() & d1.notna() & d2.notna())
+    valid = x.notna() & (d1 > 0) & (d2 > 0)
+    return pd.Series(f_two_sided(x.where(valid, 1.0), d1.where(valid, 1.0), d2.where(valid, 1.0))).where(valid)

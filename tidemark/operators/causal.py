@@ -132,7 +132,7 @@ def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
 
     few = parts.withColumn("part", F.pmod(F.xxhash64("run_id", F.floor(F.col("part") / FAN_IN)), F.lit(FAN_IN)) if not keys else F.floor(F.col("part") / FAN_IN))
     some = few.groupBy(*keys, "part").applyInPandas(add, SUMS)
-    return some.groupBy(*keys).applyInPandas(add, SUMS) if keys else some.groupBy(F.lit(0)).applyInPandas(add, SUMS)
+    return some.groupBy(*keys).applyInPandas(add, SUMS) if keys else some.withColumn("part", F.lit(0).cast("long")).groupBy("part").applyInPandas(add, SUMS)
 
 
 def _search(added: DataFrame, names: list[str], t: Thresholds) -> DataFrame:

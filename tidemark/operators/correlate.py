@@ -229,3 +229,12 @@ def frobenius(pairs: DataFrame) -> DataFrame:
 def top_drifted(pairs: DataFrame, most: int = 20) -> DataFrame:
     ranked = pairs.where("z_stat is not null").withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(F.round(F.abs("z_stat"), 4)), "var_a", "var_b")))
     return ranked.where(F.col("rank") <= most)
+
+
+def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Cramér's V of two categorical columns (rows with both present): ``col_a, col_b, v``; null where a
+    column has one value."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    sides = cells.join(cells.groupBy("a").agg(F.sum("n").alias("na")), "a").join(cells.groupBy("b").agg(F.sum("n").alias("nb")), "b")
+    found = sides.agg(F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("s"), F.least(F.countDistinct("a"), F.countDistinct("b")).alias("k"))
+    return found.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / F.nullif(F.col("k") - 1, F.lit(0))).alias("v"))

@@ -109,3 +109,19 @@ def kde(obs: DataFrame, points: int = 200, cells: int = 4096) -> DataFrame:
     grid = edges.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
     z = (F.col("at") - F.col("x")) / F.col("h")
     return grid.join(binned, "variable").groupBy("variable", "point").agg(F.max("at").alias("place"), (F.sum(F.col("w") * F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h")) / 2.5066282746310002).alias("density"))
+
+
+#: Fixed value: the asymptotic 5 % critical value of the Dickey-Fuller statistic with a constant.
+STATIONARY = -2.86
+
+
+def dickey_fuller(obs: DataFrame) -> DataFrame:
+    """``run_id, variable, n, statistic, stationary``: the Dickey-Fuller test of each series (a constant, no
+    further lags) from the moments of its steps; gaps are closed. Null without spread or under four steps."""
+    past = Window.partitionBy("run_id", "variable").orderBy("seq")
+    rows = obs.where("value is not null").withColumn("x", F.lag("value").over(past)).where("x is not null").withColumn("step", F.col("value") - F.col("x"))
+    m = rows.groupBy("run_id", "variable").agg(F.count("*").alias("n"), F.covar_pop("step", "x").alias("sxy"), F.var_pop("x").alias("sxx"), F.var_pop("step").alias("syy"))
+    slope = F.col("sxy") / F.nullif("sxx", F.lit(0.0))
+    error = F.sqrt(F.greatest((F.col("syy") - slope * F.col("sxy")) / F.nullif(F.col("n") - 2, F.lit(0)), F.lit(0.0)) / F.nullif("sxx", F.lit(0.0)))
+    t = F.when(F.col("n") >= 4, slope / F.nullif(error, F.lit(0.0)))
+    return m.select("run_id", "variable", "n", t.alias("statistic")).withColumn("stationary", F.col("statistic") < STATIONARY)

@@ -486,4 +486,5 @@ def root_cause_evidence_r2(spark, d):
     return rounded(causal.implicated_by_run(r2_frequency(spark, d)[0], found))
 
 
-from . import scores_catalog  # noqa: E402, F401 (it registers its queries here)
+from . import scores_catalog  # noqa: E402, F401, I001 (these register their queries here)
+from . import files_catalog  # noqa: E402, F401

@@ -11,10 +11,11 @@ import uuid
 from datetime import UTC, datetime
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import causal, correlate
+from ..sources import tables
 from ..sources.artifacts import AuditLog, plain
 
 GROUND_RULES = "Use only the evidence given. Name uncertainty. These are hypotheses, not findings."
@@ -157,18 +158,22 @@ def make_rule(column: str, description: str, columns: list[str], min: float | No
 
 
 class RuleStore:
-    """Rules of a baseline in one small JSON file of the driver."""
+    """Rules of a baseline in one small JSON file: the driver's, or with a session on any file system that
+    Spark reads."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark
 
     def load(self, active_only: bool = False) -> list[dict]:
-        try:
-            with open(self.path, encoding="utf-8") as f:
-                rules = json.load(f)
-        except FileNotFoundError:
-            return []
-        return [r for r in rules if r.get("active", True) or not active_only]
+        if self.spark is not None:
+            text = tables.read_text(self.spark, self.path)
+        else:
+            try:
+                with open(self.path, encoding="utf-8") as f:
+                    text = f.read()
+            except FileNotFoundError:
+                text = None
+        return [r for r in json.loads(text or "[]") if r.get("active", True) or not active_only]
 
     def save(self, rule: dict) -> None:
         self._write([*self.load(), rule])
@@ -177,5 +182,9 @@ class RuleStore:
         self._write([r for r in self.load() if r["rule_id"] != rule_id])
 
     def _write(self, rules: list[dict]) -> None:
+        text = json.dumps(rules, indent=1)
+        if self.spark is not None:
+            tables.write_text(self.spark, self.path, text)
+            return
         with open(self.path, "w", encoding="utf-8") as f:
-            json.dump(rules, f, indent=1)
+            f.write(text)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..operators import causal, cluster, correlate, drift, profile, quality
-from ..operators.obs import run_sizes, sample_runs
-from ..sources import artifacts
+from ..operators.obs import run_sizes, sample_runs, trajectory_band
+from ..sources import artifacts, ingest, tables
 
 
 @dataclass
@@ -25,32 +27,49 @@ class Baseline:
         return correlate.variables_of(self.tables["obs"])
 
 
-def build_baseline(obs: DataFrame, root: str, rules: DataFrame | None = None, n_runs: int | None = None, seed: int = 0, with_causal: bool = True, t: Thresholds = Thresholds()) -> Baseline:
+def build_baseline(obs: DataFrame, root: str, rules: DataFrame | None = None, n_runs: int | None = None, seed: int = 0, with_causal: bool = True, t: Thresholds = Thresholds(), labels: DataFrame | None = None, metadata: dict | None = None, progress: Callable[[str, int, int], None] | None = None) -> Baseline:
     """Every artifact of a run set under ``root``. ``n_runs`` draws that many runs first; the draw is a
-    list of ids, so it prunes a table that is laid out by run."""
-    spark = obs.sparkSession
+    list of ids, so it prunes a table that is laid out by run. ``progress`` hears each step's name, its
+    number and how many there are; the seconds that each took are in the marker written at the end."""
+    spark, root = obs.sparkSession, root.rstrip("/")
     if n_runs:
         ids = [r["run_id"] for r in run_sizes(obs).select("run_id").collect()]
         obs = obs.where(F.col("run_id").isin(sample_runs(ids, n_runs, seed)))
     artifacts.write_table(obs, root, "obs")
-    obs = artifacts.read_artifacts(spark, root)["obs"]
-    per_run = profile.per_run(obs)
-    sizes = drift.effective_sizes(obs)
-    corr = correlate.pearson(obs)
-    steps = {
-        "profile": per_run,
-        "pooled_profile": profile.pooled(obs),
-        "quality": quality.verdict(obs, rules, t),
-        "baseline": drift.baseline(obs, sizes),
-        "corr": corr,
-        "clusters": cluster.clusters(corr),
+    done = lambda name: artifacts.read_artifacts(spark, root)[name]
+    obs = done("obs")
+    steps: dict[str, Callable[[], DataFrame]] = {
+        "runs": lambda: run_sizes(obs),
+        "profile": lambda: profile.per_run(obs),
+        "alerts": lambda: profile.alerts(done("profile")),
+        "pooled_profile": lambda: profile.pooled(obs),
+        "pooled_alerts": lambda: profile.alerts(done("pooled_profile")),
+        "quality": lambda: quality.verdict(obs, rules, t),
+        "baseline": lambda: drift.baseline(obs),
+        "corr": lambda: correlate.pearson(obs),
     }
+    if labels is not None:
+        steps["labels"] = lambda: labels
+        steps["label_summary"] = lambda: profile.label_summary(done("labels"), [c for c in labels.columns if c not in ("run_id", "sample")])
+    grouped: dict[str, DataFrame] = {}
+    for part in ("clusters", "cluster_scores", "linkage"):
+        steps[part] = lambda part=part: (grouped or grouped.update(cluster.clustering(done("corr"))) or grouped)[part]
     if with_causal:
-        steps["links"] = causal.links(obs, t)
-    for name, df in steps.items():
-        artifacts.write_table(df, root, name)
-    if "://" not in root:
-        artifacts.mark_complete(root, tables=sorted(steps))
+        steps |= {
+            "links": lambda: causal.links(obs, t),
+            "causal_status": lambda: causal.run_status(obs, done("links"), t),
+            "link_frequency": lambda: causal.link_frequency(done("links")),
+            "lag_profiles": lambda: causal.lag_arrays(done("links")),
+        }
+    seconds = {}
+    for k, (name, make) in enumerate(steps.items()):
+        if progress:
+            progress(name, k, len(steps))
+        began = time.monotonic()
+        artifacts.write_table(make(), root, name)
+        seconds[name] = round(time.monotonic() - began, 2)
+    artifacts.write_document(spark, f"{root}/dataset_meta.json", {**(metadata or {}), "variables": correlate.variables_of(obs), "n_runs": done("runs").count()})
+    artifacts.mark_complete(spark, root, tables=sorted(["obs", *steps]), seconds=seconds)
     return load_baseline(spark, root, t)
 
 
@@ -67,8 +86,8 @@ def check_run(base: Baseline, obs: DataFrame, rules: DataFrame | None = None) ->
     gone = [v for v in known if v not in here]
     if gone:
         raise ValueError(f"missing columns: {', '.join(gone[:8])}" + (f" and {len(gone) - 8} more" if len(gone) > 8 else ""))
-    positions = reference.select("variable", F.col("var_pos").alias("p")).distinct()
-    obs = obs.join(F.broadcast(positions), "variable").withColumn("var_pos", F.col("p")).drop("p")
+    places = F.array(*map(F.lit, known))
+    obs = obs.where(F.col("variable").isin(known)).withColumn("var_pos", (F.array_position(places, F.col("variable")) - 1).cast("int"))
     summary = drift.run_summary(obs, reference, rules, t)
     sizes = drift.effective_sizes(obs)
     found = drift.onsets(drift.cusum(obs, base.tables["baseline"], t), drift.decision_interval(t.arl0, len(known), t.shift / 2))
@@ -84,6 +103,7 @@ def check_run(base: Baseline, obs: DataFrame, rules: DataFrame | None = None) ->
         "onsets": found,
         "traces": drift.traces(obs, base.tables["baseline"], found),
     }
+    out["statistics"] = shifts.join(out["variance_shift"].drop("var_pos", "p_value"), ["run_id", "variable"])
     if "links" in base.tables:  # the causal perspective is the baseline's: a check runs no PCMCI
         links = base.tables["links"]
         status = causal.run_status(reference, links, t)
@@ -92,27 +112,123 @@ def check_run(base: Baseline, obs: DataFrame, rules: DataFrame | None = None) ->
     return out
 
 
-def dashboard(base: Baseline) -> DataFrame:
-    """A card per variable: statistics, cluster, degrees and alerts, by left joins."""
-    tables = base.tables
-    marks = profile.alerts(tables["pooled_profile"]).groupBy("variable").agg(F.sort_array(F.collect_set("alert")).alias("alerts"))
-    out = tables["pooled_profile"].select("variable", "mean", "std", "min", "max").join(tables["clusters"].select("variable", "cluster_id"), "variable", "left").join(marks, "variable", "left")
-    if "links" in tables:
-        out = out.join(causal.degrees(causal.link_frequency(tables["links"])).select("variable", "out_degree", "in_degree"), "variable", "left")
+def export_check(result: dict[str, DataFrame], root: str, pairs: int = 10, links: int = 30) -> dict[str, DataFrame]:
+    """What ``check_run`` found, as tables: the ranked summary, each run's statistics and onsets in parts of
+    their own, the ``pairs`` most drifted pairs of each run, and the first ``links`` of those that runs
+    agree on and of the others."""
+    root = root.rstrip("/")
+    spark = result["summary"].sparkSession
+    ranking = Window.orderBy(F.desc("anomaly_score"), "run_id")
+    steps = {
+        "drift": result["summary"].withColumn("place", F.row_number().over(ranking)),
+        "quality": result["quality"],
+        "statistics": result["statistics"],
+        "onsets": result["onsets"],
+        "pairs": result["top_pairs"].where(F.col("rank") <= pairs),
+    }
+    if "causal_links" in result:
+        order = [F.desc("n_runs"), F.desc(F.abs("mean_val")), "src", "tgt", "tau"]
+        steps |= {
+            "consensus": result["causal_links"].where("consensus").orderBy(*order).limit(links),
+            "other_links": result["causal_links"].where("not consensus").orderBy(*order).limit(links),
+            "causal_summary": result["causal_summary"],
+        }
+    for name, df in steps.items():
+        artifacts.write_table(df, root, name)
+    artifacts.mark_complete(spark, root, tables=sorted(steps))
+    return artifacts.read_artifacts(spark, root)
+
+
+def export_comparison(base: Baseline, root: str, run_a: str, run_b: str) -> DataFrame:
+    """Two runs' profiles side by side, written among the baseline's artifacts."""
+    artifacts.write_table(profile.compare(base.tables["profile"], run_a, run_b), root, "comparison")
+    return artifacts.read_artifacts(base.tables["profile"].sparkSession, root)["comparison"]
+
+
+def dashboard(base: Baseline, rules: DataFrame | None = None, identities: dict[str, str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    """A card per variable: identity and type (as inferred), statistics, cluster, degrees, alerts and active
+    rules, by left joins."""
+    found, spark = base.tables, base.tables["pooled_profile"].sparkSession
+    marks = profile.alerts(found["pooled_profile"]).groupBy("variable").agg(F.sort_array(F.collect_set("alert")).alias("alerts"))
+    out = found["pooled_profile"].select("variable", "mean", "std", "min", "max", "n_missing").join(found["clusters"].select("variable", "cluster_id"), "variable", "left").join(marks, "variable", "left")
+    if "links" in found:
+        out = out.join(causal.degrees(causal.link_frequency(found["links"])).select("variable", "out_degree", "in_degree"), "variable", "left")
+    for name, known in (("identity", identities), ("type", types)):
+        if known:
+            out = out.join(spark.createDataFrame(list(known.items()), f"variable string, {name} string"), "variable", "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast("string"))
+    if rules is not None:
+        out = out.join(rule_cards(rules), "variable", "left")
+    return out
+
+
+def rule_cards(rules: DataFrame) -> DataFrame:
+    """``variable, rules``: each variable's active rules in the order of their ids."""
+    return quality.active_rules(rules).groupBy("variable").agg(F.sort_array(F.collect_list(F.struct("rule_id", "min", "max", "description"))).alias("rules"))
+
+
+def figure_data(base: Baseline, checked: dict[str, DataFrame] | None = None, top: int = 10) -> dict[str, DataFrame]:
+    """The data behind every figure of a baseline and, with ``checked``, of a check."""
+    found = base.tables
+    names = base.variables
+    out = {
+        "trajectories": trajectory_band(found["obs"]),
+        "histogram": profile.histogram(found["obs"]),
+        "density": profile.kde(found["obs"]),
+        "heatmap": correlate.heatmap_variables(found["corr"], len(names)),
+        "dendrogram": found["linkage"],
+        "clusters": found["clusters"],
+    }
+    if "links" in found:
+        n = found["causal_status"].where("status = 'ok'").count()
+        out |= {"link_frequency": causal.top_links(found["link_frequency"]), "graph": causal.consensus_graph(found["link_frequency"], n), "self_links": causal.strongest_self(found["link_frequency"]), "lag_profiles": causal.top_lag_profiles(found["links"], top)}
+    if checked:
+        parts = ["frac_mean_drifted", "frac_var_drifted", "frac_corr_drifted", "frac_onset_detected"]
+        out |= {
+            "ranking": checked["summary"].orderBy(F.desc("anomaly_score"), "run_id"),
+            "breakdown": checked["summary"].select("run_id", F.expr(f"stack(4, {', '.join(f"'{p}', {p}" for p in parts)}) as (part, share)")),
+            "timeline": drift.propagation(checked["onsets"]),
+            "z_bars": drift.z_bars(checked["mean_shift"], top),
+            "traces": checked["traces"],
+        }
     return out
 
 
-def report_text(base: Baseline, title: str = "Baseline report") -> str:
-    """Markdown of the baseline's artifacts."""
-    tables = base.tables
+def report_text(base: Baseline, title: str = "Baseline report", checked: dict[str, DataFrame] | None = None, root_cause: dict | None = None) -> str:
+    """Markdown of the baseline's artifacts and, with ``checked``, of a check's findings."""
+    found = base.tables
     sections: dict[str, DataFrame | str] = {
-        "Runs": run_sizes(tables["obs"]).orderBy("run_id"),
-        "Data quality": tables["quality"].select("run_id", "severity", "max_frac_missing", "n_rules_violated").orderBy("run_id"),
-        "Frequent alerts": profile.alert_frequency(profile.alerts(tables["profile"])),
-        "Strongest correlations": correlate.strongest_pairs(tables["corr"]),
-        "Clusters": tables["clusters"].orderBy("cluster_id", "variable"),
+        "Runs": run_sizes(found["obs"]).orderBy("run_id"),
+        "Data quality": found["quality"].select("run_id", "severity", "max_frac_missing", "n_rules_violated").orderBy("run_id"),
+        "Variables": found["pooled_profile"].select("variable", "n", "mean", "std", "min", "max", "n_missing").orderBy("variable"),
+        "Frequent alerts": profile.alert_frequency(profile.alerts(found["profile"])),
+        "Strongest correlations": correlate.strongest_pairs(found["corr"]),
+        "Clusters": found["clusters"].orderBy("cluster_id", "variable"),
     }
-    if "links" in tables:
-        sections["Frequent links"] = causal.link_frequency(tables["links"]).orderBy(F.desc("n_runs"), "src", "tgt", "tau").limit(20)
+    if "links" in found:
+        sections["Frequent links"] = causal.top_links(causal.link_frequency(found["links"]))
+        sections["Causal search by run"] = found["causal_status"].orderBy("run_id")
+    if checked:
+        sections["Runs by anomaly"] = checked["summary"].select("run_id", "gate", "anomaly_score", "band", "frac_mean_drifted", "frac_var_drifted", "frac_corr_drifted", "frac_onset_detected").orderBy(F.desc("anomaly_score"), "run_id")
+        sections["Largest mean shifts"] = checked["top_mean_drifted"].orderBy("run_id", "rank")
+        sections["Most drifted pairs"] = checked["top_pairs"].where("drifted").select("run_id", "var_a", "var_b", "r", "r0", "z_stat").orderBy("run_id", F.desc(F.abs("z_stat")))
+        sections["Onsets"] = drift.propagation(checked["onsets"]).select("run_id", "n_detected", "earliest_onset", "earliest_variable", "propagation").orderBy("run_id")
+        if "causal_summary" in checked:
+            sections["Links that runs agree on"] = checked["causal_summary"]
+    if root_cause:
+        sections["Likely root cause (an interpretation)"] = "\n".join(f"- {k}: {artifacts.significant(v) if not isinstance(v, (list, dict)) else v}" for k, v in root_cause.items())
     sections["Appendix"] = "Links and correlations describe this run set; they are no proof of cause."
     return artifacts.report(sections, title)
+
+
+def process_file(spark: SparkSession, path: str, root: str, n_runs: int | None = None, seed: int = 0, t: Thresholds = Thresholds(), **options) -> Baseline:
+    """Batch run over one file: load its runs, build every artifact, write the report. Steps and seconds
+    are printed."""
+    began = time.monotonic()
+    runs = ingest.load_runs(spark, path, **options)
+    print(f"load: {time.monotonic() - began:.1f} s")
+    base = build_baseline(runs.obs, root, n_runs=n_runs, seed=seed, t=t, labels=runs.labels, metadata=runs.metadata, progress=lambda name, k, n: print(f"{k + 1}/{n} {name}"))
+    tables.write_text(spark, f"{root.rstrip('/')}/report.md", report_text(base))
+    print(f"total: {time.monotonic() - began:.1f} s")
+    return base

@@ -28,7 +28,7 @@ FISHER_GAPS = """pairs as (select o.run_id, o.var_a, o.var_b, o.r, p.r0, ra.n_ro
 sized as (select *, case when n_run < 4 then greatest(n_run, 1.0) else least(greatest(n_run * (1 - q1) / (1 + q1), 2.0), n_run) end as e1,
   case when n0 < 4 then greatest(n0, 1.0) else least(greatest(n0 * (1 - q0) / (1 + q0), 2.0), n0) end as e0 from pairs),
 tested as (select run_id, var_a, var_b, r, r0, case when e1 > 3 and e0 > 3 then (atanh(greatest(-0.9999, least(0.9999, r))) - atanh(greatest(-0.9999, least(0.9999, r0)))) / sqrt(1 / (e1 - 3) + 1 / (e0 - 3)) end as z_stat from sized)"""
-PAIRS = PAIRS_R1.replace("a.var_pos < b.var_pos", "a.var_pos < b.var_pos where a.value is not null and b.value is not null").replace("where a.value is not null and b.value is not null group", "where a.value is not null and b.value is not null group")
+PAIRS = PAIRS_R1.replace("a.var_pos < b.var_pos", "a.var_pos < b.var_pos where a.value is not null and b.value is not null")
 
 
 def summary_sql(runs: str, n_vars: int) -> str:
