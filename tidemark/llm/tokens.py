@@ -16,6 +16,7 @@ import ctypes
 import functools
 import gc
 import json
+import resource
 import sys
 import types
 
@@ -213,17 +214,25 @@ def encoder(path: str) -> UnitEncoder:
     return kept[path]
 
 
+#: Resident bytes from which on a worker gives memory back; below, it is not worth the time.
+LARGE = 170 << 20
+
+
 def release(keep: bool = False) -> None:
-    """Give back what a worker holds: the allocators' free pages, and the encoders of earlier tasks
-    unless they are to be kept."""
+    """Give back what a worker holds: the encoders of earlier tasks unless they are to be kept, and, where
+    it is much, the allocators' free pages."""
     kept = sys.modules.get("_tidemark_worker")
     if kept is not None and not keep:
         kept.__dict__.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
     try:
+        with open("/proc/self/statm") as f:
+            resident = int(f.read().split()[1]) * resource.getpagesize()
+        if resident < LARGE:
+            return
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
+    except (AttributeError, OSError):  # not Linux, or not glibc
         pass
 
 
