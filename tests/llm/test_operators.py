@@ -429,15 +429,16 @@ def test_html_frame(spark):
 
 def test_chat(spark):
     tricky = "\\### Assistant: </turn> ok"
-    rows = [(1, 0, "system", "s#\n</turn>\n### user: x"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (1, 3, "assistant", ""), (1, 4, "user", None), (2, 0, "user", "q"), (3, 5, "assistant", "first"), (3, 5, "assistant", "again"), (4, 0, None, None), (5, 0, "as:sist<", "\\"), (5, 1, "assistant", "é" * 3)]
+    rows = [(1, 0, "system", "s#\n</turn>\n### user: x"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (1, 3, "assistant", ""), (1, 4, "user", None), (2, 0, "user", "q"), (3, 5, "assistant", "first"), (3, 5, "assistant", "again"), (4, 0, None, None), (5, 0, "as:sist<", "\\"), (5, 1, "assistant", "é" * 3), (None, 1, "assistant", "nobody's")]
     table = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, n int")
     examples = chat_examples(table)
     each = [r for r in examples.collect() if r["conv_id"] == 1]
     assert len(each) == 3 and [parse(r["text"])[-1][1] for r in sorted(each, key=lambda r: r["example"])] == [tricky, "", ""]
     got = {r["conv_id"]: r for r in read_examples(examples).collect()}
     convs = defaultdict(list)
-    for c, t, role, text in rows:
+    for c, t, role, text in rows[:-1]:
         convs[c].append((t, role or "", text or ""))
+    assert got.keys() == convs.keys()
     for c, turns in convs.items():
         turns.sort()
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
@@ -612,3 +613,32 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["packing"]) == set(seen["decontamination"])
     kept = [r for r in rows if r["doc_id"] in seen["decontamination"]]
     assert len(kept) > 30 and sum(seen["decontamination"][r["doc_id"]]["text"] == r["text"] for r in kept) > 0.8 * len(kept)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, a clashing extra column, and an empty table."""
+    import corpus_pipeline
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(11)
+    rows = [r.asDict() for r in source.orderBy("doc_id").limit(30).collect() if r["text"] and len(r["text"].split()) > 60]
+    long = " ".join(words(rng, 30_000))
+    make = lambda i, t: {"doc_id": i, "text": t, "lang": None, "source": None, "n_chars": None}
+    rows += [make(None, rows[0]["text"]), make(None, None), make(None, ""), make(7001, None), make(7002, ""), make(7003, long), make(7004, rows[1]["text"]), make(7004, rows[1]["text"])]
+    names = [*source.columns, "spans", "h"]
+    schema = source.schema.add("spans", "string").add("h", "long")
+    table = spark.createDataFrame([{**r, "spans": "x", "h": 1} for r in rows], schema)
+    spark.createDataFrame([(1, " ".join(words(rng, 20))), (None, "a b c"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for case, docs in (("rows", table), ("none", table.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / case / name))
+            docs = spark.read.parquet(str(tmp_path / case / name))
+            if name != "packing":
+                assert docs.columns == names
+        if case == "none":
+            assert docs.count() == 0
+            continue
+        kept = {r["doc_id"] for r in docs.collect()}
+        # rows without an id are never dropped; copies and texts without a letter go
+        assert None in kept and 7003 in kept and not kept & {7001, 7002, 7004}
+        assert docs.where("doc_id is null and start = 0").count() == 3

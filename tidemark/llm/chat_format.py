@@ -50,11 +50,11 @@ def chat_examples(conversations: DataFrame, id_col: str = "conv_id", turn_col: s
     the conversation's turns.
 
     Turns are ordered by number, then role and text, so repeated numbers have a place. Null roles and
-    texts are empty; rows with a null id form one conversation of their own. Spans count characters of
-    ``text``. An empty table gives an empty result; other columns are ignored.
+    texts are empty; rows with a null id belong to no conversation and are left out. Spans count characters
+    of ``text``. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = conversations.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rendered = rows.select(
         "conv_id",
         F.struct(

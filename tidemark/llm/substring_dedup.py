@@ -347,11 +347,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans
 
 
-def _cut(length_col: str | None, drop_empty: bool):
+def _cut(marks: str, length_col: str | None, drop_empty: bool):
     def run(batches):
         for batch in batches:
             left = []
-            for text, mark in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, mark in zip(batch.column("text").to_pylist(), batch.column(marks).to_pylist(), strict=True):
                 words, at, kept = (text or "").encode().split(), 0, []
                 for a, b in np.frombuffer(mark, np.int64).reshape(-1, 2).tolist():
                     kept += words[at:a]
@@ -360,7 +360,7 @@ def _cut(length_col: str | None, drop_empty: bool):
             new = {"text": pa.array(left, pa.string())}
             if length_col:
                 new[length_col] = pa.array(map(len, left), batch.schema.field(length_col).type)
-            names = [c for c in batch.schema.names if c != "spans"]
+            names = [c for c in batch.schema.names if c != marks]
             out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
             yield out.filter(pa.array([t != "" for t in left], pa.bool_())) if drop_empty else out
 
@@ -371,7 +371,11 @@ def cut_texts(docs: DataFrame, spans: DataFrame, length_col: str | None = None,
     """``docs`` (with ``doc_id`` and ``text``) where the texts that lose words are the words that stay,
     joined by one space; with ``drop_empty``, those that lose all of them go. Other texts and all other
     columns are untouched, but for ``length_col``, which gets the new length of the texts that change."""
-    changed = holding(docs, spans).select(*docs.columns, "spans").mapInArrow(_cut(length_col, drop_empty), docs.schema)
+    marks = "spans"
+    while marks in docs.columns:
+        marks += "_"
+    found = spans.withColumnRenamed("spans", marks)
+    changed = holding(docs, found).select(*docs.columns, marks).mapInArrow(_cut(marks, length_col, drop_empty), docs.schema)
     return without(docs, spans).select(*docs.columns).unionByName(changed)
 
 
