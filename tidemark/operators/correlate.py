@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Thresholds
 from ..functions.expressions import ess
 from ..functions.stats import normal_p
+from ..sources.tables import written
 from .obs import to_wide
 
 #: Of a pair of columns: rows with both, and their means, sums of squares and of products about the means.
@@ -114,11 +115,12 @@ def pearson(obs: DataFrame, by_run: bool = False) -> DataFrame:
 
 def average_ranks(obs: DataFrame, parts: int = 64) -> DataFrame:
     """Values replaced by their average rank within their variable. Equal values cost one row, and each
-    variable's values are dealt by approximate quantiles, so a variable is ranked by many tasks: a rank is
+    variable's distinct values are dealt by approximate quantiles, so a variable is ranked by many tasks: a rank is
     a running count inside its part after the counts of the parts before it."""
     counts = obs.where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("k"))
+    counts = written(counts, "counts")
     shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    bounds = obs.where("value is not null").groupBy("variable").agg(F.percentile_approx("value", shares, 1000).alias("bounds"))
+    bounds = counts.groupBy("variable").agg(F.percentile_approx("value", shares, 1000).alias("bounds"))
     dealt = counts.join(bounds, "variable").withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
     sizes = dealt.groupBy("variable", "part").agg(F.sum("k").alias("n"))
     before = sizes.select("variable", "part", (F.sum("n").over(Window.partitionBy("variable").orderBy("part")) - F.col("n")).alias("before"))
@@ -129,6 +131,7 @@ def average_ranks(obs: DataFrame, parts: int = 64) -> DataFrame:
 
 def spearman(obs: DataFrame) -> DataFrame:
     """Pairwise-complete rank correlations, pooled. With missing values each pair is ranked anew."""
+    obs = written(obs.select("run_id", "seq", "variable", "var_pos", "value"), "obs")
     names = variables_of(obs)
     if not names:
         return pearson(obs)

@@ -13,6 +13,7 @@ from ..functions.stats import decision_interval, z_critical
 from ..operators import causal, cluster, correlate, drift, profile, quality
 from ..operators.obs import run_sizes, trajectory_band, varying
 from ..sources import ingest
+from ..sources.tables import written
 from . import derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +82,12 @@ def r1(spark, d):
     return derive.r1(spark, d)
 
 
-def r1_parts(spark, d):
+def r1_parts(spark, d, kept: bool = False):
+    """Observations, sizes (written, as the baseline and the tests read them) and baseline; with ``kept``
+    the observations are written too."""
     obs = derive.r1(spark, d)
-    sizes = drift.effective_sizes(obs)
+    obs = written(obs, "r1") if kept else obs
+    sizes = written(drift.effective_sizes(obs), "sizes")
     return obs, sizes, drift.baseline(obs, sizes)
 
 
@@ -239,19 +243,19 @@ def variance_ratio(spark, d):
 
 @query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(H4) + " select run_id, variable, onset, case when onset is not null then side end as direction from found")
 def cusum_onset(spark, d):
-    obs, _, base = r1_parts(spark, d)
+    obs, _, base = r1_parts(spark, d, kept=True)
     return drift.onsets(drift.cusum(obs, base), H4).select("run_id", "variable", "onset", "direction")
 
 
 @query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(H4) + " select run_id, variable, round(peak, 4) as peak from found")
 def cusum_peak(spark, d):
-    obs, _, base = r1_parts(spark, d)
+    obs, _, base = r1_parts(spark, d, kept=True)
     return rounded(drift.onsets(drift.cusum(obs, base), H4).select("run_id", "variable", "peak"), 4)
 
 
 @query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(2.0) + " select run_id, cast(count(*) as integer) as n_detected, cast(min(onset) as bigint) as earliest_onset, arg_min(variable, onset * 10 + var_pos) as earliest_variable, string_agg(variable, '>' order by onset, var_pos) as propagation from found where onset is not null group by run_id")
 def propagation_order(spark, d):
-    obs, _, base = r1_parts(spark, d)
+    obs, _, base = r1_parts(spark, d, kept=True)
     return drift.propagation(drift.onsets(drift.cusum(obs, base), 2.0)).withColumn("propagation", F.array_join("propagation", ">"))
 
 
@@ -303,7 +307,7 @@ def pearson_pooled(spark, d):
 
 @query(WITH + R1 + ", " + PAIRS_R1 + " select run_id, var_a, var_b, round(r, 6) + 0.0 as r from own")
 def pearson_per_run(spark, d):
-    return rounded(correlate.pearson(r1(spark, d), by_run=True).drop("n_pair"))
+    return rounded(correlate.gram_pearson(derive.r1_arrays(spark, d), derive.R1_VARIABLES, by_run=True).drop("n_pair"))
 
 
 _RANKS = "ranked as (select run_id, seq, variable, var_pos, rank() over (partition by variable order by value) + (count(*) over (partition by variable, value) - 1) / 2.0 as value from obs where value is not null)"
@@ -320,8 +324,9 @@ def spearman_gaps(spark, d):
 
 
 def r1_pairs(spark, d):
-    obs, sizes, base = r1_parts(spark, d)
-    return correlate.pair_drift(correlate.pearson(obs, by_run=True), correlate.pearson(obs), sizes, base)
+    _, sizes, base = r1_parts(spark, d)
+    grams = written(correlate.gram_table(derive.r1_arrays(spark, d), derive.R1_VARIABLES, by_run=True), "gram")
+    return correlate.pair_drift(correlate.pearson_of(grams), correlate.pearson_of(correlate.gram_pearson_parts(grams)), sizes, base)
 
 
 @query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + PAIRS_R1 + ", " + FISHER + f" select run_id, var_a, var_b, round(r, 6) + 0.0 as r, round(r0, 6) + 0.0 as r0, round(z_stat, 4) + 0.0 as z_stat, coalesce(abs(z_stat) > {z_critical(T.corr_alpha)!r}, false) as drifted from tested")

@@ -32,6 +32,11 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_long(r1_wide(spark, sf_dir), R1_VARIABLES)
 
 
+def r1_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1's values by run, an array a row in the variables' order, for what needs no positions."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("string").alias("run_id"), F.array(*(F.col(v).cast("double") for v in R1_VARIABLES)).alias("x"))
+
+
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full grid of day, hour and type; hours without an event are null."""
     events = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("date").alias("day"), F.hour("ts").alias("hour"), "event_type", "value")
