@@ -17,7 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import spread
 from .scratch import Scratch, input_bytes
+from .substring_dedup import sized
 from .tokens import encoder, lean, slices
 
 #: First nonterminal; ids are below it.
@@ -42,7 +44,8 @@ def repair(ids: np.ndarray, doc: np.ndarray, pairs: int = 4096, least: int = 16)
     n, rules = len(ids), []
     if n < 2:
         return ids.astype(np.int32), doc, np.empty((0, 2), np.int32)
-    sym = np.append(ids.astype(np.int32), -1)  # the last entry stands for "no neighbour"
+    sym = np.append(ids, 0).astype(np.int32)
+    sym[n] = -1  # the last entry stands for "no neighbour"
     after = np.arange(1, n + 2)
     after[np.append(np.flatnonzero(doc[1:] != doc[:-1]), [n - 1, n])] = n
     before = np.arange(-1, n)
@@ -137,20 +140,46 @@ def rule_lengths(rules: np.ndarray) -> np.ndarray:
     return out
 
 
+def expansions(rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rules, flat, and where each rule begins. A rule is copied from its two sides, which
+    are whole before it, so the work is the ids that are written."""
+    start = np.cumsum(lengths) - lengths
+    flat = np.empty(int(lengths.sum()), np.int32)
+    inner = rules.astype(np.int64) - FIRST_RULE
+    level = np.zeros(len(rules), np.int64)
+    while True:
+        new = 1 + np.where(inner >= 0, level[np.maximum(inner, 0)], 0).max(1, initial=0)
+        if (new == level).all():
+            break
+        level = new
+    order = np.argsort(level, kind="stable")
+    for own in np.split(order, np.cumsum(np.bincount(level))[:-1]) if len(rules) else []:
+        at = start[own]
+        for side in (0, 1):
+            child, ids = inner[own, side], rules[own, side]
+            plain = child < 0
+            flat[at[plain]] = ids[plain]
+            size = np.where(plain, 1, lengths[np.maximum(child, 0)])
+            row, place = spread(np.where(plain, 0, size))
+            flat[at[row] + place] = flat[start[child[row]] + place]
+            at = at + size
+    return flat, start
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for."""
-    seq = symbols
-    while True:
-        is_rule = seq >= FIRST_RULE
-        if not is_rule.any():
-            return seq
-        at = np.cumsum(1 + is_rule) - 1 - is_rule
-        out = np.empty(len(seq) + int(is_rule.sum()), np.int32)
-        r = rules[seq[is_rule] - FIRST_RULE]
-        out[at[~is_rule]] = seq[~is_rule]
-        out[at[is_rule]] = r[:, 0]
-        out[at[is_rule] + 1] = r[:, 1]
-        seq = out
+    if not len(rules):
+        return symbols
+    lengths = rule_lengths(rules)
+    flat, start = expansions(rules, lengths)
+    is_rule = np.flatnonzero(symbols >= FIRST_RULE)
+    size = np.ones(len(symbols), np.int64)
+    own = symbols[is_rule].astype(np.int64) - FIRST_RULE
+    size[is_rule] = lengths[own]
+    out = np.repeat(symbols, size)
+    row, place = spread(lengths[own])
+    out[(np.cumsum(size) - size)[is_rule][row] + place] = flat[start[own][row] + place]
+    return out
 
 
 def decode_range(segment: dict, doc_index: int, start: int, stop: int) -> np.ndarray:
@@ -232,6 +261,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     shards = heads.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
     within = heads.withColumn("in_shard", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_ids"))
     bases = within.join(shards, "shard").select("shard", "segment", (F.col("in_shard") + F.col("before")).alias("base"))
+    bases = sized(bases, 32)  # a row per segment
     rows = files.mapInArrow(lean(_decoded), "shard long, segment long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
