@@ -45,7 +45,7 @@ def repair(ids: np.ndarray, doc: np.ndarray, pairs: int = 4096, least: int = 16)
     if n < 2:
         return ids.astype(np.int32), doc, np.empty((0, 2), np.int32)
     sym = np.append(ids, 0).astype(np.int32)
-    sym[n] = -1  # the last entry stands for "no neighbour"
+    sym[n] = -1  # stands for "no neighbour"
     after = np.arange(1, n + 2)
     after[np.append(np.flatnonzero(doc[1:] != doc[:-1]), [n - 1, n])] = n
     before = np.arange(-1, n)
