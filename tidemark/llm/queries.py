@@ -11,6 +11,7 @@ from .chat_format import chat_examples, read_examples
 from .decontaminate import contamination
 from .embedding_dedup import embedding_dedup
 from .html_extract import html_extract
+from .merkle import merkle, merkle_sql
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 from .scratch import Scratch
@@ -82,7 +83,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle(read(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output, op13_merkle_manifest)
 
 
 def queries() -> dict:
@@ -130,4 +135,4 @@ select v.vec_id, coalesce(n.k, 0) as n_links, coalesce(c.least, v.vec_id) as com
 
 def oracle_sql() -> dict[str, str]:
     """Contracts that SQL can express. Tokenizers, trained models and edit distances are tested instead."""
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_embedding_dedup": OP9_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_embedding_dedup": OP9_SQL, "op13_merkle_manifest": merkle_sql()}
