@@ -123,12 +123,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+def words_of(column: pa.Array, lower: bool = False, gap: np.ndarray = SPACE) -> Words:
+    """The runs of bytes other than ``gap`` (a table by byte)."""
     data, at = text_buffer(column)
     if lower:
         data = LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(gap[data], out=inside[1:-1])
     edge = inside[1:] != inside[:-1]
     # a row's end also ends a word that touches the next row's first
     cuts = at[1:-1]

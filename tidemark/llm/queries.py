@@ -9,6 +9,7 @@ from . import language_id
 from . import quality as quality_model
 from .chat_format import chat_examples, read_examples
 from .decontaminate import contamination
+from .divergence import DIVERGENCE_SQL, source_divergence
 from .embedding_dedup import embedding_dedup
 from .html_extract import html_extract
 from .merkle import merkle, merkle_sql
@@ -83,11 +84,15 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle(read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output, op13_merkle_manifest)
+QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output, op12_source_divergence, op13_merkle_manifest)
 
 
 def queries() -> dict:
@@ -135,4 +140,4 @@ select v.vec_id, coalesce(n.k, 0) as n_links, coalesce(c.least, v.vec_id) as com
 
 def oracle_sql() -> dict[str, str]:
     """Contracts that SQL can express. Tokenizers, trained models and edit distances are tested instead."""
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_embedding_dedup": OP9_SQL, "op13_merkle_manifest": merkle_sql()}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_embedding_dedup": OP9_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_merkle_manifest": merkle_sql()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,6 +87,19 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    @contextmanager
+    def resident(self, df: DataFrame, keys: Sequence[str], name: str) -> Iterator[DataFrame]:
+        """Write ``df`` bucketed by ``keys``, a file a bucket: joins on all of the keys leave it where it is. The
+        catalog knows the table until the end of the block; its files stay in the scratch folder."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"tidemark_{name}_{uuid.uuid4().hex}"
+        dealt = df.repartition(parts, *keys)
+        dealt.write.format("parquet").bucketBy(parts, *keys).option("parquet.block.size", ROW_GROUP).option("path", self.path(name)).saveAsTable(table)
+        try:
+            yield self.spark.table(table)
+        finally:
+            self.spark.sql(f"drop table if exists {table}")
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:
