@@ -15,6 +15,7 @@ from .html_extract import html_extract
 from .merkle import merkle, merkle_sql
 from .ngram_jaccard import ngram_jaccard
 from .packing import pack
+from .projection_search import nearest
 from .scratch import Scratch
 from .substring_dedup import substring_dedup
 from .token_output import token_output
@@ -84,6 +85,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir, "documents"))
 
@@ -92,7 +97,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle(read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output, op12_source_divergence, op13_merkle_manifest)
+QUERIES = (op1_ngram_jaccard, op2_quality, op3_html_extract, op4_substring_dedup, op5_decontamination, op6_chat_format, op7_language_id, op8_packing, op9_embedding_dedup, op10_token_output, op11_projection_search, op12_source_divergence, op13_merkle_manifest)
 
 
 def queries() -> dict:
