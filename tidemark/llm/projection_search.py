@@ -163,8 +163,10 @@ def searcher(k: int, q: float):
                     best, who = best[kept], who[kept]
                     if len(best) == k:
                         bound = min(bound, float(best[-1]))
-                out.append(pd.DataFrame({"key": r.key, "id": who, "score": best}))
-        return pd.concat(out) if out else pd.DataFrame({"key": [], "id": np.empty(0, np.int64), "score": np.empty(0)})
+                out.append((r.key, who, best))
+        keys = np.repeat(np.array([o[0] for o in out], object), [len(o[1]) for o in out])
+        join = lambda i, kind: np.concatenate([np.empty(0, kind), *(o[i] for o in out)])
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "id": join(1, np.int64), "score": join(2, float)})
 
     return run
 
