@@ -146,14 +146,14 @@ def meeting(host: Block, guest: Block | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def telling(host: Block, whole: Block, most: int) -> list[tuple[int, int, int]]:
+def telling(host: Block, lang: Block, whole: int, most: int) -> list[tuple[int, int, int]]:
     """Each source's terms above their share in the language, by a heap of the ``most`` largest divergences."""
-    q = whole.shares(whole.tid)[0]
+    q = 1 + share(lang.n + 2, np.int64(whole))
     out = []
     for i, a in enumerate(host.group.tolist()):
         own = slice(host.first[i], host.first[i + 1])
         tid = host.tid[own]
-        p, r = 1 + share(host.n[own] + 2, host.whole[i]), q[np.searchsorted(whole.tid, tid)]
+        p, r = 1 + share(host.n[own] + 2, host.whole[i]), q[np.searchsorted(lang.tid, tid)]
         above = p > r
         value, tid = apart(p[above], r[above]), tid[above]
         if len(value) > most:
@@ -177,7 +177,7 @@ def first_round(most: int):
                 host = Block(r["packed"])
                 yield rows_met(r["lang"], "pair", meeting(host, None))
                 if r["guest"] is not None:
-                    yield rows_met(r["lang"], "term", telling(host, Block(r["guest"]), most))
+                    yield rows_met(r["lang"], "term", telling(host, Block(r["guest"]), r["whole"], most))
 
     return lean(run)
 
@@ -240,11 +240,13 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, most_terms: int = 1
     within = F.greatest(zero, F.least(F.lit(SHARD), F.col("kept") - F.col("shard") * SHARD))
     rows = seated.union(present).withColumn("terms", within)
     with scratch.resident(rows.groupBy("lang", "shard", "block").applyInPandas(packed_seat, SEAT), ["lang", "shard", "block"], "seats") as seats:
-        lone = terms.join(langs.select("lang", "total"), "lang").select("lang", shard.alias("shard"), zero.alias("block"), zero.alias("size"), "kept", F.lit(-1).cast("long").alias("source_no"), (F.col("total") + 2 * F.col("kept")).alias("whole"), "tid", "n").withColumn("terms", within)
-        whole = lone.groupBy("lang", "shard", "block").applyInPandas(packed_seat, SEAT).select("lang", "shard", F.col("packed").alias("guest"))
-        visits = groups.select("lang", "block").distinct().join(whole, "lang").select("lang", "shard", "block", "guest")
+        lone = terms.select("lang", shard.alias("shard"), zero.alias("block"), zero.alias("size"), "kept", F.lit(-1).cast("long").alias("source_no"), zero.alias("whole"), "tid", "n").withColumn("terms", within)
+        vectors = lone.groupBy("lang", "shard", "block").applyInPandas(packed_seat, SEAT).select("lang", "shard", F.col("packed").alias("guest"))
+        # what the language has in all comes to the packed vectors, of which there is one a shard
+        whole = vectors.join(langs.select("lang", (F.col("total") + 2 * F.col("kept")).alias("whole")), "lang")
+        visits = groups.select("lang", "block").distinct().join(whole, "lang").select("lang", "shard", "block", "guest", "whole")
         key = ["lang", "shard", "block"]
-        met = [scratch.save(seats.join(visits, key, "left").select("lang", "packed", "guest").mapInArrow(first_round(most_terms), MET), "round0")]
+        met = [scratch.save(seats.join(visits, key, "left").select("lang", "packed", "guest", "whole").mapInArrow(first_round(most_terms), MET), "round0")]
         even = F.col("size") + F.col("size") % 2
         last = groups.agg(F.max(even)).first()[0] or 0
         for begin in range(0, last - 1, ROUNDS):

@@ -1,12 +1,16 @@
 """Vectorised text kernels over Arrow string columns: words, word hashes and n-gram hashes.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, never across two rows. Hashes are
-polynomials modulo 2**64 over random tables, finished with a 64-bit mixer; they depend on the bytes
-of a word, or on the words of an n-gram, alone.
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, never across two rows. A word's hash runs
+its bytes, eight at a time, through two lanes that are mixed after every step (long words through keyed
+BLAKE2b); an n-gram's hash mixes the hashes of its halves. So no pattern inside a word or a sequence
+cancels out, as it would in a sum of powers. Hashes depend on the seed and on the bytes of a word, or on
+the words of an n-gram, alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,42 +33,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes from which on a word goes through BLAKE2b.
+LONG = 64
+#: Of a word's last eight bytes, those that belong to it.
+OWN = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def stirred(x: np.ndarray) -> np.ndarray:
+    """A short mix between steps; in place."""
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(29)
+    return x
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """From each byte on, eight bytes as one number (zeros after the last)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``a[at : at + size]`` and ``b[bt : bt + size]`` are equal, for each entry."""
+    one, two = eights(a), eights(b)
+    out = ((one[at] ^ two[bt]) & OWN[np.minimum(size, 8)]) == 0
+    for step in range(8, LONG, 8):
+        live = np.flatnonzero(out & (size > step))
+        if not len(live):
+            return out
+        out[live] = ((one[at[live] + step] ^ two[bt[live] + step]) & OWN[np.minimum(size[live] - step, 8)]) == 0
+    for i in np.flatnonzero(out & (size > LONG)).tolist():
+        out[i] = bool((a[at[i] : at[i] + size[i]] == b[bt[i] : bt[i] + size[i]]).all())
+    return out
+
+
 class Roller:
-    """One hash family: byte table, odd radix and its powers."""
+    """One hash family, given by its seed."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-        self.radix = int(rng.integers(1, 1 << 60)) * 8 + 5
-        self.inverse = pow(self.radix, -1, 1 << 64)
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
         self.coef = rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n + 1:
-            size = max(n + 1, SLICE + 1)
-            up = np.full(size, self.radix, np.uint64)
-            down = np.full(size, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up, self.down
+        self.lane = rng.integers(1, 1 << 63, 4, dtype=np.uint64) * U(2) + U(1)
+        self.key = rng.bytes(32)
 
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of each word ``data[start:end]``; start ascends."""
-        out = np.empty(len(start), np.uint64)
-        i = 0
-        while i < len(start):
-            base = int(start[i])
-            j = max(i + 1, int(np.searchsorted(end, base + SLICE, "right")))
-            piece = data[base : int(end[j - 1])]
-            up, down = self.powers(len(piece))
-            total = np.empty(len(piece) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(self.table[piece] * up[: len(piece)], out=total[1:])
-            s, e = start[i:j] - base, end[i:j] - base
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-            i = j
+        """The hash of each word ``data[start:end]``."""
+        size = end - start
+        eight = eights(data)
+        left = np.full(len(start), self.lane[0], np.uint64)
+        right = size.astype(np.uint64) * self.lane[1]
+        live, at, rest = slice(None), start, size
+        for step in range(LONG // 8):
+            part = eight[at] & OWN[np.minimum(rest, 8)]
+            left[live] = stirred((left[live] ^ part) * self.lane[2])
+            right[live] = stirred((right[live] + part) * self.lane[3])
+            more = np.flatnonzero((size > 8 * (step + 1)) & (size <= LONG))
+            if not len(more):
+                break
+            live, at, rest = more, start[more] + 8 * (step + 1), size[more] - 8 * (step + 1)
+        out = mix(left + (right ^ (right >> U(31))) * self.lane[1])
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=self.key).digest(), "little")
         return out
 
     def ngrams(self, w: np.ndarray, n: int) -> np.ndarray:
@@ -80,12 +109,11 @@ class Roller:
         out = np.empty(count, np.uint64)
         for i in range(0, count, SLICE):
             j = min(count, i + SLICE)
-            piece = w[i : j + n - 1]
-            up, down = self.powers(len(piece))
-            total = np.empty(len(piece) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(piece * up[: len(piece)], out=total[1:])
-            out[i:j] = mix((total[n:] - total[: j - i]) * down[: j - i] + U(n))
+            h, size = w[i : j + n - 1], 1
+            while 2 * size <= n:  # runs of a power of two words, from two halves
+                h = stirred(h[:-size] * self.coef[0] + h[size:] * self.coef[size % 61 + 1])
+                size *= 2
+            out[i:j] = mix(h[: j - i] * self.coef[62] + h[n - size : n - size + j - i] * self.coef[63] + U(n))
         return out
 
     def short(self, w: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-from .kernels import LOWER, SPACE, Roller, U, spread, text_buffer
+from .kernels import LOWER, SPACE, Roller, U, same_bytes, spread, text_buffer
 
 #: Ids of cached units that a worker keeps; beyond it the cache starts anew.
 CACHE = 4_000_000
@@ -67,6 +67,8 @@ class UnitEncoder:
     def clear(self):
         self.flat = np.empty(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int32)
+        self.raw = np.zeros(1 << 16, np.uint8)
+        self.raw_at = np.zeros(1 << 14, np.int64)
         self.used = self.count = 0
         self.seen = np.zeros(1 << TABLE, np.uint64)
         self.seen_slot = np.zeros(1 << TABLE, np.int32)
@@ -110,11 +112,20 @@ class UnitEncoder:
             out[first[which][row] + place] = values
         return out, counts
 
-    def add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Slots of new units with these ids."""
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Slots of new units, with their ids and their bytes."""
+        ids, counts = self.encoded(data, start, end)
         n = self.count + len(counts)
         if n + 2 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros(max(n + 2, len(self.at)), np.int32)])
+            more = max(n + 2, len(self.at))
+            self.at = np.concatenate([self.at, np.zeros(more, np.int32)])
+            self.raw_at = np.concatenate([self.raw_at, np.zeros(more, np.int64)])
+        row, place = spread(end - start)
+        filled = int(self.raw_at[self.count])
+        if filled + len(row) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(row), len(self.raw)), np.uint8)])
+        self.raw[filled : filled + len(row)] = data[start[row] + place]
+        self.raw_at[self.count + 1 : n + 1] = filled + np.cumsum(end - start)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -166,19 +177,29 @@ class UnitEncoder:
         if self.form == "words":
             data = LOWER[data]
         start, end, first = self.units(data, at)
-        keys = self.roller.words(data, start, end)
+        keys, size = self.roller.words(data, start, end), end - start
         if self.used > CACHE:
             self.clear()
         spot = (keys & U((1 << TABLE) - 1)).astype(np.int64)
         slot = self.seen_slot[spot].astype(np.int64)
-        missed = np.flatnonzero(self.seen[spot] != keys)
+        # hashes only find a cached unit: its bytes decide
+        found = np.flatnonzero((self.seen[spot] == keys) & (self.raw_at[slot + 1] - self.raw_at[slot] == size))
+        known = np.zeros(len(start), bool)
+        known[found] = same_bytes(data, start[found], self.raw, self.raw_at[slot[found]], size[found])
+        missed = np.flatnonzero(~known)
         if len(missed):
             distinct, where, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
             where = missed[where]
-            slots = self.add(*self.encoded(data, start[where], end[where]))
+            slots = self.add(data, start[where], end[where])
             slot[missed] = slots[inverse]
             self.seen[spot[where]] = distinct
             self.seen_slot[spot[where]] = slots
+            like = where[inverse]
+            apart = np.flatnonzero(size[missed] != size[like])
+            same = np.flatnonzero(size[missed] == size[like])
+            odd = missed[np.concatenate([apart, same[~same_bytes(data, start[missed[same]], data, start[like[same]], size[missed[same]])]])]
+            if len(odd):  # other units of an equal hash
+                slot[odd] = self.add(data, start[odd], end[odd])
         begin = self.at[slot].astype(np.int64)
         sizes = self.at[slot + 1] - begin
         total = np.concatenate([[0], np.cumsum(sizes)])
