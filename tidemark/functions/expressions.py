@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..config import BANDS
 
 
+#: Fixed value: how a number is written. Spark also reads 1D and 2F as numbers, which are codes.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
+
+
 def number(col: Column | str) -> Column:
     """As a double; what does not convert, and NaN, is null."""
-    c = (F.col(col) if isinstance(col, str) else col).try_cast("double")
-    return F.when(F.isnan(c), None).otherwise(c)
+    c = F.col(col) if isinstance(col, str) else col
+    value = c.try_cast("double")
+    written = F.typeof(c) != "string"
+    return F.when((written | c.cast("string").rlike(NUMBER)) & ~F.isnan(value), value)
 
 
 def pearson(x: str, y: str) -> Column:

@@ -1,7 +1,7 @@
 """Drift of runs against a pooled baseline: mean, variance, correlation and onset.
 
-Everything is a composition of aggregations, running windows and joins over ``obs_long``; only p-values
-need Python workers. Tests correct for autocorrelation by the effective sample size.
+Everything is a composition of aggregations, running windows over parts of series and joins over
+``obs_long``; only p-values need Python workers. Tests correct for autocorrelation by the effective sample size.
 """
 
 from __future__ import annotations
@@ -14,19 +14,14 @@ from ..functions.expressions import ess, severity
 from ..functions.stats import decision_interval, f_test_p, normal_p, z_critical
 from ..sources.tables import written
 from .quality import trusted_runs, verdict
-
-SERIES = ("run_id", "variable")
+from .series import SERIES, lag_moments, reflected_sums
 
 
 def rho1(obs: DataFrame) -> DataFrame:
     """``run_id, variable, var_pos, n, n_rows, mean, sd, rho1`` over non-null values, gaps closed; n_rows
     counts missing ones too. Lag-1 correlation is 0 under four values or without spread on either side,
     and clipped to 0.999. Series without a value have no row."""
-    past = Window.partitionBy(*SERIES).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = obs.select(*SERIES, "var_pos", "seq", "value").withColumn("before", F.last("value", ignorenulls=True).over(past))
-    both = F.col("before").isNotNull() & F.col("value").isNotNull()
-    x, y = F.when(both, F.col("before")), F.when(both, F.col("value"))
-    out = rows.groupBy(*SERIES, "var_pos").agg(F.count("value").alias("n"), F.count("*").alias("n_rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).where("n > 0")
+    out = lag_moments(obs).where("n > 0")
     flat = (F.col("n") < 4) | (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12)
     r = F.coalesce(F.col("c") / F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)), F.lit(0.0))
     return out.select(*SERIES, "var_pos", "n", "n_rows", "mean", "sd", F.when(flat, 0.0).otherwise(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), r))).alias("rho1"))
@@ -81,14 +76,12 @@ def variance_shift(sizes: DataFrame, base: DataFrame, n_vars: int, t: Thresholds
 
 
 def cusum(obs: DataFrame, base: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """``c_pos, c_neg`` at each position. The reflected sums are running sums minus their running
-    extremes, so one sort per series serves both windows. A missing value counts as no deviation."""
+    """``c_pos, c_neg`` at each position: reflected sums of the standardised values, less half the shift. A
+    missing value counts as no deviation. Long series are split (see ``series``)."""
     k = t.shift / 2
     z = F.coalesce((F.col("value") - F.col("pooled_mean")) / F.nullif("pooled_std", F.lit(0.0)), F.lit(0.0))
-    w = Window.partitionBy(*SERIES).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = obs.join(base.select("variable", "pooled_mean", "pooled_std"), "variable").withColumn("z", z)
-    rows = rows.withColumn("up", F.sum(F.col("z") - k).over(w)).withColumn("down", F.sum(F.col("z") + k).over(w))
-    return rows.withColumn("c_pos", F.col("up") - F.least(F.lit(0.0), F.min("up").over(w))).withColumn("c_neg", F.col("down") - F.greatest(F.lit(0.0), F.max("down").over(w)))
+    return reflected_sums(rows, F.col("z") - k, F.col("z") + k)
 
 
 def onsets(charts: DataFrame, h: float) -> DataFrame:

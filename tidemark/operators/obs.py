@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import number
+from .positions import positions
 
 
 def with_seq(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_id") -> DataFrame:
@@ -19,27 +20,23 @@ def with_seq(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_i
     return df.withColumn("seq", (F.row_number().over(Window.partitionBy(run_col).orderBy(*order)) - 1).cast("long"))
 
 
-def with_seq_in_parts(df: DataFrame, order: Sequence[str], run_col: str = "run_id", parts: int = 32) -> DataFrame:
-    """As ``with_seq``, where the first key is a number or a time: a run's rows are dealt by that key's
-    quantiles and numbered within parts, after the counts of the parts before, so a run is many tasks'."""
-    first = F.col(order[0])
-    if df.schema[order[0]].dataType.typeName().startswith(("timestamp", "date")):
-        first = first.cast("timestamp")
-    keyed = df.withColumn("__key", first.cast("double"))
-    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    bounds = keyed.groupBy(run_col).agg(F.percentile_approx("__key", shares, 1000).alias("__bounds"))
-    dealt = keyed.join(bounds, run_col).withColumn("__part", F.size(F.filter("__bounds", lambda b: b < F.col("__key"))))
-    sizes = dealt.groupBy(run_col, "__part").agg(F.count("*").alias("__n"))
-    before = sizes.select(run_col, "__part", (F.sum("__n").over(Window.partitionBy(run_col).orderBy("__part")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(run_col, "__part").orderBy(*order))
-    return dealt.join(before, [run_col, "__part"]).withColumn("seq", (F.col("__before") + place - 1).cast("long")).drop("__key", "__bounds", "__part", "__before")
+def with_seq_in_parts(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_id") -> DataFrame:
+    """As ``with_seq``, by one range exchange of all runs: a run's rows are many tasks', and each is numbered
+    after the rows of the ranges before it. The numbered rows come from a written table. Keys may be null."""
+    return positions(df, [run_col], order, "seq")
+
+
+#: Fixed value: how a whole number is written in a run id; other texts, such as 007, stay as they are.
+WHOLE = r"^-?(0|[1-9][0-9]*)(\.0+)?$"
 
 
 def run_key(col: Column | str) -> Column:
-    """Run ids as text, so that 1, 1.0 and '1' name one run."""
+    """Run ids as text, so that 1, 1.0 and '1' name one run; ids such as ``1D`` or ``007`` are names of their own."""
     c = F.col(col) if isinstance(col, str) else col
+    text = c.cast("string")
     whole = c.try_cast("double")
-    return F.when((whole == F.floor(whole)) & (F.abs(whole) < 1e15), F.floor(whole).cast("string")).otherwise(c.cast("string"))
+    fraction = F.typeof(c).isin("float", "double") & (whole == F.floor(whole)) & (F.abs(whole) < 1e15)
+    return F.when(fraction, F.floor(whole).cast("string")).when(text.rlike(WHOLE), F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
 
 
 def to_long(wide: DataFrame, variables: Sequence[str]) -> DataFrame:

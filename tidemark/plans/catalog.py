@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
-from ..functions.expressions import severity
+from ..functions.expressions import number, severity
 from ..functions.stats import decision_interval, z_critical
 from ..operators import causal, cluster, correlate, drift, profile, quality
 from ..operators.obs import run_sizes, trajectory_band, varying
@@ -116,12 +116,12 @@ def value_counts_labels(spark, d):
 @query("select count(*) as n, count(try_cast(o_orderpriority[1:1] as double)) as n_numeric, count(try_cast(o_orderstatus as double)) as n_status from orders")
 def coercion_counts(spark, d):
     rows = derive.table(spark, d, "orders")
-    return rows.agg(F.count("*").alias("n"), F.count(F.substring("o_orderpriority", 1, 1).try_cast("double")).alias("n_numeric"), F.count(F.col("o_orderstatus").try_cast("double")).alias("n_status"))
+    return rows.agg(F.count("*").alias("n"), F.count(number(F.substring("o_orderpriority", 1, 1))).alias("n_numeric"), F.count(number("o_orderstatus")).alias("n_status"))
 
 
 @query(WITH + R1 + " select variable, cast(var_pos as integer) as var_pos from obs group by all having stddev_samp(value) > 1e-12")
 def varying_variables(spark, d):
-    return varying(r1(spark, d))
+    return varying(derive.r1_values(spark, d))
 
 
 @query("select o_orderpriority as run_id, cast(count(*) as bigint) as n, round(avg(o_totalprice), 3) as mean_price from orders where o_orderpriority is not null group by 1")
@@ -149,7 +149,7 @@ _RULES = "rules as (select * from (values ('r1', 'l_quantity', 1.0, 49.0), ('r2'
 
 @query(WITH + R1 + ", " + _RULES + " select run_id, rule_id, variable, count(*) as n_checked, cast(sum(case when value < lo or value > hi then 1 else 0 end) as bigint) as n_violations, round(sum(case when value < lo or value > hi then 1 else 0 end) / count(*), 4) as frac_violations from obs join rules using (variable) group by all having sum(case when value < lo or value > hi then 1 else 0 end) > 0")
 def rule_violations(spark, d):
-    return quality.rule_violations(r1(spark, d), derive.rule_rows(spark))
+    return quality.rule_violations(derive.r1_values(spark, d), derive.rule_rows(spark))
 
 
 @query(WITH + R2 + ", " + _VERDICT + " select run_id, count(*) as n from obs where run_id not in (select run_id from worst where m >= 0.5) group by run_id")
@@ -164,17 +164,17 @@ _BASIC = "count(*) as n, round(avg(value), 4) as mean, round(stddev_samp(value),
 
 @query(WITH + R1 + f" select run_id, variable, {_BASIC}, count(distinct value) as n_distinct from obs group by all")
 def profile_basic(spark, d):
-    return rounded(profile.per_run(r1(spark, d)).select("run_id", "variable", "n", "mean", "std", "min", "max", "n_missing", "n_distinct"), 4)
+    return rounded(profile.per_run(derive.r1_values(spark, d)).select("run_id", "variable", "n", "mean", "std", "min", "max", "n_missing", "n_distinct"), 4)
 
 
 @query(WITH + R1 + " select variable, round(skewness(value), 6) + 0.0 as skewness, round(kurtosis(value), 6) + 0.0 as kurtosis, cast(sum(case when value = 0 then 1 else 0 end) as bigint) as n_zeros, cast(sum(case when value < 0 then 1 else 0 end) as bigint) as n_negative, cast(0 as bigint) as n_infinite, count(*) * 8 as memory_size from obs group by variable")
 def profile_moments(spark, d):
-    return rounded(profile.pooled(r1(spark, d)).select("variable", "skewness", "kurtosis", "n_zeros", "n_negative", "n_infinite", "memory_size"))
+    return rounded(profile.pooled(derive.r1_values(spark, d)).select("variable", "skewness", "kurtosis", "n_zeros", "n_negative", "n_infinite", "memory_size"))
 
 
 @query(WITH + R1 + f" select run_id, variable, {_BASIC}, cast(grouping(run_id) as integer) as is_pooled from obs group by grouping sets ((run_id, variable), (variable))")
 def profile_grouping_sets(spark, d):
-    return rounded(profile.both(r1(spark, d)), 4)
+    return rounded(profile.both(derive.r1_values(spark, d)), 4)
 
 
 @query(WITH + R2 + ", p as (select run_id, variable, count(*) as n, count(value) as k, count(distinct value) as u, sum(case when value = 0 then 1 else 0 end) as z from obs group by all) select alert, variable, count(*) as n_runs from (select 'missing' as alert, variable from p where (n - k) / n > 0.05 union all select 'constant', variable from p where u = 1 union all select 'unique', variable from p where u = k and k > 0 union all select 'zeros', variable from p where z / n > 0.5) group by all order by n_runs desc, alert, variable limit 15")
@@ -184,17 +184,17 @@ def alert_frequency(spark, d):
 
 @query(WITH + R1 + ", p as (select run_id, variable, avg(value) as mean, stddev_samp(value) as std, min(value + 0.0) as lo, max(value + 0.0) as hi from obs group by all) select variable, round(avg(mean), 6) as avg_mean, round(avg(std), 6) as avg_std, round(avg(lo), 6) as avg_min, round(avg(hi), 6) as avg_max from p group by variable")
 def profile_across_runs(spark, d):
-    return rounded(profile.across_runs(profile.per_run(r1(spark, d))).select("variable", "avg_mean", "avg_std", "avg_min", "avg_max"), 6)
+    return rounded(profile.across_runs(profile.per_run(derive.r1_values(spark, d))).select("variable", "avg_mean", "avg_std", "avg_min", "avg_max"), 6)
 
 
 @query(WITH + R1 + ", p as (select run_id, variable, avg(value) as mean, stddev_samp(value) as std from obs group by all) select a.variable, round(abs(b.mean - a.mean) / (a.std + 1e-12), 6) as shift, round(b.std * b.std / (a.std * a.std + 1e-12), 6) as ratio, abs(b.mean - a.mean) / (a.std + 1e-12) > 3 or b.std * b.std / (a.std * a.std + 1e-12) > 2 or b.std * b.std / (a.std * a.std + 1e-12) < 0.5 as drifted from p a join p b using (variable) where a.run_id = '0' and b.run_id = '1'")
 def run_compare(spark, d):
-    return rounded(profile.compare(profile.per_run(r1(spark, d)), "0", "1"))
+    return rounded(profile.compare(profile.per_run(derive.r1_values(spark, d)), "0", "1"))
 
 
 @query(WITH + R1 + ", e as (select variable, min(value + 0.0) as lo, max(value + 0.0) as hi, count(*) as n from obs group by variable), w as (select *, least(50, greatest(10, n // 50)) as bins, case when hi > lo then (hi - lo) / least(50, greatest(10, n // 50)) else 1.0 end as width from e) select variable, cast(least(floor((value - lo) / width), bins - 1) as integer) as bin, count(*) as count, round(count(*) / (max(n) * max(width)), 6) as density from obs join w using (variable) group by 1, 2")
 def histogram_pooled(spark, d):
-    return rounded(profile.histogram(r1(spark, d)))
+    return rounded(profile.histogram(derive.r1_values(spark, d)))
 
 
 @query(WITH + R2 + ", e as (select variable, min(value) as lo, max(value) as hi, stddev_samp(value) as sd, count(*) as n from obs where value is not null group by variable), c as (select o.variable, least(floor((value - lo) / (hi - lo) * 4096), 4095) as cell, count(*) as w, avg(value) as x from obs o join e using (variable) where value is not null group by 1, 2), g as (select *, sd * pow(n, -0.2) as h, lo + (hi - lo) * point / 199 as place from e, (select unnest(range(0, 200)) as point)) select g.variable, cast(point as integer) as point, round(max(place), 5) as place, round(sum(w * exp(-0.5 * ((place - x) / h) * ((place - x) / h))) / max(n * h) / 2.5066282746310002, 6) as density from g join c using (variable) group by 1, 2")

@@ -28,6 +28,12 @@ def r1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_seq_in_parts(rows, R1_ORDER).withColumn("sample", F.col("seq")).select("run_id", "sample", "seq", *R1_VARIABLES)
 
 
+def r1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 for what needs no positions: read straight from the table, ``seq`` is 0."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("string").alias("run_id"), *R1_VARIABLES)
+    return to_long(rows.withColumn("seq", F.lit(0).cast("long")).withColumn("sample", F.col("seq")), R1_VARIABLES)
+
+
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_long(r1_wide(spark, sf_dir), R1_VARIABLES)
 

@@ -7,6 +7,7 @@ from explicit arguments, then known file names, then heuristics on names, types
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import number
-from ..operators.obs import run_key, to_long, with_seq
+from ..operators.obs import run_key, to_long, with_seq_in_parts
 
 #: The name hints by which columns are given roles, and file name patterns with known roles.
 LABEL_HINTS = ("label", "class", "fault", "target", "status", "category", "group", "type", "source", "split")
@@ -48,13 +49,15 @@ def first_lines(spark: SparkSession, path: str, n: int = 11) -> list[str]:
 
 def sniff_delimiter(lines: Sequence[str]) -> str:
     """The commonest of comma, tab, semicolon and runs of two blanks; the first of equals; none: blanks."""
+    lines = [re.sub(r'"(?:[^"]|"")*"', '""', x) for x in lines]  # what stands in quotes delimits nothing
     counts = {",": sum(x.count(",") for x in lines), "\t": sum(x.count("\t") for x in lines), ";": sum(x.count(";") for x in lines), r"\s+": sum(len(re.findall(r" {2,}", x)) for x in lines)}
     best = max(counts, key=lambda k: counts[k])
     return best if counts[best] else r"\s+"
 
 
 def split_line(line: str, delimiter: str) -> list[str]:
-    return re.split(r"\s+", line.strip()) if delimiter == r"\s+" else [x.strip().strip('"') for x in line.split(delimiter)]
+    """The fields of a line; a quoted one may hold the delimiter and, doubled, the quote."""
+    return re.split(r"\s+", line.strip()) if delimiter == r"\s+" else [x.strip() for x in next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), [])]
 
 
 def is_number(text: str) -> bool:
@@ -84,7 +87,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
             rows = rows.where(F.col("value") != lines[0])
         parts = F.split(F.trim("value"), r"\s+")
         return rows.select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)))
-    return spark.read.csv(path, sep=delimiter, header=header, inferSchema=False).toDF(*columns)
+    return spark.read.csv(path, sep=delimiter, header=header, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).toDF(*columns)
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
@@ -133,7 +136,7 @@ def numeric_share(df: DataFrame) -> dict[str, float]:
     """Of each column's present values, the share that converts to a number."""
     aggs = []
     for i, c in enumerate(df.columns):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"a{i}"), F.count(F.col(f"`{c}`").try_cast("double")).alias(f"b{i}")]
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"a{i}"), F.count(number(f"`{c}`")).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"b{i}"] / row[f"a{i}"] if row[f"a{i}"] else 0.0) for i, c in enumerate(df.columns)}
 
@@ -197,7 +200,7 @@ def load(spark: SparkSession, path: str, **options) -> RunSet:
     key = [F.col(f"`{order}`").try_cast("double")] if order else [F.expr(f"try_to_timestamp(cast(`{time}` as string))")] if time else []
     variables = [c for c in coerce_numeric(raw).columns if c not in {order, time}]
     wide = numbered.select(F.lit("0").alias("run_id"), *(F.col(f"`{c}`").alias(c.strip()) for c in raw.columns), "__row", *(k.alias("__key") for k in key))
-    wide = with_seq(wide, ([F.col("__key")] if key else []) + [F.col("__row")])
+    wide = with_seq_in_parts(wide, (["__key"] if key else []) + ["__row"])
     sample_value = F.col(f"`{order}`").try_cast("double").cast("long") if order else F.col("seq")
     obs = to_long(wide.withColumn("sample", F.coalesce(sample_value, F.col("seq"))) if order != "sample" else wide.withColumn("sample", F.col("sample").try_cast("double").cast("long")), variables)
     return RunSet(obs, None, variables, None, order, [], describe(raw, path))
@@ -216,7 +219,7 @@ def split_roles(raw: DataFrame, path: str = "", run_col: str | None = None, samp
     place = F.col(f"`{sample}`").try_cast("double") if sample else F.monotonically_increasing_id().cast("double")
     base = raw.select(key.alias("run_id"), place.alias("__at"), *(F.col(f"`{c}`").alias(f"l_{c}") for c in labels), *(number(f"`{c}`").alias(c) for c in variables))
     base = base.where("run_id is not null")
-    numbered = with_seq(base, ["__at", *(F.col(f"`{c}`") for c in variables)]).withColumn("sample", F.coalesce(F.col("__at").cast("long"), F.col("seq")) if sample else F.col("seq"))
+    numbered = with_seq_in_parts(base, ["__at", *(F.col(f"`{c}`") for c in variables)]).withColumn("sample", F.coalesce(F.col("__at").cast("long"), F.col("seq")) if sample else F.col("seq"))
     held = numbered.select("run_id", "sample", *(F.col(f"`l_{c}`").alias(c) for c in labels)) if labels else None
     return RunSet(to_long(numbered, variables), held, variables, run, sample, labels, describe(raw, path) | {"run_column": run, "sample_column": sample, "label_columns": labels, "variables": variables})
 
