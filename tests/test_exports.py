@@ -93,7 +93,8 @@ def test_links_equal_regressions(spark, planted):
         col = [x[2 * tau - lag : 120 - lag, i] for i, lag in cells]
         z = np.stack([np.ones(len(col[0])), *col[2:]], axis=1)
         a, b = (c - z @ np.linalg.lstsq(z, c, rcond=None)[0] for c in col[:2])
-        assert panel.test(cells[0], cells[1], cells[2:])[0] == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-9)
+        at = [lag * 3 + i for i, lag in cells]
+        assert panel.partial(at[0], np.array(at[1:2]), np.array(at[2:], int))[0] == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-9)
 
 
 def test_parts_of_a_run_add_up(spark, planted, monkeypatch):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..functions.stats import t_two_sided
+from ..sources.tables import written
 
 LINKS = "run_id string, src string, tgt string, tau int, val double, pval double"
 
@@ -32,63 +33,80 @@ class Moments:
         size = np.where(self.flat, 1.0, size)
         self.corr = cov / np.outer(size, size)
 
-    def test(self, a: tuple[int, int], b: tuple[int, int], given: list[tuple[int, int]]) -> tuple[float, float]:
-        """Partial correlation of two lagged variables and its two-sided p-value."""
-        at = [tau * self.n_vars + i for i, tau in (a, b, *given)]
-        df = self.n - 2 - len(given)
-        if df < 1 or self.flat[at[:2]].any():
-            return 0.0, 1.0
-        rest = self.corr[np.ix_(at[:2], at[:2])]
-        if given:
-            across = self.corr[np.ix_(at[2:], at[:2])]
-            rest = rest - across.T @ np.linalg.lstsq(self.corr[np.ix_(at[2:], at[2:])], across, rcond=1e-12)[0]
-        if min(rest[0, 0], rest[1, 1]) < 1e-12:
-            return 0.0, 1.0
-        r = float(np.clip(rest[0, 1] / math.sqrt(rest[0, 0] * rest[1, 1]), -1, 1))
-        if abs(r) >= 1 - 1e-15:
-            return r, 0.0
-        return r, float(t_two_sided(r * math.sqrt(df / (1 - r * r)), df))
-
-
-def parents(panel: Moments, j: int, n_vars: int, tau_max: int, alpha: float) -> list[tuple[int, int]]:
-    """Lagged parents of a variable, strongest first."""
-    left = [(i, tau) for i in range(n_vars) for tau in range(1, tau_max + 1)]
-    weakest = dict.fromkeys(left, math.inf)
-    size = 0
+    def partial(self, target: int, others: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Partial correlations of lagged variable ``target`` with each of ``others``, given the same variables:
+        one factorisation serves them all. 0 where nothing is left of a side."""
+        at = np.concatenate([[target], others]).astype(np.int64)
+        cov, var = self.corr[target, others], np.ones(len(at))
+        if len(given):
+            within, across = self.corr[np.ix_(given, given)], self.corr[np.ix_(given, at)]
+            try:
+                half = np.linalg.cholesky(within)
+                sound = half.diagonal().min() > 1e-5
+            except np.linalg.LinAlgError:
+                sound = False
+            if sound:
+                y = np.linalg.solve(half, across)
+                var, cov = var - (y * y).sum(0), cov - y[:, 0] @ y[:, 1:]
+            else:
+                fit = np.linalg.lstsq(within, across, rcond=1e-12)[0]
+                var, cov = var - (across * fit).sum(0), cov - across[:, 0] @ fit[:, 1:]
+        lost = (var[1:] < 1e-12) | (var[0] < 1e-12) | self.flat[others] | self.flat[target]
+        r = cov / np.sqrt(np.where(lost, 1.0, np.maximum(var[0] * var[1:], 1e-300)))
+        return np.where(lost, 0.0, np.clip(r, -1, 1))
+
+    def p_values(self, r: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Two-sided, for partial correlations given so many variables."""
+        r, df = np.broadcast_arrays(np.asarray(r, float), self.n - 2 - np.asarray(given))
+        exact = np.abs(r) >= 1 - 1e-15
+        t = np.where(exact, 0.0, r) * np.sqrt(np.maximum(df, 1) / (1 - np.where(exact, 0.0, r) ** 2))
+        return np.where((df < 1) | (r == 0), 1.0, np.where(exact, 0.0, t_two_sided(t, np.maximum(df, 1))))
+
+
+def parents(panel: Moments, j: int, tau_max: int, alpha: float) -> np.ndarray:
+    """Lagged parents of a variable (as ``tau * n_vars + i``), strongest first.
+
+    In the round of size s a candidate is tested given the s strongest others: for all candidates that are
+    not among these, that is one set, and one factorisation."""
+    left = np.array([tau * panel.n_vars + i for i in range(panel.n_vars) for tau in range(1, tau_max + 1)], np.int64)
+    weakest, size = np.full(len(left), np.inf), 0
     while len(left) > size:
-        dropped = []
-        for c in left:
-            given = [o for o in left if o != c][:size]
-            if len(given) < size:
-                continue
-            val, p = panel.test(c, (j, 0), given)
-            weakest[c] = min(weakest[c], abs(val))
-            if p > alpha:
-                dropped.append(c)
-        left = sorted((c for c in left if c not in dropped), key=lambda c: -weakest[c])
-        size += 1
+        val = np.empty(len(left))
+        val[size:] = panel.partial(j, left[size:], left[:size])
+        for k in range(size):
+            val[k] = panel.partial(j, left[k : k + 1], np.delete(left[: size + 1], k))[0]
+        weakest = np.minimum(weakest, np.abs(val))
+        kept = panel.p_values(val, size) <= alpha
+        left, weakest = left[kept], weakest[kept]
+        order = np.argsort(-weakest, kind="stable")
+        left, weakest, size = left[order], weakest[order], size + 1
     return left
 
 
-def pcmci(panel: Moments, tau_max: int, pc_alpha: float) -> list[tuple[int, int, int, float, float]]:
-    """Every tested link (source, target, lag, value, p-value)."""
-    n = panel.n_vars
-    known = [parents(panel, j, n, tau_max, pc_alpha) for j in range(n)]
-    out = []
-    for j in range(n):
-        for i in range(n):
-            for tau in range(tau_max + 1):
-                if i == j and tau == 0:
-                    continue
-                given = [c for c in known[j] if c != (i, tau)]
-                given += [c for c in ((k, lag + tau) for k, lag in known[i]) if c not in given and c[1] <= 2 * tau_max and c not in ((i, tau), (j, 0))]
-                val, p = panel.test((i, tau), (j, 0), given)
-                out.append((i, j, tau, val, p))
-    return out
+def momentary(panel: Moments, j: int, known: list[np.ndarray], tau_max: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every link into a variable, given both sides' parents: sources, lags, values and p-values."""
+    n, last = panel.n_vars, 2 * tau_max
+    source, lag, val, given = [], [], [], []
+    for i in range(n):
+        for tau in range(tau_max + 1):
+            if i == j and tau == 0:
+                continue
+            own = tau * n + i
+            shifted = known[i] + tau * n
+            sets = np.concatenate([known[j], shifted[(shifted // n <= last) & (shifted != j)]])
+            sets = np.unique(sets[sets != own])
+            source.append(i)
+            lag.append(tau)
+            given.append(len(sets))
+            val.append(panel.partial(j, np.array([own]), sets)[0])
+    val, given = np.array(val), np.array(given)
+    return np.array(source), np.array(lag), val, panel.p_values(val, given)
 
 
 #: Places of a run that one task turns into sums, and sums that one task adds up.
 PART, FAN_IN = 1 << 16, 256
+#: Places whose lagged values are laid out at a time, and targets of a task of the search.
+CHUNK, TARGETS = 4096, 8
 SUMS = "run_id string, part long, n long, sums binary, products binary"
 
 
@@ -117,9 +135,13 @@ def lagged_sums(obs: DataFrame, names: list[str], tau_max: int, impute: bool = T
         first = pdf["part"].iloc[0] * PART
         v = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width)
         begin = max(back, int((pdf["seq"].to_numpy() < first).sum()))
-        z = np.concatenate([v[begin - lag : len(v) - lag] for lag in range(back + 1)], axis=1) if len(v) > begin else np.empty((0, width * (back + 1)))
-        z = z[~np.isnan(z).any(1)]
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [len(z)], "sums": [z.sum(0).tobytes()], "products": [(z.T @ z).tobytes()]})
+        n, total, products = 0, np.zeros(width * (back + 1)), np.zeros((width * (back + 1),) * 2)
+        for lo in range(begin, len(v), CHUNK):
+            hi = min(lo + CHUNK, len(v))
+            z = np.concatenate([v[lo - lag : hi - lag] for lag in range(back + 1)], axis=1)
+            z = z[~np.isnan(z).any(1)]
+            n, total, products = n + len(z), total + z.sum(0), products + z.T @ z
+        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [n], "sums": [total.tobytes()], "products": [products.tobytes()]})
 
     return rows.groupBy("run_id", "part").applyInPandas(sums, SUMS)
 
@@ -136,16 +158,35 @@ def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _search(added: DataFrame, names: list[str], t: Thresholds) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a run go to a task for each ``TARGETS`` variables: first for their parents, then, with the
+    parents of all variables, for the links into them."""
+    n, size = len(names), len(names) * (2 * t.tau_max + 1)
+    shares = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // TARGETS)))
+    added = written(added.where(F.col("n") + 2 * t.tau_max >= t.tau_max + 5).select("run_id", "n", "sums", "products"), "lagged")
+    dealt = added.withColumn("share", shares)
+
+    def panel(r) -> Moments:
+        return Moments(int(r.n), np.frombuffer(r.sums), np.frombuffer(r.products).reshape(size, size), n)
+
+    def targets(r) -> range:
+        return range(r.share * TARGETS, min(n, (r.share + 1) * TARGETS))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(r.run_id, j, parents(own, j, t.tau_max, t.pc_alpha).tobytes()) for r in pdf.itertuples() for own in [panel(r)] for j in targets(r)]
+        return pd.DataFrame(rows, columns=["run_id", "j", "parents"])
+
+    def links_into(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in pdf.itertuples():
-            size = len(names) * (2 * t.tau_max + 1)
-            if r.n + 2 * t.tau_max >= t.tau_max + 5:
-                panel = Moments(int(r.n), np.frombuffer(r.sums), np.frombuffer(r.products).reshape(size, size), len(names))
-                rows += [(r.run_id, names[i], names[j], tau, val, p) for i, j, tau, val, p in pcmci(panel, t.tau_max, t.pc_alpha) if p < t.link_alpha]
+            own, known = panel(r), [np.frombuffer(p["parents"], np.int64) for p in sorted(r.known, key=lambda p: p["j"])]
+            for j in targets(r):
+                source, lag, val, p = momentary(own, j, known, t.tau_max)
+                rows += [(r.run_id, names[source[k]], names[j], int(lag[k]), float(val[k]), float(p[k])) for k in np.flatnonzero(p < t.link_alpha)]
         return pd.DataFrame(rows, columns=["run_id", "src", "tgt", "tau", "val", "pval"])
 
-    return added.groupBy("run_id").applyInPandas(one, LINKS)
+    found = dealt.groupBy("run_id", "share").applyInPandas(find, "run_id string, j int, parents binary")
+    known = found.groupBy("run_id").agg(F.collect_list(F.struct("j", "parents")).alias("known"))
+    return added.join(written(known, "parents"), "run_id").withColumn("share", shares).groupBy("run_id", "share").applyInPandas(links_into, LINKS)
 
 
 def _names(obs: DataFrame) -> list[str]:

@@ -273,19 +273,10 @@ def run_drift_summary(spark, d):
     return rounded(drift.drift_summary(r1(spark, d), n_vars=4))
 
 
-@query("select cast(p as double) / 100 as score, case when p < 15 then 'good' when p < 35 then 'warning' when p < 60 then 'serious' else 'critical' end as band from (select unnest(range(0, 101)) as p)")
+@query("select case when p < 15 then 'good' when p < 35 then 'warning' when p < 60 then 'serious' else 'critical' end as band, count(*) as n, round(sum(p / 100), 2) as total from (select l_orderkey % 101 as p from lineitem) group by 1")
 def severity_band(spark, d):
-    scores = spark.range(101).select((F.col("id").cast("double") / 100).alias("score"))
-    return scores.withColumn("band", severity("score"))
-
-
-_BREAK = WITH + R1 + ", " + SIZES + ", " + BASE + ", " + SHIFT + ", " + CHARTS + ", " + onset_sql(H4) + f", m as (select run_id, round(sum(case when abs(z_score) > {Z4!r} then 1 else 0 end) / 4, 4) as mean from shifts group by 1), o as (select run_id, round(count(onset) / 4, 4) as onset from found group by 1) select run_id, 'frac_mean_drifted' as part, mean as share from m union all select run_id, 'frac_onset_detected', onset from o"
-
-
-@query(_BREAK)
-def drift_breakdown(spark, d):
-    s = drift.drift_summary(r1(spark, d), n_vars=4)
-    return s.select("run_id", F.expr("stack(2, 'frac_mean_drifted', frac_mean_drifted, 'frac_onset_detected', frac_onset_detected) as (part, share)"))
+    scores = derive.table(spark, d, "lineitem").select((F.col("l_orderkey") % 101 / 100).alias("score"))
+    return scores.groupBy(severity("score").alias("band")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"))
 
 
 @query(WITH + R2 + ", " + SIZES + ", " + BASE + ", " + CHARTS + ", " + onset_sql(3.0) + ", first as (select *, row_number() over (partition by run_id order by onset, var_pos) as k from found where onset is not null) select o.run_id, o.variable, o.seq, round(o.value, 6) as value, f.onset, round(pooled_mean - 2 * pooled_std, 6) as low, round(pooled_mean + 2 * pooled_std, 6) as high from obs o join first f on f.run_id = o.run_id and f.variable = o.variable and k <= 6 join base b on b.variable = o.variable")
@@ -339,12 +330,7 @@ def frobenius_drift(spark, d):
     return rounded(correlate.frobenius(r1_pairs(spark, d)))
 
 
-@query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + PAIRS_R1 + ", " + FISHER + ", k as (select *, row_number() over (partition by run_id order by round(abs(z_stat), 4) desc, var_a, var_b) as rank from tested where z_stat is not null) select run_id, var_a, var_b, cast(rank as integer) as rank from k where rank <= 3")
-def top_drifted_pairs(spark, d):
-    return correlate.top_drifted(r1_pairs(spark, d), 3).select("run_id", "var_a", "var_b", "rank")
-
-
-@query(ORACLES["top_drifted_pairs"].replace("rank <= 3", "rank <= 20"))
+@query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + PAIRS_R1 + ", " + FISHER + ", k as (select *, row_number() over (partition by run_id order by round(abs(z_stat), 4) desc, var_a, var_b) as rank from tested where z_stat is not null) select run_id, var_a, var_b, cast(rank as integer) as rank from k where rank <= 20")
 def top_drifted_pairs_all(spark, d):
     return correlate.top_drifted(r1_pairs(spark, d)).select("run_id", "var_a", "var_b", "rank")
 
@@ -383,62 +369,86 @@ def pcmci_links(spark, d):
     return causal.links(derive.r2(spark, d), T)
 
 
-LINKS = derive.links_sql()
+@query(None)
+def pcmci_52_variables(spark, d):
+    """52 variables at lags up to 10 in every run."""
+    return causal.links(derive.r3_series(spark, d), Thresholds(tau_max=10, pc_alpha=0.001, link_alpha=1e-4))
+
+
+R4 = derive.r4_sql()
+LINKS = R4 + ", " + derive.r4_links_sql()
 FREQ = "freq as (select src, tgt, tau, count(*) as n_runs, avg(val) as mean_val, avg(pval) as mean_pval from links group by all)"
+RUNS = "(select count(distinct run_id) from r4w)"
+
+
+def frequency(spark, d):
+    found, n_runs = derive.r4_links(spark, d)
+    return causal.link_frequency(found), n_runs
+
+
+@query(WITH + LINKS + " select run_id, src, tgt, tau, round(val, 6) as val, pval from links")
+def planted_links(spark, d):
+    """PCMCI over R4 finds what was planted, and nothing else."""
+    return rounded(derive.r4_links(spark, d)[0])
+
+
+_CENTRED = "r4c as (select run_id, seq, a, b, c, d, e, " + ", ".join(f"lag({v}, {k}) over (partition by run_id order by seq) as {v}{k}" for v, k in (("a", 1), ("a", 3), ("b", 2), ("d", 1), ("d", 2))) + " from (select run_id, seq, " + ", ".join(f"{v} - avg({v}) over (partition by run_id) as {v}" for v in derive.R4_VARIABLES) + " from r4w))"
 
 
-def frequency(spark):
-    return causal.link_frequency(derive.link_rows(spark))
+@query(WITH + R4 + ", " + _CENTRED + ", " + derive.r4_links_sql("", "r4c") + " select src, tgt, tau, round(val, 6) as val, pval from links")
+def planted_pooled_links(spark, d):
+    """PCMCI over all runs as one series, masked at their starts."""
+    return rounded(causal.pooled_links(derive.r4(spark, d), derive.STRICT))
 
 
 @query(WITH + LINKS + ", " + FREQ + " select src, tgt, tau, n_runs, round(mean_val, 6) as mean_val, round(mean_pval, 6) as mean_pval from freq")
 def link_frequency(spark, d):
-    return rounded(frequency(spark))
+    return rounded(frequency(spark, d)[0])
 
 
 @query(WITH + LINKS + " select src, tgt, tau, count(*) as freq, round(avg(abs(val)), 6) as mean_abs, round(stddev_pop(abs(val)), 6) as sd_abs from links group by all")
 def lag_profile(spark, d):
-    return rounded(causal.lag_profile(derive.link_rows(spark)))
+    return rounded(causal.lag_profile(derive.r4_links(spark, d)[0]))
 
 
-@query(WITH + LINKS + ", " + FREQ + " select src, tgt, tau, n_runs, n_runs >= 4 as consensus from freq")
+@query(WITH + LINKS + ", " + FREQ + f" select src, tgt, tau, n_runs, n_runs >= {RUNS} as consensus from freq")
 def consensus_links(spark, d):
-    return causal.consensus(frequency(spark), 4).select("src", "tgt", "tau", "n_runs", "consensus")
+    return causal.consensus(*frequency(spark, d)).select("src", "tgt", "tau", "n_runs", "consensus")
 
 
-@query(WITH + LINKS + ", " + FREQ + " select count(*) as n_links, cast(sum(case when n_runs >= 4 then 1 else 0 end) as bigint) as n_consensus, cast(sum(case when n_runs < 4 then 1 else 0 end) as bigint) as n_other from freq")
+@query(WITH + LINKS + ", " + FREQ + f" select count(*) as n_links, cast(sum(case when n_runs >= {RUNS} then 1 else 0 end) as bigint) as n_consensus, cast(sum(case when n_runs < {RUNS} then 1 else 0 end) as bigint) as n_other from freq")
 def causal_summary(spark, d):
-    return causal.consensus(frequency(spark), 4).agg(F.count("*").alias("n_links"), F.count_if("consensus").alias("n_consensus"), F.count_if(~F.col("consensus")).alias("n_other"))
+    return causal.summary(causal.consensus(*frequency(spark, d)))
 
 
 @query(WITH + LINKS + ", " + FREQ + ", o as (select src as variable, count(*) as n, string_agg(distinct tgt, ',' order by tgt) as p from freq group by 1), i as (select tgt as variable, count(*) as n, string_agg(distinct src, ',' order by src) as p from freq group by 1) select coalesce(o.variable, i.variable) as variable, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree, coalesce(o.p, '') as targets, coalesce(i.p, '') as sources from o full join i on o.variable = i.variable")
 def causal_degree(spark, d):
-    return causal.degrees(frequency(spark)).withColumn("targets", F.array_join("targets", ",")).withColumn("sources", F.array_join("sources", ","))
+    return causal.degrees(frequency(spark, d)[0]).withColumn("targets", F.array_join("targets", ",")).withColumn("sources", F.array_join("sources", ","))
 
 
-@query(WITH + LINKS + ", " + FREQ + ", k as (select * from freq where n_runs >= 4 and abs(mean_val) >= 0.5) select k.src, k.tgt, k.tau, round(k.mean_val, 6) as mean_val, case when k.tau = 0 and b.src is not null then 'o-o' else '-->' end as kind from k left join (select * from k where tau = 0) b on b.src = k.tgt and b.tgt = k.src")
+@query(WITH + LINKS + ", " + FREQ + f", k as (select * from freq where n_runs >= {RUNS} and abs(mean_val) >= 0.5) select k.src, k.tgt, k.tau, round(k.mean_val, 6) as mean_val, case when k.tau = 0 and b.src is not null then 'o-o' else '-->' end as kind from k left join (select * from k where tau = 0) b on b.src = k.tgt and b.tgt = k.src")
 def consensus_graph(spark, d):
-    return rounded(causal.consensus_graph(frequency(spark), 4))
+    return rounded(causal.consensus_graph(*frequency(spark, d)))
 
 
-@query(WITH + LINKS + ", " + FREQ + " select src, tgt, tau, n_runs from freq where n_runs / 4 >= 0.5 and src <> tgt")
+@query(WITH + LINKS + ", " + FREQ + f" select src, tgt, tau, n_runs from freq where n_runs / {RUNS} >= 0.5 and src <> tgt")
 def majority_links(spark, d):
-    return causal.majority(frequency(spark), 4).select("src", "tgt", "tau", "n_runs")
+    return causal.majority(*frequency(spark, d)).select("src", "tgt", "tau", "n_runs")
 
 
 @query(WITH + LINKS + ", " + FREQ + " select src as variable, tau, round(mean_val, 6) as mean_val from (select *, row_number() over (partition by src order by abs(mean_val) desc, tau) as k from freq where src = tgt) where k = 1")
 def strongest_self_links(spark, d):
-    return rounded(causal.strongest_self(frequency(spark)))
+    return rounded(causal.strongest_self(frequency(spark, d)[0]))
 
 
-@query(WITH + LINKS + ", " + FREQ + " select src, tgt, tau, n_runs, round(mean_val, 6) as mean_val, round(mean_pval, 6) as mean_pval from freq where src in ('a', 'b') and tgt in ('a', 'b')")
+@query(WITH + LINKS + ", " + FREQ + ", chosen as (select unnest(['a', 'b', 'c', 'd', 'e']) as variable, unnest([avg(a), avg(b), avg(c), avg(d), avg(e)]) as m from r4w) select src, tgt, tau, n_runs, round(mean_val, 6) as mean_val, round(mean_pval, 6) as mean_pval from freq where src in (select variable from chosen where m < 100) and tgt in (select variable from chosen where m < 100)")
 def root_cause_evidence(spark, d):
-    chosen = spark.createDataFrame([("a",), ("b",)], "variable string")
-    return rounded(causal.implicated(frequency(spark), chosen))
+    """Links between the variables whose mean is under 100."""
+    low = derive.r4(spark, d).groupBy("variable").agg(F.avg("value").alias("m")).where("m < 100")
+    return rounded(causal.implicated(frequency(spark, d)[0], low))
 
 
-# The queries above aggregate the literal rows of ``derive.LINK_ROWS``, which their SQL repeats; those
-# below run the same operators over the links found in R2, for which SQL has no twin.
+# The same operators over the links found in R2, which are not planted, so that SQL has no twin.
 def r2_frequency(spark, d):
     found, n_runs = derive.r2_links(spark, d)
     return causal.link_frequency(found), n_runs

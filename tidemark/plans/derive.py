@@ -6,7 +6,7 @@ R3: embeddings by label (wide). Every order is total, so positions do not depend
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
@@ -71,26 +71,65 @@ def r2_links(spark: SparkSession, sf_dir: str, t: Thresholds = Thresholds()) ->
     return found, causal.run_status(obs, found, t).where("status = 'ok'").count()
 
 
-#: About twenty runs' links, written out, so that aggregations over links have exact expectations.
-LINK_ROWS = [
-    ("0", "a", "b", 1, 0.60, 0.0010), ("1", "a", "b", 1, 0.50, 0.0020), ("2", "a", "b", 1, 0.70, 0.0005), ("3", "a", "b", 1, 0.55, 0.0030),
-    ("0", "a", "b", 2, 0.20, 0.0090), ("2", "a", "b", 2, -0.30, 0.0080),
-    ("0", "b", "c", 0, 0.80, 0.0001), ("1", "b", "c", 0, 0.75, 0.0001), ("2", "b", "c", 0, 0.85, 0.0001), ("3", "b", "c", 0, 0.90, 0.0001),
-    ("0", "c", "b", 0, 0.80, 0.0001), ("1", "c", "b", 0, 0.75, 0.0001), ("2", "c", "b", 0, 0.85, 0.0001), ("3", "c", "b", 0, 0.90, 0.0001),
-    ("0", "a", "a", 1, 0.90, 0.0001), ("1", "a", "a", 1, 0.95, 0.0001), ("2", "a", "a", 2, 0.40, 0.0040),
-    ("1", "c", "a", 3, -0.35, 0.0070), ("3", "c", "d", 1, 0.25, 0.0095), ("3", "d|e", "a", 1, 0.45, 0.0060),
-]
-
-
-def link_rows(spark: SparkSession) -> DataFrame:
-    from ..operators.causal import LINKS
-
-    return spark.createDataFrame(LINK_ROWS, LINKS)
-
-
-def links_sql() -> str:
-    rows = ", ".join(f"('{r}', '{s}', '{t}', {k}, cast({v} as double), cast({p} as double))" for r, s, t, k, v, p in LINK_ROWS)
-    return f"links as (select * from (values {rows}) as x(run_id, src, tgt, tau, val, pval))"
+#: R4: five variables with planted links. b follows a by one place, c follows b by two (in even runs only),
+#: e moves with a, d carries half of itself on; all else is noise of independent columns.
+R4_VARIABLES = ["a", "b", "c", "d", "e"]
+R4_CARRY = 12
+#: Thresholds so strict that of R4's links only the planted ones pass.
+STRICT = Thresholds(pc_alpha=1e-9, link_alpha=1e-9)
+
+
+def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [*R1_ORDER, "l_partkey"]
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("string").alias("run_id"), *dict.fromkeys(names))
+    rows = with_seq_in_parts(rows, R1_ORDER)
+    run = Window.partitionBy("run_id").orderBy("seq")
+    back = lambda c, k: F.coalesce(F.lag(c, k).over(run), F.lit(0.0))
+    noise = (F.col("l_partkey") % 101).cast("double")
+    rows = rows.withColumn("a", F.col("l_discount") * 100).withColumn("w", noise)
+    rows = rows.withColumn("b", 2 * back("a", 1) + F.col("l_tax") * 100)
+    follows = F.when(F.col("run_id").cast("int") % 2 == 0, 3.0).otherwise(0.0)
+    rows = rows.withColumn("c", follows * back("b", 2) + F.col("l_quantity"))
+    carried = F.col("w")
+    for k in range(1, R4_CARRY):
+        carried = carried + 0.5**k * back("w", k)
+    rows = rows.withColumn("d", carried).withColumn("e", F.col("a") + F.round(F.col("l_extendedprice") * 100).cast("long") % 13)
+    return to_long(rows.withColumn("sample", F.col("seq")), R4_VARIABLES)
+
+
+def r4_sql() -> str:
+    """``r4w``: R4 with a column per variable, and ``r4l``: with those before it that links are tested on."""
+    run = "over (partition by run_id order by seq)"
+    back = lambda c, k: f"coalesce(lag({c}, {k}) {run}, 0)"
+    carried = " + ".join(["w", *(f"{0.5**k!r} * {back('w', k)}" for k in range(1, R4_CARRY))])
+    order = ", ".join(R1_ORDER)
+    return f"""r4a as (select cast(l_suppkey % 8 as varchar) as run_id, l_suppkey % 8 as run, row_number() over (partition by l_suppkey % 8 order by {order}) - 1 as seq, l_discount * 100 as a, l_tax * 100 as t, l_quantity as q, cast(l_partkey % 101 as double) as w, cast(round(l_extendedprice * 100) as bigint) % 13 as x from lineitem),
+r4b as (select *, 2 * {back('a', 1)} + t as b from r4a),
+r4w as (select run_id, seq, a, b, case when run % 2 = 0 then 3.0 else 0.0 end * {back('b', 2)} + q as c, {carried} as d, a + x as e from r4b),
+r4l as (select *, lag(a, 1) {run} as a1, lag(a, 3) {run} as a3, lag(b, 2) {run} as b2, lag(d, 1) {run} as d1, lag(d, 2) {run} as d2 from r4w)"""
+
+
+def r4_links_sql(keys: str = "run_id", places: str = "r4l") -> str:
+    """``links``: the planted links with their partial correlations, given the parents of both sides; only
+    places count that have all lags of the search before them."""
+    part = lambda x, y, z: f"(corr({x}, {y}) - corr({x}, {z}) * corr({y}, {z})) / sqrt((1 - corr({x}, {z}) * corr({x}, {z})) * (1 - corr({y}, {z}) * corr({y}, {z})))"
+    planted = [("a", "b", 1, "corr(a1, b)", "true"), ("b", "c", 2, part("b2", "c", "a3"), "cast(run_id as integer) % 2 = 0" if keys else "true"), ("d", "d", 1, part("d1", "d", "d2"), "true"), ("a", "e", 0, "corr(a, e)", "true"), ("e", "a", 0, "corr(a, e)", "true")]
+    own = f"{keys}, " if keys else ""
+    return "links as (" + " union all ".join(f"select {own}'{s}' as src, '{t}' as tgt, {k} as tau, {v} as val, 0.0::double as pval from {places} where seq >= {2 * STRICT.tau_max} and {w}{' group by ' + keys if keys else ''}" for s, t, k, v, w in planted) + ")"
+
+
+def r4_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The links found in R4, written once, and the number of runs that were analysed."""
+    obs = written(r4(spark, sf_dir), "r4")
+    found = written(causal.links(obs, STRICT), "links")
+    return found, causal.run_status(obs, found, STRICT).where("status = 'ok'").count()
+
+
+def r3_series(spark: SparkSession, sf_dir: str, width: int = 52) -> DataFrame:
+    """R3 as series: a run per label, in the order of the vectors' ids, with its first ``width`` components."""
+    rows = with_seq_in_parts(table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("run_id"), "vec_id", "embedding"), ["vec_id"])
+    wide = rows.select("run_id", F.col("seq").alias("sample"), "seq", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(r3_names(width))))
+    return to_long(wide, r3_names(width))
 
 
 #: Rules of the sample run sets: inclusive ranges, one retired.

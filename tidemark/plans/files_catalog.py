@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import correlate, profile
+from ..operators import correlate, profile, quality
+from ..operators.obs import with_seq_in_parts
 from ..sources import artifacts, ingest
 from ..sources.tables import shared_root
 from . import derive, interpret, pipelines
@@ -111,61 +112,98 @@ def coerced_columns(spark, d):
     return out.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("n")) for c in kept.columns))).alias("e")).select("e.*")
 
 
-@query("select row_number() over (order by ts) - 1 as seq, round(value, 4) as value from events qualify row_number() over (order by ts) <= 200")
+@query("select row_number() over (order by ts, event_id) - 1 as seq, round(value, 4) as value from events where value is not null")
 def time_ordered(spark, d):
     """A text column of times orders the rows, whatever their order in the file."""
-    rows = derive.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "value").orderBy(F.xxhash64("value"))
+    rows = derive.table(spark, d, "events").where("value is not null").orderBy(F.xxhash64("value")).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "value")
     path = f"{folder(spark)}/events.csv"
     rows.write.csv(path, header=True)
-    return ingest.load(spark, path).obs.where("seq < 200").select("seq", F.round("value", 4).alias("value"))
+    return ingest.load(spark, path).obs.where("value is not null").select("seq", F.round("value", 4).alias("value"))
 
 
-@query("select (select count(*) from nation) as n_rows, 3::bigint as n_columns, (select count(*) * 24 from nation) as memory_size, 'nation.parquet' as filename")
+@query("select (select count(*) from nation) as n_rows, n_columns, (select count(*) from nation) * 8 * n_columns as memory_size, 'nation.parquet' as filename, n_numeric from (select count(*) as n_columns, count_if(data_type in ('BIGINT', 'INTEGER')) as n_numeric from duckdb_columns() where table_name = 'nation')")
 def source_metadata(spark, d):
-    table = derive.table(spark, d, "nation")
-    meta = ingest.describe(table.select(*table.columns[:3]), f"{d}/nation.parquet")
-    return spark.createDataFrame([(meta["rows"], meta["columns"], meta["memory_size"], meta["filename"])], "n_rows long, n_columns long, memory_size long, filename string")
+    meta = ingest.describe(derive.table(spark, d, "nation"), f"{d}/nation.parquet")
+    numeric = sum(t in ("bigint", "int") for t in meta["dtypes"].values())
+    return spark.createDataFrame([(meta["rows"], meta["columns"], meta["memory_size"], meta["filename"], numeric)], "n_rows long, n_columns long, memory_size long, filename string, n_numeric long")
 
 
-@query("select * from (values ('n_nationkey'), ('n_regionkey')) as x(variable)")
+@query("select variable, n_customers, n_suppliers from (values ('acctbal', (select count(c_acctbal) from customer), (select count(s_acctbal) from supplier)), ('name', (select count(c_name) from customer), (select count(s_name) from supplier)), ('nationkey', (select count(c_nationkey) from customer), (select count(s_nationkey) from supplier))) as x(variable, n_customers, n_suppliers)")
 def common_columns(spark, d):
-    table = derive.table(spark, d, "nation")
-    return spark.createDataFrame([(c,) for c in ingest.common_variables([table.drop("n_comment"), table.select("n_regionkey", "n_nationkey")])], "variable string")
+    """The columns that customers and suppliers have in common, and their values in both."""
+    frames = [t.toDF(*(c[2:] for c in t.columns)) for t in (derive.table(spark, d, "customer").select("c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "c_custkey"), derive.table(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", "s_name"))]
+    names = ingest.common_variables(frames)
+    one, two = (f.agg(*(F.count(c).alias(c) for c in names)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("n")) for c in names))).alias("e")).select("e.*") for f in frames)
+    return one.withColumnRenamed("n", "n_customers").join(two.withColumnRenamed("n", "n_suppliers"), "variable")
 
 
-@query("select name, regexp_replace(regexp_replace(regexp_extract(name, '[^/]*$'), '\\.[^.]*$', ''), '[^A-Za-z0-9._-]', '', 'g') as safe from (values ('/x/My File (1).csv'), ('a.b.tsv'), ('ü_ß-9.dat'), ('plain')) as x(name)")
+@query("select '/x/' || p_name || ' (1).csv' as name, regexp_replace(p_name || ' (1)', '[^A-Za-z0-9._-]', '', 'g') as safe from (select distinct p_name from part)")
 def safe_names(spark, d):
-    names = ["/x/My File (1).csv", "a.b.tsv", "ü_ß-9.dat", "plain"]
+    names = [f"/x/{r['p_name']} (1).csv" for r in derive.table(spark, d, "part").select("p_name").distinct().collect()]  # file names are the driver's
     return spark.createDataFrame([(n, ingest.safe_name(n)) for n in names], "name string, safe string")
 
 
-@query("select * from (values ('lines', 'lineitem.parquet', 'Order lines'), ('stream', 'events.parquet', 'Events')) as x(key, path, display)")
+@query("select n_name as key, 'nations/' || n_nationkey as path, 'region ' || n_regionkey as description from nation")
 def registered_datasets(spark, d):
-    ingest.register_dataset("lines", "lineitem.parquet", "Order lines")
-    ingest.register_dataset("stream", "events.parquet", "Events")
-    return spark.createDataFrame([(k, v["path"], v["display"]) for k, v in ingest.REGISTRY.items()], "key string, path string, display string")
+    for r in derive.table(spark, d, "nation").collect():  # the registry is the driver's
+        ingest.register_dataset(r["n_name"], f"nations/{r['n_nationkey']}", r["n_name"].title(), f"region {r['n_regionkey']}")
+    return spark.createDataFrame([(k, v["path"], v["description"]) for k, v in ingest.REGISTRY.items() if v["path"].startswith("nations/")], "key string, path string, description string")
 
 
-@query("select * from (values (1, 'r2', 'critical', 'rule violations'), (2, 'r1', 'warning', 'missing values,late')) as x(place, run_id, verdict, reasons)")
+@query(WITH + R2 + ", worst as (select run_id, max(f) as m from (select run_id, variable, round(sum(case when value is null then 1 else 0 end) / count(*), 4) as f from obs group by all) group by run_id) select cast(row_number() over (order by run_id desc) as integer) as place, run_id, case when m >= 0.5 then 'critical' when m >= 0.02 then 'warning' else 'ok' end as verdict, case when m >= 0.5 then 'missing values: critical' when m >= 0.02 then 'missing values: warning' else '' end as reasons from worst")
 def audit_decisions(spark, d):
-    """Decisions of an append-only log, the latest first; calls are logged beside them."""
+    """The gate's verdict on every run as a decision of an append-only log, the latest first."""
     log = artifacts.AuditLog(f"{folder(spark)}/audit", spark)
-    log.decision("r1", "warning", ["missing values", "late"])
     log.call("name", {"a": 1}, {"b": 2}, "mock")
-    log.decision("r2", "critical", ["rule violations"])
+    report = quality.verdict(derive.r2(spark, d)).orderBy("run_id").collect()  # a row per run
+    for r in report:
+        log.decision(r["run_id"], r["severity"], r["reasons"])
+    assert ingest.read_audit(spark, log.path).count() == len(report) + 1
     rows = [(k + 1, r["run_id"], r["verdict"], ",".join(r["reasons"])) for k, r in enumerate(log.decisions())]
-    assert ingest.read_audit(spark, log.path).count() == 3
     return spark.createDataFrame(rows, "place int, run_id string, verdict string, reasons string")
 
 
-@query("select * from (values ('keep', 'a', 1.0::double), ('open', 'b', null)) as x(rule_id, variable, min)")
+@query(WITH + R1 + " select 'span-' || variable as rule_id, variable, min(value + 0.0) as min, max(value + 0.0) as max from obs where variable <> 'l_tax' group by variable")
 def stored_rules(spark, d):
-    """Rules saved, retired and deleted in a shared file; the active ones are read back."""
+    """Rules over the span of each variable, saved, retired and deleted in a shared file; the active ones are
+    read back."""
     store = interpret.RuleStore(f"{folder(spark)}/rules.json", spark)
-    for rule_id, variable, bounds in (("keep", "a", {"min": 1}), ("open", "b", {"max": 3}), ("off", "a", {"min": 0}), ("gone", "b", {"min": 2})):
-        store.save({**interpret.make_rule(variable, "d", ["a", "b"], **bounds), "rule_id": rule_id, "active": rule_id != "off"})
-    store.delete("gone")
-    return spark.createDataFrame([(r["rule_id"], r["variable"], r["min"]) for r in store.load(active_only=True)], "rule_id string, variable string, min double")
+    names = derive.R1_VARIABLES
+    spans = {r["variable"]: r for r in derive.r1_values(spark, d).groupBy("variable").agg(F.min(F.col("value") + 0.0).alias("lo"), F.max(F.col("value") + 0.0).alias("hi")).collect()}
+    for v in names:
+        for kind in ("span", "gone"):
+            store.save({**interpret.make_rule(v, "d", names, min=spans[v]["lo"], max=spans[v]["hi"]), "rule_id": f"{kind}-{v}", "active": v != "l_tax"})
+        store.delete(f"gone-{v}")
+    return spark.createDataFrame([(r["rule_id"], r["variable"], r["min"], r["max"]) for r in store.load(active_only=True)], "rule_id string, variable string, min double, max double")
+
+
+@query("select 'flow, main' as variable, count(*) as n, round(sum(l_quantity), 2) as total from lineitem union all select 'say \"hi\"', count(*), round(sum(l_tax), 2) from lineitem")
+def quoted_headers(spark, d):
+    """Header fields in quotes that hold the delimiter, and quotes."""
+    rows = derive.table(spark, d, "lineitem").select(F.concat_ws(",", F.col("l_quantity").cast("string"), F.col("l_tax").cast("string")).alias("value"))
+    path = f"{folder(spark)}/quoted.csv"
+    spark.createDataFrame([('"flow, main","say ""hi"""',)], "value string").union(rows).coalesce(1).write.text(path)
+    return ingest.load(spark, path).obs.groupBy("variable").agg(F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+_IDS = "case l_linenumber % 6 when 0 then '1' when 1 then '1D' when 2 then '1f' when 3 then '7' when 4 then '007' else '1.0' end"
+
+
+@query(f"select case i when '1.0' then '1' else i end as run_id, count(*) as n, round(sum(l_quantity), 2) as total from (select {_IDS} as i, l_quantity from lineitem) group by 1")
+def odd_run_ids(spark, d):
+    """Ids that read as the same number name different runs, unless they are whole numbers."""
+    k = F.col("l_linenumber") % 6
+    ids = F.when(k == 0, "1").when(k == 1, "1D").when(k == 2, "1f").when(k == 3, "7").when(k == 4, "007").otherwise("1.0")
+    runs = ingest.split_roles(derive.table(spark, d, "lineitem").select(ids.alias("run"), "l_quantity"), run_col="run", label_cols=[])
+    return runs.obs.groupBy("run_id").agg(F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("select case when l_linenumber > 2 then 'late' else 'early' end as run_id, row_number() over (partition by l_linenumber > 2 order by case when l_linenumber > 2 then l_orderkey end nulls first, l_orderkey, l_linenumber) - 1 as seq, l_orderkey, l_linenumber from lineitem")
+def null_keys(spark, d):
+    """A run whose first key is null throughout keeps all its rows, in the order of the next keys."""
+    late = F.col("l_linenumber") > 2
+    rows = derive.table(spark, d, "lineitem").select(F.when(late, "late").otherwise("early").alias("run_id"), F.when(late, F.col("l_orderkey")).alias("key"), "l_orderkey", "l_linenumber")
+    return with_seq_in_parts(rows, ["key", "l_orderkey", "l_linenumber"]).drop("key")
 
 
 _N = "(select count(distinct cast(date_trunc('day', ts) as date)) as days, count(distinct event_type) as kinds from events)"
@@ -180,22 +218,21 @@ def baseline_artifacts(spark, d):
 
 
 @query(WITH + R2 + ", " + SIZES + ", " + BASE + f""", {PAIRS}, t as (select run_id, variable, case when pooled_std > 1e-12 and ess > 1 then (mean - pooled_mean) / (pooled_std / sqrt(ess)) else 0.0 end as z from sizes join base using (variable))
-select 'drift' as name, count(distinct run_id) as n, 0.0::double as total from obs union all select 'quality', count(distinct run_id), 0.0 from obs union all select 'statistics', count(*), round(sum(abs(z)), 3) from t union all select 'onsets', count(distinct (run_id, variable)), 0.0 from obs""")
+select 'statistics' as name, run_id, variable, round(z, 4) + 0.0 as value from t union all select 'missing', run_id, variable, round(sum(case when value is null then 1 else 0 end) / count(*), 4) from obs group by 2, 3""")
 def check_artifacts(spark, d):
-    """What a check of the same runs exports: summary, gate, each variable's statistics and onsets."""
+    """What a check of the same runs exports: each variable's deviation, and its missing share by the gate."""
     obs = derive.r2(spark, d)
     base = pipelines.build_baseline(obs, folder(spark), with_causal=False)
     found = pipelines.export_check(pipelines.check_run(base, obs), folder(spark))
-    rows = [(n, found[n].count(), 0.0) for n in ("drift", "quality", "onsets")]
-    total = found["statistics"].agg(F.count("*"), F.round(F.sum(F.abs("z_score")), 3)).first()
-    return spark.createDataFrame([*rows, ("statistics", *total)], "name string, n long, total double")
+    gaps = quality.missing(obs).join(found["quality"].select("run_id"), "run_id").select(F.lit("missing").alias("name"), "run_id", "variable", F.col("frac_missing").alias("value"))
+    return rounded(found["statistics"].select(F.lit("statistics").alias("name"), "run_id", "variable", F.col("z_score").alias("value")), 4).union(gaps)
 
 
-@query("select 'l_discount' as variable, 'r2' as rule_ids union all select 'l_quantity', 'r1' union all select 'l_tax', 'r3' union all select 'l_extendedprice', ''")
+@query(WITH + R1 + ", rules as (select * from (values ('r1', 'l_quantity'), ('r2', 'l_discount'), ('r3', 'l_tax')) as x(rule_id, variable)) select obs.variable, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value + 0.0) as min, max(value + 0.0) as max, coalesce(max(rule_id), '') as rule_ids from obs left join rules on rules.variable = obs.variable group by 1")
 def column_cards(spark, d):
     """Each variable's active rules beside its statistics; retired ones and those of other variables go."""
-    cards = profile.pooled(derive.r1(spark, d)).select("variable").join(pipelines.rule_cards(derive.rule_rows(spark)), "variable", "left")
-    return cards.select("variable", F.coalesce(F.array_join(F.transform("rules", lambda r: r.rule_id), ","), F.lit("")).alias("rule_ids"))
+    cards = profile.pooled(derive.r1_values(spark, d)).select("variable", "n", "mean", "std", "min", "max").join(pipelines.rule_cards(derive.rule_rows(spark)), "variable", "left")
+    return rounded(cards.select("variable", "n", "mean", "std", "min", "max", F.coalesce(F.array_join(F.transform("rules", lambda r: r.rule_id), ","), F.lit("")).alias("rule_ids")))
 
 
 @query(WITH + R1 + ", " + PAIRS_R1 + ", m as (select var_a, var_b, r0 as r from pooled union all select var_b, var_a, r0 from pooled), k as (select *, row_number() over (partition by var_a order by abs(r) desc, var_b) as rank from m), s as (select variable, round(avg(value), 4) as mean, count(*) as n from obs group by 1) select s.variable, s.n, s.mean, string_agg(k.var_b, ',' order by k.rank) as partners from s join k on k.var_a = s.variable group by all")

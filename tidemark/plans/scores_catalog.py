@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import decision_interval, z_critical
+from ..functions.stats import decision_interval, siegmund_arl, z_critical
 from ..operators import causal, correlate, drift, profile
 from . import derive
 from .catalog import BASE, CHARTS, FREQ, LINKS, PAIRS_R1, R1, R2, SHIFT, SIZES, T, WITH, onset_sql, query, r1, r1_parts, rounded
@@ -123,12 +123,12 @@ def kde_exact(spark, d):
 
 @query(WITH + LINKS + ", " + FREQ + " select src, tgt, tau, n_runs, round(mean_val, 6) as mean_val from freq order by n_runs desc, src, tgt, tau limit 20")
 def top_links(spark, d):
-    return rounded(causal.top_links(causal.link_frequency(derive.link_rows(spark))).drop("mean_pval"))
+    return rounded(causal.top_links(causal.link_frequency(derive.r4_links(spark, d)[0])).drop("mean_pval"))
 
 
 @query(WITH + LINKS + ", p as (select src, tgt, tau, count(*) as freq from links group by all) select src, tgt, string_agg(tau || ':' || freq, ',' order by tau) as lags, max(freq) as max_freq from p group by 1, 2 order by max_freq desc, 1, 2 limit 10")
 def top_lag_profiles(spark, d):
-    found = causal.top_lag_profiles(derive.link_rows(spark))
+    found = causal.top_lag_profiles(derive.r4_links(spark, d)[0])
     return found.select("src", "tgt", F.array_join(F.transform("lags", lambda x: F.concat_ws(":", x.tau.cast("string"), x.freq.cast("string"))), ",").alias("lags"), "max_freq")
 
 
@@ -142,7 +142,7 @@ def causal_status(spark, d):
 @query(WITH + R1 + f" select run_id, case when max(seq) + 1 < {T.tau_max + 5} then 'skipped' else 'ok' end as status, max(seq) + 1 as n_samples from obs where seq < 5 or run_id not in ('0', '3') group by 1")
 def short_runs(spark, d):
     obs = r1(spark, d).where("seq < 5 or run_id not in ('0', '3')")
-    return causal.run_status(obs, derive.link_rows(spark)).drop("n_significant")
+    return causal.run_status(obs, spark.createDataFrame([], causal.LINKS)).drop("n_significant")
 
 
 @query(WITH + R1 + ", flat as (select variable from obs group by 1 having stddev_pop(case when variable = 'l_tax' then 1.0 else value end) = 0) select distinct variable from obs where exists (select 1 from flat)")
@@ -152,10 +152,14 @@ def undefined_variables(spark, d):
     return correlate.undefined_variables(correlate.pearson(obs))
 
 
-@query("select * from (values (1::bigint, 7.3531::double), (4, 8.738), (5, 8.9611), (52, 11.3025), (64, 11.5101)) as x(n_vars, h)")
+@query("select name, n_vars, 10000.0 * n_vars as run_length from (select 'events' as name, count(distinct event_type) as n_vars from events union all select 'parts', count(distinct p_brand) from part union all select 'vectors', max(len(embedding)) from embeddings)")
 def decision_intervals(spark, d):
-    """Alarm limits whose run length in control is 5000 for all charts together."""
-    return spark.createDataFrame([(n, round(decision_interval(T.arl0, n, T.shift / 2), 4)) for n in (1, 4, 5, 52, 64)], "n_vars long, h double")
+    """Alarm limits for as many charts as tables have kinds: in control, each side of a chart runs as long as
+    all charts together run 5000 places."""
+    sizes = derive.table(spark, d, "events").agg(F.countDistinct("event_type").alias("n")).select(F.lit("events").alias("name"), "n")
+    sizes = sizes.union(derive.table(spark, d, "part").select(F.lit("parts"), "p_brand").groupBy("parts").agg(F.countDistinct("p_brand"))).union(derive.table(spark, d, "embeddings").select(F.lit("vectors").alias("v"), F.size("embedding").alias("s")).groupBy("v").agg(F.max("s")))
+    k = T.shift / 2
+    return spark.createDataFrame([(r["name"], r["n"], round(siegmund_arl(decision_interval(T.arl0, r["n"], k), k), 1)) for r in sizes.collect()], "name string, n_vars long, run_length double")
 
 
 @query(WITH + R1 + ", " + PAIRS_R1 + ", m as (select var_a, var_b, r0 as r from pooled union all select var_b, var_a, r0 from pooled union all select distinct variable, variable, 1.0 from obs) select var_a, " + ", ".join(f"round(max(case when var_b = '{v}' then r end), 6) as {v}" for v in derive.R1_VARIABLES) + " from m group by 1")
