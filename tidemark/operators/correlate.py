@@ -7,6 +7,8 @@ its own first row of each run, and are moved to the run's common centre when the
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,7 @@ from ..functions.expressions import ess
 from ..functions.stats import normal_p
 from ..sources.tables import written
 from .obs import to_wide
+from .positions import positions
 
 #: Of a pair of columns: rows with both, and their means, sums of squares and of products about the means.
 MOMENTS = "n double, mx double, my double, sxx double, syy double, sxy double"
@@ -146,33 +149,80 @@ def spearman(obs: DataFrame) -> DataFrame:
     return gram_pearson(arrays_of(average_ranks(obs), names), names)
 
 
-def _tau(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kendall's tau-b of one pair by merge sort over ranks."""
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], np.unique(y[order], return_inverse=True)[1]
-    ties = lambda *c: sum(int(k) * (int(k) - 1) // 2 for k in np.unique(np.stack(c), axis=1, return_counts=True)[1])
-    swaps, width, seq = 0, 1, y.copy()
+#: Points of a task that counts inversions.
+SPAN = 1 << 18
+
+
+def inversions(rank: np.ndarray, weight: np.ndarray) -> int:
+    """Of a sequence of distinct ranks: the sum of products of weights over pairs that stand the wrong way
+    round, by merging sorted runs of doubling length."""
+    n, width, total = len(rank), 1, 0
+    order = np.arange(n)
+    rank, weight = rank.copy(), weight.astype(object if float(weight.sum()) ** 2 > 2**62 else np.int64)
     while width < n:
-        for s in range(0, n, 2 * width):
-            left, right = seq[s : s + width], seq[s + width : s + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            seq[s : s + 2 * width] = np.sort(seq[s : s + 2 * width], kind="stable")
+        block = order // (2 * width)
+        # ranks sorted within each pair of runs; a member of the right run passes all larger ones of the left
+        left = (order // width) % 2 == 0
+        merged = np.lexsort((rank, block))
+        ahead = np.where(left[merged], weight[merged], 0)
+        upto = np.cumsum(ahead)
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        ends = np.repeat(upto[edges[1:] - 1], np.diff(edges))
+        right = ~left[merged]
+        total += int(((ends - upto)[right] * weight[merged][right]).sum())
+        rank, weight = rank[merged], weight[merged]
         width *= 2
-    total = n * (n - 1) // 2
-    tx, ty, txy = ties(x), ties(y), ties(x, y)
-    below = float(np.sqrt(float(total - tx) * float(total - ty)))
-    tau = (total - tx - ty + txy - 2 * swaps) / below if below > 0 else None
-    return pd.DataFrame({"var_a": [pdf["var_a"].iloc[0]], "var_b": [pdf["var_b"].iloc[0]], "tau": [tau], "n_pair": [n]})
+    return total
+
+
+def _wrong_way(order: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        found = inversions(pdf["py"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64))
+        return pd.DataFrame({"var_a": [pdf["var_a"].iloc[0]], "var_b": [pdf["var_b"].iloc[0]], "wrong": [Decimal(found)]})
+
+    return run
+
+
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a pair's counts by part of x and part of y: pairs of an earlier x part and a later y part."""
+    cells = np.zeros((pdf["i"].max() + 1, pdf["j"].max() + 1), object)
+    cells[pdf["i"], pdf["j"]] = [int(w) for w in pdf["w"]]
+    beyond = np.cumsum(np.cumsum(cells[::-1], axis=0)[::-1], axis=1)  # counts of i or later, j or earlier
+    found = int((cells[:-1, 1:] * beyond[1:, :-1]).sum())
+    return pd.DataFrame({"var_a": [pdf["var_a"].iloc[0]], "var_b": [pdf["var_b"].iloc[0]], "wrong": [Decimal(found)]})
+
+
+WRONG = "var_a string, var_b string, wrong decimal(38,0)"
 
 
 def kendall(obs: DataFrame) -> DataFrame:
-    """Kendall's tau-b of each pair of variables, pooled; one pair's values are one task's."""
+    """Kendall's tau-b of each pair of variables, pooled, over values that both have.
+
+    Equal points count once with a weight. Points have a place in the order of (x, y) and one in that of
+    (y, x), so ties never stand the wrong way round; both orders are cut in parts of ``SPAN``. Discordant
+    pairs inside a part of x are counted there, those of different parts of x and one part of y there, and
+    the rest follows from the counts of points by both parts, so a pair of variables is many tasks'."""
+    pair = ["var_a", "var_b"]
     a = obs.where("value is not null").select("run_id", "seq", F.col("variable").alias("var_a"), F.col("var_pos").alias("pa"), F.col("value").alias("x"))
     b = obs.where("value is not null").select("run_id", "seq", F.col("variable").alias("var_b"), F.col("var_pos").alias("pb"), F.col("value").alias("y"))
-    both = a.join(b, ["run_id", "seq"]).where("pa < pb").select("var_a", "var_b", "x", "y")
-    return both.groupBy("var_a", "var_b").applyInPandas(_tau, "var_a string, var_b string, tau double, n_pair long")
+    points = a.join(b, ["run_id", "seq"]).where("pa < pb").groupBy(*pair, (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).agg(F.count("*").alias("w"))
+    placed = positions(positions(points, pair, ["x", "y"], "px"), pair, ["y", "x"], "py")
+    placed = written(placed.withColumn("i", F.floor(F.col("px") / SPAN)).withColumn("j", F.floor(F.col("py") / SPAN)), "places")
+    columns = [*pair, "i", "px", "py", "w"]
+    inside = placed.groupBy(*pair, "i").applyInPandas(lambda pdf: _wrong_way(["px"])(pdf), WRONG)
+    beside = placed.select(*columns, "j").groupBy(*pair, "j").applyInPandas(lambda pdf: _wrong_way(["i", "py"])(pdf), WRONG)
+    across = placed.groupBy(*pair, "i", "j").agg(F.sum("w").alias("w")).groupBy(*pair).applyInPandas(_across, WRONG)
+    wrong = inside.union(beside).union(across).groupBy(*pair).agg(F.sum("wrong").alias("wrong"))
+    two = F.sum(F.col("w").cast("decimal(18,0)") * (F.col("w") - 1).cast("decimal(18,0)") / 2).cast("double")
+    ties = lambda name, *by: placed.groupBy(*pair, *by).agg(F.sum("w").alias("w")).groupBy(*pair).agg(two.alias(name))
+    every = ties("all").join(placed.groupBy(*pair).agg(F.sum("w").alias("n_pair")), pair)
+    for name, by in (("tx", ["x"]), ("ty", ["y"]), ("txy", ["x", "y"])):
+        every = every.join(ties(name, *by), pair)
+    c = F.col
+    below = F.sqrt((c("all") - c("tx")) * (c("all") - c("ty")))
+    tau = (c("all") - c("tx") - c("ty") + c("txy") - 2 * c("wrong").cast("double")) / F.nullif(below, F.lit(0.0))
+    return every.join(wrong, pair).select(*pair, tau.alias("tau"), "n_pair")
 
 
 def both_ways(corr: DataFrame) -> DataFrame:

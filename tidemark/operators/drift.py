@@ -6,6 +6,8 @@ Everything is a composition of aggregations, running windows over parts of serie
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +15,22 @@ from ..config import WEIGHTS, Thresholds
 from ..functions.expressions import ess, severity
 from ..functions.stats import decision_interval, f_test_p, normal_p, z_critical
 from ..sources.tables import written
-from .quality import trusted_runs, verdict
-from .series import SERIES, lag_moments, reflected_sums
+from .quality import missing_of, trusted_runs, verdict
+from .series import SERIES, laid_out, lag_moments, reflected_sums
 
 
-def rho1(obs: DataFrame) -> DataFrame:
+def rho1(obs: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """``run_id, variable, var_pos, n, n_rows, mean, sd, rho1`` over non-null values, gaps closed; n_rows
     counts missing ones too. Lag-1 correlation is 0 under four values or without spread on either side,
     and clipped to 0.999. Series without a value have no row."""
-    out = lag_moments(obs).where("n > 0")
+    out = (lag_moments(obs) if moments is None else moments).where("n > 0")
     flat = (F.col("n") < 4) | (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12)
     r = F.coalesce(F.col("c") / F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)), F.lit(0.0))
     return out.select(*SERIES, "var_pos", "n", "n_rows", "mean", "sd", F.when(flat, 0.0).otherwise(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), r))).alias("rho1"))
 
 
-def effective_sizes(obs: DataFrame) -> DataFrame:
-    return rho1(obs).withColumn("ess", ess(F.col("n"), F.col("rho1")))
+def effective_sizes(obs: DataFrame, moments: DataFrame | None = None) -> DataFrame:
+    return rho1(obs, moments).withColumn("ess", ess(F.col("n"), F.col("rho1")))
 
 
 def baseline(obs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -102,16 +104,14 @@ def variable_count(obs: DataFrame) -> int:
     return obs.select("variable").distinct().count()
 
 
-def drift_summary(obs: DataFrame, reference: DataFrame | None = None, n_vars: int | None = None, t: Thresholds = Thresholds()) -> DataFrame:
+def drift_summary(obs: DataFrame, n_vars: int | None = None, t: Thresholds = Thresholds()) -> DataFrame:
     """The built-in part of a run's score: mean drift, onset and their order, per run."""
-    same = reference is None
-    obs = written(obs.select(*SERIES, "var_pos", "seq", "value"), "obs")
+    obs = laid_out(obs)
     sizes = written(effective_sizes(obs), "sizes")
-    known = sizes if same else effective_sizes(reference)
-    base = written(baseline(obs, known), "baseline")
+    base = written(baseline(obs, sizes), "baseline")
     n_vars = n_vars or base.count()
     means = mean_shift(sizes, base, n_vars, t, p_values=False).groupBy("run_id").agg(F.count_if("mean_drifted").alias("n_mean_drifted"), F.max(F.abs("z_score")).alias("max_abs_z"))
-    found = onsets(cusum(obs, base, t), decision_interval(t.arl0, n_vars, t.shift / 2))
+    found = written(onsets(cusum(obs, base, t), decision_interval(t.arl0, n_vars, t.shift / 2)), "onsets")
     peaks = found.groupBy("run_id").agg(F.max("peak").alias("peak"))
     out = means.join(peaks, "run_id").join(propagation(found), "run_id", "left")
     mean, onset = F.round(F.col("n_mean_drifted") / n_vars, 4), F.round(F.coalesce("n_detected", F.lit(0)) / n_vars, 4)
@@ -123,34 +123,63 @@ def score(mean: Column, var: Column, corr: Column, onset: Column) -> Column:
     return F.round(w["mean"] * mean + w["var"] * var + w["corr"] * corr + w["onset"] * onset, 4)
 
 
-def run_summary(obs: DataFrame, reference: DataFrame | None = None, rules: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
-    """Every run with its gate, the shares of the four perspectives, the anomaly score and its band.
-    Runs that fail the gate are not analysed and score 0. Observations, sizes and Gram sums are written
-    once; the pooled baseline and correlations are sums over the runs'."""
-    from .correlate import gram_pearson_parts, pair_drift, pearson_of, run_gram
+@dataclass
+class Known:
+    """What runs are compared with: the pooled baseline and the pooled correlations."""
 
-    same = reference is None
-    obs = written(obs.select(*SERIES, "var_pos", "seq", "value"), "obs")
-    report = written(verdict(obs, rules, t), "verdict")
-    sizes = written(effective_sizes(obs), "sizes")
-    grams = written(run_gram(obs), "gram")
-    known, known_grams = (sizes, grams) if same else (effective_sizes(reference), run_gram(reference))
-    base = written(baseline(obs, known), "baseline")
+    base: DataFrame
+    corr: DataFrame
+
+
+def known_of(reference: DataFrame, arrays: tuple[DataFrame, list[str]] | None = None) -> Known:
+    from .correlate import gram_pearson_parts, gram_table, pearson_of, run_gram
+
+    sizes = effective_sizes(reference)
+    grams = gram_table(*arrays, by_run=True) if arrays else run_gram(reference)
+    return Known(baseline(reference, sizes), pearson_of(gram_pearson_parts(grams)))
+
+
+def analyse(obs: DataFrame, known: Known | None = None, rules: DataFrame | None = None, t: Thresholds = Thresholds(), arrays: tuple[DataFrame, list[str]] | None = None, pair_p_values: bool = False) -> dict[str, DataFrame]:
+    """Every perspective on the runs of ``obs``, against what is ``known`` or else against all of them:
+    ``summary, quality, sizes, shifts, spreads, pairs, onsets, charts``.
+
+    Observations are written once, by parts of series; the moments of the series and of the pairs are the
+    only other passes but the CUSUM. Counts of missing values come from the moments. ``arrays`` is the wide
+    form of ``obs`` (``run_id, x`` and the variables' names) where there is one, which saves a pivot."""
+    from .correlate import gram_pearson_parts, gram_table, pair_drift, pearson_of, run_gram
+
+    obs = laid_out(obs)
+    moments = written(lag_moments(obs), "moments")
+    grams = written(gram_table(*arrays, by_run=True) if arrays else run_gram(obs), "gram")
+    sizes = effective_sizes(obs, moments)
+    report = written(verdict(obs, rules, t, missing_of(moments)), "verdict")
+    if known is None:
+        known = Known(written(baseline(obs, sizes), "baseline"), pearson_of(gram_pearson_parts(grams)))
+    base = known.base
     n_vars = base.count()
-    live, sizes = trusted_runs(obs, report), trusted_runs(sizes, report)
-    means = mean_shift(sizes, base, n_vars, t, p_values=False).groupBy("run_id").agg(F.count_if("mean_drifted").alias("n_mean_drifted"))
-    spreads = variance_shift(sizes, base, n_vars, t).groupBy("run_id").agg(F.count_if("var_drifted").alias("n_var_drifted"))
-    pairs = pair_drift(pearson_of(trusted_runs(grams, report)), pearson_of(gram_pearson_parts(known_grams)), sizes, base, t)
-    corr = pairs.groupBy("run_id").agg(F.count("*").alias("n_pairs"), F.count_if("drifted").alias("n_corr_drifted"), F.sqrt(2 * F.sum(F.pow(F.col("r") - F.col("r0"), F.lit(2)))).alias("corr_frobenius"))
-    found = onsets(cusum(live, base, t), decision_interval(t.arl0, n_vars, t.shift / 2))
-    out = report.select("run_id", "gate", "severity").join(means, "run_id", "left").join(spreads, "run_id", "left").join(corr, "run_id", "left").join(propagation(found), "run_id", "left")
+    live = lambda df: trusted_runs(df, report)
+    shifts, spreads = mean_shift(sizes, base, n_vars, t, p_values=False), variance_shift(sizes, base, n_vars, t)
+    pairs = pair_drift(pearson_of(grams), known.corr, sizes, base, t, p_values=pair_p_values)
+    charts = cusum(obs, base, t)
+    found = written(onsets(charts, decision_interval(t.arl0, n_vars, t.shift / 2)), "onsets")
+    means = live(shifts).groupBy("run_id").agg(F.count_if("mean_drifted").alias("n_mean_drifted"))
+    widths = live(spreads).groupBy("run_id").agg(F.count_if("var_drifted").alias("n_var_drifted"))
+    corr = live(pairs).groupBy("run_id").agg(F.count("*").alias("n_pairs"), F.count_if("drifted").alias("n_corr_drifted"), F.sqrt(2 * F.sum(F.pow(F.col("r") - F.col("r0"), F.lit(2)))).alias("corr_frobenius"))
+    out = report.select("run_id", "gate", "severity").join(means, "run_id", "left").join(widths, "run_id", "left").join(corr, "run_id", "left").join(propagation(live(found)), "run_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     share = lambda c, n: F.coalesce(F.round(zero(c) / n, 4), F.lit(0.0))
     parts = [share("n_mean_drifted", F.lit(n_vars)), share("n_var_drifted", F.lit(n_vars)), share("n_corr_drifted", F.nullif("n_pairs", F.lit(0))), share("n_detected", F.lit(n_vars))]
     names = ["frac_mean_drifted", "frac_var_drifted", "frac_corr_drifted", "frac_onset_detected"]
     out = out.select("run_id", "gate", F.col("severity").alias("quality"), *(p.alias(n) for p, n in zip(parts, names, strict=True)), F.coalesce("corr_frobenius", F.lit(0.0)).alias("corr_frobenius"), "earliest_onset", "earliest_variable", "propagation")
     out = out.withColumn("anomaly_score", score(*map(F.col, names)))
-    return out.withColumn("band", severity("anomaly_score")).withColumn("needs_root_cause", F.col("band").isin("serious", "critical"))
+    summary = out.withColumn("band", severity("anomaly_score")).withColumn("needs_root_cause", F.col("band").isin("serious", "critical"))
+    return {"summary": summary, "quality": report, "sizes": sizes, "shifts": shifts, "spreads": spreads, "pairs": pairs, "onsets": found, "charts": charts, "obs": obs}
+
+
+def run_summary(obs: DataFrame, reference: DataFrame | None = None, rules: DataFrame | None = None, t: Thresholds = Thresholds(), arrays: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """Every run with its gate, the shares of the four perspectives, the anomaly score and its band.
+    Runs that fail the gate are not analysed and score 0."""
+    return analyse(obs, None if reference is None else known_of(reference), rules, t, arrays)["summary"]
 
 
 def z_bars(shifts: DataFrame, most: int = 10) -> DataFrame:

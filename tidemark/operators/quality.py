@@ -12,7 +12,16 @@ RULES = "rule_id string, variable string, type string, min double, max double, d
 
 def missing(obs: DataFrame) -> DataFrame:
     """Per run and variable: missing count and share (four digits)."""
-    return obs.groupBy("run_id", "variable").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing")).withColumn("frac_missing", F.round(F.col("n_missing") / F.col("n"), 4))
+    return _with_share(obs.groupBy("run_id", "variable").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing")))
+
+
+def _with_share(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("frac_missing", F.round(F.col("n_missing") / F.col("n"), 4))
+
+
+def missing_of(moments: DataFrame) -> DataFrame:
+    """As ``missing``, from the moments of the series (``n`` values in ``n_rows``)."""
+    return _with_share(moments.select("run_id", "variable", F.col("n_rows").alias("n"), (F.col("n_rows") - F.col("n")).alias("n_missing")))
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
@@ -28,10 +37,11 @@ def rule_violations(obs: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.where("n_violations > 0").withColumn("frac_violations", F.round(F.col("n_violations") / F.col("n_checked"), 4))
 
 
-def verdict(obs: DataFrame, rules: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
+def verdict(obs: DataFrame, rules: DataFrame | None = None, t: Thresholds = Thresholds(), gaps: DataFrame | None = None) -> DataFrame:
     """Per run: ``max_frac_missing, n_rules_violated, severity, trusted, gate, reasons``. Shares are
-    compared as rounded; any violation is critical; a missing share is named once, by its worst band."""
-    worst = missing(obs).groupBy("run_id").agg(F.max("frac_missing").alias("max_frac_missing"))
+    compared as rounded; any violation is critical; a missing share is named once, by its worst band.
+    ``gaps`` are the missing counts where they are known; then only rules read the observations."""
+    worst = (missing(obs) if gaps is None else gaps).groupBy("run_id").agg(F.max("frac_missing").alias("max_frac_missing"))
     if rules is not None:
         broken = rule_violations(obs, rules).groupBy("run_id").agg(F.count("*").alias("n_rules_violated"))
         worst = worst.join(broken, "run_id", "left")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written_by
+
 SERIES = ("run_id", "variable")
 PART = (*SERIES, "part")
 #: Places of a part.
@@ -17,7 +19,8 @@ SPAN = 1 << 16
 
 
 def in_parts(obs: DataFrame, span: int | None = None) -> DataFrame:
-    return obs.withColumn("part", F.floor(F.col("seq") / (span or SPAN)))
+    """With the part of each place; a table that is laid out by parts has it already."""
+    return obs if "part" in obs.columns and span is None else obs.withColumn("part", F.floor(F.col("seq") / (span or SPAN)))
 
 
 def before_here() -> Window:
@@ -29,13 +32,18 @@ def _spread(n: Column, mean: Column, squares: Column, centre: str) -> Column:
     return F.sum(squares + n * F.pow(mean - F.col(centre), F.lit(2)))
 
 
+def laid_out(obs: DataFrame) -> DataFrame:
+    """Observations written by parts of series, so that the recursions over them shuffle no rows."""
+    return written_by(in_parts(obs.select(*SERIES, "var_pos", "seq", "value")), PART, "obs")
+
+
 def lag_moments(obs: DataFrame, span: int | None = None) -> DataFrame:
     """``run_id, variable, var_pos, n, n_rows, mean, sd, n_pairs, c, sx, sy``: moments of the values of each
     series, and of its pairs of a value and the one before it (gaps are closed; population moments).
 
     Pairs inside a part come from a window over it; the pair over each cut is the first value of a part and
     the last one of the parts before. Both kinds add up about their common means."""
-    rows = in_parts(obs.select(*SERIES, "var_pos", "seq", "value"), span)
+    rows = in_parts(obs, span).select(*PART, "var_pos", "seq", "value")
     past = Window.partitionBy(*PART).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.last("value", ignorenulls=True).over(past))
     both = F.col("before").isNotNull() & F.col("value").isNotNull()

@@ -7,12 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import correlate, profile, quality
+from ..operators import association, correlate, cycles, profile, quality
 from ..operators.obs import with_seq_in_parts
 from ..sources import artifacts, ingest
 from ..sources.tables import shared_root
 from . import derive, interpret, pipelines
-from .catalog import BASE, PAIRS_R1, R1, R2, SIZES, WITH, query, rounded
+from .catalog import BASE, ORACLES, PAIRS_R1, R1, R2, SIZES, WITH, query, rounded
 from .scores_catalog import PAIRS
 
 CUSTOMER = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -254,3 +254,58 @@ def cramers_v(spark, d):
 select run_id, variable, n, round(sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) as statistic, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) < -2.86 as stationary from m""")
 def stationarity(spark, d):
     return rounded(profile.dickey_fuller(derive.r1(spark, d)), 4)
+
+
+@query(WITH + R1 + """, l as (select *, lag(value) over s as x, value - lag(value) over s as step from obs window s as (partition by run_id, variable order by seq)), m as (select *, lag(step) over (partition by run_id, variable order by seq) as before from l),
+c as (select run_id, variable, count(*) as n, corr(step, x) as sx, corr(step, before) as sb, corr(x, before) as xb from m where before is not null group by all),
+p as (select *, (sx - sb * xb) / sqrt((1 - sb * sb) * (1 - xb * xb)) as r from c)
+select run_id, variable, n, 1 as lags, round(r * sqrt((n - 3) / (1 - r * r)), 4) as statistic, r * sqrt((n - 3) / (1 - r * r)) < -2.86 as stationary from p""")
+def stationarity_augmented(spark, d):
+    """The regression with one further lag; its t value follows from a partial correlation."""
+    return rounded(cycles.augmented_dickey_fuller(derive.r1(spark, d), lags=1), 4)
+
+
+@query(None)
+def stationarity_best_lags(spark, d):
+    """As many further lags as the information criterion asks for."""
+    return rounded(cycles.augmented_dickey_fuller(derive.r1(spark, d)), 4)
+
+
+@query(WITH + R2 + """, g as (select *, row_number() over (partition by run_id, variable order by seq) - 1 as i, count(*) over (partition by run_id, variable) as n from obs where value is not null),
+f as (select run_id, variable, n, k, (pow(sum(value * cos(2 * pi() * i * k / n)), 2) + pow(sum(value * sin(2 * pi() * i * k / n)), 2)) / n as power from g, (select unnest(range(1, 13)) as k) where k <= n // 2 group by 1, 2, 3, 4)
+select run_id, variable, n, k, round(power, 4) + 0.0 as power from f""")
+def periodogram(spark, d):
+    return rounded(cycles.periodogram(derive.r2(spark, d)), 4)
+
+
+@query(ORACLES["periodogram"].replace("select run_id, variable, n, k, round(power, 4) + 0.0 as power from f", """, m as (select run_id, variable, median(power) as middle from f group by all), d as (select run_id, variable, n, max(power) as power, arg_max(k, power) as k, max(middle) as middle, median(abs(power - middle)) as mad from f join m using (run_id, variable) group by 1, 2, 3)
+select run_id, variable, n, round(n / k, 4) as period, round(power, 4) as power, power > middle + 6 * 1.4826 * mad as seasonal from d"""))
+def seasonal_cycles(spark, d):
+    return rounded(cycles.seasonality(derive.r2(spark, d)), 4)
+
+
+_BINNED = "e as (select variable, min(value + 0.0) as lo, max(value + 0.0) as hi from obs group by variable), b as (select run_id, seq, obs.variable, var_pos, least(floor((value - lo) / ((hi - lo) / 10)), 9) as bin from obs join e on e.variable = obs.variable where value is not null), c as (select a.variable as var_a, z.variable as var_b, a.bin as i, z.bin as j, count(*) as n from b a join b z on a.run_id = z.run_id and a.seq = z.seq and a.var_pos < z.var_pos group by all)"
+
+
+@query(WITH + R1 + ", " + _BINNED + """, r as (select var_a, var_b, i, sum(n) as ni from c group by all), k as (select var_a, var_b, j, sum(n) as nj from c group by all), t as (select var_a, var_b, cast(sum(n) as bigint) as n, count(distinct i) as rows, count(distinct j) as columns from c group by all)
+select t.var_a, t.var_b, max(t.n) as n, max(rows) as rows, max(columns) as columns, round(max(t.n) * (sum(c.n * c.n / (ni * nj)) - 1), 4) as chi2 from c join r using (var_a, var_b, i) join k using (var_a, var_b, j) join t using (var_a, var_b) group by all""")
+def contingency_chi2(spark, d):
+    """The statistics from which phi_k follows."""
+    return rounded(association.chi_square(association.contingency(derive.r1(spark, d))), 4)
+
+
+@query(None)
+def phi_k(spark, d):
+    return rounded(association.phi_k(derive.r1(spark, d)), 4)
+
+
+_V = "round(sqrt((sum(c.n * c.n / (ca.n * cb.n)) - 1) / (least(count(distinct c.a), count(distinct c.b)) - 1)), 6)"
+_CODES = "codes as (select o_orderstatus as status, o_orderpriority as priority, cast(least(floor((o_totalprice - lo) / ((hi - lo) / 10)), 9) as varchar) as price, o_totalprice as x, cast(o_custkey as double) as y, cast(least(floor((o_custkey - lo2) / ((hi2 - lo2) / 10.0)), 9) as varchar) as cust from orders, (select min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_custkey) as lo2, max(o_custkey) as hi2 from orders))"
+_NAMES = {"o_totalprice": "price", "o_custkey": "cust", "o_orderstatus": "status", "o_orderpriority": "priority"}
+_MIXED = " union all ".join(f"select '{a}' as col_a, '{b}' as col_b, 'cramers_v' as method, (with c as (select {_NAMES[a]} as a, {_NAMES[b]} as b, count(*) as n from codes group by all), ca as (select a, sum(n) as n from c group by 1), cb as (select b, sum(n) as n from c group by 1) select {_V} from c join ca using (a) join cb using (b)) as value" for a, b in (("o_totalprice", "o_orderstatus"), ("o_totalprice", "o_orderpriority"), ("o_custkey", "o_orderstatus"), ("o_custkey", "o_orderpriority"), ("o_orderstatus", "o_orderpriority")))
+
+
+@query(f"with {_CODES}, ranked as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as y from codes) select 'o_totalprice' as col_a, 'o_custkey' as col_b, 'spearman' as method, round(corr(x, y), 6) as value from ranked union all {_MIXED}")
+def auto_association(spark, d):
+    """Each pair by the method that suits its kinds."""
+    return rounded(association.auto(derive.table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]))

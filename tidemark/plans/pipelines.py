@@ -45,7 +45,7 @@ def build_baseline(obs: DataFrame, root: str, rules: DataFrame | None = None, n_
         "pooled_profile": lambda: profile.pooled(obs),
         "pooled_alerts": lambda: profile.alerts(done("pooled_profile")),
         "quality": lambda: quality.verdict(obs, rules, t),
-        "baseline": lambda: drift.baseline(obs),
+        "baseline": lambda: drift.baseline(obs),  # a check reads this and the correlations
         "corr": lambda: correlate.pearson(obs),
     }
     if labels is not None:
@@ -78,9 +78,10 @@ def load_baseline(spark: SparkSession, root: str, t: Thresholds = Thresholds())
 
 
 def check_run(base: Baseline, obs: DataFrame, rules: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Scores new runs against a baseline: the summary and its supporting tables. Variables that the
+    """Scores new runs against a baseline: the summary and its supporting tables. Of the baseline only the
+    pooled tables are read, a row per variable or pair, never its observations. Variables that the
     baseline lacks are dropped; a missing one is an error."""
-    t, reference = base.thresholds, base.tables["obs"]
+    t = base.thresholds
     known = base.variables
     here = {r["variable"] for r in obs.select("variable").distinct().collect()}
     gone = [v for v in known if v not in here]
@@ -88,25 +89,22 @@ def check_run(base: Baseline, obs: DataFrame, rules: DataFrame | None = None) ->
         raise ValueError(f"missing columns: {', '.join(gone[:8])}" + (f" and {len(gone) - 8} more" if len(gone) > 8 else ""))
     places = F.array(*map(F.lit, known))
     obs = obs.where(F.col("variable").isin(known)).withColumn("var_pos", (F.array_position(places, F.col("variable")) - 1).cast("int"))
-    summary = drift.run_summary(obs, reference, rules, t)
-    sizes = drift.effective_sizes(obs)
-    found = drift.onsets(drift.cusum(obs, base.tables["baseline"], t), drift.decision_interval(t.arl0, len(known), t.shift / 2))
-    pairs = correlate.pair_drift(correlate.pearson(obs, by_run=True), base.tables["corr"], sizes, base.tables["baseline"], t, p_values=True)
-    shifts = drift.mean_shift(sizes, base.tables["baseline"], len(known), t)
+    found = drift.analyse(obs, drift.Known(base.tables["baseline"], base.tables["corr"]), rules, t, pair_p_values=True)
+    shifts = drift.mean_shift(found["sizes"], base.tables["baseline"], len(known), t)
     out = {
-        "summary": summary,
-        "quality": quality.verdict(obs, rules, t),
+        "summary": found["summary"],
+        "quality": found["quality"],
         "mean_shift": shifts,
         "top_mean_drifted": drift.top_mean_drifted(shifts),
-        "variance_shift": drift.variance_shift(sizes, base.tables["baseline"], len(known), t),
-        "top_pairs": correlate.top_drifted(pairs),
-        "onsets": found,
-        "traces": drift.traces(obs, base.tables["baseline"], found),
+        "variance_shift": found["spreads"],
+        "top_pairs": correlate.top_drifted(found["pairs"]),
+        "onsets": found["onsets"],
+        "traces": drift.traces(found["obs"], base.tables["baseline"], found["onsets"]),
     }
     out["statistics"] = shifts.join(out["variance_shift"].drop("var_pos", "p_value"), ["run_id", "variable"])
     if "links" in base.tables:  # the causal perspective is the baseline's: a check runs no PCMCI
         links = base.tables["links"]
-        status = causal.run_status(reference, links, t)
+        status = base.tables["causal_status"]
         agreed = causal.consensus(causal.link_frequency(links), status.where("status = 'ok'").count(), t.consensus)
         out |= {"causal_status": status, "causal_links": agreed, "causal_summary": causal.summary(agreed)}
     return out

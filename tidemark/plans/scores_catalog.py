@@ -53,13 +53,17 @@ _RANKED = """ select run_id, gate, quality, frac_mean_drifted, frac_var_drifted,
 case when anomaly_score < 0.15 then 'good' when anomaly_score < 0.35 then 'warning' when anomaly_score < 0.6 then 'serious' else 'critical' end as band, anomaly_score >= 0.35 as needs_root_cause from summary"""
 
 
+def r1_arrays(spark, d):
+    return derive.r1_arrays(spark, d), derive.R1_VARIABLES
+
+
 def _shown(df):
     return rounded(df.withColumn("propagation", F.array_join("propagation", ">")))
 
 
 @query(summary_sql(R1, 4) + _RANKED)
 def anomaly_ranking(spark, d):
-    return _shown(drift.run_summary(r1(spark, d))).orderBy(F.desc("anomaly_score"), "run_id")
+    return _shown(drift.run_summary(r1(spark, d), arrays=r1_arrays(spark, d))).orderBy(F.desc("anomaly_score"), "run_id")
 
 
 @query(summary_sql(R2, 5) + _RANKED)
@@ -73,7 +77,7 @@ _PARTS = ["frac_mean_drifted", "frac_var_drifted", "frac_corr_drifted", "frac_on
 @query(summary_sql(R1, 4) + " " + " union all ".join(f"select run_id, '{p}' as part, {p} as share from summary" for p in _PARTS))
 def drift_breakdown_all(spark, d):
     """All four perspectives; ``drift_breakdown`` has the two that need no distribution."""
-    return drift.run_summary(r1(spark, d)).select("run_id", F.expr(f"stack(4, {', '.join(f"'{p}', {p}" for p in _PARTS)}) as (part, share)"))
+    return drift.run_summary(r1(spark, d), arrays=r1_arrays(spark, d)).select("run_id", F.expr(f"stack(4, {', '.join(f"'{p}', {p}" for p in _PARTS)}) as (part, share)"))
 
 
 @query(WITH + R1 + ", " + SIZES + ", " + BASE + ", " + RATIO + ", " + F_TEST + f" select run_id, variable, round(p_value, 5) + 0.0 as p_value, p_value < {T.var_alpha / 4!r} as var_drifted from ptest")
