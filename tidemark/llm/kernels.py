@@ -53,9 +53,10 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
 
 
-def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether ``a[at : at + size]`` and ``b[bt : bt + size]`` are equal, for each entry."""
-    one, two = eights(a), eights(b)
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray, roomy: bool = False) -> np.ndarray:
+    """Whether ``a[at : at + size]`` and ``b[bt : bt + size]`` are equal, for each entry; a ``roomy`` b has eight
+    bytes to spare at its end, and is not copied."""
+    one, two = eights(a), np.ndarray(len(b) - 7, np.dtype("<u8"), b, strides=(1,)) if roomy else eights(b)
     out = ((one[at] ^ two[bt]) & OWN[np.minimum(size, 8)]) == 0
     for step in range(8, LONG, 8):
         live = np.flatnonzero(out & (size > step))

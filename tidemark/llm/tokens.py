@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-from .kernels import LOWER, SPACE, Roller, U, same_bytes, spread, text_buffer
+from .kernels import LOWER, OWN, SPACE, Roller, U, eights, same_bytes, spread, text_buffer
 
 #: Ids of cached units that a worker keeps; beyond it the cache starts anew.
 CACHE = 4_000_000
@@ -69,8 +69,8 @@ class UnitEncoder:
         self.at = np.zeros(1 << 14, np.int32)
         self.raw = np.zeros(1 << 16, np.uint8)
         self.raw_at = np.zeros(1 << 14, np.int64)
+        self.head = np.zeros(1 << 14, np.uint64)
         self.used = self.count = 0
-        self.seen = np.zeros(1 << TABLE, np.uint64)
         self.seen_slot = np.zeros(1 << TABLE, np.int32)
 
     def whole(self, text: str) -> list[int]:
@@ -120,12 +120,14 @@ class UnitEncoder:
             more = max(n + 2, len(self.at))
             self.at = np.concatenate([self.at, np.zeros(more, np.int32)])
             self.raw_at = np.concatenate([self.raw_at, np.zeros(more, np.int64)])
+            self.head = np.concatenate([self.head, np.zeros(more, np.uint64)])
         row, place = spread(end - start)
         filled = int(self.raw_at[self.count])
-        if filled + len(row) > len(self.raw):
-            self.raw = np.concatenate([self.raw, np.zeros(max(len(row), len(self.raw)), np.uint8)])
+        if filled + len(row) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(row) + 8, len(self.raw)), np.uint8)])
         self.raw[filled : filled + len(row)] = data[start[row] + place]
         self.raw_at[self.count + 1 : n + 1] = filled + np.cumsum(end - start)
+        self.head[self.count : n] = self.heads(data, start, end)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -135,6 +137,12 @@ class UnitEncoder:
         self.count = n
         return slots
 
+    @staticmethod
+    def heads(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first seven bytes of each unit, and its length (255 stands for all from there on)."""
+        size = end - start
+        return (eights(data)[start] & OWN[np.minimum(size, 7)]) | (np.minimum(size, 255).astype(np.uint64) << U(56))
+
     def units(self, data: np.ndarray, at: np.ndarray):
         """Start and end of each unit, and the first unit of each row."""
         kind = KIND[data]
@@ -183,16 +191,20 @@ class UnitEncoder:
         spot = (keys & U((1 << TABLE) - 1)).astype(np.int64)
         slot = self.seen_slot[spot].astype(np.int64)
         # hashes only find a cached unit: its bytes decide
-        found = np.flatnonzero((self.seen[spot] == keys) & (self.raw_at[slot + 1] - self.raw_at[slot] == size))
-        known = np.zeros(len(start), bool)
-        known[found] = same_bytes(data, start[found], self.raw, self.raw_at[slot[found]], size[found])
+        head = self.heads(data, start, end)
+        known = self.head[slot] == head
+        long = np.flatnonzero(known & (size > 7))
+        if len(long):
+            begin = self.raw_at[slot[long]]
+            alike = self.raw_at[slot[long] + 1] - begin == size[long]
+            alike[alike] = same_bytes(data, start[long[alike]], self.raw, begin[alike], size[long[alike]], roomy=True)
+            known[long[~alike]] = False
         missed = np.flatnonzero(~known)
         if len(missed):
-            distinct, where, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
+            _, where, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
             where = missed[where]
             slots = self.add(data, start[where], end[where])
             slot[missed] = slots[inverse]
-            self.seen[spot[where]] = distinct
             self.seen_slot[spot[where]] = slots
             like = where[inverse]
             apart = np.flatnonzero(size[missed] != size[like])
