@@ -26,7 +26,7 @@ from .scratch import Scratch
 from .tokens import lean
 
 #: Terms of a shard, sources of a block at most, and blocks of a language at least (where it has the sources).
-SHARD, WIDEST, SEATS = 1 << 14, 64, 4
+SHARD, WIDEST, SEATS = 1 << 12, 64, 4
 #: Rounds of the tournament in one job: each block travels once a round.
 ROUNDS = 8
 #: Bytes of text that a mapper counts at a time.
