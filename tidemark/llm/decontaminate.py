@@ -5,13 +5,15 @@ item of L words if some run of its words is within ``edit_share * L`` word edits
 to it where the item is short.
 
 * **Windows.** An item within k edits of a passage shares one of its k + 1 equal chunks with it, so
-  only windows around a word sequence of that length that the item also has can match; they start
-  where the sequence would put the item, and up to k words to either side.
+  only windows around a chunk that the item also has can match; they start where the chunk would put
+  the item, and up to k words to either side. A chunk that many items have (a stem such as "which of the
+  following") is not taken for each of them: k edits also leave one of an item's k + 1 rarest words in
+  place, so such items are looked up by these words, and then must have their chunk nearby.
 * **Embedding.** A random walk (Chakraborty, Goldenberg, Koucky, 2016) copies each window into three
   times its length, staying or stepping by a random bit of the step and the word under it. Few edits
   become few differing places.
-* **LSH.** Each walk is sampled at a few places, and equal samples make a candidate. Their number of
-  repetitions follows from ``recall``, by the differences seen between the items and edited items; for
+* **LSH.** Each walk is sampled at a few places, and an equal sample makes a placed item a candidate. The
+  number of repetitions follows from ``recall``, by the differences seen between the items and edited items; for
   items that no affordable number serves, every window that a word sequence places is a candidate.
 * **Verification.** The word edit distance of the item and the best run around the window is exact.
 """
@@ -35,6 +37,8 @@ ITEMS, ITEM_BYTES = 20_000, 8 << 20
 #: them, without the LSH.
 REPETITIONS = 256
 SAMPLED = 2
+#: Items from which on a chunk counts as a stem, and pairs of places and items held at a time.
+HOT, PAIRS = 16, 1 << 19
 
 
 class Walk:
@@ -136,35 +140,62 @@ class Detector:
                 self.ids.append(i)
                 self.items.append(w[f:l])
                 self.edits.append(int(edit_share * (l - f)) if l - f >= min_words else 0)
+        sizes = np.array([len(x) for x in self.items])
+        self.sizes, self.allowed = sizes, np.array(self.edits, np.int64)
+        chunk = sizes // (self.allowed + 1)
         self.seeds: dict[int, tuple] = {}
-        chunk = [len(x) // (k + 1) for x, k in zip(self.items, self.edits, strict=True)]
-        for q in sorted(set(chunk)):
-            own = [n for n, c in enumerate(chunk) if c == q]
-            grams = [self.grams(self.items[n], q) for n in own]
-            h = np.concatenate(grams)
-            who = np.repeat(own, [len(g) for g in grams])
-            place = np.concatenate([np.arange(len(g)) for g in grams])
+        self.stems: dict[int, np.ndarray] = {}
+        held = []  # stems by item: length, place, hash
+        for q in np.unique(chunk).tolist():
+            own = np.flatnonzero(chunk == q)
+            place = [np.arange(self.edits[n] + 1) * q for n in own]
+            h = np.concatenate([self.grams(self.items[n], q)[p] for n, p in zip(own, place, strict=True)])
+            who, place = np.repeat(own, [len(p) for p in place]), np.concatenate(place)
             order = np.argsort(h, kind="stable")
+            h, who, place = h[order], who[order], place[order]
+            times = np.searchsorted(h, h, "right") - np.searchsorted(h, h, "left")
+            hot = times > HOT
+            self.stems[q] = np.unique(h[hot])
+            held.append((np.full(hot.sum(), q), who[hot], place[hot], h[hot]))
             seen = np.zeros(1 << 22, bool)
             seen[(h & U((1 << 22) - 1)).astype(np.int64)] = True
-            self.seeds[q] = (h[order], who[order], place[order], seen)
+            self.seeds[q] = (h[~hot], who[~hot], place[~hot], seen)
+        self.rare_words(*(np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 4)
         self.walks: dict[int, tuple] = {}
-        sizes = np.array([len(x) for x in self.items])
         for length in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == length)
             rows = np.stack([self.items[n] for n in own])
             k = self.edits[own[0]]
             repeats = repetitions(rows, k + k // 2, recall, seed)
             if repeats is None:
-                self.walks[length] = (None, [])
+                self.walks[length] = (None, own, None)
                 continue
             walk = Walk(length, repeats, seed)
-            tables = []
-            for h in walk.samples(rows).T:
-                order = np.argsort(h, kind="stable")
-                tables.append((h[order], own[order]))
-            self.walks[length] = (walk, tables)
-        self.sizes = sizes
+            self.walks[length] = (walk, own, walk.samples(rows))
+
+    def rare_words(self, q, who, place, h) -> None:
+        """The items with stems: their stems, and their k + 1 rarest words."""
+        order = np.argsort(who, kind="stable")
+        q, self.stem_item, self.stem_place, h = q[order], who[order], place[order], h[order]
+        self.stem_number = np.empty(len(q), np.int64)
+        base = 0
+        for size in sorted(self.stems):
+            own = q == size
+            self.stem_number[own] = base + np.searchsorted(self.stems[size], h[own])
+            base += len(self.stems[size])
+        items = np.unique(self.stem_item)
+        every = np.concatenate([np.empty(0, np.uint64), *(np.unique(self.items[n]) for n in items)])
+        words, times = np.unique(every, return_counts=True)
+        word, item, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in items.tolist():
+            w = self.items[n]
+            rarest = np.argsort(times[np.searchsorted(words, w)], kind="stable")[: self.edits[n] + 1]
+            word.append(w[rarest])
+            item.append(np.full(len(rarest), n))
+            at.append(rarest)
+        word, item, at = np.concatenate(word), np.concatenate(item), np.concatenate(at)
+        order = np.argsort(word, kind="stable")
+        self.rare = (word[order], item[order], at[order])
 
     def grams(self, w: np.ndarray, q: int) -> np.ndarray:
         """Hashes of q consecutive words, for any q."""
@@ -172,50 +203,87 @@ class Detector:
             return mix(w + U(1))
         return self.roller.ngrams(w, q)
 
+    @staticmethod
+    def placed(table: np.ndarray, values: np.ndarray):
+        """Which entries of a sorted table equal each value, some ``PAIRS`` of them at a time."""
+        lo, hi = np.searchsorted(table, values, "left"), np.searchsorted(table, values, "right")
+        ends = np.cumsum(hi - lo)
+        i = 0
+        while i < len(values):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            row, step = spread(hi[i:j] - lo[i:j])
+            if len(row):
+                yield row + i, lo[i:j][row] + step
+            i = j
+
+    def by_rare_words(self, w: np.ndarray, stems: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Items with stems and where they would begin: one of their rarest words is there and, at most twice
+        their edits off, one of their stems. ``stems`` are numbers and places, as ascending keys."""
+        word, item, place = self.rare
+        out, base = [], len(w) + 1
+        at = np.flatnonzero(np.isin(w, word))
+        for a, m in self.placed(word, w[at]):
+            who, origin = item[m], at[a] - place[m]
+            first, last = np.searchsorted(self.stem_item, who, "left"), np.searchsorted(self.stem_item, who, "right")
+            near = np.zeros(len(who), bool)
+            for step in range(int((last - first).max(initial=0))):
+                live = np.flatnonzero(~near & (first + step < last))
+                e = first[live] + step
+                middle, off = origin[live] + self.stem_place[e], 2 * self.allowed[who[live]]
+                low = self.stem_number[e] * base + np.maximum(middle - off, 0)
+                high = self.stem_number[e] * base + np.minimum(middle + off, base - 1)
+                near[live] = np.searchsorted(stems, low, "left") < np.searchsorted(stems, high, "right")
+            if near.any():
+                out.append(tuple(np.unique(np.stack([who[near], origin[near]], axis=1), axis=0).T))
+        return out
+
     def find(self, column: pa.Array):
         """Rows, items, window starts and exact distances of the matches in a column of texts."""
         data, start, end, first = letter_words(column, digits=True)
         w = self.roller.words(data, start, end)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        keys = []
+        keys, stems, base = [], [], 0
         for q, (h, who, place, seen) in self.seeds.items():
             g = self.grams(w, q)
             at = np.flatnonzero(seen[(g & U((1 << 22) - 1)).astype(np.int64)])
             at = at[doc[at] == doc[at + q - 1]] if len(at) else at
-            lo, hi = np.searchsorted(h, g[at], "left"), np.searchsorted(h, g[at], "right")
-            row, step = spread(hi - lo)
-            m = lo[row] + step
-            item, origin = who[m], at[row] - place[m]
-            keys.append(np.unique(np.stack([item, origin], axis=1), axis=0) if len(m) else np.empty((0, 2), np.int64))
-        keys = np.concatenate(keys) if keys else np.empty((0, 2), np.int64)
-        found = set()
-        if not len(keys):
+            for a, m in self.placed(h, g[at]):
+                keys.append((who[m], at[a] - place[m]))
+            common = self.stems[q]
+            if len(common) and len(at):
+                number = np.minimum(np.searchsorted(common, g[at]), len(common) - 1)
+                hit = common[number] == g[at]
+                stems.append((base + number[hit]) * (len(w) + 1) + at[hit])
+            base += len(common)
+        keys += self.by_rare_words(w, np.sort(np.concatenate(stems))) if stems else []
+        if not keys:
             return []
-        item, origin = keys[:, 0], keys[:, 1]
-        lengths = self.sizes[item]
+        keys = np.unique(np.stack([np.concatenate([k[i] for k in keys]) for i in (0, 1)], axis=1), axis=0)
+        found = set()
+        lengths = self.sizes[keys[:, 0]]
         for length in np.unique(lengths).tolist():
-            walk, tables = self.walks[length]
+            walk, own, samples = self.walks[length]
+            mine = keys[lengths == length]
             if walk is None:
-                found.update(map(tuple, keys[lengths == length][:, ::-1].tolist()))
+                found.update(map(tuple, mine[:, ::-1].tolist()))
                 continue
-            k = int(self.edits[item[lengths == length][0]])
-            shift = np.arange(-k, k + 1, max(1, k // 2 + k % 2))
-            s = np.unique((origin[lengths == length][:, None] + np.append(shift, 0)).ravel())
-            # a window may begin before its text or end after it: what is missing there is no word
-            anchor = np.clip(s + length // 2, 0, len(w) - 1)
-            for i in range(0, len(s), 1024):
-                begin = s[i : i + 1024]
+            k = int(self.edits[own[0]])
+            shift = np.unique(np.append(np.arange(-k, k + 1, max(1, k // 2 + k % 2)), 0))
+            for i in range(0, len(mine), 128):
+                item, origin = mine[i : i + 128].T
+                near = origin[:, None] + shift
+                begin, which = np.unique(near, return_inverse=True)
+                which = which.reshape(near.shape)
+                # a window may begin before its text or end after it: what is missing there is no word
+                home = doc[np.clip(begin + length // 2, 0, len(w) - 1)]
                 at = begin[:, None] + np.arange(length)
                 valid = (at >= 0) & (at < len(w))
                 at = np.clip(at, 0, len(w) - 1)
-                home = doc[anchor[i : i + 1024]]
-                windows = np.where(valid & (doc[at] == home[:, None]), w[at], U(0))
-                for x, (h, own) in zip(walk.samples(windows).T, tables, strict=True):
-                    lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
-                    row, step = spread(hi - lo)
-                    if len(row):
-                        pairs = np.stack([begin[row], own[lo[row] + step]], axis=1)
-                        found.update(map(tuple, np.unique(pairs, axis=0).tolist()))
+                seen = walk.samples(np.where(valid & (doc[at] == home[:, None]), w[at], U(0)))
+                theirs = samples[np.searchsorted(own, item)]
+                for j in range(len(shift)):
+                    hit = (seen[which[:, j]] == theirs).any(1)
+                    found.update(zip(near[hit, j].tolist(), item[hit].tolist(), strict=True))
         if not found:
             return []
         # overlapping windows of one item and text become one region
