@@ -1,4 +1,4 @@
-"""Readers: delimited text with sniffed layout, Excel, RData, Parquet and JSON, to observation tables.
+"""Readers: delimited text with sniffed layout, workbooks, R data, Parquet and JSON, to observation tables.
 
 Files are read by Spark (so any file system that Spark reads works); only the first lines of a text file
 come to the driver, to sniff its delimiter and header. Column roles (run, sample, labels, time) come
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import number
 from ..operators.obs import run_key, to_long, with_seq_in_parts
+from .workbooks import read_excel, read_rdata
 
 #: The name hints by which columns are given roles, and file name patterns with known roles.
 LABEL_HINTS = ("label", "class", "fault", "target", "status", "category", "group", "type", "source", "split")
@@ -90,28 +91,12 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     return spark.read.csv(path, sep=delimiter, header=header, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).toDF(*columns)
 
 
-def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A sheet through pandas (one workbook is one driver's task)."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
-
-
-def read_rdata(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    try:
-        import pyreadr
-    except ImportError as e:
-        raise ImportError("RData files need the pyreadr package") from e
-    objects = pyreadr.read_r(path)
-    return spark.createDataFrame(objects[key] if key else next(iter(objects.values())))
-
-
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """By extension; an unknown one is an error."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind in (".csv", ".tsv", ".dat", ".txt"):
         return read_delimited(spark, path, options.get("delimiter"))
-    if kind in (".xls", ".xlsx"):
+    if kind in (".xlsx", ".xlsm"):
         return read_excel(spark, path, options.get("sheet", 0))
     if kind in (".rdata", ".rda", ".rds"):
         return read_rdata(spark, path, options.get("rdata_key"))
@@ -119,6 +104,8 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
         return spark.read.parquet(path)
     if kind in (".json", ".jsonl"):
         return spark.read.json(path)
+    if kind == ".xls":
+        raise ValueError("workbooks of the old binary form are not read: save them as .xlsx")
     raise ValueError(f"unknown file type: {kind or path}")
 
 
