@@ -118,7 +118,7 @@ def test_pooled_links_mask_starts_and_gaps(spark, planted):
 
 def test_linkages(spark):
     d = np.array([[0, 1, 4, 5], [1, 0, 2, 6], [4, 2, 0, 3], [5, 6, 3, 0]], float)
-    heights = {m: [round(x[2], 4) for x in cluster.average_linkage(d, m)] for m in cluster.UPDATES}
+    heights = {m: [round(x[2], 4) for x in cluster.average_linkage(d, m)] for m in ("average", "single", "complete", "weighted")}
     assert heights == {"average": [1.0, 3.0, 4.6667], "single": [1.0, 2.0, 3.0], "complete": [1.0, 3.0, 6.0], "weighted": [1.0, 3.0, 4.25]}
     pairs = [("v%d" % i, "v%d" % j, float(1 - d[i, j] ** 2 / 72)) for i in range(4) for j in range(i + 1, 4)] + [("v0", "x", None)]
     found = cluster.clustering(spark.createDataFrame(pairs, "var_a string, var_b string, r double"))

@@ -72,8 +72,14 @@ def sample_runs(run_ids: Sequence[str], n: int, seed: int) -> list[str]:
     return sorted(random.Random(seed).sample(ids, min(n, len(ids))), key=key)
 
 
-def trajectory_band(obs: DataFrame) -> DataFrame:
-    """Mean, spread and median across runs at each position that every run has."""
+def trajectory_band(obs: DataFrame, sketch: int | None = None) -> DataFrame:
+    """Mean, spread and median across runs at each position that every run has. With ``sketch`` (a size from 8
+    on; 200 is within about 1.3 % of the rank) the median comes from a mergeable sketch, whose size does not
+    grow with the runs; without, it is exact and a position's values of all runs come together."""
     shortest = obs.groupBy("variable", "run_id").agg(F.max("seq").alias("last")).groupBy("variable").agg(F.min("last").alias("last"))
     rows = obs.join(shortest, "variable").where("seq <= last")
-    return rows.groupBy("variable", "seq").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.percentile("value", 0.5).alias("median"))
+    median = F.percentile("value", 0.5) if sketch is None else F.kll_sketch_agg_double("value", F.lit(sketch))
+    out = rows.groupBy("variable", "seq").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), median.alias("median"), F.count("value").alias("__n"))
+    if sketch is not None:
+        out = out.withColumn("median", F.when(F.col("__n") > 0, F.kll_sketch_get_quantile_double("median", F.lit(0.5))))
+    return out.drop("__n")

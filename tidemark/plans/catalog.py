@@ -104,8 +104,11 @@ def run_sizes_r1(spark, d):
 
 @query("select * from (select 'o_orderkey' as col, count(distinct o_orderkey) as n from orders union all select 'o_orderstatus', count(distinct o_orderstatus) from orders union all select 'o_orderpriority', count(distinct o_orderpriority) from orders)")
 def role_detection_counts(spark, d):
-    counts, _ = ingest.distinct_counts(derive.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
-    return spark.createDataFrame(list(counts.items()), "col string, n long")
+    rows = derive.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    facts, n = ingest.column_facts(rows)
+    ingest.settle(rows, facts, {"o_orderkey": [n], "o_orderstatus": [20], "o_orderpriority": [5]})
+    facts["o_orderstatus"]["distinct"] = ingest.distinct_exactly(rows, "o_orderstatus")
+    return spark.createDataFrame([(c, f["distinct"]) for c, f in facts.items()], "col string, n long")
 
 
 @query("select 'o_orderstatus' as label, o_orderstatus as value, count(*) as n, (select count(distinct o_orderstatus) from orders) as n_distinct from orders group by o_orderstatus union all select 'o_orderpriority', o_orderpriority, count(*), (select count(distinct o_orderpriority) from orders) from orders group by o_orderpriority")

@@ -7,7 +7,9 @@ others implement ``Client``.
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 from typing import Protocol
 
@@ -46,6 +48,21 @@ class MockClient:
         return next((r for k, r in self.replies.items() if k in prompt), {"text": "{}"})
 
 
+#: Makers of clients by provider: from a model's name and a server's address, either of which may be None.
+PROVIDERS: dict[str, Callable[[str | None, str | None], Client]] = {"mock": lambda model, base_url: MockClient()}
+
+
+def client_from_environment(reasoning: bool = False, env: Mapping[str, str] = os.environ) -> Client:
+    """The client that ``LLM_PROVIDER`` (mock where unset), ``LLM_MODEL`` and ``LLM_BASE_URL`` name. For
+    ``reasoning`` ``LLM_REASONING_MODEL`` goes before ``LLM_MODEL``. Providers but the mock are registered in
+    ``PROVIDERS`` by who brings them."""
+    provider = env.get("LLM_PROVIDER", "mock").lower()
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider}: there are {', '.join(sorted(PROVIDERS))}")
+    model = (env.get("LLM_REASONING_MODEL") if reasoning else None) or env.get("LLM_MODEL")
+    return PROVIDERS[provider](model, env.get("LLM_BASE_URL"))
+
+
 def refuse_raw_data(value) -> None:
     """Raises on frames, columns, pandas objects and arrays anywhere inside the evidence."""
     if isinstance(value, (DataFrame, Column)) or type(value).__module__.split(".")[0] in ("pandas", "numpy", "pyarrow"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -67,6 +68,8 @@ def build_baseline(obs: DataFrame, root: str, rules: DataFrame | None = None, n_
             progress(name, k, len(steps))
         began = time.monotonic()
         artifacts.write_table(make(), root, name)
+        if name in ("profile", "pooled_profile"):
+            artifacts.write_json(done(name), f"{root}/{name}_json")
         seconds[name] = round(time.monotonic() - began, 2)
     artifacts.write_document(spark, f"{root}/dataset_meta.json", {**(metadata or {}), "variables": correlate.variables_of(obs), "n_runs": done("runs").count()})
     artifacts.mark_complete(spark, root, tables=sorted(["obs", *steps]), seconds=seconds)
@@ -137,6 +140,17 @@ def export_check(result: dict[str, DataFrame], root: str, pairs: int = 10, links
     return artifacts.read_artifacts(spark, root)
 
 
+def export_inference(spark: SparkSession, root: str, identities: dict | None = None, types: dict | None = None, roles: dict | None = None, root_cause: dict | None = None) -> DataFrame:
+    """What a client inferred, beside the artifacts: one document, and the table ``inference`` with a row for
+    each kind and name (``kind, name, value``; a value that is not a text is JSON)."""
+    root = root.rstrip("/")
+    found = {"identity": identities or {}, "type": types or {}, "cluster_role": roles or {}, "root_cause": root_cause or {}}
+    artifacts.write_document(spark, f"{root}/inference.json", found)
+    rows = [(kind, str(name), value if isinstance(value, str) else json.dumps(artifacts.plain(value), ensure_ascii=False)) for kind, own in found.items() for name, value in own.items()]
+    artifacts.write_table(spark.createDataFrame(rows, "kind string, name string, value string"), root, "inference")
+    return artifacts.read_artifacts(spark, root)["inference"]
+
+
 def export_comparison(base: Baseline, root: str, run_a: str, run_b: str) -> DataFrame:
     """Two runs' profiles side by side, written among the baseline's artifacts."""
     artifacts.write_table(profile.compare(base.tables["profile"], run_a, run_b), root, "comparison")
