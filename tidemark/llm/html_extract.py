@@ -30,8 +30,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 BLOCK_IN_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 
-TAGS = "html body main article section div p nav header footer aside form fieldset ul ol li dl table tr td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 button address details menu dialog center".split()
-WORDS = "nav menu side sidebar ad ads advert advertisement sponsor sponsored promo banner cookie consent gdpr notice alert popup modal comment comments reply respond discussion disqus share social related recommend footer foot header head top bottom breadcrumb breadcrumbs login signup subscribe newsletter widget toolbar pagination pager tags meta author byline copyright legal rail content article post entry main story body text page container wrapper row col".split()
+TAGS = "html body main article section div p nav header footer aside form fieldset ul ol li dl dt dd table tr td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 button address details summary menu dialog center".split()
+WORDS = "nav menu side sidebar ad ads advert advertisement sponsor sponsored promo banner cookie consent gdpr notice alert popup modal comment comments reply respond discussion disqus share social related recommend footer foot header head top bottom breadcrumb breadcrumbs login signup subscribe newsletter widget toolbar pagination pager tags meta author byline copyright legal rail content article post entry main story body text page container wrapper row col pull quote pullquote note footnote free".split()
 ROLES = "navigation banner contentinfo complementary search form main article dialog alert".split()
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 WORD_AT = {w: len(TAGS) + i for i, w in enumerate(WORDS)}
@@ -146,7 +146,7 @@ class Page:
 
         def push(tag: str, node: int):
             opened.setdefault(tag, []).append(len(stack))
-            if tag not in INLINE:
+            if tag not in INLINE and node != stack[-1][1]:
                 blocks.append(len(stack))
                 if tag != "p":
                     hard.append(len(stack))
@@ -175,7 +175,8 @@ class Page:
                 continue
             if ending:
                 k = latest((tag,))
-                if k and (tag not in INLINE or hard[-1] < k):
+                inline = tag in INLINE or (k and k not in blocks)
+                if k and (not inline or hard[-1] < k):
                     close(k)
                 elif not k and tag in ("p", "br"):
                     flush()
@@ -188,7 +189,7 @@ class Page:
             elif tag in VOID:
                 if tag == "img":
                     pieces.append(" ")
-            elif tag in INLINE:
+            elif tag in INLINE or (tag == "button" and "".join(pieces).strip()):  # a button within a sentence
                 push(tag, stack[-1][1])
                 if tag == "a":
                     in_link += 1
@@ -322,13 +323,24 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
             "top": lambda: pick(f"<header>{pick('', '<div class=logo>' + words(1, 3) + '</div>')}<nav><ul>{items(rng.integers(3, 9))}</ul></nav></header>", f"<nav><ul>{items(rng.integers(3, 9))}</ul></nav>", f"<div class='{pick('menu', 'top-menu', 'navbar nav', 'header')}'>{items(rng.integers(2, 7)).replace('li>', 'span>').replace('<li', '<span')}</div>", f"<header class='site-header'><p>{words(2, 8)}</p></header>"),
             "ad": lambda: pick(f"<div class='{pick('ad', 'ads', 'advert', 'sponsored', 'promo banner', 'ad-slot')}'>{words(4, 40)}</div>", f"<div class=ad><p>{words(4, 30)}</p><a href=x>{words(1, 4)}</a></div>"),
             "notice": lambda: f"<div {pick('class', 'id')}='{pick('cookie-banner', 'cookie-notice', 'consent', 'gdpr-notice', 'notice', 'alert notice')}'><p>{words(6, 40)}</p><button>{words(1, 2)}</button></div>",
-            "side": lambda: pick(f"<aside>{pick('<h3>' + words(1, 4) + '</h3>', '')}<ul>{items(rng.integers(3, 8))}</ul></aside>", f"<aside><p>{words(5, 60)}</p></aside>", f"<div class='{pick('sidebar', 'side-rail', 'widget', 'related')}'><h3>{words(1, 4)}</h3><p>{words(5, 30)}</p><ul>{items(rng.integers(2, 6))}</ul></div>"),
+            "side": lambda: pick(f"<div {pick('class', 'id')}='{pick('sidebar', 'side', 'related', 'widget')}'><p>{words(4, 30)}</p></div>", f"<aside>{pick('<h3>' + words(1, 4) + '</h3>', '')}<ul>{items(rng.integers(3, 8))}</ul></aside>", f"<aside><p>{words(5, 60)}</p></aside>", f"<div class='{pick('sidebar', 'side-rail', 'widget', 'related')}'><h3>{words(1, 4)}</h3><p>{words(5, 30)}</p><ul>{items(rng.integers(2, 6))}</ul></div>"),
             "form": lambda: f"<form action=x><p>{words(3, 10)}</p><label>{words(1, 3)}</label><input><button>{words(1, 2)}</button></form>",
             "comments": lambda: f"<{pick('section', 'div')} {pick('class', 'id')}='{pick('comments', 'comment-list', 'disqus', 'discussion', 'reader-comments')}'><h3>{words(1, 4)}</h3>" + "".join(f"<{pick('div', 'article', 'li')} class='{pick('comment', 'reply')}'><p>{words(5, 60)}</p></div>" for _ in range(int(rng.integers(1, 5)))) + "</div>",
             "share": lambda: f"<div class='{pick('share', 'social', 'tags', 'newsletter subscribe')}'>{items(rng.integers(2, 5))}</div>",
             "foot": lambda: pick(f"<footer>{words(4, 30)}</footer>", f"<footer><p>{words(4, 20)}</p><ul>{items(rng.integers(2, 6))}</ul></footer>", f"<div class='{pick('footer', 'copyright legal')}'><p>{words(4, 20)}</p></div>"),
         }
 
+        def aside_of_article():
+            """Parts of an article whose tags or places alone would speak against them."""
+            name = pick("pullquote", "pull-quote", "quote")
+            return pick(
+                lambda: "<dl>" + "".join(f"<dt>{text(1, 5)}{pick('</dt>', '')}<dd>{text(2, 20)}{pick('</dd>', '')}" for _ in range(int(rng.integers(1, 5)))) + "</dl>",
+                lambda: f"<aside class='{name}'><p>{text(3, 20)}</p></aside>",
+                lambda: f"<aside class='{name}'>{text(3, 20)}</aside>",
+                lambda: f"<details><summary>{text(1, 8)}</summary><p>{text(3, 40)}</p></details>",
+                lambda: f"<pre>{text(2, 20)}</pre>",
+            )()
+
         def body():
             parts = []
             if rng.random() < 0.85:
@@ -343,7 +355,8 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
                         good.discard(t)
                         shown = " ".join((t + re.sub("<[^>]*>", "", link)).split())
                         good.add(shown)
-                    parts.append(f"<p>{pick('', '<b>')}{t}{link}{pick('</p>', '</p>', '<br>')}")
+                    odd = f" class='{pick('comment-free', 'header-note', 'side-note', 'share-price', 'menu-item-text', 'footnote', 'ad-free', 'lead', 'intro')}'" if rng.random() < 0.08 else ""
+                    parts.append(f"<p{odd}>{pick('', '<b>')}{t}{link}{pick('</p>', '</p>', '<br>')}")
                 elif r < 0.76:
                     parts.append(f"<h2>{text(1, 8)}</h2>")
                 elif r < 0.79:  # lists and paragraphs of links belong to an article too
@@ -353,8 +366,10 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
                     parts.append(f"<p><a href=x>{text(2, 14)}</a></p>")
                 elif r < 0.84:
                     parts.append("<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(int(rng.integers(2, 6)))) + "</ul>")
-                elif r < 0.88:
+                elif r < 0.86:
                     parts.append(f"<blockquote><p>{text(4, 40)}</p></blockquote>")
+                elif r < 0.88:
+                    parts.append(aside_of_article())
                 elif r < 0.91:
                     parts.append(f"<table><tr><td>{text(1, 5)}</td><td>{text(1, 5)}</td></tr></table>")
                 elif r < 0.93:
@@ -382,6 +397,9 @@ def labelled_pages(count: int = 300, seed: int = 13) -> list[tuple[str, set[str]
                 core = f"<{frame}{name}>{content}</{frame}>"
             out.append((pick(core, core, content, f"<body>{content}</body>", f"<html><head><title>{words(2, 6)}</title></head><body>{core}</body></html>", f"{core}{junk['foot']()}"), good))
             continue
+        if rng.random() < 0.07:  # laid out by a table
+            row = "".join(f"<td><a href='/{i}'>{words(1, 3)}</a></td>" for i in range(int(rng.integers(2, 7))))
+            core = pick(f"<table><tr>{row}</tr></table>{core}", f"<table><tr><td><ul>{items(rng.integers(3, 8))}</ul></td><td>{core}</td></tr></table>", f"<table><tr>{row}</tr><tr><td colspan=4>{core}</td></tr></table>")
         before = [junk["top"]()] + [junk[k]() for k in ("ad", "notice", "side") if rng.random() < 0.4]
         after = [junk[k]() for k in ("side", "form", "ad", "share", "notice") if rng.random() < 0.25] + [junk["foot"]()]
         end_tags = pick("</body></html>", "")
