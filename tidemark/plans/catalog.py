@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Thresholds
 from ..functions.expressions import number, severity
 from ..functions.stats import decision_interval, z_critical
-from ..operators import causal, cluster, correlate, drift, profile, quality
+from ..operators import causal, cluster, correlate, drift, profile, quality, series
 from ..operators.obs import run_sizes, trajectory_band, varying
 from ..sources import ingest
 from ..sources.tables import written
@@ -84,9 +84,9 @@ def r1(spark, d):
 
 def r1_parts(spark, d, kept: bool = False):
     """Observations, sizes (written, as the baseline and the tests read them) and baseline; with ``kept``
-    the observations are written too."""
+    the observations are written too, by parts of series."""
     obs = derive.r1(spark, d)
-    obs = written(obs, "r1") if kept else obs
+    obs = series.laid_out(obs) if kept else obs
     sizes = written(drift.effective_sizes(obs), "sizes")
     return obs, sizes, drift.baseline(obs, sizes)
 
@@ -309,7 +309,7 @@ _RANKS = "ranked as (select run_id, seq, variable, var_pos, rank() over (partiti
 
 @query(WITH + R1 + ", " + _RANKS + " select a.variable as var_a, b.variable as var_b, round(corr(a.value, b.value), 6) + 0.0 as r from ranked a join ranked b on a.run_id = b.run_id and a.seq = b.seq and a.var_pos < b.var_pos group by all")
 def spearman_pooled(spark, d):
-    return rounded(correlate.spearman(r1(spark, d)).select("var_a", "var_b", "r"))
+    return rounded(correlate.spearman(derive.r1_values(spark, d)).select("var_a", "var_b", "r"))
 
 
 @query(WITH + R2 + ", both_ as (select a.variable as va, b.variable as vb, a.value as x, b.value as y from obs a join obs b on a.run_id = b.run_id and a.seq = b.seq and a.var_pos < b.var_pos where a.value is not null and b.value is not null), rk as (select va, vb, rank() over (partition by va, vb order by x) + (count(*) over (partition by va, vb, x) - 1) / 2.0 as x, rank() over (partition by va, vb order by y) + (count(*) over (partition by va, vb, y) - 1) / 2.0 as y from both_) select va as var_a, vb as var_b, round(corr(x, y), 6) + 0.0 as r, count(*) as n_pair from rk group by all")

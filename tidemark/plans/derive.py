@@ -29,9 +29,10 @@ def r1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1 for what needs no positions: read straight from the table, ``seq`` is 0."""
+    """R1 for what needs no positions: read straight from the table; ``seq`` only tells rows apart, and only
+    within one reading."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("string").alias("run_id"), *R1_VARIABLES)
-    return to_long(rows.withColumn("seq", F.lit(0).cast("long")).withColumn("sample", F.col("seq")), R1_VARIABLES)
+    return to_long(rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("sample", F.col("seq")), R1_VARIABLES)
 
 
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
