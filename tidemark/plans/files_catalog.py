@@ -309,3 +309,30 @@ _MIXED = " union all ".join(f"select '{a}' as col_a, '{b}' as col_b, 'cramers_v'
 def auto_association(spark, d):
     """Each pair by the method that suits its kinds."""
     return rounded(association.auto(derive.table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]))
+
+
+_POOLED_R2 = "p as (select variable, count(*) as n, avg(value) as mean, stddev_samp(value) as std, min(value) as min, max(value) as max, cast(sum(case when value is null then 1 else 0 end) as bigint) as n_missing, count(distinct value) as u, sum(case when value = 0 then 1 else 0 end) as z from obs group by variable)"
+
+
+@query(WITH + R2 + ", " + _POOLED_R2 + " select variable, round(mean, 6) as mean, round(std, 6) as std, round(min, 6) as min, round(max, 6) as max, n_missing, array_to_string(list_filter([case when u = 1 then 'constant' end, case when n_missing / n > 0.05 then 'missing' end, case when u = n - n_missing then 'unique' end, case when z / n > 0.5 then 'zeros' end], lambda x: x is not null), ',') as alerts, case variable when (select min(variable) from p) then 'r1' else '' end as rules from p")
+def dashboard_cards(spark, d):
+    """The cards of a baseline's dashboard: statistics, alerts and active rules of each variable."""
+    base = pipelines.build_baseline(derive.r2(spark, d), folder(spark), with_causal=False)
+    first = min(base.variables)
+    rules = spark.createDataFrame([("r1", first, "range", 0.0, 1.0, "d", True, None), ("r2", first, "range", 0.0, 1.0, "d", False, None)], quality.RULES)
+    cards = pipelines.dashboard(base, rules)
+    names = F.coalesce(F.array_join(F.transform("rules", lambda r: r.rule_id), ","), F.lit(""))
+    return rounded(cards.select("variable", "mean", "std", "min", "max", "n_missing", F.coalesce(F.array_join("alerts", ","), F.lit("")).alias("alerts"), names.alias("rules")))
+
+
+@query(WITH + R2 + ", " + _POOLED_R2 + ", worst as (select run_id, max(f) as m from (select run_id, variable, round(sum(case when value is null then 1 else 0 end) / count(*), 4) as f from obs group by all) group by run_id), runs as (select run_id, row_number() over (order by run_id) as k, m from worst) select 'Runs' as section, run_id as name, '24' as first from runs where k <= 20 union all select 'Data quality', run_id, case when m >= 0.5 then 'critical' when m >= 0.02 then 'warning' else 'ok' end from runs where k <= 20 union all select 'Variables', variable, cast(n as varchar) from p")
+def report_tables(spark, d):
+    """The first tables of a baseline's report, read back from its Markdown."""
+    text = pipelines.report_text(pipelines.build_baseline(derive.r2(spark, d), folder(spark), with_causal=False))
+    rows, section = [], ""
+    for line in text.splitlines():
+        section = line[3:] if line.startswith("## ") else section
+        cells = [c.strip() for c in line.strip("|").split("|")] if line.startswith("| ") else []
+        if section in ("Runs", "Data quality", "Variables") and cells and cells[0] not in ("run_id", "variable"):
+            rows.append((section, cells[0], cells[1]))
+    return spark.createDataFrame(rows, "section string, name string, first string")

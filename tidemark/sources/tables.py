@@ -49,20 +49,31 @@ def written_by(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataF
     return spark.table(table)
 
 
-def save_bucketed(df: DataFrame, path: str, keys: Sequence[str], table: str) -> int:
-    """Writes a folder with one file for each bucket and names it in the catalog; the number of buckets."""
+def save_bucketed(df: DataFrame, path: str, keys: Sequence[str], table: str, order: Sequence[str] = ()) -> int:
+    """Writes a folder with one file for each bucket, sorted by ``order``, and names it in the catalog; the
+    number of buckets."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, *(F.col(f"`{k}`") for k in keys)).write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    out = df.repartition(buckets, *(F.col(f"`{k}`") for k in keys)).write.format("parquet").mode("overwrite").bucketBy(buckets, *keys)
+    (out.sortBy(*order) if order else out).option("path", path).saveAsTable(table)
     return buckets
 
 
+def _catalog_name(path: str) -> str:
+    return f"tidemark_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+
+
+def forget_bucketed(spark: SparkSession, path: str) -> None:
+    """Takes a folder that ``open_bucketed`` has named out of the catalog; its files stay."""
+    spark.sql(f"drop table if exists {_catalog_name(path)}")
+
+
 def open_bucketed(spark: SparkSession, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
     """A folder of ``save_bucketed`` that this session's catalog may not know yet."""
-    table = f"tidemark_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+    table = _catalog_name(path)
     fields = spark.read.parquet(path).schema
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    spark.sql(f"drop table if exists {table}")
+    forget_bucketed(spark, path)
     spark.sql(f"create table {table} ({columns}) using parquet clustered by ({', '.join(f'`{k}`' for k in keys)}) into {buckets} buckets location '{path}'")
     return spark.table(table)
 
