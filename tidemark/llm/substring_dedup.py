@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import forget_bucketed, open_bucketed, save_bucketed
 from .blocks import BLOCK, BLOCK_DOCS, bucket_count, bucket_cuts, counts_of, first_block, gathered, own_key
 from .kernels import Roller, spread, words_of
 from .scratch import Scratch, delete, folder_exists, list_folder
@@ -219,9 +220,10 @@ def _spans(n: int):
 
 
 class FingerprintIndex:
-    """The log in a folder: runs of (fingerprint, document), each a table sorted by fingerprint, and
-    numbered lists of the runs that are valid. A list appears only once its runs are whole, so a call
-    that is broken off leaves the log as it was."""
+    """The log in a folder: runs of (fingerprint, document), each a table bucketed by fingerprint and sorted in
+    its buckets, and numbered lists of the runs that are valid. A list appears only once its runs are whole,
+    so a call that is broken off leaves the log as it was. A run's name tells its number of buckets; joins on
+    the fingerprint shuffle the batch to them, and the run not at all."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = 2):
         self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
@@ -230,7 +232,7 @@ class FingerprintIndex:
         self.runs = [r["run"] for r in spark.read.schema("run string").parquet(f"{self.path}/lists/{self.version:08d}").collect()] if done else []
 
     def run(self, name: str) -> DataFrame:
-        return self.spark.read.schema("h long, doc_id long").parquet(f"{self.path}/runs/{name}")
+        return open_bucketed(self.spark, f"{self.path}/runs/{name}", ["h"], int(name.rsplit("-", 1)[1]))
 
     def everything(self) -> DataFrame | None:
         out = None
@@ -239,10 +241,18 @@ class FingerprintIndex:
         return out
 
     def _write(self, df: DataFrame) -> str:
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/runs/{name}")
+        """A new run; the catalog forgets it again, as calls open runs by their folders."""
+        name = f"{uuid.uuid4().hex}-{int(self.spark.conf.get('spark.sql.shuffle.partitions'))}"
+        table = f"tidemark_run_{uuid.uuid4().hex}"
+        save_bucketed(df, f"{self.path}/runs/{name}", ["h"], table, order=["h"])
+        self.spark.sql(f"drop table {table}")
         return name
 
+    def close(self) -> None:
+        """Takes the runs out of the catalog; their files stay."""
+        for name in self.runs:
+            forget_bucketed(self.spark, f"{self.path}/runs/{name}")
+
     def _list(self, runs: list[str]) -> None:
         self.version += 1
         self.spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(runs)))).alias("run")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists/{self.version:08d}")
@@ -265,12 +275,13 @@ class FingerprintIndex:
     def append(self, batch: DataFrame) -> None:
         """The batch becomes a run; too many runs become one, and those they came from are deleted after
         the new list is written."""
-        new = self._write(batch.select("h", "doc_id").repartition("h").sortWithinPartitions("h"))
+        new = self._write(batch.select("h", "doc_id"))
         self._list([*self.runs, new])
         if len(self.runs) > self.fanout:
             before = self.runs
-            self._list([self._write(self.everything().repartition("h").sortWithinPartitions("h"))])
+            self._list([self._write(self.everything())])
             for name in before:
+                forget_bucketed(self.spark, f"{self.path}/runs/{name}")
                 delete(self.spark, f"{self.path}/runs/{name}")
 
 
@@ -342,6 +353,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = part if spans is None else spans.unionAll(part)
     spans = scratch.save(spans, "all-spans")
     scratch.drop(prints)
+    index.close()
     if log is None:
         delete(spark, index.path)
     return spans

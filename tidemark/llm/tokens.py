@@ -27,9 +27,9 @@ import pyarrow.compute
 from .kernels import LOWER, OWN, SPACE, Roller, U, eights, same_bytes, spread, text_buffer
 
 #: Ids of cached units that a worker keeps; beyond it the cache starts anew.
-CACHE = 4_000_000
+CACHE = 16_000_000
 #: Bits of the table that finds a cached unit.
-TABLE = 20
+TABLE = 22
 #: Bytes of text that are encoded at a time.
 STEP = 1 << 19
 
