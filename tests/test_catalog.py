@@ -23,7 +23,8 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted(str([r[c] for c in columns]) for r in df.collect())
-    if name not in catalog.ORACLES:
+    if name not in catalog.ORACLES:  # other tests look at what these return; unplanted links may be none
+        assert rows or name.endswith("_r2") or name.startswith("pcmci")
         return
     twin = duck.sql(catalog.ORACLES[name])
     names = list(twin.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import association, correlate, cycles, profile, quality
@@ -121,7 +122,7 @@ def time_ordered(spark, d):
     return ingest.load(spark, path).obs.where("value is not null").select("seq", F.round("value", 4).alias("value"))
 
 
-@query("select (select count(*) from nation) as n_rows, n_columns, (select count(*) from nation) * 8 * n_columns as memory_size, 'nation.parquet' as filename, n_numeric from (select count(*) as n_columns, count_if(data_type in ('BIGINT', 'INTEGER')) as n_numeric from duckdb_columns() where table_name = 'nation')")
+@query("select (select count(*) from nation) as n_rows, n_columns, (select count(*) from nation) * 8 * n_columns as memory_size, 'nation.parquet' as filename, n_numeric from (select count(*) as n_columns, cast(count_if(data_type in ('BIGINT', 'INTEGER')) as bigint) as n_numeric from duckdb_columns() where table_name = 'nation')")
 def source_metadata(spark, d):
     meta = ingest.describe(derive.table(spark, d, "nation"), f"{d}/nation.parquet")
     numeric = sum(t in ("bigint", "int") for t in meta["dtypes"].values())
@@ -273,15 +274,22 @@ def stationarity_best_lags(spark, d):
 
 @query(WITH + R2 + """, g as (select *, row_number() over (partition by run_id, variable order by seq) - 1 as i, count(*) over (partition by run_id, variable) as n from obs where value is not null),
 f as (select run_id, variable, n, k, (pow(sum(value * cos(2 * pi() * i * k / n)), 2) + pow(sum(value * sin(2 * pi() * i * k / n)), 2)) / n as power from g, (select unnest(range(1, 13)) as k) where k <= n // 2 group by 1, 2, 3, 4)
-select run_id, variable, n, k, round(power, 4) + 0.0 as power from f""")
+select run_id, variable, n, k, round(power / nullif(sum(power) over (partition by run_id, variable), 0), 6) + 0.0 as share from f""")
 def periodogram(spark, d):
-    return rounded(cycles.periodogram(derive.r2(spark, d)), 4)
+    """Each cycle's share of the power of its series."""
+    return rounded(_shared(cycles.periodogram(derive.r2(spark, d)), F.sum("power").over(Window.partitionBy("run_id", "variable"))))
 
 
-@query(ORACLES["periodogram"].replace("select run_id, variable, n, k, round(power, 4) + 0.0 as power from f", """, m as (select run_id, variable, median(power) as middle from f group by all), d as (select run_id, variable, n, max(power) as power, arg_max(k, power) as k, max(middle) as middle, median(abs(power - middle)) as mad from f join m using (run_id, variable) group by 1, 2, 3)
-select run_id, variable, n, round(n / k, 4) as period, round(power, 4) as power, power > middle + 6 * 1.4826 * mad as seasonal from d"""))
+def _shared(df, total):
+    return df.withColumn("share", F.col("power") / F.nullif(total, F.lit(0.0))).drop("power")
+
+
+@query(ORACLES["periodogram"].replace("select run_id, variable, n, k, round(power / nullif(sum(power) over (partition by run_id, variable), 0), 6) + 0.0 as share from f", """, m as (select run_id, variable, median(power) as middle from f group by all), d as (select run_id, variable, n, max(power) as power, arg_max(k, power) as k, max(middle) as middle, sum(power) as total, median(abs(power - middle)) as mad from f join m using (run_id, variable) group by 1, 2, 3)
+select run_id, variable, n, round(n / k, 6) as period, round(power / nullif(total, 0), 6) + 0.0 as share, power > middle + 6 * 1.4826 * mad as seasonal from d"""))
 def seasonal_cycles(spark, d):
-    return rounded(cycles.seasonality(derive.r2(spark, d)), 4)
+    obs = derive.r2(spark, d)
+    total = cycles.periodogram(obs).groupBy("run_id", "variable").agg(F.sum("power").alias("total"))
+    return rounded(_shared(cycles.seasonality(obs).join(total, ["run_id", "variable"]), F.col("total")).drop("total"))
 
 
 _BINNED = "e as (select variable, min(value + 0.0) as lo, max(value + 0.0) as hi from obs group by variable), b as (select run_id, seq, obs.variable, var_pos, least(floor((value - lo) / ((hi - lo) / 10)), 9) as bin from obs join e on e.variable = obs.variable where value is not null), c as (select a.variable as var_a, z.variable as var_b, a.bin as i, z.bin as j, count(*) as n from b a join b z on a.run_id = z.run_id and a.seq = z.seq and a.var_pos < z.var_pos group by all)"

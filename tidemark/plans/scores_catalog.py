@@ -156,7 +156,7 @@ def undefined_variables(spark, d):
     return correlate.undefined_variables(correlate.pearson(obs))
 
 
-@query("select name, n_vars, 10000.0 * n_vars as run_length from (select 'events' as name, count(distinct event_type) as n_vars from events union all select 'parts', count(distinct p_brand) from part union all select 'vectors', max(len(embedding)) from embeddings)")
+@query("select name, n_vars, cast(10000 * n_vars as double) as run_length from (select 'events' as name, count(distinct event_type) as n_vars from events union all select 'parts', count(distinct p_brand) from part union all select 'vectors', max(len(embedding)) from embeddings)")
 def decision_intervals(spark, d):
     """Alarm limits for as many charts as tables have kinds: in control, each side of a chart runs as long as
     all charts together run 5000 places."""
