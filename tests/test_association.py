@@ -139,3 +139,16 @@ def test_cycles(spark, monkeypatch, span):
     assert got["wave"]["period"] == 12 and got["wave"]["seasonal"] and not got["flat"]["seasonal"]
     assert cycles.periodogram(data.limit(0)).count() == 0
     assert cycles.periodogram(data.where("seq = 0")).count() == 0  # one value has no cycle
+
+
+def test_infinite_values_count_as_missing(spark):
+    from tidemark.operators import profile
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(2, 200))
+    odd, plain = x.tolist(), x.tolist()
+    odd[3], odd[7] = math.inf, -math.inf
+    plain[3] = plain[7] = None
+    for f in (profile.histogram, profile.kde, correlate.pearson):
+        a, b = (sorted(map(str, f(long(spark, {"x": v, "y": y.tolist()})).collect())) for v in (odd, plain))
+        assert a == b and a

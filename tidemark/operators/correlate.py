@@ -33,6 +33,7 @@ def _gram(width: int, by_run: bool):
         sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width)
+            x[~np.isfinite(x)] = np.nan  # an infinite value counts as missing
             keys = pdf["run_id"].to_numpy() if by_run else np.full(len(pdf), None)
             for key in pd.unique(pd.Series(keys)) if by_run else [None]:
                 own = x[keys == key] if by_run else x

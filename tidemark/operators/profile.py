@@ -92,20 +92,27 @@ def label_summary(labels: DataFrame, columns: list[str], top: int = 50) -> DataF
     return distinct.join(ranked, (distinct.label == ranked.label) & (distinct.n_distinct <= top), "left").select(distinct.label, "value", "n", "n_distinct")
 
 
+def finite(obs: DataFrame) -> DataFrame:
+    """Without missing and infinite values, which have no place in a histogram or a density."""
+    return obs.where(F.abs("value") < float("inf"))
+
+
 def histogram(obs: DataFrame) -> DataFrame:
     """``min(50, max(10, n / 50))`` equal bins per variable; the last one holds its upper edge."""
-    edges = obs.where("value is not null").groupBy("variable").agg(F.min(F.col("value") + 0.0).alias("lo"), F.max(F.col("value") + 0.0).alias("hi"), F.count("*").alias("n"))
+    obs = finite(obs)
+    edges = obs.groupBy("variable").agg(F.min(F.col("value") + 0.0).alias("lo"), F.max(F.col("value") + 0.0).alias("hi"), F.count("*").alias("n"))
     edges = edges.withColumn("bins", F.least(F.lit(50), F.greatest(F.lit(10), F.floor(F.col("n") / 50))).cast("int")).withColumn("width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")).otherwise(1.0))
     at = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"), F.col("bins") - 1)
-    return obs.where("value is not null").join(edges, "variable").withColumn("bin", at).groupBy("variable", "bin").agg(F.count("*").alias("count"), F.max("n").alias("n"), F.max("width").alias("width")).withColumn("density", F.col("count") / (F.col("n") * F.col("width"))).drop("n", "width")
+    return obs.join(edges, "variable").withColumn("bin", at).groupBy("variable", "bin").agg(F.count("*").alias("count"), F.max("n").alias("n"), F.max("width").alias("width")).withColumn("density", F.col("count") / (F.col("n") * F.col("width"))).drop("n", "width")
 
 
 def kde(obs: DataFrame, points: int = 200, cells: int = 4096) -> DataFrame:
     """Gaussian density with Scott's bandwidth on ``points`` places between the extremes. Values are
     counted into ``cells`` fine cells first, so the work per variable does not grow with its rows."""
-    edges = obs.where("value is not null").groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n")).where("sd > 0")
+    obs = finite(obs)
+    edges = obs.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n")).where("sd > 0")
     cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))
-    binned = obs.where("value is not null").join(edges.select("variable", "lo", "hi"), "variable").groupBy("variable", cell.alias("cell")).agg(F.count("*").alias("w"), F.avg("value").alias("x"))
+    binned = obs.join(edges.select("variable", "lo", "hi"), "variable").groupBy("variable", cell.alias("cell")).agg(F.count("*").alias("w"), F.avg("value").alias("x"))
     grid = edges.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
     z = (F.col("at") - F.col("x")) / F.col("h")
     return grid.join(binned, "variable").groupBy("variable", "point").agg(F.max("at").alias("place"), (F.sum(F.col("w") * F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h")) / 2.5066282746310002).alias("density"))
