@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
+from ..sources.tables import written
 
 RULES = "rule_id string, variable string, type string, min double, max double, description string, active boolean, created_at string"
 
@@ -30,8 +31,10 @@ def active_rules(rules: DataFrame) -> DataFrame:
 
 def rule_violations(obs: DataFrame, rules: DataFrame) -> DataFrame:
     """Per run and rule: values outside the inclusive bounds. Rules without a violation, and variables
-    that are absent or all missing, give no row."""
+    that are absent or all missing, give no row. The rules are written, so that their size is known and the
+    observations, which lie under few variables, are not shuffled by them."""
     live = active_rules(rules).where("type = 'range'").select("rule_id", "variable", F.col("min").alias("lo"), F.col("max").alias("hi"), "description")
+    live = written(live, "rules")
     out = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
     hits = obs.where("value is not null").join(live, "variable").groupBy("run_id", "rule_id", "variable").agg(F.count("*").alias("n_checked"), F.count_if(F.coalesce(out, F.lit(False))).alias("n_violations"))
     return hits.where("n_violations > 0").withColumn("frac_violations", F.round(F.col("n_violations") / F.col("n_checked"), 4))
