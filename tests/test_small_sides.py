@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_drift import frame
 
-from tidemark.operators import quality
+from tidemark.operators import profile, quality
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +23,9 @@ def test_rules_do_not_shuffle_observations(spark, runs):
     assert "SortMergeJoin" not in first_plan(found)
     values = [r["value"] for r in runs.where("variable = 'x'").collect()]
     assert sum(r["n_violations"] for r in found.collect()) == sum(v > 0 for v in values)
+
+
+def test_edges_do_not_shuffle_values(spark, runs):
+    found = profile.histogram(runs)
+    assert "SortMergeJoin" not in first_plan(found) and "SortMergeJoin" not in first_plan(profile.kde(runs).where("point = 0"))
+    assert sum(r["count"] for r in found.collect()) == 160

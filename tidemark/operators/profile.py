@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import kurtosis_g2, skewness_g1
+from ..sources.tables import written
 
 
 def _stats() -> list[Column]:
@@ -102,6 +103,7 @@ def histogram(obs: DataFrame) -> DataFrame:
     obs = finite(obs)
     edges = obs.groupBy("variable").agg(F.min(F.col("value") + 0.0).alias("lo"), F.max(F.col("value") + 0.0).alias("hi"), F.count("*").alias("n"))
     edges = edges.withColumn("bins", F.least(F.lit(50), F.greatest(F.lit(10), F.floor(F.col("n") / 50))).cast("int")).withColumn("width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")).otherwise(1.0))
+    edges = written(edges, "edges")  # small by its files: values are not shuffled by variable
     at = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"), F.col("bins") - 1)
     return obs.join(edges, "variable").withColumn("bin", at).groupBy("variable", "bin").agg(F.count("*").alias("count"), F.max("n").alias("n"), F.max("width").alias("width")).withColumn("density", F.col("count") / (F.col("n") * F.col("width"))).drop("n", "width")
 
@@ -111,6 +113,7 @@ def kde(obs: DataFrame, points: int = 200, cells: int = 4096) -> DataFrame:
     counted into ``cells`` fine cells first, so the work per variable does not grow with its rows."""
     obs = finite(obs)
     edges = obs.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n")).where("sd > 0")
+    edges = written(edges, "edges")
     cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))
     binned = obs.join(edges.select("variable", "lo", "hi"), "variable").groupBy("variable", cell.alias("cell")).agg(F.count("*").alias("w"), F.avg("value").alias("x"))
     grid = edges.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
