@@ -5,6 +5,7 @@ import pytest
 from test_drift import frame
 
 from tidemark.operators import profile, quality
+from tidemark.operators.obs import trajectory_band
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,8 @@ def test_edges_do_not_shuffle_values(spark, runs):
     found = profile.histogram(runs)
     assert "SortMergeJoin" not in first_plan(found) and "SortMergeJoin" not in first_plan(profile.kde(runs).where("point = 0"))
     assert sum(r["count"] for r in found.collect()) == 160
+
+
+def test_bands_do_not_shuffle_values_by_variable(spark, runs):
+    found = trajectory_band(runs)
+    assert "SortMergeJoin" not in first_plan(found) and found.count() == 80

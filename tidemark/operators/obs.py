@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import number
+from ..sources.tables import written
 from .positions import positions
 
 
@@ -20,10 +21,11 @@ def with_seq(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_i
     return df.withColumn("seq", (F.row_number().over(Window.partitionBy(run_col).orderBy(*order)) - 1).cast("long"))
 
 
-def with_seq_in_parts(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_id") -> DataFrame:
+def with_seq_in_parts(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_id", kept: Sequence[str] | None = None) -> DataFrame:
     """As ``with_seq``, by one range exchange of all runs: a run's rows are many tasks', and each is numbered
-    after the rows of the ranges before it. The numbered rows come from a written table. Keys may be null."""
-    return positions(df, [run_col], order, "seq")
+    after the rows of the ranges before it. The numbered rows (of them the columns ``kept``, the run among them)
+    come from a written table. Keys may be null."""
+    return positions(df, [run_col], order, "seq", kept=kept)
 
 
 #: Fixed value: how a whole number is written in a run id; other texts, such as 007, stay as they are.
@@ -77,6 +79,7 @@ def trajectory_band(obs: DataFrame, sketch: int | None = None) -> DataFrame:
     on; 200 is within about 1.3 % of the rank) the median comes from a mergeable sketch, whose size does not
     grow with the runs; without, it is exact and a position's values of all runs come together."""
     shortest = obs.groupBy("variable", "run_id").agg(F.max("seq").alias("last")).groupBy("variable").agg(F.min("last").alias("last"))
+    shortest = written(shortest, "shortest")  # small by its files: values are not shuffled by variable
     rows = obs.join(shortest, "variable").where("seq <= last")
     median = F.percentile("value", 0.5) if sketch is None else F.kll_sketch_agg_double("value", F.lit(sketch))
     out = rows.groupBy("variable", "seq").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), median.alias("median"), F.count("value").alias("__n"))
