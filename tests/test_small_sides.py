@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from test_drift import frame
 
+from tidemark.config import Thresholds
 from tidemark.operators import profile, quality
 from tidemark.operators.obs import trajectory_band
+from tidemark.plans import derive
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +37,21 @@ def test_edges_do_not_shuffle_values(spark, runs):
 def test_bands_do_not_shuffle_values_by_variable(spark, runs):
     found = trajectory_band(runs)
     assert "SortMergeJoin" not in first_plan(found) and found.count() == 80
+
+
+def test_lagged_sums_deal_parts_of_runs_and_no_variables(spark, runs):
+    from tidemark.operators import causal
+
+    assert "SortMergeJoin" not in first_plan(causal.lagged_sums(runs, ["x", "y"], 1))
+    wide = causal._arrays(runs, ["x", "y"])
+    loose = Thresholds(link_alpha=1.0)
+    long, short = ({tuple(r[:-2]): r["val"] for r in f.collect()} for f in (causal.links(runs, loose), causal.links_of(wide, ["x", "y"], loose)))
+    assert long.keys() == short.keys() and all(short[k] == pytest.approx(v, abs=1e-9) for k, v in long.items())
+
+
+def test_planted_runs_are_windowed_in_parts(spark, monkeypatch):
+    d, by = "/root/testdata/sf0.001", ["run_id", "seq", "variable"]
+    assert "part#" in first_plan(derive.r4(spark, d)).split("Window")[1].split("\n")[0]
+    whole = derive.r4(spark, d).orderBy(*by).collect()
+    monkeypatch.setattr(derive, "SPAN", 37)
+    assert derive.r4(spark, d).orderBy(*by).collect() == whole and len(whole) == 30000

@@ -12,12 +12,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..functions.stats import t_two_sided
 from ..sources.tables import written
+from .series import with_places_before
 
 LINKS = "run_id string, src string, tgt string, tau int, val double, pval double"
 
@@ -110,40 +112,58 @@ CHUNK, TARGETS = 4096, 8
 SUMS = "run_id string, part long, n long, sums binary, products binary"
 
 
-def usable(obs: DataFrame) -> DataFrame:
-    """Without the variables that have five values or fewer, or no spread over all runs."""
-    kept = obs.groupBy("variable").agg(F.count("value").alias("n"), F.stddev_pop("value").alias("sd")).where("n > 5 and sd > 1e-12").select("variable")
-    return obs.join(kept, "variable")
+def usable(obs: DataFrame) -> list[str]:
+    """The variables in column order, without those that have five values or fewer, or no spread over all runs."""
+    sizes = obs.groupBy("variable").agg(F.min("var_pos").alias("var_pos"), F.count("value").alias("n"), F.stddev_pop("value").alias("sd"))
+    return [r["variable"] for r in sizes.where("n > 5 and sd > 1e-12").orderBy("var_pos", "variable").collect()]  # a row per variable
+
+
+def _arrays(obs: DataFrame, names: list[str]) -> DataFrame:
+    """``run_id, seq, x``: a row per place, its values in the names' order."""
+    x = F.array(*(F.max(F.when(F.col("variable") == v, F.col("value"))) for v in names))
+    return obs.where(F.col("variable").isin(names)).groupBy("run_id", "seq").agg(x.alias("x"))
+
+
+def _usable_arrays(arrays: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """``arrays`` with the usable ones of its variables, and their names."""
+    at = [F.col("x")[i] for i in range(len(names))]
+    row = arrays.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(at)), *(F.stddev_pop(v).alias(f"sd{i}") for i, v in enumerate(at))).first()
+    kept = [i for i in range(len(names)) if row[f"n{i}"] > 5 and (row[f"sd{i}"] or 0) > 1e-12]
+    return arrays.select("run_id", "seq", F.array(*(at[i] for i in kept)).alias("x")), [names[i] for i in kept]
 
 
 def lagged_sums(obs: DataFrame, names: list[str], tau_max: int, impute: bool = True) -> DataFrame:
+    """``lagged_sums_of`` the variables ``names`` of ``obs``."""
+    return lagged_sums_of(_arrays(obs, names), len(names), tau_max, impute)
+
+
+def lagged_sums_of(arrays: DataFrame, width: int, tau_max: int, impute: bool = True) -> DataFrame:
     """``run_id, part, n, sums, products`` of the variables at lags 0 to ``2 * tau_max``, about their means
     in the run. A missing value takes the run's mean, or (not ``impute``) leaves out the places whose lags
-    reach it. A part brings the places before it along, so parts and runs add up."""
-    back, width = 2 * tau_max, len(names)
-    means = obs.groupBy("run_id", "variable").agg(F.avg("value").alias("__mean"))
-    centred = obs.join(means, ["run_id", "variable"]).withColumn("value", F.col("value") - F.col("__mean"))
-    if impute:
-        centred = centred.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    x = F.array(*(F.max(F.when(F.col("variable") == v, F.col("value"))) for v in names))
-    rows = centred.groupBy("run_id", "seq").agg(x.alias("x")).withColumn("part", F.floor(F.col("seq") / PART))
-    ahead = F.when(F.col("seq") % PART >= PART - back, F.array(F.col("part"), F.col("part") + 1)).otherwise(F.array(F.col("part")))
-    rows = rows.withColumn("part", F.explode(ahead))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        first = pdf["part"].iloc[0] * PART
-        v = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width)
-        begin = max(back, int((pdf["seq"].to_numpy() < first).sum()))
+    reach it. A part brings the places before it along, so parts and runs add up.
+
+    The means are written, so that their size is known before they are joined: while it is small, rows are
+    dealt to parts of runs and never to whole runs."""
+    back = 2 * tau_max
+    means = written(arrays.groupBy("run_id").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(width))).alias("__mean")), "means")
+    apart = (F.col("x")[i] - F.col("__mean")[i] for i in range(width))
+    centred = F.array(*(F.coalesce(v, F.lit(0.0)) for v in apart)) if impute else F.array(*apart)
+    rows = arrays.join(means, "run_id").select("run_id", "seq", centred.alias("x"))
+
+    def sums(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["seq"].to_numpy())
+        first = rows["part"][0].as_py() * PART
+        v = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(order), width)[order]
+        begin = max(back, int((rows["seq"].to_numpy() < first).sum()))
         n, total, products = 0, np.zeros(width * (back + 1)), np.zeros((width * (back + 1),) * 2)
         for lo in range(begin, len(v), CHUNK):
             hi = min(lo + CHUNK, len(v))
             z = np.concatenate([v[lo - lag : hi - lag] for lag in range(back + 1)], axis=1)
             z = z[~np.isnan(z).any(1)]
             n, total, products = n + len(z), total + z.sum(0), products + z.T @ z
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [n], "sums": [total.tobytes()], "products": [products.tobytes()]})
+        return pa.table({"run_id": rows["run_id"][:1], "part": rows["part"][:1], "n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "products": pa.array([products.tobytes()], pa.binary())})
 
-    return rows.groupBy("run_id", "part").applyInPandas(sums, SUMS)
+    return with_places_before(rows, back, PART).groupBy("run_id", "part").applyInArrow(sums, SUMS)
 
 
 def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,29 +209,39 @@ def _search(added: DataFrame, names: list[str], t: Thresholds) -> DataFrame:
     return added.join(written(known, "parents"), "run_id").withColumn("share", shares).groupBy("run_id", "share").applyInPandas(links_into, LINKS)
 
 
-def _names(obs: DataFrame) -> list[str]:
-    return [r["variable"] for r in obs.select("variable", "var_pos").distinct().orderBy("var_pos", "variable").collect()]  # a row per variable
-
-
 def links(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Significant links of each run: ``run_id, src, tgt, tau, val, pval``. Missing values take the
     run's mean; variables with five values or fewer, or without spread over all runs, are left out;
     runs shorter than ``tau_max + 5`` give no row."""
-    kept = usable(obs)
-    names = _names(kept)
-    if not names:
-        return obs.sparkSession.createDataFrame([], LINKS)
-    return _search(_added(lagged_sums(kept, names, t.tau_max), ["run_id"]), names, t)
+    names = usable(obs)
+    return _found(_arrays(obs, names) if names else obs, names, t, by_run=True)
+
+
+def links_of(arrays: DataFrame, names: list[str], t: Thresholds = Thresholds()) -> DataFrame:
+    """As ``links``, from the wide form ``run_id, seq, x`` (an array with a value or null per name), which saves
+    a pivot."""
+    return _found(*_usable_arrays(arrays, names), t, by_run=True)
 
 
 def pooled_links(obs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Links of all runs as one series: ``src, tgt, tau, val, pval``. No place is tested whose lags reach
     over the start of a run or a missing value, so runs are masked from one another."""
-    kept = usable(obs)
-    names = _names(kept)
-    if not names:
-        return obs.sparkSession.createDataFrame([], LINKS).drop("run_id")
-    return _search(_added(lagged_sums(kept, names, t.tau_max, impute=False), []), names, t).drop("run_id")
+    names = usable(obs)
+    return _found(_arrays(obs, names) if names else obs, names, t, by_run=False)
+
+
+def pooled_links_of(arrays: DataFrame, names: list[str], t: Thresholds = Thresholds()) -> DataFrame:
+    """As ``pooled_links``, from the wide form."""
+    return _found(*_usable_arrays(arrays, names), t, by_run=False)
+
+
+def _found(arrays: DataFrame, names: list[str], t: Thresholds, by_run: bool) -> DataFrame:
+    if names:
+        sums = lagged_sums_of(arrays, len(names), t.tau_max, impute=by_run)
+        found = _search(_added(sums, ["run_id"] if by_run else []), names, t)
+    else:
+        found = arrays.sparkSession.createDataFrame([], LINKS)
+    return found if by_run else found.drop("run_id")
 
 
 def run_status(obs: DataFrame, found: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -23,6 +23,12 @@ def in_parts(obs: DataFrame, span: int | None = None) -> DataFrame:
     return obs if "part" in obs.columns and span is None else obs.withColumn("part", F.floor(F.col("seq") / (span or SPAN)))
 
 
+def with_places_before(rows: DataFrame, back: int, span: int) -> DataFrame:
+    """With ``part``: each part of ``span`` places, and once more the ``back`` places before it."""
+    part = F.floor(F.col("seq") / span)
+    return rows.withColumn("part", F.explode(F.when(F.col("seq") % span >= span - back, F.array(part, part + 1)).otherwise(F.array(part))))
+
+
 def before_here() -> Window:
     return Window.partitionBy(*SERIES).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
 

@@ -11,7 +11,7 @@ from ..config import Thresholds
 from ..functions.expressions import number, severity
 from ..functions.stats import decision_interval, z_critical
 from ..operators import causal, cluster, correlate, drift, profile, quality, series
-from ..operators.obs import run_sizes, trajectory_band, varying
+from ..operators.obs import run_sizes, to_long, trajectory_band, varying
 from ..sources import ingest
 from ..sources.tables import written
 from . import derive
@@ -384,8 +384,8 @@ FREQ = "freq as (select src, tgt, tau, count(*) as n_runs, avg(val) as mean_val,
 RUNS = "(select count(distinct run_id) from r4w)"
 
 
-def frequency(spark, d):
-    found, n_runs = derive.r4_links(spark, d)
+def frequency(spark, d, wide=None):
+    found, n_runs = derive.r4_links(spark, d, wide)
     return causal.link_frequency(found), n_runs
 
 
@@ -401,7 +401,7 @@ _CENTRED = "r4c as (select run_id, seq, a, b, c, d, e, " + ", ".join(f"lag({v},
 @query(WITH + R4 + ", " + _CENTRED + ", " + derive.r4_links_sql("", "r4c") + " select src, tgt, tau, round(val, 6) as val, pval from links")
 def planted_pooled_links(spark, d):
     """PCMCI over all runs as one series, masked at their starts."""
-    return rounded(causal.pooled_links(derive.r4(spark, d), derive.STRICT))
+    return rounded(causal.pooled_links_of(*derive.r4_arrays(derive.r4_written(spark, d)), derive.STRICT))
 
 
 @query(WITH + LINKS + ", " + FREQ + " select src, tgt, tau, n_runs, round(mean_val, 6) as mean_val, round(mean_pval, 6) as mean_pval from freq")
@@ -447,8 +447,9 @@ def strongest_self_links(spark, d):
 @query(WITH + LINKS + ", " + FREQ + ", chosen as (select unnest(['a', 'b', 'c', 'd', 'e']) as variable, unnest([avg(a), avg(b), avg(c), avg(d), avg(e)]) as m from r4w) select src, tgt, tau, n_runs, round(mean_val, 6) as mean_val, round(mean_pval, 6) as mean_pval from freq where src in (select variable from chosen where m < 100) and tgt in (select variable from chosen where m < 100)")
 def root_cause_evidence(spark, d):
     """Links between the variables whose mean is under 100."""
-    low = derive.r4(spark, d).groupBy("variable").agg(F.avg("value").alias("m")).where("m < 100")
-    return rounded(causal.implicated(frequency(spark, d)[0], low))
+    wide = derive.r4_written(spark, d)
+    low = to_long(wide.withColumn("sample", F.col("seq")), derive.R4_VARIABLES).groupBy("variable").agg(F.avg("value").alias("m")).where("m < 100")
+    return rounded(causal.implicated(frequency(spark, d, wide)[0], written(low, "low")))
 
 
 # The same operators over the links found in R2, which are not planted, so that SQL has no twin.
