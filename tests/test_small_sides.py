@@ -5,7 +5,7 @@ import pytest
 from test_drift import frame
 
 from tidemark.config import Thresholds
-from tidemark.operators import cycles, profile, quality
+from tidemark.operators import correlate, cycles, profile, quality
 from tidemark.operators.obs import trajectory_band
 from tidemark.plans import derive
 
@@ -59,3 +59,14 @@ def test_planted_runs_are_windowed_in_parts(spark, monkeypatch):
 
 def test_augmented_statistics_do_not_shuffle_whole_series(spark, runs):
     assert "SortMergeJoin" not in first_plan(cycles.augmented_dickey_fuller(runs, lags=1))
+
+
+@pytest.mark.parametrize("common", [4, 10_000])
+def test_ranks_of_common_and_rare_values(spark, monkeypatch, common):
+    """Common values are joined from their own table, the rest by their values; ranks are the same."""
+    monkeypatch.setattr(correlate, "COMMON", common)
+    x = [1.0] * 30 + [2.5] * 5 + [7.0, -3.0, 4.0, None, 2.0]
+    got = correlate.average_ranks(frame(spark, {"0": {"x": x}})).orderBy("seq").collect()
+    kept = sorted(v for v in x if v is not None)
+    want = [None if v is None else kept.index(v) + (kept.count(v) + 1) / 2 for v in x]
+    assert [r["value"] for r in got] == want

@@ -11,6 +11,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +32,14 @@ def _gram(width: int, by_run: bool):
 
     def run(batches):
         sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), width)
-            x[~np.isfinite(x)] = np.nan  # an infinite value counts as missing
-            keys = pdf["run_id"].to_numpy() if by_run else np.full(len(pdf), None)
-            for key in pd.unique(pd.Series(keys)) if by_run else [None]:
-                own = x[keys == key] if by_run else x
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            x = np.where(np.isfinite(x), x, np.nan)  # an infinite value counts as missing
+            coded = batch.column("run_id").dictionary_encode() if by_run else None
+            keys = coded.indices.fill_null(-1).to_numpy() if by_run else None
+            for code in np.unique(keys) if by_run else [None]:
+                key = coded.dictionary[code].as_py() if by_run and code >= 0 else None
+                own = x[keys == code] if by_run else x
                 if key not in sums:
                     with np.errstate(all="ignore"):
                         centre = np.nan_to_num(np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else 0.0 for c in own.T]))
@@ -48,7 +51,7 @@ def _gram(width: int, by_run: bool):
         for key, (centre, (n, sx, sy, sxx, syy, sxy)) in sums.items():
             some = np.maximum(n, 1)
             out = (n, sx / some + centre[upper[0]], sy / some + centre[upper[1]], sxx - sx * sx / some, syy - sy * sy / some, sxy - sx * sy / some)
-            yield pd.DataFrame({"run_id": [key] * len(n), "i": upper[0].astype(np.int32), "j": upper[1].astype(np.int32), **dict(zip(("n", "mx", "my", "sxx", "syy", "sxy"), out, strict=True))})
+            yield pa.record_batch({"run_id": pa.array([key] * len(n), pa.string()), "i": upper[0].astype(np.int32), "j": upper[1].astype(np.int32), **dict(zip(("n", "mx", "my", "sxx", "syy", "sxy"), out, strict=True))})
 
     return run
 
@@ -70,7 +73,7 @@ def variables_of(obs: DataFrame) -> list[str]:
 
 def gram_table(arrays: DataFrame, names: list[str], by_run: bool = False) -> DataFrame:
     """From ``run_id, x`` (an array with a value or null per name): ``[run_id,] var_a, var_b`` and moments."""
-    parts = arrays.select("run_id", F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x")).mapInPandas(_gram(len(names), by_run), GRAM)
+    parts = arrays.select("run_id", "x").mapInArrow(_gram(len(names), by_run), GRAM)
     keys = ["run_id"] * by_run
     label = F.array(*map(F.lit, names))
     named = parts.select(*keys, label[F.col("i")].alias("var_a"), label[F.col("j")].alias("var_b"), "n", "mx", "my", "sxx", "syy", "sxy")
@@ -117,20 +120,31 @@ def pearson(obs: DataFrame, by_run: bool = False) -> DataFrame:
     return gram_pearson(arrays_of(obs, names), names, by_run)
 
 
+#: A value is common that as large a share of all values equals: there are as many at most.
+COMMON = 10_000
+
+
 def average_ranks(obs: DataFrame, parts: int = 64) -> DataFrame:
     """Values replaced by their average rank within their variable. Equal values cost one row, and each
     variable's distinct values are dealt by approximate quantiles, so a variable is ranked by many tasks: a rank is
-    a running count inside its part after the counts of the parts before it."""
+    a running count inside its part after the counts of the parts before it. The ranks of common values are a
+    small table that the planner knows to be small; only rows of the others, each of which few rows hold, are
+    shuffled by their values."""
     counts = obs.where("value is not null").groupBy("variable", "value").agg(F.count("*").alias("k"))
     counts = written(counts, "counts")
     shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    bounds = counts.groupBy("variable").agg(F.percentile_approx("value", shares, 1000).alias("bounds"))
+    bounds = written(counts.groupBy("variable").agg(F.percentile_approx("value", shares, 1000).alias("bounds")), "bounds")
     dealt = counts.join(bounds, "variable").withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
     sizes = dealt.groupBy("variable", "part").agg(F.sum("k").alias("n"))
     before = sizes.select("variable", "part", (F.sum("n").over(Window.partitionBy("variable").orderBy("part")) - F.col("n")).alias("before"))
+    before = written(before, "before")
     upto = Window.partitionBy("variable", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = dealt.withColumn("upto", F.sum("k").over(upto)).join(before, ["variable", "part"]).select("variable", "value", (F.col("before") + F.col("upto") - (F.col("k") - 1) / 2.0).alias("rank"))
-    return obs.join(ranks, ["variable", "value"], "left").withColumn("value", F.col("rank")).drop("rank")
+    ranks = dealt.withColumn("upto", F.sum("k").over(upto)).join(before, ["variable", "part"]).select("variable", "value", (F.col("before") + F.col("upto") - (F.col("k") - 1) / 2.0).alias("rank"), "k")
+    ranks = written(ranks, "ranks")
+    common = F.col("k") >= (counts.agg(F.sum("k")).first()[0] or 0) / COMMON
+    found = obs.join(written(ranks.where(common).drop("k"), "common"), ["variable", "value"], "left")
+    rest = found.where("rank is null").drop("rank").join(ranks.where(~common).drop("k"), ["variable", "value"], "left")
+    return found.where("rank is not null").unionByName(rest).withColumn("value", F.col("rank")).drop("rank")
 
 
 def spearman(obs: DataFrame) -> DataFrame:
