@@ -87,11 +87,12 @@ def cusum(obs: DataFrame, base: DataFrame, t: Thresholds = Thresholds()) -> Data
 
 
 def onsets(charts: DataFrame, h: float) -> DataFrame:
-    """Per run and variable: first alarm, its direction (decrease wins a tie), and the chart's peak."""
+    """Per run and variable: first alarm, its direction (decrease wins a tie), and the chart's peak. The direction
+    is a number until the end: with text in its buffers the aggregation would sort all places."""
     alarm = (F.col("c_pos") > h) | (F.col("c_neg") < -h)
     at = F.when(alarm, F.col("seq"))
-    found = charts.groupBy(*SERIES, "var_pos").agg(F.min(at).alias("onset"), F.min_by(F.when(F.col("c_neg") < -h, "decrease").otherwise("increase"), at).alias("side"), F.max(F.greatest(F.col("c_pos"), -F.col("c_neg"))).alias("peak"))
-    return found.select(*SERIES, "var_pos", "onset", F.when(F.col("onset").isNotNull(), F.col("side")).alias("direction"), "peak")
+    found = charts.groupBy(*SERIES, "var_pos").agg(F.min(at).alias("onset"), F.min_by((F.col("c_neg") < -h).cast("int"), at).alias("down"), F.max(F.greatest(F.col("c_pos"), -F.col("c_neg"))).alias("peak"))
+    return found.select(*SERIES, "var_pos", "onset", F.when(F.col("onset").isNotNull(), F.when(F.col("down") == 1, "decrease").otherwise("increase")).alias("direction"), "peak")
 
 
 def propagation(found: DataFrame) -> DataFrame:
