@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_drift import frame
 
 from tidemark.config import Thresholds
-from tidemark.operators import correlate, cycles, profile, quality
-from tidemark.operators.obs import trajectory_band
+from tidemark.operators import causal, correlate, cycles, profile, quality
+from tidemark.operators.obs import trajectory_band, with_seq_in_parts
 from tidemark.plans import derive
+from tidemark.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +42,6 @@ def test_bands_do_not_shuffle_values_by_variable(spark, runs):
 
 
 def test_lagged_sums_deal_parts_of_runs_and_no_variables(spark, runs):
-    from tidemark.operators import causal
-
     assert "SortMergeJoin" not in first_plan(causal.lagged_sums(runs, ["x", "y"], 1))
     wide = causal._arrays(runs, ["x", "y"])
     loose = Thresholds(link_alpha=1.0)
@@ -57,6 +57,26 @@ def test_planted_runs_are_windowed_in_parts(spark, monkeypatch):
     assert derive.r4(spark, d).orderBy(*by).collect() == whole and len(whole) == 30000
 
 
+def test_tasks_do_not_grow_with_the_rows(spark, monkeypatch):
+    """More rows are dealt to more tasks, in each shuffle of the planted runs; the results are the same."""
+    d, by = "/root/testdata/sf0.001", ["run_id", "seq"]
+    whole, loose = derive.r4_wide(spark, d).orderBy(*by).collect(), Thresholds(link_alpha=1.0)
+    links = {tuple(r[:4]): r["val"] for r in causal.links_of(*derive.r4_arrays(derive.r4_written(spark, d)), loose).collect()}
+    monkeypatch.setattr(tables, "ROWS", 500)
+    for module, name in ((derive, "SPAN"), (causal, "PART")):
+        monkeypatch.setattr(module, name, 100)
+    numbered = with_seq_in_parts(derive.table(spark, d, "lineitem").selectExpr("l_suppkey % 8 as run_id", *derive.R1_ORDER), derive.R1_ORDER)
+    assert len(numbered.inputFiles()) >= 12
+    wide = derive.r4_wide(spark, d)
+    assert max(r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()) <= 2000
+    assert wide.orderBy(*by).collect() == whole and len(whole) == 6000
+    arrays, names = derive.r4_arrays(derive.r4_written(spark, d))
+    plan = causal.lagged_sums_of(arrays, len(names), 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    again = {tuple(r[:4]): r["val"] for r in causal.links_of(arrays, names, loose).collect()}
+    assert again.keys() == links.keys() and all(again[k] == pytest.approx(v, abs=1e-9) for k, v in links.items())
+
+
 def test_augmented_statistics_do_not_shuffle_whole_series(spark, runs):
     assert "SortMergeJoin" not in first_plan(cycles.augmented_dickey_fuller(runs, lags=1))
 

@@ -145,7 +145,8 @@ def lagged_sums_of(arrays: DataFrame, width: int, tau_max: int, impute: bool = T
     The means are written, so that their size is known before they are joined: while it is small, rows are
     dealt to parts of runs and never to whole runs."""
     back = 2 * tau_max
-    means = written(arrays.groupBy("run_id").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(width))).alias("__mean")), "means")
+    means = written(arrays.groupBy("run_id").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(width))).alias("__mean"), F.count("*").alias("__n")), "means")
+    n_rows = means.agg(F.sum("__n")).first()[0] or 0  # of a row per run
     apart = (F.col("x")[i] - F.col("__mean")[i] for i in range(width))
     centred = F.array(*(F.coalesce(v, F.lit(0.0)) for v in apart)) if impute else F.array(*apart)
     rows = arrays.join(means, "run_id").select("run_id", "seq", centred.alias("x"))
@@ -163,7 +164,7 @@ def lagged_sums_of(arrays: DataFrame, width: int, tau_max: int, impute: bool = T
             n, total, products = n + len(z), total + z.sum(0), products + z.T @ z
         return pa.table({"run_id": rows["run_id"][:1], "part": rows["part"][:1], "n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary()), "products": pa.array([products.tobytes()], pa.binary())})
 
-    return with_places_before(rows, back, PART).groupBy("run_id", "part").applyInArrow(sums, SUMS)
+    return with_places_before(rows, back, PART, n_rows).groupBy("run_id", "part").applyInArrow(sums, SUMS)
 
 
 def _added(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import number
-from ..sources.tables import written
+from ..sources.tables import parts_for, written
 from .positions import positions
 
 
@@ -24,8 +24,9 @@ def with_seq(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_i
 def with_seq_in_parts(df: DataFrame, order: Sequence[Column | str], run_col: str = "run_id", kept: Sequence[str] | None = None) -> DataFrame:
     """As ``with_seq``, by one range exchange of all runs: a run's rows are many tasks', and each is numbered
     after the rows of the ranges before it. The numbered rows (of them the columns ``kept``, the run among them)
-    come from a written table. Keys may be null."""
-    return positions(df, [run_col], order, "seq", kept=kept)
+    come from a written table. Keys may be null. Rows are counted first, so that there are as many ranges as they
+    need and no task sorts more rows of a larger table."""
+    return positions(df, [run_col], order, "seq", kept=kept, parts=parts_for(df.sparkSession, df.count()))
 
 
 #: Fixed value: how a whole number is written in a run id; other texts, such as 007, stay as they are.

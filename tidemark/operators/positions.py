@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 
-def dealt_in_order(df: DataFrame, keys: Sequence[Column | str], name: str = "dealt", kept: Sequence[str] | None = None) -> DataFrame:
+def dealt_in_order(df: DataFrame, keys: Sequence[Column | str], name: str = "dealt", kept: Sequence[str] | None = None, parts: Sequence[int] = ()) -> DataFrame:
     """The rows written in ranges of ``keys``, sorted, with ``__part`` (the range) and ``__at`` (ascending in
-    it), or of them only the columns ``kept``. Keys ascend with nulls first; equal keys lie in one range."""
+    it), or of them only the columns ``kept``. Keys ascend with nulls first; equal keys lie in one range. There
+    are as many ranges as ``parts`` (of ``tables.parts_for``) says."""
     at = F.monotonically_increasing_id()
-    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", at)
+    ranges = df.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys).withColumn("__at", at)
     ranges = ranges if kept is None else ranges.select(*kept, "__at")
     return written(ranges, name).withColumn("__part", F.shiftright("__at", 33))
 
 
-def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], column: str = "pos", size: str | None = None, kept: Sequence[str] | None = None) -> DataFrame:
+def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], column: str = "pos", size: str | None = None, kept: Sequence[str] | None = None, parts: Sequence[int] = ()) -> DataFrame:
     """Each row with its position from 0 in its group (null is a group of its own) and, with ``size``, the
     group's number of rows. ``order`` should be total; with ``kept`` (the group among them) other columns go. A range's rows count on from those of the ranges
     before it: the table that is joined has a row per range and group, never a row per row. It is written, so
     that its size is known before the join is planned: while it is small, the rows are not shuffled again."""
-    rows = dealt_in_order(df, [*group, *order], f"{column}-ranges", kept)
+    rows = dealt_in_order(df, [*group, *order], f"{column}-ranges", kept, parts)
     ahead = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*group, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     begin = counts.select(

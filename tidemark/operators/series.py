@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written_by
+from ..sources.tables import parts_for, written_by
 
 SERIES = ("run_id", "variable")
 PART = (*SERIES, "part")
@@ -23,10 +23,13 @@ def in_parts(obs: DataFrame, span: int | None = None) -> DataFrame:
     return obs if "part" in obs.columns and span is None else obs.withColumn("part", F.floor(F.col("seq") / (span or SPAN)))
 
 
-def with_places_before(rows: DataFrame, back: int, span: int) -> DataFrame:
-    """With ``part``: each part of ``span`` places, and once more the ``back`` places before it."""
+def with_places_before(rows: DataFrame, back: int, span: int, n_rows: int) -> DataFrame:
+    """With ``part``: each part of ``span`` places, and once more the ``back`` places before it. Parts of runs are
+    dealt to as many tasks as the number of rows needs, where the session's number does not suffice."""
     part = F.floor(F.col("seq") / span)
-    return rows.withColumn("part", F.explode(F.when(F.col("seq") % span >= span - back, F.array(part, part + 1)).otherwise(F.array(part))))
+    out = rows.withColumn("part", F.explode(F.when(F.col("seq") % span >= span - back, F.array(part, part + 1)).otherwise(F.array(part))))
+    parts = parts_for(rows.sparkSession, n_rows)
+    return out.repartition(*parts, "run_id", "part") if parts else out
 
 
 def before_here() -> Window:

@@ -29,6 +29,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows that one task of a shuffle is to sort, about.
+ROWS = 1 << 18
+
+
+def parts_for(spark: SparkSession, rows: int) -> tuple[int, ...]:
+    """The number of partitions, as the first argument of a repartition, that gives a task about ``ROWS`` rows however
+    many there are; none while the session's own number does, so that small tables are not cut up."""
+    parts, own = -(-rows // ROWS), min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (parts,) if parts > own else ()
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame as a Parquet table: what several steps need is computed once and outlives executors. It
     stays until ``release``, the end of a ``scope`` or that of the driver, as frames over it are lazy."""
