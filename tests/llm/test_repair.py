@@ -31,3 +31,23 @@ def test_no_frequent_pair_is_left():
     seq, owner, rules = repair(ids, doc)
     assert (expand(seq, rules) == ids).all()
     assert most_frequent(seq.tolist(), owner.tolist()) < 16
+
+
+def test_freed_arrays_keep_their_pages():
+    """A task's large arrays come and go without being mapped anew each time."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tidemark.llm.tokens import keep_pages
+keep_pages()
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+arrays = lambda: len([np.ones(1 << 18) for _ in range(60)])
+arrays()
+before = faults()
+for _ in range(20):
+    arrays()
+assert faults() - before < 40_000, faults() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)

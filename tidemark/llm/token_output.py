@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .kernels import spread
 from .scratch import Scratch, input_bytes
 from .substring_dedup import sized
-from .tokens import encoder, lean, slices
+from .tokens import encoder, keep_pages, lean, slices
 
 #: First nonterminal; ids are below it.
 FIRST_RULE = 1 << 20
@@ -54,8 +54,13 @@ def repair(ids: np.ndarray, doc: np.ndarray, pairs: int = 4096, least: int = 16)
     left_of, right_of, live = [], [], []
 
     def number(places: np.ndarray) -> np.ndarray:
-        """New numbers for the pairs at these places; the places of frequent ones."""
-        a, b = sym[places].astype(np.int64), sym[after[places]].astype(np.int64)
+        """New numbers for the pairs at these (ascending) places; the places of frequent ones."""
+        a, b = sym[places], sym[after[places]]
+        # hashed bins first: only places whose bin is full enough can hold a frequent pair
+        bits = min(20, max(8, len(places).bit_length() - 1))
+        spot = ((a.view(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.view(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
+        full = np.flatnonzero((np.bincount(spot, minlength=1 << bits) >= least)[spot])
+        places, a, b = places[full], a[full].astype(np.int64), b[full].astype(np.int64)
         wide, deep = max(int(a.max(initial=0)), int(b.max(initial=0))).bit_length(), len(places).bit_length()
         if 2 * wide + deep < 64:  # pair and place in one number: sorted without an index
             both = ((a << wide | b) << deep) | np.arange(len(places))
@@ -71,14 +76,14 @@ def repair(ids: np.ndarray, doc: np.ndarray, pairs: int = 4096, least: int = 16)
         base = sum(map(len, left_of))
         left_of.append((key[lead[kept]] >> wide).astype(np.int32))
         right_of.append((key[lead[kept]] & ((1 << wide) - 1)).astype(np.int32))
-        out = places[order[np.repeat(kept, times)]]
-        pair[out] = np.repeat(np.arange(base, base + kept.sum(), dtype=np.int32), times[kept])
-        return np.sort(out)
-
-    # hashed bins first: only places whose bin is full enough can hold a frequent pair
-    places = np.flatnonzero(after[:n] < n)
-    spot = ((sym[places].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (sym[places + 1].astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(12)
-    live = number(places[(np.bincount(spot, minlength=1 << 20) >= least)[spot]])
+        named = np.full(len(times), -1, np.int32)
+        named[kept] = np.arange(base, base + kept.sum(), dtype=np.int32)
+        own = np.empty(len(places), np.int32)
+        own[order] = np.repeat(named, times)
+        pair[places] = own
+        return places[own >= 0]
+
+    live = number(np.flatnonzero(after[:n] < n))
     count = 0
     while len(live):
         lefts, rights, own = np.concatenate(left_of), np.concatenate(right_of), pair[live]
@@ -204,6 +209,7 @@ def _segments(path: str, end_id: int):
     names = [x.split()[0] for x in FILE.split(", ")]
 
     def run(batches):
+        keep_pages()
         enc, shard = encoder(path), TaskContext.get().partitionId()
         held, have, number = [], 0, 0
 

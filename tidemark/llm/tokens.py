@@ -19,6 +19,7 @@ import json
 import resource
 import sys
 import types
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,9 @@ class UnitEncoder:
 
     def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Slots of new units, with their ids and their bytes."""
+        row, place = spread(end - start)
+        data, end = data[start[row] + place], np.cumsum(end - start)  # from here on of these units alone
+        start = np.concatenate([[0], end[:-1]])
         ids, counts = self.encoded(data, start, end)
         n = self.count + len(counts)
         if n + 2 > len(self.at):
@@ -121,12 +125,11 @@ class UnitEncoder:
             self.at = np.concatenate([self.at, np.zeros(more, np.int32)])
             self.raw_at = np.concatenate([self.raw_at, np.zeros(more, np.int64)])
             self.head = np.concatenate([self.head, np.zeros(more, np.uint64)])
-        row, place = spread(end - start)
         filled = int(self.raw_at[self.count])
-        if filled + len(row) + 8 > len(self.raw):
-            self.raw = np.concatenate([self.raw, np.zeros(max(len(row) + 8, len(self.raw)), np.uint8)])
-        self.raw[filled : filled + len(row)] = data[start[row] + place]
-        self.raw_at[self.count + 1 : n + 1] = filled + np.cumsum(end - start)
+        if filled + len(data) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(data) + 8, len(self.raw)), np.uint8)])
+        self.raw[filled : filled + len(data)] = data
+        self.raw_at[self.count + 1 : n + 1] = filled + end
         self.head[self.count : n] = self.heads(data, start, end)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
@@ -269,6 +272,15 @@ def release(keep: bool = False) -> None:
         pass
 
 
+def keep_pages() -> None:
+    """Have the allocator keep the pages of freed arrays for the next ones, up to 256 MiB, where each would be
+    mapped anew; ``release`` gives them back at the end of a task."""
+    with suppress(AttributeError, OSError):  # not glibc
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def lean(run, keep: bool = False):
     """A mapper over batches that leaves nothing behind (but encoders, with ``keep``): workers are reused,
     and one that waits for its next task should not hold what the last one needed."""
