@@ -30,7 +30,7 @@ from .kernels import LOWER, OWN, SPACE, Roller, U, eights, same_bytes, spread, t
 #: Ids of cached units that a worker keeps; beyond it the cache starts anew.
 CACHE = 16_000_000
 #: Bits of the table that finds a cached unit.
-TABLE = 22
+TABLE = 23
 #: Bytes of text that are encoded at a time.
 STEP = 1 << 19
 
@@ -40,6 +40,12 @@ KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 KIND[[x for x in range(33, 127) if not chr(x).isalnum() and x != 39]] = PUNCT
 KIND[SPACE] = 0
 
+#: The letter that the byte form's vocabulary has for each byte (two bytes each); the separator stays as it is.
+LETTERS = np.arange(256, dtype="<u2")
+_UNSEEN = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174)]
+LETTERS[_UNSEEN] = 256 + np.arange(len(_UNSEEN))
+LETTERS[10] = 10
+
 
 class UnitEncoder:
     def __init__(self, path: str):
@@ -62,6 +68,9 @@ class UnitEncoder:
             self.mark = ids[0] if len(ids) == 1 else None
             if self.mark is None:
                 self.form = "whole"
+        # plain units of the byte form are one pre-token each, so they can go to the library's model without its
+        # pre-tokeniser; added tokens other than special ones would be looked for before that
+        self.model = self.tokenizer.model if self.form == "bytes" and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()) else None
         self.roller = Roller(71)
         self.clear()
 
@@ -97,11 +106,17 @@ class UnitEncoder:
         body = place < sizes[row]
         joined[body] = data[start[own][row[body]] + place[body]]
         joined[~body] = gap[place[~body] - sizes[row[~body]]]
-        ids = np.array(self.whole(joined.tobytes().decode()), np.int32)
-        cuts = np.flatnonzero(ids == self.mark)
-        ids = ids[ids != self.mark]
         counts = np.zeros(len(start), np.int64)
-        counts[own] = np.diff(cuts, prepend=-1) - 1
+        if self.model is not None:
+            tokenize = self.model.tokenize
+            parts = [[t.id for t in tokenize(unit)] for unit in LETTERS[joined].tobytes().decode("utf-16-le").split("\n")[:-1]]
+            ids = np.array([x for p in parts for x in p], np.int32)
+            counts[own] = [len(p) for p in parts]
+        else:
+            ids = np.array(self.whole(joined.tobytes().decode()), np.int32)
+            cuts = np.flatnonzero(ids == self.mark)
+            ids = ids[ids != self.mark]
+            counts[own] = np.diff(cuts, prepend=-1) - 1
         if not len(odd):
             return ids, counts
         texts = [data[s:e].tobytes().decode() for s, e in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
