@@ -29,8 +29,8 @@ from .kernels import LOWER, OWN, SPACE, Roller, U, eights, same_bytes, spread, t
 
 #: Ids of cached units that a worker keeps; beyond it the cache starts anew.
 CACHE = 16_000_000
-#: Bits of the table that finds a cached unit.
-TABLE = 23
+#: Bits of the table that finds a cached unit; a byte form, whose units differ by the space before them, has one more.
+TABLE = 22
 #: Bytes of text that are encoded at a time.
 STEP = 1 << 19
 
@@ -71,6 +71,7 @@ class UnitEncoder:
         # plain units of the byte form are one pre-token each, so they can go to the library's model without its
         # pre-tokeniser; added tokens other than special ones would be looked for before that
         self.model = self.tokenizer.model if self.form == "bytes" and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()) else None
+        self.bits = TABLE + (self.form == "bytes")
         self.roller = Roller(71)
         self.clear()
 
@@ -81,7 +82,7 @@ class UnitEncoder:
         self.raw_at = np.zeros(1 << 14, np.int64)
         self.head = np.zeros(1 << 14, np.uint64)
         self.used = self.count = 0
-        self.seen_slot = np.zeros(1 << TABLE, np.int32)
+        self.seen_slot = np.zeros(1 << self.bits, np.int32)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -206,7 +207,7 @@ class UnitEncoder:
         keys, size = self.roller.words(data, start, end), end - start
         if self.used > CACHE:
             self.clear()
-        spot = (keys & U((1 << TABLE) - 1)).astype(np.int64)
+        spot = (keys & U((1 << self.bits) - 1)).astype(np.int64)
         slot = self.seen_slot[spot].astype(np.int64)
         # hashes only find a cached unit: its bytes decide
         head = self.heads(data, start, end)
