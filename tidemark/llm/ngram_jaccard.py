@@ -343,7 +343,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", tidy=True)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     postings = source.mapInArrow(_postings(n, bucket_count(docs, BUCKET_BYTES), seed), POSTING)
     repeated = postings.groupBy("bucket").applyInPandas(_repeated, REPEATED)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,11 +66,30 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+#: Has Spark delete the shuffle files of a query at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files behind, which else stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 class Scratch:
-    """Parquet tables of one query, under one folder of their own."""
+    """Parquet tables of one query, under one folder of their own. With ``tidy``, the shuffle files of a table are
+    deleted as soon as it is written."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         small_batches(spark)
         self.root = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -82,7 +101,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
         path = self.path(name)
-        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+        with tidied(self.spark) if self.tidy else nullcontext():
+            df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
