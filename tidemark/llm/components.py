@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)``: the smallest node reachable, for every node that has
     an edge to another node. Nulls, loops, repeats and either direction are allowed. No node's
     neighbours are ever gathered in one row: both rounds are a minimum and a join with one row per
-    node, so the edges of a hub can be split by adaptive skew joins; every round is checkpointed.
+    node, so the edges of a hub can be split by adaptive skew joins; both halves of a round are checkpointed.
     """
     checkpoint_root(edges.sparkSession)
     pairs, mark = _marked(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("u > m"))
+        # checkpointed, as the small star reads it three times: in one plan, the driver would hold all of that at once
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("u > m")).checkpoint()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs, mark = _marked(small.union(least))

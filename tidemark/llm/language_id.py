@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, Roller, U, spread, text_buffer
 from .scratch import small_batches
-from .tokens import lean, slices
+from .tokens import lean, slices, trim
 
 BITS = 18
 #: Bits of the table of words whose evidence is known, up to eight labels.
@@ -241,7 +241,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Train on at most ``per_lang`` texts of each of the commonest ``languages``, picked by a hash of
     their ids; whole texts of the picked rows are used. Texts over ``most_bytes`` are picked only where a
     language has no shorter one, so the sample is bounded. Rows with a null text or language are left
-    out, other columns are ignored; without a row the model knows no language."""
+    out, other columns are ignored; without a row the model knows no language. The driver's memory is given back."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("i is not null and t is not null and l is not null")
     short = F.octet_length("t") <= most_bytes
     known = rows.groupBy("l").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).orderBy(F.desc("n"), "l").limit(languages).collect()
@@ -258,7 +258,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         if seen[lang] <= per_lang:
             texts.append(text)
             langs.append(lang)
-    return train(texts, langs, **options)
+    model = train(texts, langs, **options)
+    del found, texts
+    trim()  # the driver lives on, and should not hold what training needed
+    return model
 
 
 def language_id(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:

@@ -284,8 +284,9 @@ def _tile_pairs(num: int, most: int | None):
     return lean(run)
 
 
-def tiles_of(here: DataFrame, marked: DataFrame | None) -> DataFrame:
-    """From ``h, id, n, band, comp``: ``h, slot, tile, id, comp, side, high``, the rows of every tile.
+def tiles_of(here: DataFrame, marked: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """From ``h, id, n, band, comp``: ``h, slot, tile, id, comp, side, high``, the rows of every tile. ``here``
+    is read twice, in plans of their own.
 
     A slot holds the members of a size band and, as ``high``, those of the next one. Of its members, those
     of the component that most of them have (main) are dealt to tiles of their own, and every two tiles
@@ -295,7 +296,7 @@ def tiles_of(here: DataFrame, marked: DataFrame | None) -> DataFrame:
     by_comp = slots.groupBy("h", "slot", "comp").agg(F.count("*").alias("k"), F.min("high").alias("high"))
     mixed = by_comp.groupBy("h", "slot").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("main"), F.min("high").alias("high")).where("k > main.k and high = 0")
     up = lambda c: F.ceil(c / TILE).cast("int")
-    mixed = mixed.select("h", "slot", F.col("main.comp").alias("main"), up(F.col("main.k")).alias("mains"), up(F.col("k") - F.col("main.k")).alias("rests"))
+    mixed = scratch.save(mixed.select("h", "slot", F.col("main.comp").alias("main"), up(F.col("main.k")).alias("mains"), up(F.col("k") - F.col("main.k")).alias("rests")), "mixed")
     spot = F.xxhash64("id")
     dealt = slots.join(mixed, ["h", "slot"]).withColumn("own", F.when(F.col("comp") == F.col("main"), F.col("rests") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("rests"))).cast("int"))
     meets = F.when(F.col("own") < F.col("rests"), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))
@@ -363,6 +364,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     half = reps.select(F.col("id"), F.col("n"), F.col("ids"))
 
     def check(pairs: DataFrame) -> DataFrame:
+        """Links among pairs, which are written first: the plan that finds them and the one that looks up their
+        sets are never the driver's at once."""
+        pairs = scratch.save(pairs, "pairs")
         both = pairs.join(half.toDF("a", "n_a", "ids_a"), "a").join(half.toDF("b", "n_b", "ids_b"), "b")
         return both.mapInArrow(_verify(threshold_pct), "a long, b long, overlap long")
 
@@ -387,7 +391,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = scratch.save(reps.select("id", "n", "ids", "prefix").mapInArrow(lean(_bits), "id long, n long, m long, bits binary, prefix array<long>").drop("prefix"), "signed")
     marked = None
     for most in HELD:
-        tiled = tiles_of(placed(comp), marked).join(signed, "id").repartition("h", "slot", "tile").sortWithinPartitions("h", "slot", "tile", "n", "id")
+        tiled = tiles_of(placed(comp), marked, scratch).join(signed, "id").repartition("h", "slot", "tile").sortWithinPartitions("h", "slot", "tile", "n", "id")
         pairs = scratch.save(tiled.select("h", "slot", "tile", "id", "comp", "side", "high", "n", "m", "bits").mapInArrow(_tile_pairs(threshold_pct, most), TILED), "tiles")
         comp = scratch.save(extended(comp, scratch.save(check(pairs.where("a is not null").select("a", "b").distinct()), "tile-links")), "components")
         marked = pairs.where("a is null").select("h", "slot", "tile")

@@ -279,13 +279,18 @@ def release(keep: bool = False) -> None:
     try:
         with open("/proc/self/statm") as f:
             resident = int(f.read().split()[1]) * resource.getpagesize()
-        if resident < LARGE:
-            return
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    except OSError:  # not Linux
+        return
+    if resident >= LARGE:
+        trim()
+
+
+def trim() -> None:
+    """Give the allocators' free pages back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not glibc
         ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not Linux, or not glibc
-        pass
 
 
 def keep_pages() -> None:
